@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality
+from . import bpe, fingerprint, mixing, quality
 from .common import documents
 from .oracles import ORACLES
 
@@ -32,8 +32,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
+    "op9_fingerprint": op9_fingerprint,
 }
