@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, quality
+from . import bagminhash, bpe, fingerprint, mixing, quality
 from .common import documents
 from .oracles import ORACLES
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir)).drop("n_lines", "source")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
     digested = encoded.withColumn("ids_sha256", F.sha2("token_ids", 256))
@@ -38,6 +42,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_minhash": op2_minhash,
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
