@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, fingerprint, mixing, quality
+from . import bagminhash, bpe, fingerprint, mixing, quality, sentences, suffixes
 from .common import documents
 from .oracles import ORACLES
 
@@ -26,6 +26,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(documents(spark, sf_dir))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(spark, sf_dir))
+
+
+def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.repeated_sentences(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
     digested = encoded.withColumn("ids_sha256", F.sha2("token_ids", 256))
@@ -43,6 +51,8 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
+    "op3_suffixes": op3_suffixes,
+    "op5_sentences": op5_sentences,
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
