@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, fingerprint, mixing, quality, sentences, suffixes
+from . import bagminhash, bpe, fingerprint, mixing, pii, quality, sentences, suffixes
 from .common import documents
 from .oracles import ORACLES
 
@@ -40,6 +40,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(digested, RANKS).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_suffixes": op3_suffixes,
     "op5_sentences": op5_sentences,
     "op6_bpe": op6_bpe,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
 }
