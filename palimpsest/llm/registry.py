@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, fingerprint, mixing, pii, quality, sentences, suffixes
+from . import backoff, bagminhash, bpe, fingerprint, mixing, pii, quality, sentences, suffixes
 from .common import documents
 from .oracles import ORACLES
 
@@ -53,6 +53,10 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(documents(spark, sf_dir))
 
 
+def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -62,4 +66,5 @@ QUERIES: dict[str, Query] = {
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
+    "op10_backoff": op10_backoff,
 }
