@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bagminhash, bpe, fingerprint, mixing, pii, quality, sentences, suffixes
+from . import backoff, bagminhash, bpe, fingerprint, html, mixing, pii, quality, sentences, suffixes
 from .common import documents
 from .oracles import ORACLES
 
@@ -30,6 +30,10 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(documents(spark, sf_dir))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.repeated_sentences(documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_suffixes": op3_suffixes,
+    "op4_html": op4_html,
     "op5_sentences": op5_sentences,
     "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
