@@ -27,15 +27,17 @@ def call(name: str, *args: Column) -> Column:
     return F.call_function(name, *args)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared checkpoint folder, which outlives executors.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own
-    is set only where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; our own only where that is unset, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder, which outlives executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
