@@ -216,6 +216,6 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
     answered = asked.select("chunk", "n", "bucket", "docs", "lengths", "vocabulary", "words", "hashes", "counts").mapInArrow(_answer, _SCHEMA)
     whole = rows.mapInArrow(_recipes, _SCHEMA).unionByName(answered).repartition(parts, "chunk").sortWithinPartitions("chunk", "n", "bucket")
     scored = checkpoint(whole.mapInArrow(_score(order, buckets, alpha, least), "doc_id long, n_words long, n_top long, n_unigram long, log_sum double"))
-    total = scored.agg(F.sum("n_words").alias("_total"))  # one row
-    log_score = F.when(F.col("n_words") > 0, F.col("log_sum") - F.col("n_unigram") * F.log(F.col("_total").cast("double")))
-    return scored.join(F.broadcast(total)).select(F.col("doc_id").alias(key), "n_words", "n_top", "n_unigram", log_score.alias("log_score"), (log_score / F.col("n_words")).alias("score"))
+    total = scored.agg(F.sum("n_words")).first()[0] or 1  # one row
+    log_score = F.when(F.col("n_words") > 0, F.col("log_sum") - F.col("n_unigram") * F.lit(math.log(total)))
+    return scored.select(F.col("doc_id").alias(key), "n_words", "n_top", "n_unigram", log_score.alias("log_score"), (log_score / F.col("n_words")).alias("score"))

@@ -84,6 +84,15 @@ def failures() -> dict[str, Column]:
     }
 
 
+def _prior(total: int | None, hosts: int, failed: int | None, squares: float | None) -> tuple[float, float]:
+    """Mean and concentration of the beta prior, from the hosts' documents, failures and n * rate**2."""
+    if not total:
+        return 0.0, 1.0
+    m = failed / total
+    between = squares / total - m * m - m * (1 - m) * hosts / total
+    return m, 10_000.0 if between <= 0 else min(10_000.0, max(1.0, m * (1 - m) / between - 1))
+
+
 def host_verdicts(measured: DataFrame, host: str = "source", tolerance: float = 0.02, block: float = 0.5) -> DataFrame:
     """One row per host: documents, shrunk failure rate of each rule, ``watched_<rule>`` and ``blocked``.
 
@@ -95,14 +104,12 @@ def host_verdicts(measured: DataFrame, host: str = "source", tolerance: float =
     that holds a third of all rows is a few partial rows; the table grows with hosts only."""
     sums = measured.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(f.cast("long")).alias(f"_f_{r}") for r, f in failures().items()))
     rates = {r: F.col(f"_f_{r}") / F.col("_n") for r in RULES}
-    total = sums.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_hosts"), *(F.sum(f"_f_{r}").alias(f"_t_{r}") for r in RULES), *(F.sum(F.col("_n") * p * p).alias(f"_q_{r}") for r, p in rates.items()))
-    out = sums.join(F.broadcast(total))  # one row
+    sums = checkpoint(sums)
+    whole = sums.agg(F.sum("_n").alias("total"), F.count(F.lit(1)).alias("hosts"), *(F.sum(f"_f_{r}").alias(f"t_{r}") for r in RULES), *(F.sum(F.col("_n") * (F.col(f"_f_{r}") / F.col("_n")) * (F.col(f"_f_{r}") / F.col("_n"))).alias(f"q_{r}") for r in RULES)).first()  # one row
+    out = sums
     for r in RULES:
-        m = F.col(f"_t_{r}") / F.col("_total")
-        within = m * (1 - m) * F.col("_hosts") / F.col("_total")
-        between = F.col(f"_q_{r}") / F.col("_total") - m * m - within
-        k = F.when(between <= 0, F.lit(10_000.0)).otherwise(F.least(F.lit(10_000.0), F.greatest(F.lit(1.0), m * (1 - m) / between - 1)))
-        out = out.withColumn(f"_k_{r}", k).withColumn(f"rate_{r}", (F.col(f"_f_{r}") + m * F.col(f"_k_{r}")) / (F.col("_n") + F.col(f"_k_{r}")))
+        m, k = _prior(whole["total"], whole["hosts"], whole[f"t_{r}"], whole[f"q_{r}"])
+        out = out.withColumn(f"rate_{r}", (F.col(f"_f_{r}") + F.lit(m * k)) / (F.col("_n") + F.lit(k)))
     return out.select("_host", *(f"rate_{r}" for r in RULES), *((F.col(f"rate_{r}") > tolerance).alias(f"watched_{r}") for r in RULES), (F.col("rate_base") > block).alias("blocked"))
 
 
