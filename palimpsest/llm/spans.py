@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import shuffle_parts, stored
 from .shingles import Words, blocks, mix64, words
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -72,16 +73,74 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.string() if i in (2, 4) else pa.int64()) for i, x in enumerate(columns))], names)
 
 
-def repeats(found: DataFrame) -> DataFrame:
+def _distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Without rows equal to the one before: those of rows that repeat key and text."""
+    columns = [np.asarray(batch.column("h")), np.asarray(batch.column("doc_id").fill_null(0)), np.asarray(batch.column("doc_id").is_null()), np.asarray(batch.column("span"))]
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    return batch if new.all() else batch.filter(pa.array(new))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of sorted rows those whose hash is also before (later) or after them, and the range's first and last (edge 1, 2 or both).
+
+    The hash itself is kept for edges only."""
+    part, held, held_later, opened = TaskContext.get().partitionId(), None, False, False
+
+    def told(batch: pa.RecordBatch, later: np.ndarray, match: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        keep = match | (edge > 0)
+        n, out = int(keep.sum()), batch.filter(pa.array(keep))
+        h = pa.array(np.asarray(out.column("h")), mask=edge[keep] == 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), h, out.column("doc_id"), out.column("span"), pa.array(later[keep]), pa.array(match[keep]), pa.array(edge[keep])], _TOLD_NAMES)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        batch = _distinct(batch)
+        h = np.asarray(batch.column("h"))
+        same = np.concatenate([[held_later], h[1:] == h[:-1], [False]])
+        later, match = same[:-1], same[:-1] | same[1:]
+        edge = np.zeros(len(h), np.int32)
+        edge[0] = 0 if opened else 1
+        opened = opened or len(h) > 1
+        held, held_later, held_match = batch.slice(len(h) - 1, 1), bool(later[-1]), bool(match[-1])  # its successor is still to come
+        held_edge = int(edge[-1])
+        yield told(batch.slice(0, len(h) - 1), later[:-1], match[:-1], edge[:-1])
+    if held is not None:
+        yield told(held, np.array([held_later]), np.array([held_match]), np.array([held_edge + 2], np.int32))
+
+
+_TOLD = "part int, h long, doc_id long, span long, later boolean, matched boolean, edge int"
+_TOLD_NAMES = [x.split(" ")[0] for x in _TOLD.split(", ")]
+
+
+def matched(found: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, span, later) of the rows (h, doc_id, span) whose hash occurs again; later: not its first, by doc_id and span.
+
+    Rows are sorted over ranges and neighbours compared. The order goes on with document and place, so a
+    hash that very many rows share is spread over several ranges. The first and last row of each
+    range, two at most, are compared with those of the ranges beside it on the driver."""
+    order = [F.col("h"), F.asc_nulls_first("doc_id"), F.col("span")]
+    told = stored(found.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _TOLD))
+    edges = told.filter("edge > 0").select("part", "edge", "h").collect()
+    first, last = {r["part"]: r["h"] for r in edges if r["edge"] & 1}, {r["part"]: r["h"] for r in edges if r["edge"] & 2}
+    ranges = sorted(first)
+    joined = [(a, b) for a, b in zip(ranges[:-1], ranges[1:], strict=True) if last[a] == first[b]]
+    opens = F.col("part").isin([b for _, b in joined]) & F.col("edge").isin(1, 3)
+    closes = F.col("part").isin([a for a, _ in joined]) & F.col("edge").isin(2, 3)
+    return told.filter(F.col("matched") | opens | closes).select("doc_id", "span", (F.col("later") | opens).alias("later"))
+
+
+def repeats(found: DataFrame, more: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """What documents repeat, of spans (h, doc_id, span): a row for each document that has a span whose hash occurs again.
 
     doc_id, n_spans, repeated_chars, spans: the repeated ranges ('start:end' in code points, merged);
-    removed_chars, removed: those ranges whose spans are not the first, by doc_id and place.
-    Occurrences are counted with partial sums in every task, so a span that a third of the documents
-    hold is a few rows; only hashes that repeat are joined back, and adaptive execution splits
-    that join's large keys. Lists are per document, never per hash."""
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "span")).alias("first")).filter("n > 1").select("h", "first")
-    hits = found.join(checkpoint(counts), "h").select("doc_id", "span", (~F.struct("doc_id", "span").eqNullSafe(F.col("first"))).alias("later"))
+    removed_chars, removed: those ranges whose spans are not the first, by doc_id and place. ``more``
+    has further (doc_id, span, later) to count in. Lists are per document, never per hash."""
+    hits = matched(found, parts or shuffle_parts(found.sparkSession))
+    if more is not None:
+        hits = hits.unionByName(more)
     lists = hits.groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.collect_list("later").alias("later"))
     return lists.mapInArrow(_ranges, "doc_id long, n_spans long, repeated_chars long, spans string, removed_chars long, removed string")
 

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_parts
+from .common import GAP_CHARS, WORD, shuffle_parts, stored
 from .shingles import Words, blocks, words
-from .spans import SPAN_SCHEMA, packed, repeats, run_hasher
+from .spans import SPAN_SCHEMA, matched, packed, repeats, run_hasher
 
 #: Words that a repeated passage has at least, and words by which suffixes are compared.
 LEAST, PREFIX = 50, 25
@@ -55,45 +55,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, grams = minimisers(of)
             if len(at):
                 text = np.searchsorted(of.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column("doc_id").take(pa.array(row + text)), pa.array((at - of.first[text]).astype(np.int64))], ["h", "doc_id", "pos"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a range of sorted suffixes those that begin like the one before or after them (matched), and its first and last (edge)."""
-    held, held_match, opened = None, False, False
-
-    def told(batch: pa.RecordBatch, match: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-        keep = match | edge
-        out = batch.filter(pa.array(keep))
-        return pa.RecordBatch.from_arrays([*out.columns, pa.array(match[keep]), pa.array(edge[keep])], [*batch.schema.names, "matched", "edge"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        h = np.asarray(batch.column("h"))
-        same = np.concatenate([[held_match], h[1:] == h[:-1], [False]])
-        match = same[:-1] | same[1:]
-        edge = np.zeros(len(h), bool)
-        edge[0] = not opened
-        opened = opened or len(h) > 1
-        held, held_match = batch.slice(len(h) - 1, 1), bool(match[-1])  # its successor is still to come
-        yield told(batch.slice(0, len(h) - 1), match[:-1], edge[:-1])
-    if held is not None:
-        yield told(held, np.array([held_match]), np.array([True]))
-
-
-def matched_suffixes(suffixes: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, pos) of suffixes (h, doc_id, pos) whose first words another suffix shares.
-
-    Ranges are of the hash, then document and place, so a prefix that very many suffixes share is spread over several
-    ranges. The outermost suffixes of each range, two rows at most, are compared among themselves."""
-    order = ["h", "doc_id", "pos"]
-    told = checkpoint(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "h long, doc_id long, pos long, matched boolean, edge boolean"))
-    ends = told.filter("edge").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    over = told.filter("edge AND NOT matched").join(ends, "h", "left_semi")
-    return told.filter("matched").select("doc_id", "pos").unionByName(over.select("doc_id", "pos"))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column("doc_id").take(pa.array(row + text)), pa.array((at - of.first[text]).astype(np.int64))], ["h", "doc_id", "span"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +78,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(run_hasher(of)(a, a + LEAST).view(np.int64)), doc, pa.array(packed(of, a, a + LEAST))], ["h", "doc_id", "span"])
 
 
+def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that occur more than once: (doc_id, span, later) of each copy's words, and (doc_id) of all copies but the first.
+
+    A copy repeats from its first word to its last what the first one has, whatever else does, so only the first
+    one's suffixes are needed. Counts are partial in each task: a text of very many copies is a few rows."""
+    solid = F.btrim("text", F.lit(GAP_CHARS))
+    start = F.length("text") - F.length(F.ltrim(F.col("text"), F.lit(GAP_CHARS)))
+    named = docs.filter("text IS NOT NULL").select("doc_id", F.md5("text").alias("m"), F.regexp_count("text", F.lit(WORD)).alias("n"), F.shiftleft(start.cast("long"), 32).bitwiseOR((start + F.length(solid)).cast("long")).alias("span"))
+    named = stored(named.filter(F.col("n") >= LEAST).select("doc_id", "m", "span"))
+    groups = stored(named.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id")).alias("first")).filter("k > 1").select("m", "first.doc_id"))
+    both = stored(named.join(groups.withColumnRenamed("doc_id", "of"), "m").select("doc_id", "span", (~F.col("doc_id").eqNullSafe(F.col("of"))).alias("later")))
+    return both, both.filter("later").select("doc_id")
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None) -> DataFrame:
     """``repeats`` of passages of 50 words or more; ``without`` removes them.
 
@@ -126,8 +102,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     texts have no passages; an empty table gives an empty result; further columns are left out."""
     parts = parts or shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    suffixes = checkpoint(rows.mapInArrow(_suffixes, "h long, doc_id long, pos long"))
-    anchors = matched_suffixes(suffixes, parts).groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
+    copies, later = _copies(rows)
+    suffixes = stored(rows.mapInArrow(_suffixes, SPAN_SCHEMA))
+    anchors = matched(suffixes, parts).select("doc_id", F.col("span").alias("pos")).join(later, "doc_id", "left_anti")
+    anchors = anchors.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
     near = rows.join(anchors.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "anchors")
-    windows = checkpoint(near.mapInArrow(_windows, SPAN_SCHEMA))
-    return repeats(windows).withColumnRenamed("doc_id", key)
+    return repeats(near.mapInArrow(_windows, SPAN_SCHEMA), copies, parts).withColumnRenamed("doc_id", key)
