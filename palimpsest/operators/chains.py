@@ -14,7 +14,7 @@ def reconstruct(edits: DataFrame, key: str = "utterance_id", order: tuple[str, .
     A link holds if an edit's input and the output before it are canonically equal. ``order`` should end
     in a tie-breaker; rows that still tie follow by input. One shuffle by ``key`` serves window and aggregate."""
     w = Window.partitionBy(key).orderBy(*order, before)
-    linked = canonical(F.col(before)) == canonical(F.lag(after).over(w))
+    linked = F.when(F.row_number().over(w) > 1, canonical(F.col(before)) == canonical(F.lag(after).over(w)))
     rows = edits.withColumns({"_place": F.row_number().over(w), "_linked": linked})
     return rows.groupBy(key).agg(
         F.min_by(before, "_place").alias("input_raw"),
