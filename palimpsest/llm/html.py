@@ -25,6 +25,9 @@ SAMPLE = 1000
 #: Score of a tag within a content element: there markup says little about where content ends.
 WITHIN = -0.05
 
+#: Score of a word in boilerplate, at least: it is left out of the text even inside the region, so it need not end it.
+BOILER = -0.2
+
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -53,7 +56,7 @@ class Weights:
     roles: dict[str, float] = field(default_factory=dict)
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name, -0.05 if name in INLINE or re.fullmatch(r"p|br|h[1-6]", name) else -0.5)
+        return self.tags.get(name, -0.05 if name in INLINE or re.fullmatch(r"p|br|h[1-6]", name) else -0.2)
 
     def role(self, name: str) -> float:
         known = self.roles.get(name)
@@ -128,7 +131,7 @@ def _word_score(roles: tuple[str, ...], weights: Weights) -> float:
         elif odds < 0 and not (content and role == "header"):  # an article's own header holds its title
             worst = min(worst, odds)
     if worst < 0:
-        return 0.0 if content else max(-3.0, worst)
+        return 0.0 if content else max(BOILER, worst)
     return 1.0
 
 
@@ -185,7 +188,7 @@ def fit(counts: dict[tuple[str, str, bool], int]) -> Weights:
     for kind, name in names:
         inside, outside = counts.get((kind, name, True), 0), counts.get((kind, name, False), 0)
         if kind == "tag":
-            out.tags[name] = -0.05 - outside / (inside + outside)
+            out.tags[name] = -0.05 - 0.5 * outside / (inside + outside)
         elif name not in CONTENT:
             prior = 1 / (1 + math.exp(-Weights().role(name)))
             out.roles[name] = math.log((inside + 50 * prior) / (outside + 50 * (1 - prior)))

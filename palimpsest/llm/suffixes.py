@@ -87,7 +87,8 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = F.length("text") - F.length(F.ltrim(F.col("text"), F.lit(GAP_CHARS)))
     named = docs.filter("text IS NOT NULL").select("doc_id", F.md5("text").alias("m"), F.regexp_count("text", F.lit(WORD)).alias("n"), F.shiftleft(start.cast("long"), 32).bitwiseOR((start + F.length(solid)).cast("long")).alias("span"))
     named = stored(named.filter(F.col("n") >= LEAST).select("doc_id", "m", "span"))
-    groups = stored(named.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id")).alias("first")).filter("k > 1").select("m", "first.doc_id"))
+    ends = F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")
+    groups = stored(named.groupBy("m").agg(*ends).filter(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))).select("m", "first.doc_id"))
     both = stored(named.join(groups.withColumnRenamed("doc_id", "of"), "m").select("doc_id", "span", (~F.col("doc_id").eqNullSafe(F.col("of"))).alias("later")))
     return both, both.filter("later").select("doc_id")
 
