@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import distance, scalars, text
-from palimpsest.operators import alignment, chains, classify, guards, intervals, labels, language, selection, statistics
+from palimpsest.operators import alignment, chains, classify, guards, intervals, labels, language, matching, selection, statistics
 from palimpsest.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -649,6 +649,61 @@ def fuzzy_nearest(spark, sf_dir):
     return language.fuzzy_nearest(tokens, terms).select("token", "term", long(F.col("distance")).alias("distance"), long(F.col("second")).alias("second"))
 
 
+@query()
+def speaker_assignment(spark, sf_dir):
+    """Each click of a user against the user's other segments, which overlap, contain or miss it."""
+    items, others = _items(spark, sf_dir)
+    segments = others.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("speaker"), F.col("r_start").alias("start"), F.col("r_end").alias("end")))).alias("segs"))
+    rows = items.join(segments, "user_id").withColumn("x", matching.best_speaker_udf("segs", "start", "end", F.array(F.struct("start", "end"))))
+    return rows.select("event_id", "x.*")
+
+
+@query()
+def speech_cuts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 15).alias("d"))
+    quiet = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("d") / 7).cast("int"))), lambda i: F.struct((i * 7.0).alias("start"), (i * 7.0 + 0.6).alias("end")))
+    return rows.select("doc_id", F.posexplode(matching.cut_udf("d", quiet)).alias("piece", "s")).select("doc_id", long(F.col("piece")).alias("piece"), "s.start", "s.end")
+
+
+@query()
+def ceiling_choice(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", (1 / (1 + F.abs(F.col("n_chars") - 2000) / 1000.0)).alias("score"), "lang", "source")
+    return matching.ceiling_top(rows, "doc_id", "score", "lang", {"source": 0.25}, 100, {"en": 0.4})
+
+
+@query()
+def certain_transfer(spark, sf_dir):
+    rows = edits(spark, sf_dir).select("conv_id", "turn", text.word_tokens(F.col("after_text")).alias("a"), text.word_tokens(F.col("before_text")).alias("b"))
+    return rows.select("conv_id", "turn", long(F.size(F.array_compact(matching.certain_pairs_udf("a", "b")))).alias("certain"))
+
+
+@query("""WITH g AS (SELECT source, sum(n_chars)::DOUBLE AS v FROM documents GROUP BY source) SELECT source, v, sum(v) OVER () - v AS without, v > 0.05 * sum(v) OVER () AS heavy FROM g""")
+def share_of_total(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").cast("double").alias("v"))
+    total = rows.agg(F.sum("v")).first()[0] or 0.0  # one row
+    return rows.select("source", "v", (F.lit(total) - F.col("v")).alias("without"), (F.col("v") > 0.05 * F.lit(total)).alias("heavy"))
+
+
+@query("""SELECT lang, count(*) FILTER (WHERE role_bin = 'short') AS short, count(*) FILTER (WHERE role_bin = 'mid') AS mid, count(*) FILTER (WHERE role_bin = 'long') AS long
+FROM (SELECT lang, CASE WHEN n_chars / 15.0 < 5 THEN 'short' WHEN n_chars / 15.0 < 30 THEN 'mid' ELSE 'long' END AS role_bin FROM documents) GROUP BY lang""")
+def pivot_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.when(F.col("n_chars") / 15.0 < 5, "short").when(F.col("n_chars") / 15.0 < 30, "mid").otherwise("long").alias("b"))
+    return rows.groupBy("lang").pivot("b", ["short", "mid", "long"]).count().na.fill(0)
+
+
+@query("""SELECT label AS a, count(*) AS n, round(avg(list_dot_product(embedding, embedding)), 3) AS norm FROM embeddings GROUP BY label""")
+def embedding_norms(spark, sf_dir):
+    dot = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(dot), 3).alias("norm"))
+
+
+@query("SELECT o_custkey, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def volume_join(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("r"), 2).alias("revenue"))
+
+
 # --- labels and events -------------------------------------------------------------------------------------------
 
 @query("""WITH l AS (SELECT user_id, max(event_id) AS last_event, arg_max(event_type, event_id) AS status, max(event_id) FILTER (WHERE event_id % 3 = 0) AS n FROM events GROUP BY user_id)
