@@ -36,9 +36,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and token_ids (decimal, joined by spaces) of each row, whether the ids decode to the text again."""
-    encoded = bpe.encode(docs.selectExpr("doc_id", "source", "text", "encode(text, 'UTF-8') AS bytes"), RANKS, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded.selectExpr("doc_id", "source", "n_tokens", "bytes", "token_ids", "token_ids AS ids"), RANKS, ids="ids")
-    return decoded.selectExpr("doc_id", "source", "n_tokens", "token_ids", "decoded = coalesce(bytes, X'') AS round_trip")
+    coded = bpe.round_trip(docs.selectExpr("doc_id", "source", "text", "sha2(coalesce(text, ''), 256) AS digest"), RANKS, public_tokenizers.PATTERN)
+    return coded.selectExpr("doc_id", "source", "n_tokens", "token_ids", "sha2(decoded, 256) = digest AS round_trip")
 
 
 STAGES = [

@@ -9,12 +9,12 @@ is: a page of base64 without a space is no worse than prose of its size.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NONE = 1 << 62
@@ -110,18 +110,11 @@ def encode_text(text: str, ranks: dict[bytes, int], pattern: str, cache: _Pieces
 _SLICE = 256
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 400_000) -> DataFrame:
-    """``docs`` without ``text``, with ``n_tokens`` long and ``token_ids`` string (decimal ids joined by a space).
+Batches = Iterator[pa.RecordBatch]
 
-    A null or empty text has no tokens and the empty id string. Texts are whole, of any length;
-    rows repeat as they come, and other columns pass through untouched, whatever their names,
-    but for ``n_tokens`` and ``token_ids``, which are replaced. ``ranks_path`` must be readable on
-    the workers, as an installed package's files are. ``cache_size`` bounds a worker's memory:
-    entries are pre-tokens of their usual length (longer ones are not kept)."""
-    keep = [c for c in docs.columns if c not in (text, "n_tokens", "token_ids")]
-    schema = docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("token_ids")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(keep: list[str], text: str, ranks_path: str, pattern: str, cache_size: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         ranks, split = load_ranks(ranks_path), _splitter(pattern).findall
         pieces = _Pieces(ranks, cache_size)
         for whole in batches:
@@ -134,15 +127,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", c
                     counts.append(found.count(" ") + 1 if found else 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids, pa.string())], [*keep, "n_tokens", "token_ids"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text])).mapInArrow(run, schema)
-
+    return run
 
-def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` without ``ids``, with the bytes they stand for in ``out``; null or empty ids give no bytes."""
-    keep = [c for c in encoded.columns if c not in (ids, out)]
-    schema = encoded.select(*(F.col(f"`{c}`") for c in keep), F.lit(b"").alias(out)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoder(keep: list[str], ids: str, out: str, ranks_path: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         tokens = {str(rank): token for token, rank in load_ranks(ranks_path).items()}
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
@@ -150,4 +139,36 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
                 back = [b"".join(map(tokens.__getitem__, x.split(" "))) if x else b"" for x in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(back, pa.binary())], [*keep, out])
 
-    return encoded.select(*(F.col(f"`{c}`") for c in [*keep, ids])).mapInArrow(run, schema)
+    return run
+
+
+def _columns(names: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 400_000) -> DataFrame:
+    """``docs`` without ``text``, with ``n_tokens`` long and ``token_ids`` string (decimal ids joined by a space).
+
+    A null or empty text has no tokens and the empty id string. Texts are whole, of any length;
+    rows repeat as they come, and other columns pass through untouched, whatever their names,
+    but for ``n_tokens`` and ``token_ids``, which are replaced. ``ranks_path`` must be readable on
+    the workers, as an installed package's files are. ``cache_size`` bounds a worker's memory:
+    entries are pre-tokens of their usual length (longer ones are not kept)."""
+    keep = [c for c in docs.columns if c not in (text, "n_tokens", "token_ids")]
+    schema = docs.select(*_columns(keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("token_ids")).schema
+    return docs.select(*_columns([*keep, text])).mapInArrow(_encoder(keep, text, ranks_path, pattern, cache_size), schema)
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes that its ``ids`` stand for in ``out``; null or empty ids give no bytes."""
+    keep = [c for c in encoded.columns if c != out]
+    schema = encoded.select(*_columns(keep), F.lit(b"").alias(out)).schema
+    return encoded.select(*_columns(keep)).mapInArrow(_decoder(keep, ids, out, ranks_path), schema)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 400_000) -> DataFrame:
+    """``encode`` and ``decode`` one after the other in the same worker: batches of ids need not leave it in between."""
+    keep = [c for c in docs.columns if c not in (text, "n_tokens", "token_ids", "decoded")]
+    schema = docs.select(*_columns(keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("token_ids"), F.lit(b"").alias("decoded")).schema
+    first, second = _encoder(keep, text, ranks_path, pattern, cache_size), _decoder([*keep, "n_tokens", "token_ids"], "token_ids", "decoded", ranks_path)
+    return docs.select(*_columns([*keep, text])).mapInArrow(lambda batches: second(first(batches)), schema)
