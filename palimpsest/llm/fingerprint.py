@@ -101,8 +101,15 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+#: Rows a range has at least, where there are fewer than ``parts`` such ranges.
+RANGE_ROWS = 256
+
+
 def _cuts(rows: DataFrame, parts: int) -> np.ndarray:
     """Up to ``parts`` - 1 cuts of the keys into ranges of about as many rows: a bounded list, whatever the table."""
+    parts = min(parts, 1 + rows.count() // RANGE_ROWS)
+    if parts == 1:
+        return np.zeros(0, np.int64)
     at = [i / parts for i in range(1, parts)]
     return np.unique(np.array(rows.agg(F.percentile_approx("key", at, 20 * parts)).first()[0] or [], np.int64))
 
@@ -140,7 +147,7 @@ def _with_successors(docs: DataFrame, text: str, key: str, parts: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([to, pa.array([1] * len(first), pa.int32()), *heading.columns], names)
 
     dealt = rows.mapInArrow(placed, "part int, guest int, key long, tie long, text string")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), "tie")
+    return dealt.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), "tie")
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = K, parts: int | None = None) -> DataFrame:

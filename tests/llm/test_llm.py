@@ -378,7 +378,8 @@ def test_sketches_merge():
     assert (fingerprint.unpack(fingerprint.pack(x)) == x).all()
 
 
-def test_fingerprints_with_successors(spark, docs, empty):
+def test_fingerprints_with_successors(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 2)
     known = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted((r.doc_id, r.text or "") for r in known.collect())
     likeness = lambda x, y: sum((Counter(set(x)) & Counter(set(y))).values()) / len(set(x) | set(y)) if set(x) | set(y) else 1.0
