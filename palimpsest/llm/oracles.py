@@ -19,7 +19,7 @@ m AS (
   FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN r USING (rid)),
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    10 * n_symbols > n_words AS symbols_failed, 10 * n_dup_lines > 3 * n_lines AS lines_failed FROM m),
+    10 * n_symbols > n_words AS symbols_failed, n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines AS lines_failed FROM m),
 h AS (
   SELECT source, rule, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f
   FROM (SELECT source, unnest(['base', 'symbols', 'lines']) AS rule, unnest([base_failed, symbols_failed, lines_failed]) AS failed FROM f)
