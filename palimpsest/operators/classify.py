@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.distance import multiset_minus
 from palimpsest.functions.text import (
+    FILLERS,
     canonical,
     canonical_tokens,
     collapse_space,
@@ -135,6 +136,7 @@ def mechanical_labels(before: Column, after: Column) -> Column:
         ("word_boundary", (tight(a) == tight(b)) & (a != b)),
         ("homophone", (F.size(words(a)) == F.size(words(b))) & F.forall(homophones, lambda x: x < 2) & F.exists(homophones, lambda x: x == 1)),
         ("acronym_abbreviation", _acronym(a, b) | _acronym(b, a)),
+        ("disfluency_cleanup", _disfluency(F.transform(words(a), lambda t: bare(_no_acute(t))), F.transform(words(b), lambda t: bare(_no_acute(t))))),
         ("punctuation_capitalization", bare(a) == bare(b)),
     ]
     out = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in labels)))
@@ -146,6 +148,24 @@ def collapse_ends(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def _disfluency(before: Column, after: Column) -> Column:
+    """Whether ``after`` is ``before`` without some hesitation sounds and immediate repeats, matched greedily in order."""
+
+    def walk(v: Column) -> Column:
+        b, a = v["b"], v["a"]
+
+        def step(acc: Column, i: Column) -> Column:
+            x = F.get(b, i)
+            hit = F.coalesce(x == F.get(a, acc["j"]), F.lit(False))
+            fault = ~hit & ~(x.isin(*FILLERS) | F.coalesce(F.get(b, i - 1) == x, F.lit(False)))
+            return F.struct((acc["j"] + hit.cast("int")).alias("j"), (acc["ok"] & ~fault).alias("ok"))
+
+        end = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.struct(F.lit(0).alias("j"), F.lit(True).alias("ok")), step)
+        return F.when((F.size(a) > 0) & (F.size(a) < F.size(b)), end["ok"] & (end["j"] == F.size(a))).otherwise(False)
+
+    return _let(F.struct(before.alias("b"), after.alias("a")), walk)
+
+
 def _acronym(spaced: Column, joined: Column) -> Column:
     """A run of three or more single Greek letters written as one upper-case word, the rest equal."""
     run = r"(?<!\S)(?:[α-ωΑ-Ω] ){2,}[α-ωΑ-Ω](?!\S)"

@@ -24,10 +24,10 @@ def leave_one_group_out(rows: DataFrame, idea: Idea, group: str, key: str, value
 
     The rows go to one task per held-out group (few groups of evaluation windows, as a benchmark has)."""
     kinds = dict(rows.dtypes)
-    folds = rows.select(F.col(group).alias("_fold")).distinct()
-    doubled = folds.join(F.broadcast(rows)) if rows.limit(200_001).count() <= 200_000 else None
-    if doubled is None:
+    if rows.limit(200_001).count() > 200_000:
         raise ValueError("fit and apply by fold is for evaluation sets of up to 200,000 rows")
+    folds = [r[0] for r in rows.select(group).distinct().collect()]
+    doubled = rows.withColumn("_fold", F.explode(F.array(*map(F.lit, folds)))) if folds else rows.withColumn("_fold", F.col(group))
 
     def run(fold: pd.DataFrame) -> pd.DataFrame:
         own = fold[group] == fold["_fold"]
@@ -62,11 +62,10 @@ class Registry:
 
 def grid(spark, **axes: list) -> DataFrame:
     """All combinations of settings: one row each."""
-    out = None
+    out = spark.range(1)
     for name, values in axes.items():
-        axis = spark.createDataFrame([(v,) for v in values], [name])
-        out = axis if out is None else out.crossJoin(axis)
-    return out
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return out.drop("id")
 
 
 def leaderboard(results: DataFrame, metric: str, regression: str, baseline: float, most: float = 0.0) -> DataFrame:

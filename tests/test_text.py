@@ -116,7 +116,7 @@ def test_error_categories(spark):
 
 
 def test_mechanical_labels(spark):
-    cases = [("οπωσ", "όπως", "accent_tonos,final_sigma"), ("τα παντα", "ταπαντα", "word_boundary"), ("δ ε η", "ΔΕΗ", "acronym_abbreviation"), ("τιχος", "τοιχος", ""), ("τοιχη", "τοιχι", "homophone"), ("Ναι", "ναι!", "punctuation_capitalization"), ("ενα", "δυο", ""), ("a\nb", "a b", "")]
+    cases = [("οπωσ", "όπως", "accent_tonos,final_sigma"), ("τα παντα", "ταπαντα", "word_boundary"), ("δ ε η", "ΔΕΗ", "acronym_abbreviation"), ("τιχος", "τοιχος", ""), ("τοιχη", "τοιχι", "homophone"), ("Ναι", "ναι!", "punctuation_capitalization"), ("ενα", "δυο", ""), ("a\nb", "a b", ""), ("εμ ναι ναι πάμε", "ναι πάμε", "disfluency_cleanup"), ("ναι τώρα πάμε", "ναι πάμε", "")]
     rows = spark.createDataFrame(cases, "b string, a string, e string").select("e", F.array_join(classify.mechanical_labels(F.col("b"), F.col("a")), ",").alias("got")).collect()
     assert [r.got for r in rows] == [r.e for r in rows]
 
