@@ -356,3 +356,20 @@ def tandem_excess(words: pd.Series) -> pd.Series:
                 run = 0
         out.append(int(marked.sum()))
     return pd.Series(out)
+
+
+def transfer_marks(plain: list[str], marked: list[str]) -> list[str]:
+    """Words of ``plain`` in the case and with the punctuation of the words of ``marked`` that match them; the words stay."""
+    import re
+
+    bare = [re.sub(r"[^\w]+", "", w).lower() for w in marked]
+    out = list(plain)
+    for op, i, j in align([w.lower() for w in plain], bare):
+        if op == "M":
+            out[i] = marked[j]
+    return out
+
+
+@vector("array<string>")
+def transfer_marks_udf(plain: pd.Series, marked: pd.Series) -> pd.Series:
+    return pd.Series([transfer_marks(*row) for row in _pairs((plain, marked))])

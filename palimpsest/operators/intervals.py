@@ -183,3 +183,30 @@ def context(rows: DataFrame, keys: list[str], order: list[str], value: str, befo
     """``value`` of the rows before and after each row of a key, as arrays in order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumns({"before": F.collect_list(value).over(w.rowsBetween(-before, -1)), "after": F.collect_list(value).over(w.rowsBetween(1, after))})
+
+
+def active_sets(spans: DataFrame, keys: list[str], member: str, width: float, start: str = "start", end: str = "end") -> DataFrame:
+    """Maximal stretches of a key with the same set of active members (``members``, sorted).
+
+    All ends of a key cut time into elementary stretches; the members' spans are joined to these by bucket, and
+    neighbours of one set are put together."""
+    own = merge(spans, [*keys, member], start, end)
+    w = Window.partitionBy(*keys).orderBy(start)
+    cuts = own.select(*keys, F.explode(F.array(start, end)).alias(start)).distinct().withColumn(end, F.lead(start).over(w)).filter(F.col(end).isNotNull())
+    named = own.select(*keys, member, F.col(start).alias("r_start"), F.col(end).alias("r_end"))
+    sets = interval_join(cuts, named, keys, width, (start, end)).groupBy(*keys, start, end).agg(F.array_join(F.array_sort(F.collect_set(member)), "+").alias("members"))
+    new = (F.lag("members").over(w) != F.col("members")) | (F.lag(end).over(w) != F.col(start))
+    marked = sets.withColumn("_new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    return marked.groupBy(*keys, "_run", "members").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+
+
+def agreeing(streams: list[DataFrame], keys: list[str], tolerance: float, token: str = "token", t: str = "t") -> DataFrame:
+    """Places at which all streams have one token within ``tolerance`` of each other: the first stream's (token, t) with the others' times.
+
+    Joined by token and by time bucket, each place with its own bucket and the two beside it."""
+    out = streams[0]
+    for n, other in enumerate(streams[1:], 1):
+        bucket = _bucket(F.col(t), tolerance)
+        near = other.select(*keys, token, F.col(t).alias(f"t{n}"), F.explode(F.array(*(_bucket(F.col(t), tolerance) + d for d in (-1, 0, 1)))).alias("_bucket"))
+        out = out.withColumn("_bucket", bucket).join(near, [*keys, token, "_bucket"]).filter(F.abs(F.col(t) - F.col(f"t{n}")) <= tolerance).drop("_bucket")
+    return out

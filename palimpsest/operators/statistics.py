@@ -208,3 +208,43 @@ def wild_cluster_test(rows: DataFrame, hypothesis: str, cluster: str, a: str, b:
         return pd.DataFrame([{hypothesis: group[hypothesis].iloc[0]} | wild_cluster_p(group["d"].to_numpy(), group["n"].to_numpy(), **options)])
 
     return sums.groupBy(hypothesis).applyInPandas(test, f"`{hypothesis}` {kind}, delta double, se double, n_clusters long, t double, p double")
+
+
+def permutation_null(rows: DataFrame, cluster: str, score: str, label: str, draws: int = 500, seed: int = 3, block: int = 50) -> DataFrame:
+    """One row: AUROC, the mean AUROC under labels shuffled within clusters, and the share of shuffles that reach it.
+
+    The evaluation rows (a score and a label each) go to the workers: an error beyond a million of them."""
+    few = rows.select(cluster, score, label).limit(1_000_001).toPandas()
+    if len(few) > 1_000_000:
+        raise ValueError("more than a million rows: sample clusters first")
+    few = few.sort_values(cluster, kind="stable")
+    ranks, y = few[score].rank().to_numpy(), few[label].to_numpy(bool)
+    groups = np.flatnonzero(np.diff(pd.factorize(few[cluster])[0], prepend=-1))
+    part = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(few))))
+
+    def area(flags: np.ndarray) -> np.ndarray:
+        pos = flags.sum(-1)
+        return ((ranks * flags).sum(-1) - pos * (pos + 1) / 2) / np.maximum(1, pos * (len(ranks) - pos))
+
+    def draw(batches):
+        for batch in batches:
+            for number in batch["id"]:
+                rng = np.random.default_rng([seed, int(number)])
+                # Within a cluster, labels in the order of random keys.
+                flags = [y[np.lexsort((rng.random(len(y)), part))] for _ in range(min(block, draws - int(number) * block))]
+                yield pd.DataFrame({"a": area(np.array(flags))})
+
+    seen = float(area(y)) if y.any() and not y.all() else None
+    null = rows.sparkSession.range(-(-draws // block)).mapInPandas(draw, "a double")
+    return null.agg(F.lit(seen).cast("double").alias("auroc"), F.avg("a").alias("null_mean"), F.avg((F.col("a") >= F.lit(seen)).cast("double")).alias("p"))
+
+
+def fit_threshold(rows: DataFrame, score: str, gain: str, keys: list[str]) -> DataFrame:
+    """Per key the threshold at which acting on scores at or above it gains most in sum (the larger of equals); null if nothing gains.
+
+    The sums over thresholds are a running sum over distinct scores, highest first."""
+    sums = rows.groupBy(*keys, score).agg(F.sum(gain).alias("g"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    curve = sums.withColumn("total", F.sum("g").over(w))
+    best = curve.groupBy(*keys).agg(F.max(F.struct("total", score)).alias("b"))
+    return best.select(*keys, F.when(F.col("b.total") > 0, F.col(f"b.{score}")).alias("threshold"), F.greatest(F.lit(0), F.col("b.total")).alias("total"))

@@ -242,3 +242,33 @@ def test_experiments(spark):
     values = rows.collect()
     assert len(out) == 12 and all(abs(r.out - np.mean([v.x for v in values if v.g != r.g])) < 1e-9 for r in out)
     assert experiments.grid(spark, lr=[1, 2], rank=[3, 4, 5]).count() == 6
+
+
+def test_active_sets_and_agreement(spark):
+    rng = random.Random(7)
+    rows = [("x", rng.choice("abc"), float(a := rng.randrange(60)), float(a + rng.randrange(6))) for _ in range(40)]
+    out = intervals.active_sets(spans(spark, rows), ["k"], "m", 5.0).collect()
+    for t in (i + 0.5 for i in range(70)):
+        want = "+".join(sorted(covered(rows, t)))
+        assert [r.members for r in out if r.start <= t < r.end] == ([want] if want else [])
+    ordered = sorted(out, key=lambda r: r.start)
+    assert all(not (a.end == b.start and a.members == b.members) for a, b in zip(ordered, ordered[1:]))
+    stream = lambda shift: spark.createDataFrame([("x", w, i + shift) for i, w in enumerate("abca")], "k string, token string, t double")
+    assert sorted(r.t for r in intervals.agreeing([stream(0.0), stream(0.2), stream(-0.3)], ["k"], 0.4).collect()) == [0.0, 1.0, 2.0, 3.0]
+    assert intervals.agreeing([stream(0.0), stream(0.2), stream(-0.5)], ["k"], 0.4).isEmpty()
+
+
+def test_nulls_thresholds_and_picks(spark):
+    rng = random.Random(8)
+    rows = [(f"c{i % 5}", rng.random() + (i % 3 == 0) * 0.4, i % 3 == 0) for i in range(120)]
+    out = statistics.permutation_null(spark.createDataFrame(rows, "c string, s double, y boolean"), "c", "s", "y", draws=200).first()
+    pos, neg = [s for _, s, y in rows if y], [s for _, s, y in rows if not y]
+    assert abs(out.auroc - np.mean([p > n for p in pos for n in neg])) < 1e-9 and out.p < 0.05 and abs(out.null_mean - 0.5) < 0.05
+    curve = spark.createDataFrame([("k", 0.9, 2), ("k", 0.8, -1), ("k", 0.7, 1), ("k", 0.6, -5), ("z", 0.9, -1)], "k string, s double, g int")
+    got = {r.k: (r.threshold, r.total) for r in statistics.fit_threshold(curve, "s", "g", ["k"]).collect()}
+    assert got == {"k": (0.9, 2), "z": (None, 0)}
+    assert alignment.transfer_marks("ναι το είδα χθες".split(), "Ναι, είδα χτες.".split()) == ["Ναι,", "το", "είδα", "χθες"]
+    picks = selection.spaced_picks(spark.createDataFrame([("m", i, i * 3.0) for i in range(30)], "k string, id int, start double"), ["k"], "k string", 5, 10.0, "s").collect()
+    assert len(picks) == 5 and all(abs(a.start - b.start) >= 10 for a in picks for b in picks if a.id != b.id)
+    items = spark.createDataFrame([("m", 1, 10.0, True), ("m", 2, 11.0, False), ("m", 3, 50.0, False), ("m", 4, 10.0, True)], "k string, item int, seconds double, flagged boolean")
+    assert sorted((r.item, r.null_item is None or np.isnan(r.null_item)) for r in selection.matched_null(items, ["k"], "k string", 1).collect()) == [(1, False), (4, True)]
