@@ -9,11 +9,12 @@ _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
 def slug_date(meeting_id: Column) -> Column:
-    """'YYYY-MM-DD' of a slug such as aug14_2025 or oct30_2_2025; null where it is none."""
+    """'YYYY-MM-DD 00:00:00' of a slug such as aug14_2025, oct30_2_2025 or apr28_2025_2; null where it is none."""
     month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.regexp_extract(F.lower(meeting_id), r"^([a-z]{3})[0-9]{1,2}_", 1))
     day = F.regexp_extract(meeting_id, r"^[A-Za-z]{3}([0-9]{1,2})_", 1)
-    year = F.regexp_extract(meeting_id, r"_([0-9]{4})$", 1)
-    return F.when((month > 0) & (day != "") & (year != ""), F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
+    year = F.regexp_extract(meeting_id, r"_([0-9]{4})(?:_|$)", 1)
+    good = (month > 0) & day.try_cast("int").between(1, 31) & (year != "")
+    return F.when(good, F.concat(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), F.lit(" 00:00:00")))
 
 
 def meeting_month(meeting_id: Column) -> Column:
@@ -23,7 +24,7 @@ def meeting_month(meeting_id: Column) -> Column:
 
 def without_session(meeting_id: Column) -> Column:
     """A slug without its session counter: oct30_2_2025 is oct30_2025."""
-    return F.regexp_replace(meeting_id, r"^([A-Za-z]{3}[0-9]{1,2})_[0-9]{1,2}_(?=[0-9]{4}$)", "$1_")
+    return F.regexp_replace(F.regexp_replace(meeting_id, r"^([A-Za-z]{3}[0-9]{1,2})_[0-9]{1,2}_(?=[0-9]{4}$)", "$1_"), r"(_[0-9]{4})_[0-9]{1,2}$", "$1")
 
 
 def iso_to_seconds_text(iso: Column) -> Column:

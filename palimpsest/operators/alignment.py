@@ -337,23 +337,25 @@ def transfer_times_udf(tokens: pd.Series, timed: pd.Series, times: pd.Series, en
     return pd.Series([transfer_times(list(t), list(w), list(s), float(e)) for t, w, s, e in zip(tokens, timed, times, end, strict=True)])
 
 
+# Shortest and longest phrase, and the copies in a row from which it counts as a loop.
+_LOOPS = ((1, 4, 6), (5, 11, 3), (12, 10**9, 2))
+
+
 @vector("int")
 def tandem_excess(words: pd.Series) -> pd.Series:
-    """Words beyond the first copy in runs of a phrase that follows itself (one word from 4 copies, two to four from 3, longer from 2)."""
+    """Words beyond the first copy where a phrase follows itself often enough, over all phrase lengths together."""
     out = []
     for (tokens,) in _pairs((words,)):
-        marked = np.zeros(len(tokens), bool)
-        for size in range(1, min(20, len(tokens) // 2) + 1):
-            need = 4 if size == 1 else 3 if size <= 4 else 2
-            same = np.array([tokens[i] == tokens[i + size] for i in range(len(tokens) - size)], bool)
-            run = 0
-            for i, s in enumerate([*same, False]):
-                if s:
-                    run += 1
-                    continue
-                if run >= size * (need - 1):
-                    marked[i - run + size : i + size] = True
-                run = 0
+        codes = pd.factorize(np.array(tokens, object))[0] if tokens else np.zeros(0, np.int64)
+        marked = np.zeros(len(codes), bool)
+        for low, high, copies in _LOOPS:
+            for size in range(low, min(high, len(codes) // copies) + 1):
+                same = np.concatenate([[False], codes[size:] == codes[:-size], [False]]).astype(np.int8)
+                step = np.diff(same)
+                for start, end in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
+                    times = (end - start) // size + 1
+                    if times >= copies:
+                        marked[start + size : start + times * size] = True
         out.append(int(marked.sum()))
     return pd.Series(out)
 

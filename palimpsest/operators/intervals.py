@@ -210,3 +210,41 @@ def agreeing(streams: list[DataFrame], keys: list[str], tolerance: float, token:
         near = other.select(*keys, token, F.col(t).alias(f"t{n}"), F.explode(F.array(*(_bucket(F.col(t), tolerance) + d for d in (-1, 0, 1)))).alias("_bucket"))
         out = out.withColumn("_bucket", bucket).join(near, [*keys, token, "_bucket"]).filter(F.abs(F.col(t) - F.col(f"t{n}")) <= tolerance).drop("_bucket")
     return out
+
+
+def floor_changes(spans: DataFrame, keys: list[str], schema_key: str, member: str, width: float) -> DataFrame:
+    """Where the floor passes to others: (cut, low, high), the cut in the middle of the span from the last stretch with anyone of the
+    holding set to the first with none of it, which then holds. Newcomers beside a holder do not hold.
+
+    Each step depends on who holds, so the stretches of a key (``active_sets``) are walked in order."""
+    import pandas as pd
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        out, holders, last = [], None, 0.0
+        for row in group.sort_values("start").itertuples(index=False):
+            here = set(row.members.split("+"))
+            if holders is None or not here & holders:
+                if holders is not None:
+                    out.append([*(getattr(row, k) for k in keys), (last + row.start) / 2, last, row.start])
+                holders = here
+            last = row.end
+        return pd.DataFrame(out, columns=[*keys, "cut", "low", "high"])
+
+    return active_sets(spans, keys, member, width).groupBy(*keys).applyInPandas(walk, f"{schema_key}, cut double, low double, high double")
+
+
+def overlap_matches(both: DataFrame, keys: list[str], schema_key: str) -> DataFrame:
+    """One-to-one matches of 'flag' spans, in order of start, each to the first free 'truth' span that it overlaps, per key."""
+    import pandas as pd
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        flags, truths = (group[group["side"] == side].sort_values(["start", "end"]) for side in ("flag", "truth"))
+        free, out = list(truths[["start", "end"]].itertuples(index=False)), []
+        for flag in flags.itertuples(index=False):
+            hit = next((t for t in free if flag.start < t.end and t.start < flag.end), None)
+            if hit is not None:
+                free.remove(hit)
+                out.append([*(getattr(flag, k) for k in keys), flag.start, flag.end, hit.start])
+        return pd.DataFrame(out, columns=[*keys, "start", "end", "truth_start"])
+
+    return both.groupBy(*keys).applyInPandas(match, f"{schema_key}, start double, end double, truth_start double")

@@ -182,9 +182,9 @@ def merge_lanes(lanes: dict[str, DataFrame], key: str, count: str, meeting: str)
 def fuzzy_correct(corrections: DataFrame, texts: DataFrame, key: str, tokens: str, margin: int = 1) -> DataFrame:
     """Token arrays with each token replaced by its nearest term (``language.fuzzy_nearest``: token, term, distance, second).
 
-    A token of up to 4 letters keeps its form, one of up to 7 may change by one edit, a longer one by two; the second
-    nearest term must be ``margin`` further off."""
-    limit = F.when(F.length("token") <= 4, 0).when(F.length("token") <= 7, 1).otherwise(2)
+    A token of fewer than 4 letters keeps its form, one of up to 5 may change by one edit, of up to 9 by two, a longer one by
+    three (fixed values); the second nearest term must be ``margin`` further off."""
+    limit = F.when(F.length("token") < 4, 0).when(F.length("token") <= 5, 1).when(F.length("token") <= 9, 2).otherwise(3)
     good = corrections.filter((F.col("distance") > 0) & (F.col("distance") <= limit) & (F.coalesce("second", F.lit(99)) - F.col("distance") >= margin)).select("token", "term")
     rows = texts.select(key, F.posexplode(tokens).alias("pos", "token")).join(good, "token", "left").withColumn("token", F.coalesce("term", "token"))
     fixed = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("_fixed"))

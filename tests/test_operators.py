@@ -151,8 +151,8 @@ def test_ratios(spark):
 
 def test_times_and_loops(spark):
     assert alignment.transfer_times(["a", "x", "b"], ["a", "b"], [1.0, 3.0], 6.0) == [1.0, 2.0, 3.0]
-    row = spark.createDataFrame([(["a"] * 6,), (["a", "b"] * 3 + ["c"],), (["a", "b", "c"],)], "w array<string>").select(alignment.tandem_excess("w").alias("e")).collect()
-    assert [r.e for r in row] == [5, 4, 0]
+    row = spark.createDataFrame([(["a"] * 6,), (["a", "b"] * 3 + ["c"],), (["x"] + ["a", "b"] * 6 + ["c"],), (list("abcdefghijkl") * 2 + ["a"],), ([],)], "w array<string>").select(alignment.tandem_excess("w").alias("e")).collect()
+    assert [r.e for r in row] == [5, 0, 10, 12, 0]
 
 
 def test_selection(spark):
@@ -272,3 +272,12 @@ def test_nulls_thresholds_and_picks(spark):
     assert len(picks) == 5 and all(abs(a.start - b.start) >= 10 for a in picks for b in picks if a.id != b.id)
     items = spark.createDataFrame([("m", 1, 10.0, True), ("m", 2, 11.0, False), ("m", 3, 50.0, False), ("m", 4, 10.0, True)], "k string, item int, seconds double, flagged boolean")
     assert sorted((r.item, r.null_item is None or np.isnan(r.null_item)) for r in selection.matched_null(items, ["k"], "k string", 1).collect()) == [(1, False), (4, True)]
+
+
+def test_floor_changes_and_interval_matches(spark):
+    rows = spans(spark, [("x", "a", 0.0, 5.0), ("x", "b", 4.0, 9.0), ("x", "a", 12.0, 13.0), ("x", "c", 12.5, 12.8)])
+    out = intervals.floor_changes(rows, ["k"], "k string", "m", 5.0).orderBy("cut").collect()
+    assert [(r.cut, r.low, r.high) for r in out] == [(5.0, 5.0, 5.0), (10.5, 9.0, 12.0)]
+    both = spark.createDataFrame([("x", "flag", 0.0, 2.0), ("x", "flag", 1.0, 3.0), ("x", "flag", 8.0, 9.0), ("x", "truth", 1.5, 2.5), ("x", "truth", 2.6, 4.0)], "k string, side string, start double, end double")
+    got = sorted((r.start, r.truth_start) for r in intervals.overlap_matches(both, ["k"], "k string").collect())
+    assert got == [(0.0, 1.5), (1.0, 2.6)]

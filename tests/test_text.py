@@ -99,7 +99,7 @@ def test_scalars(spark):
     )
     import hashlib
 
-    assert row.slug == "2025-10-30" and row.bad is None and row.base == "oct30_2025" and row.grid == 2.34
+    assert row.slug == "2025-10-30 00:00:00" and row.bad is None and row.base == "oct30_2025" and row.grid == 2.34
     assert row.fnv == ((0x811C9DC5 ^ ord("a")) * 0x01000193) % 2**32
     assert row.bucket == int(hashlib.md5(b"abc").hexdigest(), 16) % 7
     assert abs(row.low) < 1e-9 and row.none is None and row.arr[0].a == 1
