@@ -19,7 +19,10 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
+
+#: Rows of a block at most, so that a row's number fits 16 bits.
+ROWS = 1 << 15
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -83,7 +86,7 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.n
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1), at + ROWS)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
