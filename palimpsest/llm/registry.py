@@ -39,9 +39,8 @@ def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
-    digested = encoded.withColumn("ids_sha256", F.sha2("token_ids", 256))
-    return bpe.decode(digested, RANKS).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
