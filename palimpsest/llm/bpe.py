@@ -88,16 +88,27 @@ def _splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+#: Longest pre-token that is kept.
+_KEPT = 64
+
+
 class _Pieces(dict):
-    """Pre-token -> its ids as text. Emptied when full, so that memory is bounded: frequent ones are back at once."""
+    """Pre-token -> its ids as text, in two generations of ``limit`` entries at most: when the younger is full it becomes the
+    older one, from which entries that are asked for again come back. Memory is bounded and frequent ones stay."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int):
-        self.ranks, self.limit = ranks, limit
+        self.ranks, self.limit, self.older = ranks, limit, {}
 
     def __missing__(self, piece: str) -> str:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = " ".join(map(str, merge_piece(piece.encode("utf-8"), self.ranks)))
+            if len(piece) > _KEPT:
+                return ids
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = " ".join(map(str, merge_piece(piece.encode("utf-8"), self.ranks)))
+        self[piece] = ids
         return ids
 
 
@@ -116,13 +127,13 @@ Batches = Iterator[pa.RecordBatch]
 def _encoder(keep: list[str], text: str, ranks_path: str, pattern: str, cache_size: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         ranks, split = load_ranks(ranks_path), _splitter(pattern).findall
-        pieces = _Pieces(ranks, cache_size)
+        ids_of = _Pieces(ranks, cache_size).__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
                 ids, counts = [], []
                 for t in batch.column(text).to_pylist():
-                    found = " ".join([pieces[x] if len(x) <= 64 else " ".join(map(str, merge_piece(x.encode("utf-8"), ranks))) for x in split(t)]) if t else ""
+                    found = " ".join(map(ids_of, split(t))) if t else ""
                     ids.append(found)
                     counts.append(found.count(" ") + 1 if found else 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids, pa.string())], [*keep, "n_tokens", "token_ids"])
@@ -146,14 +157,14 @@ def _columns(names: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 250_000) -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens`` long and ``token_ids`` string (decimal ids joined by a space).
 
     A null or empty text has no tokens and the empty id string. Texts are whole, of any length;
     rows repeat as they come, and other columns pass through untouched, whatever their names,
     but for ``n_tokens`` and ``token_ids``, which are replaced. ``ranks_path`` must be readable on
-    the workers, as an installed package's files are. ``cache_size`` bounds a worker's memory:
-    entries are pre-tokens of their usual length (longer ones are not kept)."""
+    the workers, as an installed package's files are. ``cache_size`` bounds a worker's memory: twice
+    as many pre-tokens are kept at most, none of more than 64 characters."""
     keep = [c for c in docs.columns if c not in (text, "n_tokens", "token_ids")]
     schema = docs.select(*_columns(keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("token_ids")).schema
     return docs.select(*_columns([*keep, text])).mapInArrow(_encoder(keep, text, ranks_path, pattern, cache_size), schema)
@@ -166,7 +177,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
     return encoded.select(*_columns(keep)).mapInArrow(_decoder(keep, ids, out, ranks_path), schema)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 400_000) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 250_000) -> DataFrame:
     """``encode`` and ``decode`` one after the other in the same worker: batches of ids need not leave it in between."""
     keep = [c for c in docs.columns if c not in (text, "n_tokens", "token_ids", "decoded")]
     schema = docs.select(*_columns(keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("token_ids"), F.lit(b"").alias("decoded")).schema
