@@ -4,8 +4,8 @@ Texts are taken in chunks. A chunk sends each of its distinct n-grams once, with
 chunk, to the bucket of the n-gram's hash; a bucket adds up what all chunks send, which is its
 part of the count table, and joins the sums back to the n-grams each chunk sent. The chunk,
 met again as word numbers, then looks every n-gram of its texts up and adds the scores up by
-document. Blocks of n-grams travel as arrays: a hash in a block is 5 bytes, the bucket tells
-the rest.
+document. Blocks of n-grams travel as arrays: a hash in a block is 40 bits, the bucket tells
+the rest, and as the hashes are in order only their gaps are sent.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import checkpoint, shuffle_parts
 from .shingles import blocks, mix64, words
 
 #: Longest n-gram of the query, the factor for each shorter one, and the count from which an n-gram is in the model.
-ORDER, ALPHA, LEAST_COUNT = 2, 0.4, 2
+ORDER, ALPHA, LEAST_COUNT = 3, 0.4, 2
 #: A chunk ends with the text that brings it to so many words: its arrays take some 100 bytes a word.
 CHUNK_WORDS = 400_000
 
@@ -72,29 +72,42 @@ def _ngrams(lengths: np.ndarray, hashes: np.ndarray, order: int) -> list[tuple[n
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """By the upper 24 bits, in the order of the hashes."""
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    """The upper word of hash * buckets, in the order of the hashes."""
+    low, n = hashes & np.uint64(0xFFFFFFFF), np.uint64(buckets)
+    return (((hashes >> np.uint64(32)) * n + (low * n >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Width, how many, and the length of each plane of bytes; then the planes, each one compressed where that makes it shorter."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    raw = [plane.tobytes() for plane in planes]
+    kept = [min(x, pa.compress(x, codec="zstd", asbytes=True), key=len) for x in raw]
+    return bytes([width]) + np.array([len(numbers), *map(len, kept)], "<u4").tobytes() + b"".join(kept)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    n, *lengths = np.frombuffer(raw, "<u4", 1 + width, 1).tolist()
+    full, at = np.zeros((n, 8), np.uint8), 5 + 4 * width
+    for i, length in enumerate(lengths):
+        plane = raw[at : at + length]
+        full[:, i] = np.frombuffer(plane if length == n else pa.decompress(plane, n, codec="zstd", asbytes=True), np.uint8)
+        at += length
+    return full.reshape(-1).view("<u8")
 
 
-def _low(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _low(hashes: np.ndarray, buckets: int) -> bytes:
+    """The upper 40 bits of the lower word of hash * buckets: in order within a bucket, so as gaps."""
+    return _packed(np.diff((hashes * np.uint64(buckets)) >> np.uint64(24), prepend=np.uint64(0)))
 
 
 def _from_low(raw: bytes) -> np.ndarray:
-    full = np.zeros((len(raw) // 5, 8), np.uint8)
-    full[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return full.reshape(-1).view("<u8")
-
-
-def _small(counts: np.ndarray) -> bytes:
-    """The width first, then the counts in the least width that holds them."""
-    top = int(counts.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return np.cumsum(_unpacked(raw), dtype=np.uint64)
 
 
 def _counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    return _unpacked(raw).astype(np.int64)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -109,16 +122,19 @@ def _ask(order: int, buckets: int):
         for chunk, _, lengths, hashes in _chunks(batches):
             for n, (distinct, count, _, _) in enumerate(_ngrams(lengths, hashes, order), 1):
                 edge = np.searchsorted(_bucket(distinct, buckets), np.arange(buckets + 1))
-                yield _rows([(chunk, n, b, None, None, None, None, _low(distinct[i:j]), _small(count[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
+                yield _rows([(chunk, n, b, None, None, None, None, _low(distinct[i:j], buckets), _packed(count[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
 
     return run
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk as its vocabulary and the numbers of its words."""
+    """Each chunk as its vocabulary, most frequent first, and the numbers of its words."""
     for chunk, docs, lengths, hashes in _chunks(batches):
-        vocabulary, number = np.unique(hashes, return_inverse=True)
-        yield _rows([(chunk, 0, len(vocabulary), docs, lengths.astype("<i4").tobytes(), vocabulary.astype("<u8").tobytes(), number.astype("<u2" if len(vocabulary) <= 1 << 16 else "<u4").tobytes(), None, None)])
+        vocabulary, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        yield _rows([(chunk, 0, len(vocabulary), docs, lengths.astype("<i4").tobytes(), vocabulary[order].astype("<u8").tobytes(), _packed(rank[number]), None, None)])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +146,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct, number = np.unique(np.concatenate(asked), return_inverse=True)
         sums = np.bincount(number, np.concatenate([_counts(x[4]) for x in group]), len(distinct)).astype(np.int64)[number]
         at = np.cumsum([0, *map(len, asked)])
-        yield _rows([(c, n, b, None, None, None, None, None, _small(sums[i:j])) for (c, n, b, _, _), i, j in zip(group, at[:-1], at[1:], strict=True)])
+        yield _rows([(c, n, b, None, None, None, None, None, _packed(sums[i:j])) for (c, n, b, _, _), i, j in zip(group, at[:-1], at[1:], strict=True)])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n", "bucket", "hashes", "counts")), strict=True):
@@ -169,7 +185,7 @@ def _score(order: int, buckets: int, alpha: float, least: int):
             raise RuntimeError("a chunk's texts are missing: the input was not read with the same partitions twice")
         lengths = np.frombuffer(recipe["lengths"], "<i4")
         vocabulary = np.frombuffer(recipe["vocabulary"], "<u8")
-        hashes = vocabulary[np.frombuffer(recipe["words"], "<u2" if len(vocabulary) <= 1 << 16 else "<u4")]
+        hashes = vocabulary[_counts(recipe["words"])]
         grams = _ngrams(lengths, hashes, order)
         totals = []
         for n in range(1, order + 1):

@@ -424,6 +424,24 @@ def test_backoff_equals_brute_force(spark, docs, empty, order, monkeypatch):
     assert backoff.score(empty).count() == 0
 
 
+def test_the_backoff_query_scores_trigrams(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda df: Counter((r.doc_id, r.n_words, r.n_top, r.n_unigram) for r in df.collect())
+    got = rows(registry.op10_backoff(spark, str(tmp_path)))
+    assert got == rows(backoff.score(docs, order=3)) != rows(backoff.score(docs, order=2))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=300), st.integers(1, 1 << 20))
+def test_blocks_of_hashes(numbers, buckets):
+    hashes = np.unique(np.array(numbers, np.uint64))
+    assert backoff._bucket(hashes, buckets).tolist() == [int(h) * buckets >> 64 for h in hashes]
+    assert backoff._unpacked(backoff._packed(hashes)).tolist() == hashes.tolist()
+    for b in set(backoff._bucket(hashes, buckets).tolist()):
+        block = hashes[backoff._bucket(hashes, buckets) == b]
+        assert backoff._from_low(backoff._low(block, buckets)).tolist() == [(int(h) * buckets % 2**64) >> 24 for h in block]
+
+
 # --- the pipeline --------------------------------------------------------------------------------------------------
 
 def test_pipeline_equals_brute_force(spark):
