@@ -35,7 +35,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.repeated_sentences(documents(spark, sf_dir))
+    return sentences.repeated_sentences(documents(spark, sf_dir), anywhere=True)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 From every sentence a run of several consecutive sentences is hashed; runs are joined over the
 whole corpus by their hash, and sentences that a repeated run covers are removed where that
-run is not the first.
+run is not the first. Passages that hold no such run are found by runs that content chooses,
+wherever sentences begin.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import Words
-from .spans import SPAN_SCHEMA, repeats, span_rows
+from .spans import SPAN_SCHEMA, repeats, run_hasher, span_rows
 
 #: A run has this many sentences at least, and goes on to this many words.
 SENTENCES, RUN_WORDS = 2, 16
 #: A sentence of so many words is a run of its own too.
 LONG = 30
+#: Of so many runs of LONG words in a row that begin at neighbouring words, the one of least hash is chosen.
+CHOICE = 11
 
 
 def sentence_starts(of: Words) -> np.ndarray:
@@ -48,12 +51,35 @@ def sentence_runs(of: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([starts[whole], starts[long_]]), np.concatenate([ends[whole], own[long_]])
 
 
-def repeated_sentences(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def chosen_runs(of: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of LONG words: the first of least hash of each CHOICE neighbours within a text.
+
+    The choice depends on the LONG + CHOICE - 1 words alone, so equal passages of that length hold an equal one."""
+    n = len(of.hashes) - LONG + 1
+    if n < CHOICE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    every = np.arange(n)
+    windows = np.lib.stride_tricks.sliding_window_view(run_hasher(of)(every, every + LONG), CHOICE)
+    begin = every[: len(windows)]
+    within = begin + CHOICE - 1 + LONG <= of.first[np.searchsorted(of.first, begin, side="right")]
+    at = np.unique((begin + windows.argmin(axis=1))[within])
+    return at, at + LONG
+
+
+def all_runs(of: Words) -> tuple[np.ndarray, np.ndarray]:
+    """``sentence_runs`` and ``chosen_runs``."""
+    (a, b), (c, d) = sentence_runs(of), chosen_runs(of)
+    return np.concatenate([a, c]), np.concatenate([b, d])
+
+
+def repeated_sentences(docs: DataFrame, text: str = "text", key: str = "doc_id", anywhere: bool = False) -> DataFrame:
     """``repeats`` of the sentence runs of whole texts; ``without`` removes them.
 
     A run is two sentences or more with 16 words or more, so any shared passage that holds such a
-    run counts, whatever stands around it; words count without the white space between them. Rows that
+    run counts, whatever stands around it; words count without the white space between them. With
+    ``anywhere`` every shared passage of 40 words counts too, wherever its sentences begin and end: 30 of its
+    words at least, and all but 10 at either end. Rows that
     repeat a key are one document; null keys are one document too; null and short texts
     have no runs; an empty table gives an empty result; further columns are left out."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return repeats(rows.mapInArrow(span_rows(sentence_runs), SPAN_SCHEMA)).withColumnRenamed("doc_id", key)
+    return repeats(rows.mapInArrow(span_rows(all_runs if anywhere else sentence_runs), SPAN_SCHEMA)).withColumnRenamed("doc_id", key)

@@ -244,6 +244,22 @@ def test_repeated_spans_equal_brute_force(spark, docs, empty, operator, rule):
     assert operator(empty).count() == 0 and operator(docs).filter("doc_id IS NULL").count() <= 1
 
 
+def test_passages_without_whole_sentences_are_found(spark, tmp_path):
+    rng = random.Random(5)
+    say = lambda n, every=0: " ".join(f"w{rng.randrange(9000)}" + ("." if every and i % every == every - 1 else "") for i in range(n))
+    shared = [say(40), say(50), say(25) + ". " + say(20), say(28) + ". " + say(29) + " " + say(10), say(400)]
+    rows = [(2 * i + k, f"{say(37 + i + 5 * k, 8)} {x} {say(41)}") for i, x in enumerate(shared) for k in range(2)] + [(90, say(3000)), (91, say(20)), (92, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in registry.op5_sentences(spark, str(tmp_path)).collect()}
+    assert set(out) == set(range(10))
+    for i, x in enumerate(shared):
+        for k in range(2):
+            text, spans = rows[2 * i + k][1], [tuple(map(int, s.split(":"))) for s in out[2 * i + k].spans.split(",")]
+            at = text.index(x)
+            assert len(spans) == 1 and at <= spans[0][0] and spans[0][1] <= at + len(x)
+            assert len(words_of(text[slice(*spans[0])])) >= max(30, len(words_of(x)) - 20)
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 def test_main_text_of_awkward_pages():
