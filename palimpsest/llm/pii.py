@@ -33,7 +33,7 @@ _GUARDS: dict[str, Callable[[Column], Column]] = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
     "phone": lambda t: t.contains("+"),
-    "other": lambda t: t.rlike(r"[0-9]{4}|@"),
+    "other": lambda t: t.rlike(r"@|[0-9](?:[^\x20\x09-\x0D0-9]*+[0-9]){3}"),
 }
 _FOUND = "array<struct<start:int,kind:int,end:int,context:string,instance:string>>"
 #: Code points before a span in which its context is sought.
@@ -68,7 +68,9 @@ def _context(before: Column) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """Valid matches of a pattern with their places: what a split leaves between matches tells how far each one lies."""
+    """Valid matches of a pattern with their places: what a split leaves between matches tells how far each one lies.
+
+    A context is of all text before the span, other matches included."""
     pattern, index = _PATTERNS.get(kind, _CANDIDATE), [*KINDS, "other"].index(kind)
     none = F.array().cast(_FOUND)
 
@@ -77,12 +79,13 @@ def _matches(text: Column, kind: str) -> Column:
             def step(acc: Column, i: Column) -> Column:
                 hit, gap = F.get(m, i), F.get(gaps, i)
                 start = acc["at"] + F.length(gap)
+                before = F.right(F.concat(acc["tail"], gap), F.lit(_REACH))
                 bare = F.regexp_replace(hit, r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$", "") if kind == "other" else hit
                 inset = F.length(hit) - F.length(F.regexp_replace(hit, r"^[^\p{L}\p{N}+]++", "")) if kind == "other" else F.lit(0)
-                row = F.struct((start + inset).cast("int").alias("start"), F.lit(index).alias("kind"), (start + inset + F.length(bare)).cast("int").alias("end"), _context(gap).alias("context"), bare.alias("instance"))
-                return F.struct((start + F.length(hit)).cast("int").alias("at"), F.when(_VALID[kind](bare), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+                row = F.struct((start + inset).cast("int").alias("start"), F.lit(index).alias("kind"), (start + inset + F.length(bare)).cast("int").alias("end"), _context(F.concat(before, F.left(hit, inset))).alias("context"), bare.alias("instance"))
+                return F.struct((start + F.length(hit)).cast("int").alias("at"), F.when(_VALID[kind](bare), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"), F.right(F.concat(before, hit), F.lit(_REACH)).alias("tail"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), none.alias("out"), F.lit("").alias("tail")), step, lambda acc: acc["out"])
 
         return F.when(F.size(m) > 0, let(F.split(text, pattern, -1), between)).otherwise(none)
 

@@ -355,6 +355,20 @@ def test_contexts_find_what_patterns_miss(spark):
     assert text[200] == rows[13][1]
 
 
+def test_candidates_with_parted_digits_and_after_other_digits(spark):
+    rows = [(i, f"please note my mobile number +1 ({200 + i}) 555-{1000 + i} thanks") for i in range(12)]
+    rows += [(20 + i, f"the line 7 +1 ({300 + i}) 555-{1000 + i} thanks") for i in range(12)]
+    rows += [(100, "so my mobile number 55-57-00-00"), (101, "so my mobile number 01/23/45/67/89, bye"), (102, "so my mobile number 5-5-7 0"), (103, "so on line 7 55570000x. bye"), (104, "at 9 on line 7 55-57-00-00 or 8")]
+    rows += [(105, "+1 (200) 555-7777 and my mobile number 5557-0000")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.find(table).collect()}
+    assert [out[i] for i in range(100, 106)] == ["phone:20:31", "phone:20:34", "", "phone:13:22", "phone:15:26", "phone:0:17,phone:39:48"]
+    text = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    assert text[100] == "so my mobile number [PHONE]" and text[104] == "at 9 on line 7 [PHONE] or 8"
+    scan = spark.createDataFrame([("+1 (200) 555-7777 +1 (200) 555-8888 and (55570000",)], "text string").select(pii.base_spans(F.col("text")).alias("b"), pii.candidates(F.col("text")).alias("o")).first()
+    assert [x.context for x in scan.b if x.start == 18] == ["(200) 555-7777"] and [x.context for x in scan.o if x.start == 41] == ["and ("]
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 def test_targets():
