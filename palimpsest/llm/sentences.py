@@ -1,21 +1,21 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence a run of several consecutive sentences is hashed; runs are joined over the
-whole corpus by their hash, and sentences that a repeated run covers are removed where that
-run is not the first. Passages that hold no such run are found by runs that content chooses,
-wherever sentences begin.
+Runs of several consecutive sentences are hashed and joined over the whole corpus by their hash, and
+sentences that a repeated run covers are removed where that run is not the first. Every run counts, of any number
+of sentences, by the shortest runs inside it: a run of sentences is covered by the shortest runs that begin at one
+of its sentences or end with its last one, so two of these for each sentence stand for all. Passages that hold
+no run are found by runs that content chooses, wherever sentences begin.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .shingles import Words
-from .spans import SPAN_SCHEMA, repeats, run_hasher, span_rows
+from .spans import SPAN_SCHEMA, repeats, run_hasher, span_rows, spanned
 
-#: A run has this many sentences at least, and goes on to this many words.
+#: A run has this many sentences, and this many words, at least.
 SENTENCES, RUN_WORDS = 2, 16
 #: A sentence of so many words is a run of its own too.
 LONG = 30
@@ -37,18 +37,25 @@ def sentence_starts(of: Words) -> np.ndarray:
 
 
 def sentence_runs(of: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word ranges of the runs: one from each sentence of which enough of its text follows, and the long sentences."""
+    """Word ranges of the shortest runs that begin at each sentence or end with it, and of the long sentences."""
     starts = sentence_starts(of)
     if not len(starts):
         return starts, starts
+    number = np.arange(len(starts))
     border = np.concatenate([starts, [len(of.hashes)]])
-    text_end = of.first[np.searchsorted(of.first, starts, side="right")]
-    to = np.maximum(np.arange(len(starts)) + SENTENCES, np.searchsorted(border, starts + RUN_WORDS))
-    ends = border[np.minimum(to, len(starts))]
-    whole = (to <= len(starts)) & (ends <= text_end) & (ends - starts >= RUN_WORDS)
-    own = np.minimum(border[1:], text_end)
-    long_ = own - starts >= LONG
-    return np.concatenate([starts[whole], starts[long_]]), np.concatenate([ends[whole], own[long_]])
+    text = np.searchsorted(of.first, starts, side="right") - 1
+    text_begin, text_end = of.first[text], of.first[text + 1]
+    to = np.maximum(number + SENTENCES, np.searchsorted(border, starts + RUN_WORDS))
+    after = border[np.minimum(to, len(starts))]
+    whole = (to <= len(starts)) & (after <= text_end)
+    since = np.minimum(number + 1 - SENTENCES, np.searchsorted(border, border[1:] - RUN_WORDS, side="right") - 1)
+    before = border[np.maximum(since, 0)]
+    back = (since >= 0) & (before >= text_begin)
+    long_ = border[1:] - starts >= LONG
+    a = np.concatenate([starts[whole], before[back], starts[long_]])
+    b = np.concatenate([after[whole], border[1:][back], border[1:][long_]])
+    once = np.unique(a << 32 | b)
+    return once >> 32, once & 0xFFFFFFFF
 
 
 def chosen_runs(of: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +86,7 @@ def repeated_sentences(docs: DataFrame, text: str = "text", key: str = "doc_id",
     run counts, whatever stands around it; words count without the white space between them. With
     ``anywhere`` every shared passage of 40 words counts too, wherever its sentences begin and end: 30 of its
     words at least, and all but 10 at either end. Rows that
-    repeat a key are one document; null keys are one document too; null and short texts
+    repeat key and text are one document; texts that share a key, or have none, are a document each, told
+    apart by ``text_hash``; null and short texts
     have no runs; an empty table gives an empty result; further columns are left out."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return repeats(rows.mapInArrow(span_rows(all_runs if anywhere else sentence_runs), SPAN_SCHEMA)).withColumnRenamed("doc_id", key)
+    return repeats(spanned(docs, text, key).mapInArrow(span_rows(all_runs if anywhere else sentence_runs), SPAN_SCHEMA)).withColumnRenamed("doc_id", key)

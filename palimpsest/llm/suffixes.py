@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP_CHARS, WORD, shuffle_parts, stored
 from .shingles import Words, blocks, words
-from .spans import SPAN_SCHEMA, matched, packed, repeats, run_hasher
+from .spans import SPAN_NAMES, SPAN_SCHEMA, matched, packed, repeats, run_hasher, spanned
 
 #: Words that a repeated passage has at least, and words by which suffixes are compared.
 LEAST, PREFIX = 50, 25
@@ -55,7 +55,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, grams = minimisers(of)
             if len(at):
                 text = np.searchsorted(of.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column("doc_id").take(pa.array(row + text)), pa.array((at - of.first[text]).astype(np.int64))], ["h", "doc_id", "span"])
+                own = pa.array(row + text)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *(batch.column(c).take(own) for c in ("doc_id", "tie")), pa.array((at - of.first[text]).astype(np.int64))], SPAN_NAMES)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,30 +68,29 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = np.zeros(len(of.hashes) + 1, np.int64)
             for i in range(row, end):
                 p, low, high = np.asarray(anchors[i], np.int64), of.first[i - row], of.first[i - row + 1]
-                p = p[p + PREFIX <= high - low]  # rows that repeat a key may differ in text
                 np.add.at(begin, np.maximum(low, low + p - (LEAST - PREFIX)), 1)
                 np.add.at(begin, np.maximum(low, np.minimum(low + p, high - LEAST)) + 1, -1)
             a = np.flatnonzero(np.cumsum(begin)[:-1] > 0)
             text = np.searchsorted(of.first, a, side="right") - 1
             a = a[a + LEAST <= of.first[text + 1]]
             if len(a):
-                doc = batch.column("doc_id").take(pa.array(row + np.searchsorted(of.first, a, side="right") - 1))
-                yield pa.RecordBatch.from_arrays([pa.array(run_hasher(of)(a, a + LEAST).view(np.int64)), doc, pa.array(packed(of, a, a + LEAST))], ["h", "doc_id", "span"])
+                own = pa.array(row + np.searchsorted(of.first, a, side="right") - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(run_hasher(of)(a, a + LEAST).view(np.int64)), *(batch.column(c).take(own) for c in ("doc_id", "tie")), pa.array(packed(of, a, a + LEAST))], SPAN_NAMES)
 
 
 def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts that occur more than once: (doc_id, span, later) of each copy's words, and (doc_id) of all copies but the first.
+    """Texts that occur more than once: (doc_id, tie, span, later) of each copy's words, and (doc_id, tie) of all copies but the first.
 
     A copy repeats from its first word to its last what the first one has, whatever else does, so only the first
     one's suffixes are needed. Counts are partial in each task: a text of very many copies is a few rows."""
     solid = F.btrim("text", F.lit(GAP_CHARS))
     start = F.length("text") - F.length(F.ltrim(F.col("text"), F.lit(GAP_CHARS)))
-    named = docs.filter("text IS NOT NULL").select("doc_id", F.md5("text").alias("m"), F.regexp_count("text", F.lit(WORD)).alias("n"), F.shiftleft(start.cast("long"), 32).bitwiseOR((start + F.length(solid)).cast("long")).alias("span"))
-    named = stored(named.filter(F.col("n") >= LEAST).select("doc_id", "m", "span"))
+    named = docs.filter("text IS NOT NULL").select("doc_id", "tie", F.md5("text").alias("m"), F.regexp_count("text", F.lit(WORD)).alias("n"), F.shiftleft(start.cast("long"), 32).bitwiseOR((start + F.length(solid)).cast("long")).alias("span"))
+    named = stored(named.filter(F.col("n") >= LEAST).select("doc_id", "tie", "m", "span"))
     ends = F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")
     groups = stored(named.groupBy("m").agg(*ends).filter(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))).select("m", "first.doc_id"))
-    both = stored(named.join(groups.withColumnRenamed("doc_id", "of"), "m").select("doc_id", "span", (~F.col("doc_id").eqNullSafe(F.col("of"))).alias("later")))
-    return both, both.filter("later").select("doc_id")
+    both = stored(named.join(groups.withColumnRenamed("doc_id", "of"), "m").select("doc_id", "tie", "span", (~F.col("doc_id").eqNullSafe(F.col("of"))).alias("later")))
+    return both, both.filter("later").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None) -> DataFrame:
@@ -99,13 +99,15 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     A passage of 50 words in two places retains the same suffix in both, whose windows of 50 words are then
     compared on both sides, so none is missed and none reported that is shorter; longer
     passages are the union of their windows. Words count without the white space between them.
-    Rows that repeat a key are one document; null keys are one document too; null and short
+    Rows that repeat key and text are one document; texts that share a key, or have none, are a document
+    each, told apart by ``text_hash``. Null and short
     texts have no passages; an empty table gives an empty result; further columns are left out."""
     parts = parts or shuffle_parts(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = spanned(docs, text, key)
     copies, later = _copies(rows)
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
     suffixes = stored(rows.mapInArrow(_suffixes, SPAN_SCHEMA))
-    anchors = matched(suffixes, parts).select("doc_id", F.col("span").alias("pos")).join(later, "doc_id", "left_anti")
-    anchors = anchors.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
-    near = rows.join(anchors.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "anchors")
+    anchors = matched(suffixes, parts).select("doc_id", "tie", F.col("span").alias("pos")).join(later, own, "left_anti")
+    anchors = anchors.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list("pos").alias("anchors"))
+    near = rows.join(anchors, own).select("doc_id", "tie", "text", "anchors")
     return repeats(near.mapInArrow(_windows, SPAN_SCHEMA), copies, parts).withColumnRenamed("doc_id", key)
