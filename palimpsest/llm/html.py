@@ -30,22 +30,38 @@ BOILER = -0.2
 
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style noscript template textarea select option button svg math iframe object head title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mroot mrow ms mspace msqrt msub msubsup msup mtext object q s samp semantics small span strike strong sub sup svg text textpath time tspan tt u var wbr".split())
+SILENT = frozenset("script style noscript template textarea select option button iframe head title".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
-_KNOWN = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|related|share|social|"
-    r"comments?|respond|reply|replies|disqus|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|form|pagination|pager|copyright|legal)(?:$|[-_])"
+
+# Parts of class names and ids. A name is known for boilerplate if its last part is a noun of it, or if each part
+# is such a noun or tells no more than place and form; a header is one only of a whole site, for articles have headers too.
+_NOUNS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo promos promotion banner menu nav navbar navigation breadcrumb breadcrumbs footer masthead sidebar aside widget widgets "
+    "comment comments respond replies disqus cookie cookies consent notice notices alert popup modal newsletter subscribe signup login pagination pager related share sharing social copyright".split()
 )
+_PLACES = frozenset("site page main global top bottom left right inner outer box bar slot area block list item items link links wrap wrapper container section panel group row button buttons icon icons primary secondary header".split())
+_SITE = frozenset("site global top main".split())
 
-_RAW = "script|style|textarea|template|noscript|iframe|title|svg"
+_RAW = "script|style|textarea|template|noscript|iframe|title"
+# Every alternative either matches in one pass or runs to the end of the page, as an unfinished tag does by the standard; none gives back.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+(?:\Z|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>?|\Z))"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?P<end>>|\Z)|<[!?/][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+
+
+def boilerplate_name(name: str) -> bool:
+    """Whether a class name or id is known for what pages have around their articles."""
+    parts = [p.rstrip("0123456789") for p in re.split(r"[-_]+", name) if p]
+    if not parts:
+        return False
+    if parts[-1] == "header":
+        return all(p in _SITE for p in parts[:-1])
+    return parts[-1] in _NOUNS or any(p in _NOUNS for p in parts) and all(p in _NOUNS or p in _PLACES for p in parts)
 
 
 @dataclass
@@ -62,91 +78,137 @@ class Weights:
         known = self.roles.get(name)
         if known is not None:
             return known
-        return 3.0 if name in CONTENT else -3.0 if name in BOILERPLATE or name[0] == "." and _KNOWN.search(name[1:]) else 0.0
+        return 3.0 if name in CONTENT else -3.0 if name in BOILERPLATE or name[0] == "." and boilerplate_name(name[1:]) else 0.0
 
 
-@dataclass
-class _Piece:
-    """A tag (text None) or the text between two tags; ``roles`` are those of the elements around a text, outermost first."""
+class _Around:
+    """What the elements around a place say, folded from the outermost in: one step for each role, none is looked at again."""
+
+    __slots__ = ("content", "worst")
+
+    def __init__(self, content: bool = False, worst: float = 0.0):
+        self.content, self.worst = content, worst
+
+    def within(self, roles: list[str], weights: Weights) -> _Around:
+        content, worst = self.content, self.worst
+        for role in roles:
+            odds = weights.role(role)
+            if role in CONTENT:
+                content, worst = odds > 0, 0.0
+            elif odds < 0 and not (content and role == "header"):  # an article's own header holds its title
+                worst = min(worst, odds)
+        return self if (content, worst) == (self.content, self.worst) else _Around(content, worst)
+
+    def word_score(self) -> float:
+        """1 for a word, or what the worst role inside the innermost content element says against it (nothing counts there; it is left out)."""
+        if self.worst < 0:
+            return 0.0 if self.content else max(BOILER, self.worst)
+        return 1.0
 
-    text: str | None
+
+@dataclass
+class _Open:
     name: str
-    roles: tuple[str, ...]
+    roles: list[str]
     silent: bool
 
 
-def pieces(page: str) -> Iterator[_Piece]:
-    """Tags and texts in page order. Elements that are not closed end with their parent, a paragraph where a block begins."""
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    roles: tuple[str, ...] = ()
-    silent = False
+class Walker:
+    """The page's elements as they open and close. Elements that are not closed end with their parent, a paragraph where a block begins.
 
-    def cut(to: int) -> None:
-        nonlocal roles, silent
-        del stack[to:]
-        roles, silent = (stack[-1][1], stack[-1][2]) if stack else ((), False)
+    Open elements are kept by name too, so that each tag costs the same however deep it stands."""
 
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            yield _Piece(text, "", roles, silent)
-            continue
-        if m["raw"]:
-            yield _Piece(None, m["raw"].lower(), roles, True)
-            continue
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        yield _Piece(None, name, roles, silent)
-        if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                cut(at)
-            continue
+    def __init__(self) -> None:
+        self.stack: list[_Open] = []
+        self.at: dict[str, list[int]] = {}
+
+    def opened(self, element: _Open) -> None:
+        """For subclasses."""
+
+    def closed(self, element: _Open) -> None:
+        """For subclasses."""
+
+    def tag(self, name: str) -> None:
+        """For subclasses: any tag, before it opens or closes its element."""
+
+    def text(self, text: str) -> None:
+        """For subclasses: text outside silent elements."""
+
+    def _last(self, name: str) -> int:
+        places = self.at.get(name)
+        return places[-1] if places else -1
+
+    def _cut(self, to: int) -> None:
+        while len(self.stack) > to:
+            element = self.stack.pop()
+            self.at[element.name].pop()
+            self.closed(element)
+
+    def _begin(self, name: str, rest: str) -> None:
         if name not in INLINE and name != "br":
-            ends = "p" if name != "li" else "li"
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (ends, "p")), None)
-            if at is not None and not (name == "li" and any(x[0] in ("ul", "ol") for x in stack[at + 1 :])):
-                cut(at)
-        rest = m["rest"]
+            at = max(self._last("p"), self._last("li") if name == "li" else -1)
+            if at >= 0 and not (name == "li" and max(self._last("ul"), self._last("ol")) > at):
+                self._cut(at)
         if name in VOID or rest.endswith("/"):
-            continue
+            return
         own = [name] if name in CONTENT or name in BOILERPLATE else []
         if "=" in rest:
             for kind, a, b, c in _NAMED.findall(rest):
                 own += [("." if kind.lower() != "role" else "@") + x for x in (a or b or c).lower().split()]
-        silent = silent or name in SILENT or bool(rest and _HIDDEN.search(rest))
-        roles = (*roles, *own)
-        stack.append((name, roles, silent))
-
-
-def _word_score(roles: tuple[str, ...], weights: Weights) -> float:
-    """1 for a word, or what the worst role inside the innermost content element says against it (nothing counts there; it is left out)."""
-    content, worst = False, 0.0
-    for role in roles:
-        odds = weights.role(role)
-        if role in CONTENT:
-            content, worst = odds > 0, 0.0
-        elif odds < 0 and not (content and role == "header"):  # an article's own header holds its title
-            worst = min(worst, odds)
-    if worst < 0:
-        return 0.0 if content else max(BOILER, worst)
-    return 1.0
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append(_Open(name, own, name in SILENT or bool(self.stack) and self.stack[-1].silent))
+        self.opened(self.stack[-1])
+
+    def walk(self, page: str) -> None:
+        for m in _TOKEN.finditer(page):
+            if m["text"] is not None:
+                if not (self.stack and self.stack[-1].silent):
+                    self.text(m["text"])
+            elif m["raw"]:
+                self.tag(m["raw"].lower())
+            elif m["name"] and m["end"]:
+                name = m["name"].lower()
+                self.tag(name)
+                if not m["close"]:
+                    self._begin(name, m["rest"])
+                elif (at := self._last(name)) >= 0:
+                    self._cut(at)
+        self._cut(0)
+
+
+class _Items(Walker):
+    """(score, text or None, tag name) of each text and tag in page order."""
+
+    def __init__(self, weights: Weights) -> None:
+        super().__init__()
+        self.weights, self.around, self.items = weights, [_Around()], []
+
+    def opened(self, element: _Open) -> None:
+        self.around.append(self.around[-1].within(element.roles, self.weights))
+
+    def closed(self, element: _Open) -> None:
+        self.around.pop()
+
+    def tag(self, name: str) -> None:
+        self.items.append((WITHIN if self.around[-1].content else self.weights.tag(name), None, name))
+
+    def text(self, text: str) -> None:
+        words = html.unescape(text)
+        if n := len(words.split()):
+            score = self.around[-1].word_score()
+            self.items.append((score * n, words if score > 0 else None, ""))
+        else:
+            self.items.append((0.0, " ", ""))
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """The blocks of the best region, white space collapsed, joined by blank lines; empty if there are no words."""
-    items = []  # (score, piece or None for a tag, tag name)
-    for p in pieces(page or ""):
-        if p.text is None:
-            within = any(r in CONTENT and weights.role(r) > 0 for r in p.roles)
-            items.append((WITHIN if within else weights.tag(p.name), None, p.name))
-        elif not p.silent and (words := html.unescape(p.text)) and (n := len(words.split())):
-            score = _word_score(p.roles, weights)
-            items.append((score * n, words if score > 0 else None, ""))
-        elif not p.silent:
-            items.append((0.0, " ", ""))
+    """The blocks of the best region, white space collapsed, joined by blank lines; empty if there are no words.
+
+    Each tag and each text is met once, however deep or broken the markup is: time is in proportion to the page.
+    A tag that the page's end cuts off is markup."""
+    found = _Items(weights)
+    found.walk(page or "")
+    items = found.items
     best, at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (score, _, _) in enumerate(items):
         if total <= 0:
@@ -167,18 +229,50 @@ def main_text(page: str | None, weights: Weights) -> str:
     return "\n\n".join(blocks)
 
 
+class _Observer(Walker):
+    """Words by (role, in content) and tags by (name, in content).
+
+    A role is credited when its outermost element in the same content element closes, with the words met since; a
+    content element's words are its own only, so that no role is looked at for each text."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.roles, self.tags = Counter(), Counter()
+        self.words, self.levels = [0], [{}]
+
+    def opened(self, element: _Open) -> None:
+        if element.name in CONTENT:
+            self.words.append(0)
+            self.levels.append({})
+        for role in element.roles:
+            if role not in CONTENT:
+                deep, since = self.levels[-1].get(role, (0, self.words[-1]))
+                self.levels[-1][role] = (deep + 1, since)
+
+    def closed(self, element: _Open) -> None:
+        for role in element.roles:
+            if role not in CONTENT:
+                deep, since = self.levels[-1].pop(role)
+                if deep > 1:
+                    self.levels[-1][role] = (deep - 1, since)
+                elif n := self.words[-1] - since:
+                    self.roles[role, len(self.levels) > 1] += n
+        if element.name in CONTENT:
+            self.words.pop()
+            self.levels.pop()
+
+    def tag(self, name: str) -> None:
+        self.tags[name, len(self.levels) > 1] += 1
+
+    def text(self, text: str) -> None:
+        self.words[-1] += len(text.split())
+
+
 def observe(page: str) -> tuple[Counter, Counter]:
     """Words by (role, in content) and tags by (name, in content) of a page whose markup names its article."""
-    roles, tags = Counter(), Counter()
-    for p in pieces(page):
-        inside = any(r in CONTENT for r in p.roles)
-        if p.text is None:
-            tags[p.name, inside] += 1
-        elif not p.silent and (n := len(p.text.split())):
-            last = max((i for i, r in enumerate(p.roles) if r in CONTENT), default=-1)
-            for role in set(p.roles[last + 1 :]) if inside else set(p.roles):
-                roles[role, inside] += n
-    return roles, tags
+    seen = _Observer()
+    seen.walk(page)
+    return seen.roles, seen.tags
 
 
 def fit(counts: dict[tuple[str, str, bool], int]) -> Weights:
@@ -196,9 +290,14 @@ def fit(counts: dict[tuple[str, str, bool], int]) -> Weights:
 
 
 def fitted(pages: DataFrame, page: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from at most ``sample`` labelled pages, those of the least hash among pages with an article or main element."""
-    labelled = pages.select(F.col(page).alias("html")).filter(F.lower("html").rlike("<(?:article|main)[ >]"))
-    few = labelled.orderBy(F.xxhash64("html")).limit(sample)
+    """Weights from at most ``sample`` different labelled pages, those of the least hash among pages with an article or main element.
+
+    Only hashes are sorted for that; the pages themselves are fetched by them, one for each hash."""
+    labelled = pages.select(F.col(f"`{page}`").alias("html")).filter(F.lower("html").rlike("<(?:article|main)[ >]")).withColumn("h", F.xxhash64("html"))
+    last = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # one row
+    if last is None:
+        return Weights()
+    few = labelled.filter(F.col("h") <= last).groupBy("h").agg(F.first("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -217,7 +316,8 @@ def extract(pages: DataFrame, weights: Weights | None = None, page: str = "html"
     """``keep``, text and n_chars (code points) of the main text of every page.
 
     A null or empty page, and one without words, gives an empty text. Rows that repeat are extracted
-    each; other columns are left out; an empty table gives an empty result. Without ``weights`` they are
+    each; other columns are left out, whatever their names; null ids are kept; an empty table gives an empty result;
+    very long, deeply nested and broken pages take time in proportion to their length. Without ``weights`` they are
     fitted to the pages themselves (``fitted``); without labelled pages names alone decide."""
     weights = weights or fitted(pages, page)
     schema = pages.select(*keep, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
