@@ -23,6 +23,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Items that an inner fold takes, so that what it appends to stays short.
+_FOLD = 256
+
+
+def fold(items: Column, state: Column, none: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Struct (s, out) of a walk over ``items``: ``step(state, item)`` gives the next state, whether a row is put out, and the row.
+
+    Appending copies an array, so rows are gathered in blocks of _FOLD items, and blocks are then joined at
+    once: long arrays cost about _FOLD copies an item, not their own length."""
+    size = F.size(items)
+
+    def one(acc: Column, x: Column) -> Column:
+        after, put, row = step(acc["s"], x)
+        return F.struct(after.alias("s"), F.when(put, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(F.slice(items, b * _FOLD + 1, F.lit(_FOLD)), F.struct(acc["s"].alias("s"), none.alias("out")), one)
+        return let(inner, lambda x: F.struct(x["s"].alias("s"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((size - 1) / _FOLD).cast("int"))
+    zero = F.struct(state.alias("s"), F.filter(F.array(none), lambda x: F.lit(False)).alias("out"))
+    whole = F.aggregate(blocks, zero, block)
+    return F.when(size > 0, let(whole, lambda x: F.struct(x["s"].alias("s"), F.flatten(x["out"]).alias("out")))).otherwise(F.struct(state.alias("s"), none.alias("out")))
+
+
 def call(name: str, *args: Column) -> Column:
     """A SQL function by name, for those whose Python wrappers take no columns."""
     return F.call_function(name, *args)
@@ -32,7 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; our own only where that is unset, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 

@@ -1,8 +1,10 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction.
 
-Spans that the fixed patterns match are seeds. The words before them are lexical patterns; a
-graph of patterns and the instances they precede is scored in rounds, each side from the
-other, and the instances that trusted patterns precede are found although no fixed pattern
+Spans that the fixed patterns match are seeds, and so are long hexadecimal strings that something is set to
+(secrets, a kind that contexts alone can add). The words around them are lexical patterns, in families from special to
+general: two words before, one before and one after, one before. A graph of patterns and the
+instances they stand by is scored in rounds, each side from the
+other, and the instances by which trusted patterns stand are found although no fixed pattern
 matches them. All of it is DataFrame operations and SQL functions.
 """
 
@@ -13,9 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let
+from .common import checkpoint, fold, let
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds that spans may have: the fixed ones, and the one that contexts alone tell.
+NAMES = (*KINDS, "secret")
 
 # Each fixed pattern in a form that matches the same spans in linear time: a start in the midst of a
 # run, where the run's own start has failed, is skipped, and nothing is given back in vain.
@@ -25,8 +29,14 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Any word with a digit or an at sign: what contexts may tell to be personal data.
-_CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# What contexts may tell to be personal data: any word with a digit or an at sign, and words of digits and marks in a row.
+_CANDIDATES = {
+    "other": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+",
+    "run": r"(?<![^\x20\x09-\x0D])[+(]*+[0-9][0-9()./+-]*+(?:\x20[(]*+[0-9][0-9()./+-]*+)++(?![^\x20\x09-\x0D.,;:!?)])",
+}
+#: What stands around the characters of a candidate: an assignment and marks before it, marks after it.
+_BEFORE, _AFTER = r"^(?:[^\x20\x09-\x0D=]*+=(?=[^=]))?+[^\p{L}\p{N}+]*+", r"[^\p{L}\p{N}]++$"
+_SECRET = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 #: Cheap conditions without which a text has no valid match.
 _GUARDS: dict[str, Callable[[Column], Column]] = {
     "email": lambda t: t.contains("@"),
@@ -34,10 +44,10 @@ _GUARDS: dict[str, Callable[[Column], Column]] = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
     "phone": lambda t: t.contains("+"),
     "other": lambda t: t.rlike(r"@|[0-9](?:[^\x20\x09-\x0D0-9]*+[0-9]){3}"),
+    "run": lambda t: t.rlike(r"[0-9][()./+-]*+\x20[(]*+[0-9]"),
 }
-_FOUND = "array<struct<start:int,kind:int,end:int,context:string,instance:string>>"
-#: Code points before a span in which its context is sought.
-_REACH = 80
+_FOUND = "array<struct<start:int,kind:int,end:int,context:string,after:string,instance:string>>"
+_WORDS = r"[\x20\x09-\x0D]+"
 
 
 def _digits(m: Column) -> Column:
@@ -58,34 +68,48 @@ _VALID: dict[str, Callable[[Column], Column]] = {
     "card": lambda m: let(_digits(m), lambda d: F.length(d).between(14, 19) & F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False)),
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
     "other": lambda m: m.contains("@") | (F.length(m) - F.length(F.translate(m, "0123456789", "")) >= 4),
+    "run": lambda m: F.length(_digits(m)).between(7, 19),
 }
 
 
-def _context(before: Column) -> Column:
-    """The last two words of what stands before a span, in lower case; null without a word."""
-    words = F.filter(F.split(F.lower(F.right(before, F.lit(_REACH))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return let(words, lambda w: F.when(F.size(w) > 0, F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), F.lit(2)), " ")))
+def _last_words(before: Column) -> Column:
+    """The last two words of what stands before a span, or fewer, whatever stands before these."""
+    return let(F.filter(F.split(before, _WORDS), lambda w: w != ""), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), F.lit(2)), " "))
 
 
 def _matches(text: Column, kind: str) -> Column:
     """Valid matches of a pattern with their places: what a split leaves between matches tells how far each one lies.
 
-    A context is of all text before the span, other matches included."""
-    pattern, index = _PATTERNS.get(kind, _CANDIDATE), [*KINDS, "other"].index(kind)
+    ``context`` is the last two words before, ``after`` the word that follows, both in lower case and null without a
+    word; they are of all text around the span, other matches included."""
+    pattern, index = _PATTERNS.get(kind) or _CANDIDATES[kind], [*NAMES, "other", "run"].index(kind)
     none = F.array().cast(_FOUND)
 
     def walk(m: Column) -> Column:
         def between(gaps: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
+            def step(state: Column, i: Column) -> tuple[Column, Column, Column]:
                 hit, gap = F.get(m, i), F.get(gaps, i)
-                start = acc["at"] + F.length(gap)
-                before = F.right(F.concat(acc["tail"], gap), F.lit(_REACH))
-                bare = F.regexp_replace(hit, r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$", "") if kind == "other" else hit
-                inset = F.length(hit) - F.length(F.regexp_replace(hit, r"^[^\p{L}\p{N}+]++", "")) if kind == "other" else F.lit(0)
-                row = F.struct((start + inset).cast("int").alias("start"), F.lit(index).alias("kind"), (start + inset + F.length(bare)).cast("int").alias("end"), _context(F.concat(before, F.left(hit, inset))).alias("context"), bare.alias("instance"))
-                return F.struct((start + F.length(hit)).cast("int").alias("at"), F.when(_VALID[kind](bare), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"), F.right(F.concat(before, hit), F.lit(_REACH)).alias("tail"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), none.alias("out"), F.lit("").alias("tail")), step, lambda acc: acc["out"])
+                start = state["at"] + F.length(gap)
+                before = F.concat(state["tail"], gap)
+                bare = hit if kind in KINDS else F.regexp_replace(F.regexp_replace(hit, _BEFORE, ""), _AFTER, "")
+                inset = F.lit(0) if kind in KINDS else F.length(hit) - F.length(F.regexp_replace(hit, _BEFORE, ""))
+                context = _last_words(F.concat(before, F.translate(F.left(hit, inset), "\"'", "")))
+                follows = F.concat(F.substring(hit, inset + F.length(bare) + 1, F.length(hit)), F.get(gaps, i + 1), F.left(F.coalesce(F.get(m, i + 1), F.lit("")), F.lit(64)))
+                after = F.regexp_extract(follows, r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1)
+                row = F.struct(
+                    (start + inset).cast("int").alias("start"),
+                    F.lit(index).alias("kind"),
+                    (start + inset + F.length(bare)).cast("int").alias("end"),
+                    F.when(context != "", F.lower(context)).alias("context"),
+                    F.when(after != "", F.lower(after)).alias("after"),
+                    bare.alias("instance"),
+                )
+                whole = F.concat(before, hit)
+                tail = F.concat(_last_words(whole), F.when(whole.rlike(r"[\x20\x09-\x0D]\z"), " ").otherwise(""))
+                return F.struct((start + F.length(hit)).cast("int").alias("at"), tail.alias("tail")), _VALID[kind](bare), row
+
+            state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+            return fold(F.sequence(F.lit(0), F.size(m) - 1), state, none, step)["out"]
 
         return F.when(F.size(m) > 0, let(F.split(text, pattern, -1), between)).otherwise(none)
 
@@ -98,49 +122,90 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
+    """Words that may be personal data."""
     return _matches(text, "other")
 
 
+def runs(text: Column) -> Column:
+    """Runs of words of digits that may be personal data together."""
+    return _matches(text, "run")
+
+
+def _apart(base: Column, found: Column) -> Column:
+    """Those of ``found`` (by start, disjoint) that overlap none of ``base`` (by start): one walk over both."""
+    none = F.array().cast(_FOUND)
+    end = F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(len(NAMES)).alias("kind"), F.lit(2**31 - 1).alias("end"), F.lit("").alias("context"), F.lit("").alias("after"), F.lit("").alias("instance")).cast(_FOUND[6:-1]))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column, Column]:
+        fixed = x["kind"] < len(KINDS)
+        held = state["held"]
+        clash = fixed & (x["start"] < held["end"])
+        free = x["start"] >= state["covered"]
+        after = F.struct(
+            F.when(fixed, F.greatest(state["covered"], x["end"])).otherwise(state["covered"]).alias("covered"),
+            F.when(~fixed & free, x).when(~fixed | clash, F.lit(None)).otherwise(held).alias("held"),
+        )
+        return after, ~fixed & held.isNotNull(), held
+
+    state = F.struct(F.lit(0).alias("covered"), F.lit(None).cast(_FOUND[6:-1]).alias("held"))
+    return F.when(F.size(base) == 0, found).otherwise(let(F.concat(F.array_sort(F.concat(base, found)), end), lambda both: fold(both, state, none, step)["out"]))
+
+
 def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``_tie`` (a hash of the text), ``base`` spans and ``other`` candidates that overlap none of them."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.col(key), F.xxhash64(whole).alias("_tie"), whole.alias("_text")).select(key, "_tie", base_spans(F.col("_text")).alias("base"), candidates(F.col("_text")).alias("other"))
-    return checkpoint(out).withColumn("other", F.filter("other", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))))
+    """``_of`` (the key), ``_tie`` (a hash of the text), ``base`` spans and ``other`` candidates that overlap none of them."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("_of"), F.xxhash64(whole).alias("_tie"), whole.alias("_text"))
+    out = rows.select("_of", "_tie", base_spans(F.col("_text")).alias("base"), candidates(F.col("_text")).alias("word"), runs(F.col("_text")).alias("run"))
+    return checkpoint(out.select("_of", "_tie", "base", F.when(F.size("word") + F.size("run") > 0, F.concat(_apart(F.col("base"), F.col("word")), _apart(F.col("base"), F.col("run")))).otherwise(F.array().cast(_FOUND)).alias("other")))
+
+
+def _families(x: Column) -> Column:
+    """An occurrence's patterns, each with the family it is of."""
+    one = F.element_at(F.split(x["context"], " "), -1)
+    return F.array_compact(F.array(F.when(x["context"].contains(" "), F.concat(F.lit("2:"), x["context"])), F.concat(F.lit("b:"), one, F.lit(" _ "), x["after"]), F.concat(F.lit("1:"), one)))
+
+
+def _occurrences(scan: DataFrame, *arrays: str) -> DataFrame:
+    """(_of, _tie, x, kind): seeds have a kind below len(NAMES)."""
+    x = scan.select("_of", "_tie", F.explode(F.concat(*arrays)).alias("x"))
+    secret = F.col("x.instance").rlike(_SECRET) & F.col("x.context").rlike("[=:][\"']*$")
+    return x.withColumn("kind", F.when(F.col("x.kind") < len(KINDS), F.col("x.kind")).when(secret, len(KINDS)).otherwise(len(NAMES)))
 
 
 def trusted_patterns(scan: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.8) -> DataFrame:
-    """(context, kind) of the lexical patterns that identify a kind, from all occurrences.
+    """(pattern, kind) of the lexical patterns that identify a kind, from all occurrences.
 
     Instances of the seeds have confidence 1 in their kind. In each round a pattern's confidence is the
     sum of its distinct instances' confidences over their number plus one; then an instance's is
     one minus the product of its patterns' doubts. A pattern is trusted from ``support`` distinct
-    instances and a confidence of ``trust``. Distinct edges are made once and checkpointed; sums
-    are partial in each task, so a context that a third of all occurrences share is a few rows."""
-    seen = scan.select(F.explode(F.concat("base", "other")).alias("x")).select("x.context", "x.instance", "x.kind").filter("context IS NOT NULL")
-    edges = checkpoint(seen.groupBy("context", "instance").agg(F.min("kind").alias("kind")))
-    seeds = edges.filter(F.col("kind") < len(KINDS)).select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
-    links = edges.select("context", "instance")
-    sizes = links.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
-    links = checkpoint(links.join(sizes, "context"))
+    instances (four times as many for one word alone) and a confidence of ``trust``. Distinct edges are made once
+    and checkpointed; sums are partial in each task, so a pattern that a third of all occurrences share is a few rows."""
+    seen = _occurrences(scan, "base", "other").filter("x.context IS NOT NULL").select(F.explode(_families(F.col("x"))).alias("pattern"), "x.instance", "kind")
+    edges = checkpoint(seen.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
+    seeds = edges.filter(F.col("kind") < len(NAMES)).select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
+    links = edges.select("pattern", "instance")
+    sizes = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.when(F.col("pattern").startswith("1:"), 4 * support).otherwise(support))
+    links = checkpoint(links.join(sizes, "pattern"))
     beliefs = seeds
     patterns = None
     for _ in range(rounds):
-        patterns = checkpoint(links.join(beliefs, "instance").groupBy("context", "n", "kind").agg(F.sum("belief").alias("s")).select("context", "kind", (F.col("s") / (F.col("n") + 1)).alias("trust")))
-        derived = links.join(patterns, "context").groupBy("instance", "kind").agg(F.sum(F.log1p(-F.least("trust", F.lit(0.999999)))).alias("doubt")).select("instance", "kind", (1 - F.exp("doubt")).alias("belief"))
+        patterns = checkpoint(links.join(beliefs, "instance").groupBy("pattern", "n", "kind").agg(F.sum("belief").alias("s")).select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("trust")))
+        derived = links.join(patterns, "pattern").groupBy("instance", "kind").agg(F.sum(F.log1p(-F.least("trust", F.lit(0.999999)))).alias("doubt")).select("instance", "kind", (1 - F.exp("doubt")).alias("belief"))
         beliefs = checkpoint(seeds.unionByName(derived).groupBy("instance", "kind").agg(F.max("belief").alias("belief")))
-    best = patterns.groupBy("context").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("b"))
-    return checkpoint(best.filter(F.col("b.trust") >= trust).select("context", (-F.col("b.k")).alias("kind")))
+    best = patterns.groupBy("pattern").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("b"))
+    return checkpoint(best.filter(F.col("b.trust") >= trust).select("pattern", "b.trust", (-F.col("b.k")).alias("kind")))
 
 
-def discovered(scan: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
-    """(key, _tie, more): spans of the candidates that a trusted pattern precedes, for rows that have any."""
-    occurrences = scan.select(key, "_tie", F.explode("other").alias("x")).filter("x.context IS NOT NULL")
-    hits = occurrences.join(patterns, F.col("x.context") == patterns["context"]).select(key, "_tie", F.struct(F.col("x.start"), patterns["kind"], F.col("x.end")).alias("span"))
-    return hits.groupBy(key, "_tie").agg(F.array_sort(F.collect_set("span")).alias("more"))
+def discovered(scan: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(_id, _t, more): spans of the candidates by which a trusted pattern stands, for rows that have any; a candidate's kind is that of the most trusted."""
+    occurrences = _occurrences(scan, "other").filter("x.context IS NOT NULL").select("_of", "_tie", "x.start", "x.end", F.explode(_families(F.col("x"))).alias("pattern"))
+    hits = occurrences.join(patterns, "pattern").groupBy("_of", "_tie", "start", "end").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("b"))
+    spans = hits.groupBy("_of", "_tie").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("b.k")).alias("kind"), "end"))).alias("more"))
+    return spans.select(F.col("_of").alias("_id"), F.col("_tie").alias("_t"), "more")
 
 
 def _spans_text(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
@@ -148,37 +213,49 @@ def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
+_BARE = "array<struct<start:int,kind:int,end:int>>"
+
+
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: float) -> DataFrame:
     """Per row: ``key``, n_email, n_ip, n_card, n_phone (of the fixed patterns), base (their spans as
-    'kind:start:end,...') and spans (with those that contexts add).
+    'kind:start:end,...'), spans (with those that contexts add) and n_spans (all of them).
 
     Offsets are code points, the end exclusive. A null text counts as empty and has no spans; rows that
     repeat have equal spans each; null keys are kept; an empty table gives an empty result; further
-    columns are left out. Each text is scanned once; all else uses its spans."""
+    columns are left out, whatever their names. Each text is scanned once; all else uses its spans."""
     scan = scanned(docs, text, key)
-    more = discovered(scan, trusted_patterns(scan, **limits), key)
-    more = more.select(F.col(key).alias("_id"), F.col("_tie").alias("_t"), "more")
-    out = scan.join(more, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")), "left")
+    more = discovered(scan, trusted_patterns(scan, **limits))
+    out = scan.join(more, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")), "left")
     counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    spans = F.array_sort(F.concat(_bare(F.col("base")), F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return out.select(key, *counts, _spans_text(F.col("base")).alias("base"), _spans_text(spans).alias("spans"))
+    spans = F.array_sort(F.concat(_bare(F.col("base")), F.coalesce("more", F.array().cast(_BARE))))
+    return out.select(F.col("_of").alias(key), *counts, _spans_text(F.col("base")).alias("base"), _spans_text(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: float) -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets ([EMAIL], [IP], [CARD], [PHONE]); overlapping spans become one.
+    """``docs`` with each span replaced by its kind in brackets ([EMAIL], [IP], [CARD], [PHONE], [SECRET]); overlapping spans become one.
 
     Fixed patterns are found where the text stands; only the spans that contexts add are joined, to the
-    texts they belong to: by broadcast if they are few rows (counted), else by key."""
+    texts they belong to: by broadcast if they are few rows (counted), else by key. Null texts stay null, and empty ones
+    empty; rows that repeat are redacted each; null keys are kept; an empty table gives an empty result; further
+    columns stay as they are, whatever their names."""
     scan = scanned(docs, text, key)
-    more = checkpoint(discovered(scan, trusted_patterns(scan, **limits), key).select(F.col(key).alias("_id"), F.col("_tie").alias("_t"), "more"))
+    more = checkpoint(discovered(scan, trusted_patterns(scan, **limits)))
     few = more.limit(50_001).count() <= 50_000
-    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.join(F.broadcast(more) if few else more, F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (tie == F.col("_t")), "left")
-    whole = F.col(f"`{text}`")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    whole = F.col("_text")
+    rows = docs.select(F.col(f"`{key}`").alias("_of"), F.col(f"`{text}`").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    tie = F.xxhash64(F.coalesce(whole, F.lit("")))
+    rows = rows.join(F.broadcast(more) if few else more, F.col("_of").eqNullSafe(F.col("_id")) & (tie == F.col("_t")), "left")
+    none = F.array().cast(_BARE)
     spans = F.array_sort(F.concat(_bare(base_spans(whole)), F.coalesce("more", none)))
-    merged = F.aggregate(spans, none, lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] < F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.get(acc, F.size(acc) - 1)["kind"].alias("kind"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    last = F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(0).alias("kind"), F.lit(2**31 - 1).alias("end")))
+
+    def join(held: Column, x: Column) -> tuple[Column, Column, Column]:
+        apart = held.isNull() | (x["start"] >= held["end"])
+        both = F.struct(held["start"].alias("start"), held["kind"].alias("kind"), F.greatest(held["end"], x["end"]).alias("end"))
+        return F.when(apart, x).otherwise(both), apart & held.isNotNull(), held
+
+    merged = let(F.concat(spans, last), lambda s: fold(s, F.lit(None).cast(_BARE[6:-1]), none, join)["out"])
+    tags = F.array(*(F.lit(f"[{k.upper()}]") for k in NAMES))
 
     def put(m: Column) -> Column:
         before = lambda i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
@@ -186,4 +263,5 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: f
         rest = F.substring(whole, F.get(m, F.size(m) - 1)["end"] + 1, F.length(whole))
         return F.when(F.size(m) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(whole)
 
-    return rows.withColumn(text, F.when(whole.isNotNull(), let(merged, put))).drop("_id", "_t", "more")
+    redacted = F.when(whole.isNotNull(), let(merged, put))
+    return rows.select(*(redacted.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns))
