@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over ``documents``: quality rules, near-dedup, personal data, mixing, encoding."""
+"""A corpus pipeline of five stages over ``documents``: quality rules, near-dedup, personal data, mixing, encoding.
+
+Every stage takes null texts as empty and null sources as a source, keeps null keys, and gives no rows for none; rows that
+repeat are judged each, until near-dedup keeps one of them. Further columns, whatever their names, are carried to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import bagminhash, bpe, mixing, pii, quality
 from palimpsest.llm.common import documents, shared_folder
@@ -25,8 +30,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind, and ``n_chars`` counted again."""
-    return pii.redact(docs).selectExpr(*(f"CAST(length(text) AS BIGINT) AS {c}" if c == "n_chars" else c for c in docs.columns))
+    """Personal data replaced by its kind, and ``n_chars`` counted again (null for a null text)."""
+    return pii.redact(docs).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
