@@ -59,16 +59,13 @@ def transposed_or_near(a: Column, b: Column) -> Column:
 def multiset_minus(a: Column, b: Column) -> Column:
     """Elements of ``a`` in order, each as often as it occurs there more than in ``b`` (its later occurrences).
 
-    Sorted, an element's occurrences stand together, and each one's number follows from the one before."""
+    Sorted, an element's occurrences stand together, and each one's number is its distance from where they begin."""
 
     def numbered(xs: Column) -> Column:
-        def add(acc: Column, e: Column) -> Column:
-            n = F.when(e["x"] == acc["last"], acc["n"] + 1).otherwise(F.lit(1))
-            return F.struct(F.concat(acc["out"], F.array(F.struct(e["i"].alias("i"), e["x"].alias("x"), n.alias("n")))).alias("out"), e["x"].alias("last"), n.alias("n"))
-
-        start = F.struct(F.array().cast("array<struct<i:int,x:string,n:int>>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"))
         placed = F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return F.transform(F.array_sort(F.aggregate(placed, start, add, lambda acc: acc["out"])), lambda e: F.struct(e["x"].alias("x"), e["n"].alias("n")))
+        of = lambda v: F.transform(v["p"], lambda e, k: F.struct(e["i"].alias("i"), e["x"].alias("x"), (k + 1 - F.array_position(v["x"], e["x"])).alias("n")))
+        known = _let(F.struct(placed.alias("p"), F.array_sort(xs).alias("x")), of)
+        return F.transform(F.array_sort(known), lambda e: F.struct(e["x"].alias("x"), e["n"].alias("n")))
 
     return F.transform(F.array_except(numbered(a), numbered(b)), lambda s: s["x"])
 

@@ -169,47 +169,86 @@ def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-# Which of the three streams a column takes a token of, in the order ties are broken: 1, 2 and 4 stand for them.
-_MOVES = (7, 3, 5, 6, 1, 2, 4)
+# Which of the three streams a column takes a token of, in the order ties are broken.
+_MOVES = ((1, 1, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1))
+_FAR = np.int64(1) << 60
+
+
+class _Layers:
+    """Cheapest ways to the cells (i, j, s - i - j) of a three-way alignment, layer s by layer: all cells of a layer depend on the three before.
+
+    Cells keep within ``band`` of the mean diagonal, so a layer is a square of some 4 * band cells a side, whose corner moves
+    along with s. A way's value is (sum of pair costs, columns) in one number."""
+
+    def __init__(self, streams: list[np.ndarray], band: int):
+        self.streams, self.band = streams, band
+        self.size = min(4 * band + 3, max(map(len, streams)) + 1)
+        self.layers: list[tuple[tuple[int, int], np.ndarray]] = []
+        self.moves: list[np.ndarray] = []
+
+    def corner(self, s: int) -> tuple[int, int]:
+        low = max(0, s // 3 - 2 * self.band - 1)
+        return tuple(min(low, max(0, len(x) + 1 - self.size)) for x in self.streams[:2])
+
+    def _before(self, back: int, at: tuple[int, int], move: tuple[int, int, int], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if back > len(self.layers):
+            return np.full(i.shape, _FAR)
+        corner, values = self.layers[-back]
+        x, y = i - move[0] - corner[0], j - move[1] - corner[1]
+        inside = (x >= 0) & (x < self.size) & (y >= 0) & (y < self.size)
+        return np.where(inside, values[np.where(inside, x, 0), np.where(inside, y, 0)], _FAR)
+
+    def run(self) -> None:
+        a, b, c = self.streams
+        for s in range(len(a) + len(b) + len(c) + 1):
+            at = self.corner(s)
+            i, j = np.meshgrid(np.arange(at[0], at[0] + self.size), np.arange(at[1], at[1] + self.size), indexing="ij")
+            k = s - i - j
+            cell = (i <= len(a)) & (j <= len(b)) & (k >= 0) & (k <= len(c)) & (np.abs(i - j) <= self.band) & (np.abs(i - k) <= self.band) & (np.abs(j - k) <= self.band)
+            token = [np.where((n > 0) & (n <= len(x)), np.append(x, -1)[np.clip(n - 1, 0, len(x))], -1) for x, n in ((a, i), (b, j), (c, k))]
+            values, moves = np.full(i.shape, _FAR), np.full(i.shape, -1, np.int8)
+            if s == 0:
+                values[(i == 0) & (j == 0)] = 0
+            for number, move in enumerate(_MOVES if s else ()):
+                taken = [np.where(bool(m), t, -2) for m, t in zip(move, token, strict=True)]
+                cost = sum((taken[x] != taken[y]).astype(np.int64) for x, y in ((0, 1), (0, 2), (1, 2)))
+                value = self._before(sum(move), at, move, i, j) + (cost << 20) + 1
+                value = np.where((i >= move[0]) & (j >= move[1]) & (k >= move[2]), value, _FAR)
+                better = cell & (value < values) & (value < _FAR)
+                values, moves = np.where(better, value, values), np.where(better, number, moves).astype(np.int8)
+            self.layers = [*self.layers[-2:], (at, values)]
+            self.moves.append(moves)
+
+    def way(self) -> tuple[list[tuple[int, int, int]], bool]:
+        """The moves of the cheapest way, and whether it is whole and keeps off the band's edge."""
+        at, out, free = [len(x) for x in self.streams], [], True
+        while any(at):
+            corner = self.corner(sum(at))
+            x, y = at[0] - corner[0], at[1] - corner[1]
+            number = self.moves[sum(at)][x, y] if 0 <= x < self.size and 0 <= y < self.size else -1
+            if number < 0:
+                return [], False
+            free = free and max(at) - min(at) < self.band
+            out.append(_MOVES[number])
+            at = [n - m for n, m in zip(at, _MOVES[number], strict=True)]
+        return out[::-1], free
 
 
 def align_three(a: list[str], b: list[str], c: list[str], band: int = 40) -> list[list[str | None]]:
     """Columns (null is a gap) of least sum of pair costs, then fewest columns, then by the order of moves.
 
-    Only cells within ``band`` of the diagonals are visited; the band is doubled while the path touches its
-    edge and it is narrower than the longest stream."""
-    sizes = (len(a), len(b), len(c))
-    streams = (a, b, c)
+    A way that touches the edge of its band may not be the cheapest: the band is widened then, until it holds all cells."""
+    words = {t: n for n, t in enumerate(dict.fromkeys([*a, *b, *c]))}
+    streams = [np.array([words[t] for t in x], np.int64) for x in (a, b, c)]
     while True:
-        best: dict[tuple[int, int, int], tuple[int, int]] = {(0, 0, 0): (0, 0)}
-        for i in range(sizes[0] + 1):
-            for j in range(max(0, i - band), min(sizes[1], i + band) + 1):
-                for k in range(max(0, i - band, j - band), min(sizes[2], i + band, j + band) + 1):
-                    if not i and not j and not k:
-                        continue
-                    low = None
-                    for move in _MOVES:
-                        at = (i - (move & 1), j - (move >> 1 & 1), k - (move >> 2))
-                        seen = best.get(at)
-                        if seen is None or min(at) < 0:
-                            continue
-                        column = [streams[s][(i, j, k)[s] - 1] if move >> s & 1 else None for s in range(3)]
-                        cost = sum(x != y for x, y in ((column[0], column[1]), (column[0], column[2]), (column[1], column[2])))
-                        total = seen[0] + (cost << 20) + 1
-                        if low is None or total < low[0]:
-                            low = (total, move)
-                    if low:
-                        best[i, j, k] = low
-        columns, at, touched = [], sizes, sizes not in best
-        while not touched and at != (0, 0, 0):
-            i, j, k = at
-            touched = touched or max(abs(i - j), abs(i - k), abs(j - k)) >= band
-            move = best[at][1]
-            columns.append([streams[s][at[s] - 1] if move >> s & 1 else None for s in range(3)])
-            at = (i - (move & 1), j - (move >> 1 & 1), k - (move >> 2))
-        if (not touched and at == (0, 0, 0)) or band > max(sizes):
-            return columns[::-1]
+        layers = _Layers(streams, band)
+        layers.run()
+        moves, free = layers.way()
+        if (free or band > max(map(len, streams))) and (moves or not any(map(len, streams))):
+            break
         band *= 2
+    rest = [iter(x) for x in (a, b, c)]
+    return [[next(r) if m else None for m, r in zip(move, rest, strict=True)] for move in moves]
 
 
 @vector("array<array<string>>")

@@ -77,6 +77,14 @@ def divided(rows: DataFrame, key: str, item: str, required: list, good: Column |
     return rows.groupBy(key).agg(F.count_distinct(item).alias("n_items")).filter(F.col("n_items") == len(set(required))).select(key)
 
 
+def divided_by(rows: DataFrame, required: DataFrame, key: str, item: str) -> DataFrame:
+    """Keys that have every item of ``required``, a table: its size is one number, its items are joined, not brought to the driver."""
+    needed = required.select(item).distinct()
+    n = needed.count()
+    found = rows.select(key, item).join(needed, item, "left_semi").groupBy(key).agg(F.count_distinct(item).alias("n_items"))
+    return found.filter(F.col("n_items") == n).select(key)
+
+
 def multiset_semijoin(rows: DataFrame, other: DataFrame, on: list[str], order: list) -> DataFrame:
     """Rows that find a partner of equal key, each partner used once."""
     from pyspark.sql import Window

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut
+
 
 def recurrent_terms(rows: DataFrame, terms: Column, meeting: str, city: str, least: int = 2) -> DataFrame:
     """Terms by distinct meetings and cities, of ``least`` meetings or more; global from two cities on."""
@@ -14,12 +16,15 @@ def recurrent_terms(rows: DataFrame, terms: Column, meeting: str, city: str, lea
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of ``n`` tokens, joined by spaces. The tokens are evaluated once, not again for each run."""
+    runs = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(tokens), runs), F.lit(0))
 
 
 def attested(rows: DataFrame, tokens: Column, terms: DataFrame, meeting: str, longest: int = 4) -> DataFrame:
     """For each term of up to ``longest`` words the distinct meetings that have it: exploded n-grams joined by equality."""
-    grams = rows.select(meeting, F.explode(F.array_distinct(F.flatten(F.array(*(ngrams(tokens, n) for n in range(1, longest + 1)))))).alias("term"))
+    every = lambda t: F.array_distinct(F.flatten(F.array(*(ngrams(t, n) for n in range(1, longest + 1)))))
+    grams = rows.select(meeting, F.explode(F.get(F.transform(F.array(tokens), every), F.lit(0))).alias("term"))
     return terms.select("term").distinct().join(grams, "term", "left").groupBy("term").agg(F.count_distinct(meeting).alias("meetings"))
 
 
@@ -31,6 +36,7 @@ def kneser_ney(sentences: DataFrame, tokens: Column) -> DataFrame:
     padded = F.concat(F.array(F.lit("<s>")), tokens, F.array(F.lit("</s>")))
     pairs = sentences.select(F.explode(F.arrays_zip(F.slice(padded, F.lit(1), F.size(padded) - 1).alias("context"), F.slice(padded, F.lit(2), F.size(padded)).alias("word"))).alias("g")).select("g.*")
     counts = pairs.toDF("context", "word").groupBy("context", "word").agg(F.count(F.lit(1)).alias("count"))
+    counts = cut(counts)  # totals, contexts, words and the result are all made of it
     once = counts.agg(F.count_if(F.col("count") == 1).alias("n1"), F.count_if(F.col("count") == 2).alias("n2"), F.count(F.lit(1)).alias("types")).first()
     discount = once["n1"] / (once["n1"] + 2 * once["n2"]) if once["n1"] else 0.5
     discount = min(1 - 1e-4, max(1e-4, discount))
@@ -40,7 +46,7 @@ def kneser_ney(sentences: DataFrame, tokens: Column) -> DataFrame:
     return counts.join(contexts, "context").join(words, "word").select("context", "word", "count", p.alias("p"))
 
 
-def fuzzy_nearest(tokens: DataFrame, terms: DataFrame, most: int = 2, band: int = 3, token: str = "token", term: str = "term") -> DataFrame:
+def fuzzy_nearest(tokens: DataFrame, terms: DataFrame, most: int = 3, band: int = 3, token: str = "token", term: str = "term") -> DataFrame:
     """For each token the nearest term within ``most`` edits, with the second distance; ties to the least term.
 
     Tokens meet terms of a length within ``band`` by an equality join on length, and a bounded edit

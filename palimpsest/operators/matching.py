@@ -12,48 +12,46 @@ from pyspark.sql import functions as F
 
 from .alignment import align, vector
 
-Span = tuple[float, float]
+# --- speakers ------------------------------------------------------------------------------------------------------
 
+def _within(outer: Column, inner: Column) -> Column:
+    return (outer["start"] <= inner["start"]) & (outer["end"] >= inner["end"])
 
-# --- speakers ------------------------------------------------------------------------------------------------------
 
-def _closest(segments: list[Span], word: Span) -> Span:
-    """A later segment that contains the word always takes over; else the one whose ends are nearer in sum, the earlier on a tie."""
-    gap = lambda s: abs(s[0] - word[0]) + abs(s[1] - word[1])
-    best = segments[0]
-    for s in segments[1:]:
-        if (s[0] <= word[0] and s[1] >= word[1]) or gap(s) < gap(best):
-            best = s
-    return best
-
-
-def best_speaker(segments: list[tuple[str, float, float]], start: float, end: float, words: list[Span], most: float = math.inf) -> tuple[str | None, float | None, str]:
-    """(speaker, drift, branch) of an utterance: direct if one segment alone touches it; else, of the speakers
-    with a segment that contains one of its words, the one of least drift (single or guess), dropped beyond ``most``."""
-    touching = [s for s in segments if start <= s[1] <= end or start <= s[2] <= end or (s[1] <= start and s[2] >= end)]
-    if len(touching) == 1:
-        return touching[0][0], 0.0, "direct"
-    by_name: dict[str, list[Span]] = {}
-    for name, a, b in segments:
-        by_name.setdefault(name, []).append((a, b))
-    names = dict.fromkeys(name for w in words for name, a, b in segments if a <= w[0] and b >= w[1])
-    drifts = []
-    for name in names:
-        near = [(w, _closest(by_name[name], w)) for w in words]
-        drifts.append((name, math.sqrt(sum((s[0] - w[0]) ** 2 + (s[1] - w[1]) ** 2 for w, s in near if not (s[0] <= w[0] and s[1] >= w[1])))))
-    if not drifts:
-        return None, None, "drop"
-    if len(drifts) == 1:
-        return *drifts[0], "single"
-    name, drift = min(drifts, key=lambda x: x[1])
-    return (name, drift, "guess") if drift <= most else (None, None, "drop")
-
-
-@vector("struct<speaker:string,drift:double,branch:string>")
-def best_speaker_udf(segments: pd.Series, start: pd.Series, end: pd.Series, words: pd.Series) -> pd.DataFrame:
-    """Arrays of struct(speaker, start, end) and of struct(start, end)."""
-    rows = [best_speaker([(s["speaker"], s["start"], s["end"]) for s in g], a, b, [(w["start"], w["end"]) for w in ws]) for g, a, b, ws in zip(segments, start, end, words, strict=True)]
-    return pd.DataFrame(rows, columns=["speaker", "drift", "branch"])
+def _squared_miss(own: Column, word: Column) -> Column:
+    """How far a speaker's segment misses a word: squares of both ends' distances, nothing where it holds the word.
+
+    Of ``own`` segments in order the last one that holds the word opens the choice (else the first), and of that and
+    the later ones the one whose ends are nearest in sum is taken, the earliest of equals."""
+    holding = F.array_max(F.transform(own, lambda s, i: F.when(_within(s, word), i).otherwise(0)))
+    near = F.transform(own, lambda s, i: F.when(i >= holding, F.struct((F.abs(s["start"] - word["start"]) + F.abs(s["end"] - word["end"])).alias("gap"), i.alias("i"))))
+    best = F.get(own, F.array_min(F.array_compact(near))["i"])
+    return F.when(_within(best, word), 0.0).otherwise(F.pow(best["start"] - word["start"], F.lit(2)) + F.pow(best["end"] - word["end"], F.lit(2)))
+
+
+def best_speaker(segments: Column, start: Column, end: Column, words: Column, most: float = math.inf) -> Column:
+    """struct(speaker, drift, branch) of an utterance; ``segments``: array of struct(speaker, start, end), ``words``: of struct(start, end).
+
+    direct: one segment alone touches the utterance. Else the speakers count who have a segment that holds one of its words, by the
+    root of their summed misses over all words: single if there is one of them, guess if it is the nearest of several (the
+    one met first on a tie), drop if there is none or the nearest drifts beyond ``most``."""
+    touching = F.filter(segments, lambda s: s["start"].between(start, end) | s["end"].between(start, end) | _within(s, F.struct(start.alias("start"), end.alias("end"))))
+    holders = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.filter(segments, lambda s: _within(s, w)), lambda s: s["speaker"]))))
+
+    def drift(name: Column, i: Column) -> Column:
+        own = F.filter(segments, lambda s: s["speaker"] == name)
+        return F.struct(F.sqrt(F.aggregate(F.transform(words, lambda w: _squared_miss(own, w)), F.lit(0.0), lambda acc, x: acc + x)).alias("drift"), i.alias("i"), name.alias("speaker"))
+
+    said = lambda speaker, far, branch: F.struct(speaker.cast("string").alias("speaker"), far.cast("double").alias("drift"), branch.alias("branch"))
+    none = said(F.lit(None), F.lit(None), F.lit("drop"))
+    near = F.array_min(F.transform(holders, drift))
+    alone = F.size(holders) == 1
+    return (
+        F.when(F.size(touching) == 1, said(F.get(touching, F.lit(0))["speaker"], F.lit(0.0), F.lit("direct")))
+        .when(F.size(holders) == 0, none)
+        .when(alone | (near["drift"] <= most), said(near["speaker"], near["drift"], F.when(alone, "single").otherwise("guess")))
+        .otherwise(none)
+    )
 
 
 def assignment(cost: list[list[int]]) -> list[int]:
@@ -198,45 +196,48 @@ def everyone_named(tokens: Column, people: Column) -> Column:
 
 # --- cuts ----------------------------------------------------------------------------------------------------------
 
-def cut_accumulating(duration: float, silences: list[Span], most: float = 29.5, least: float = 5.0, speech: float = 2.5, silence: float = 0.5) -> list[Span]:
-    """Pieces that tile 0..duration, cut in the middle of the last silence in reach that leaves enough length and speech.
-
-    Without one with enough speech any silence in reach serves, without a silence the piece ends at the limit. A last
-    piece that is too short joins the one before, or shares its length with it."""
-    quiet = sorted(silences)
-    middles = [(a + b) / 2 for a, b in quiet if b - a >= silence]
-    voiced = lambda a, b: b - a - sum(max(0.0, min(b, e) - max(a, s)) for s, e in quiet)
-    edges = [0.0]
-    while duration - edges[-1] > most + 1e-7:
-        at = edges[-1]
-        reach = [c for c in middles if at + least <= c <= at + most]
-        enough = [c for c in reach if voiced(at, c) >= speech]
-        edges.append(max(enough or reach or [at + most]))
-    edges.append(duration)
-    if len(edges) > 2 and edges[-1] - edges[-2] < least:
-        start = edges[-3]
-        if duration - start <= most:
-            del edges[-2]
-        else:
-            low, high = max(start + least, duration - most), min(start + most, duration - least)
-            inside = [c for c in middles if low <= c <= high]
-            if low <= high:
-                edges[-2] = min(inside, key=lambda c: abs(c - (low + high) / 2), default=(low + high) / 2)
-    return list(zip(edges[:-1], edges[1:], strict=True))
+def cut_accumulating(duration: Column, silences: Column, most: float = 29.5, least: float = 5.0, speech: float = 2.5, silence: float = 0.5) -> Column:
+    """Pieces, array of struct(start, end), that tile 0..``duration``; ``silences``: array of struct(start, end), disjoint or not.
+
+    While more than ``most`` is left, the next cut is the last candidate in reach: the middle of a silence of ``silence`` or more
+    which leaves a piece of ``least`` at least with ``speech`` in it; without one, of any speech; without a silence in reach, the
+    limit itself. A last piece that is too short is joined to the one before where both fit the limit, else their common cut
+    moves to the candidate nearest the middle of where both keep their lengths, or to that middle."""
+    middles = F.transform(F.filter(silences, lambda s: s["end"] - s["start"] >= silence), lambda s: (s["start"] + s["end"]) / 2)
+    quiet = lambda a, b: F.aggregate(F.transform(silences, lambda s: F.greatest(F.lit(0.0), F.least(b, s["end"]) - F.greatest(a, s["start"]))), F.lit(0.0), lambda acc, x: acc + x)
 
+    def next_cut(at: Column) -> Column:
+        reach = F.filter(middles, lambda c: c.between(at + least, at + most))
+        return F.coalesce(F.array_max(F.filter(reach, lambda c: c - at - quiet(at, c) >= speech)), F.array_max(reach), at + most)
 
-@vector("array<struct<start:double,end:double>>")
-def cut_udf(duration: pd.Series, silences: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b} for a, b in cut_accumulating(d, [(s["start"], s["end"]) for s in q])] for d, q in zip(duration, silences, strict=True)])
+    steps = F.sequence(F.lit(0), F.ceil(duration / least).cast("int"))
+    open_ = lambda edges: duration - F.element_at(edges, -1) > most + 1e-7
+    edges = F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, _: F.when(open_(acc), F.concat(acc, F.array(next_cut(F.element_at(acc, -1))))).otherwise(acc))
+
+    def repaired(e: Column) -> Column:
+        n, last = F.size(e), F.element_at(e, -1)
+        before = F.get(e, n - 2)
+        low, high = F.greatest(before + least, duration - most), F.least(before + most, duration - least)
+        centre = (low + high) / 2
+        moved = F.array_min(F.transform(F.filter(middles, lambda c: c.between(low, high)), lambda c, i: F.struct(F.abs(c - centre).alias("far"), i.alias("i"), c.alias("c"))))["c"]
+        short = (n > 1) & (duration - last < least)
+        return F.when(short & (duration - before <= most), F.slice(e, F.lit(1), n - 1)).when(short & (low <= high), F.concat(F.slice(e, F.lit(1), n - 1), F.array(F.coalesce(moved, centre)))).otherwise(e)
+
+    cuts = F.get(F.transform(F.array(edges), repaired), F.lit(0))
+    pieces = lambda e: F.transform(e, lambda x, i: F.struct(x.alias("start"), F.coalesce(F.get(e, i + 1), duration).alias("end")))
+    return F.get(F.transform(F.array(cuts), pieces), F.lit(0))
 
 
 # --- choices -------------------------------------------------------------------------------------------------------
 
-def ceiling_top(rows: DataFrame, key: str, score: str, category: str, features: dict[str, float], k: int, ceilings: dict[str, float], default: float = 0.15, pool: int = 20_000) -> DataFrame:
+def ceiling_top(rows: DataFrame, key: str, score: str, category: str, features: dict[str, float], k: int, ceilings: dict[str, float], default: float = 0.15) -> DataFrame:
     """The k rows of a greedy choice: score / (1 + 8 * what the category's share exceeds its ceiling by) / sqrt(1 + weight * rows taken with the same value) over the features.
 
-    Shares fall as well as rise, so every step looks at all rows left: on the driver, over the ``pool`` best (a documented bound)."""
-    few = rows.orderBy(F.desc(score), key).limit(pool).select(key, score, category, *features).collect()
+    Shares fall as well as rise, so every step looks at all rows left: on the driver, over ``selection.heads``,
+    the only rows that can be taken."""
+    from .selection import heads
+
+    few = heads(rows, key, score, list(dict.fromkeys([category, *features])), k)
     base = np.array([r[score] for r in few], float)
     codes = {f: pd.factorize(pd.Series([r[f] for r in few], dtype=object), use_na_sentinel=False)[0] for f in [category, *features]}
     seen = {f: np.zeros(len(few) + 1) for f in codes}

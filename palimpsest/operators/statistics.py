@@ -1,12 +1,12 @@
 """Rates, leave-one-out, ranks, tests and resampling over clusters.
 
-Corpus rates are sums over sums. Resampling works on one row per cluster, which is aggregated first; the
-draws are spread over tasks, each with its own seed, and only their values come back.
+Corpus rates are sums over sums. Resampling works on one row per cluster, which is aggregated first; what a draw
+takes follows from an MD5 of the seed, the draw and the place, so draws are rows like any others, are summed by groups, and
+come out the same in any engine.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,94 +149,101 @@ def clusters(rows: DataFrame, cluster: str, a: str, b: str, size: str) -> DataFr
     return rows.groupBy(cluster).agg(F.sum(F.col(a) - F.col(b)).cast("double").alias("d"), F.sum(size).cast("double").alias("n"))
 
 
-def _table(sums: DataFrame, cluster: str) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster sums in order, for the workers: 16 bytes a cluster, and an error beyond a million of them."""
-    few = sums.orderBy(cluster).limit(1_000_001).toPandas()
-    if len(few) > 1_000_000:
-        raise ValueError("more than a million clusters: resample a coarser unit")
-    return few["d"].to_numpy(float), few["n"].to_numpy(float)
+def _dice(sides: Column | int, *parts: Column) -> Column:
+    """A number from 0 to ``sides`` - 1 that the parts decide: 60 bits of their MD5."""
+    digest = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(sides) if isinstance(sides, int) else sides)
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, a: str, b: str, size: str, draws: int = 10_000, seed: int = 7, block: int = 500, low: float = 2.5, high: float = 97.5) -> DataFrame:
-    """One row: delta of the rates of a and b with a percentile interval over resampled clusters."""
-    d, n = _table(clusters(rows, cluster, a, b, size), cluster)
-    spark = rows.sparkSession
-
-    def draw(batches):
-        for batch in batches:
-            for number in batch["id"]:
-                rng = np.random.default_rng([seed, int(number)])
-                pick = rng.integers(0, len(d), (min(block, draws - int(number) * block), len(d)))
-                size_ = n[pick].sum(1)
-                yield pd.DataFrame({"delta": np.where(size_ > 0, d[pick].sum(1) / np.where(size_ > 0, size_, 1), np.nan)})
-
-    if not len(d):
-        return spark.createDataFrame([], "delta double, low double, high double, excludes_zero boolean, n_clusters long")
-    deltas = spark.range(-(-draws // block)).mapInPandas(draw, "delta double").filter("NOT isnan(delta)")
-    ends = deltas.agg(F.percentile("delta", F.lit(low / 100)).alias("low"), F.percentile("delta", F.lit(high / 100)).alias("high"))
-    return ends.select(F.lit(float(d.sum() / n.sum()) if n.sum() else None).cast("double").alias("delta"), "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"), F.lit(len(d)).cast("long").alias("n_clusters"))
-
-
-def wild_cluster_p(d: np.ndarray, n: np.ndarray, delta0: float = 0.0, draws: int = 9_999, seed: int = 1, alternative: str = "two-sided") -> dict:
-    """Studentised wild cluster bootstrap with the null imposed: signs of the null's residuals are drawn by cluster.
-
-    Without any spread the p value is 1 where the estimate meets the null (or lies on its side), else the least possible."""
-    total = n.sum()
-    delta = d.sum() / total
-    error = lambda x: np.sqrt(((x - (x.sum(-1, keepdims=True) / total) * n) ** 2).sum(-1)) / total
-    se = float(error(d))
-    out = {"delta": float(delta), "se": se, "n_clusters": len(d)}
-    if se == 0:
-        holds = delta == delta0 or (alternative == "less" and delta > delta0)
-        return out | {"t": 0.0, "p": 1.0 if holds else 1 / (draws + 1)}
-    t = (delta - delta0) / se
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (draws, len(d)))
-    star = delta0 * n + (d - delta0 * n) * signs
-    gap, spread = star.sum(1) / total - delta0, error(star)
-    t_star = np.where(spread > 0, gap / np.where(spread > 0, spread, 1), np.where(gap == 0, 0.0, np.inf))
-    hits = int((t_star <= t).sum() if alternative == "less" else (np.abs(t_star) >= abs(t)).sum())
-    return out | {"t": float(t), "p": (1 + hits) / (draws + 1)}
-
-
-def wild_cluster_test(rows: DataFrame, hypothesis: str, cluster: str, a: str, b: str, size: str, **options) -> DataFrame:
-    """``wild_cluster_p`` per hypothesis, over its clusters' sums."""
-    sums = rows.groupBy(hypothesis, cluster).agg(F.sum(F.col(a) - F.col(b)).cast("double").alias("d"), F.sum(size).cast("double").alias("n"))
-    kind = dict(sums.dtypes)[hypothesis]
+def numbered(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """``number`` from 0 in the order of the key's MD5, by counts of 256 ranges and ranks within these."""
+    hashed = rows.withColumn("_m", F.md5(F.col(key).cast("string"))).withColumn("_p", F.substring("_m", 1, 2))
+    counts = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # 256 rows
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_m", key))
+    return hashed.withColumn("_r", rank).join(F.broadcast(before), "_p").withColumn(number, F.col("_before") + F.col("_r") - 1).drop("_m", "_p", "_r", "_before")
+
+
+def _draws(rows: DataFrame, draws: int) -> DataFrame:
+    """``draw`` 1..draws beside each row."""
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+
+def resampled(sums: DataFrame, cluster: str, columns: list[str], draws: int, seed: int) -> DataFrame:
+    """Per draw the sums of ``columns`` (one row per cluster in ``sums``) over as many clusters as there are, taken with replacement.
+
+    A draw has one row for each place in it, joined to the cluster whose number comes up."""
+    known = numbered(sums.filter(F.col(cluster).isNotNull()), cluster, "number")
+    many = known.count()
+    places = _draws(known.select(F.col("number").alias("place")), draws)
+    picks = places.select("draw", _dice(max(1, many), F.lit(seed), F.col("draw"), F.col("place")).alias("number"))
+    return picks.join(known.select("number", *columns), "number").groupBy("draw").agg(*(F.sum(c).alias(c) for c in columns))
 
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(cluster)
-        return pd.DataFrame([{hypothesis: group[hypothesis].iloc[0]} | wild_cluster_p(group["d"].to_numpy(), group["n"].to_numpy(), **options)])
 
-    return sums.groupBy(hypothesis).applyInPandas(test, f"`{hypothesis}` {kind}, delta double, se double, n_clusters long, t double, p double")
+def cluster_interval(sums: DataFrame, cluster: str, columns: list[str], estimate: Column, draws: int = 10_000, seed: int = 7, low: float = 2.5, high: float = 97.5) -> DataFrame:
+    """One row: ``estimate`` (a column of summed ``columns``) over all clusters, with a percentile interval of it over resampled clusters.
 
+    Draws in which it is undefined are counted and left out. With rates of arms as columns this is the interval of paired
+    deltas, of differences over different tokens, of means over seeds (one resample for all) and of means over meetings; one-sided
+    bounds are its ends."""
+    whole = sums.filter(F.col(cluster).isNotNull()).agg(F.count(F.lit(1)).alias("n_clusters"), *(F.sum(c).alias(c) for c in columns)).select(estimate.cast("double").alias("delta"), "n_clusters").first()  # one row
+    drawn = resampled(sums, cluster, columns, draws, seed).select(estimate.cast("double").alias("e"))
+    ends = drawn.agg(F.percentile("e", F.lit(low / 100)).alias("low"), F.percentile("e", F.lit(high / 100)).alias("high"), F.count_if(F.col("e").isNull()).alias("undefined"))
+    delta, many = F.lit(whole["delta"]).cast("double"), whole["n_clusters"]
+    out = ends.select(delta.alias("delta"), "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"), F.lit(many).cast("long").alias("n_clusters"), "undefined")
+    return out if many else out.limit(0)
 
-def permutation_null(rows: DataFrame, cluster: str, score: str, label: str, draws: int = 500, seed: int = 3, block: int = 50) -> DataFrame:
+
+def cluster_bootstrap(rows: DataFrame, cluster: str, a: str, b: str, size: str, draws: int = 10_000, seed: int = 7, low: float = 2.5, high: float = 97.5) -> DataFrame:
+    """One row: delta of the rates of a and b with a percentile interval over resampled clusters."""
+    sums = clusters(rows, cluster, a, b, size)
+    return cluster_interval(sums, cluster, ["d", "n"], F.col("d") / F.nullif(F.col("n"), F.lit(0.0)), draws, seed, low, high).drop("undefined")
+
+
+def wild_cluster_test(rows: DataFrame, hypothesis: str, cluster: str, a: str, b: str, size: str, delta0: float = 0.0, draws: int = 9_999, seed: int = 1, alternative: str = "two-sided") -> DataFrame:
+    """Per hypothesis: delta, its clustered standard error, t, and p of a wild cluster bootstrap with the null imposed.
+
+    In each draw a cluster's distance from the null keeps or turns its sign, as a die of the seed, the draw and the cluster
+    says. A draw's estimate and its error need four sums over clusters only: of the new distances, of their squares, of their
+    products with the sizes, and of the squared sizes. Without any spread p is 1 where the estimate meets the null (or lies on
+    its side), else the least possible."""
+    sums = rows.groupBy(hypothesis, cluster).agg(F.sum(F.col(a) - F.col(b)).cast("double").alias("d"), F.sum(size).cast("double").alias("n"))
+    parts = lambda x, *keys: [*keys, F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.sum(x * F.col("n")).alias("sn")]
+    spread = lambda: F.sqrt(F.greatest(F.lit(0.0), F.col("ss") - 2 * F.col("s") / F.col("size") * F.col("sn") + F.pow(F.col("s") / F.col("size"), F.lit(2)) * F.col("nn"))) / F.col("size")
+    flat = lambda: F.col("spread") <= 1e-9 * F.sqrt("ss") / F.col("size")
+    whole = sums.groupBy(hypothesis).agg(*parts(F.col("d")), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("n_clusters"))
+    whole = whole.withColumns({"delta": F.col("s") / F.col("size"), "spread": spread()})
+    whole = whole.withColumns({"se": F.when(flat(), 0.0).otherwise(F.col("spread"))}).withColumn("t", F.when(F.col("se") > 0, (F.col("delta") - delta0) / F.col("se")).otherwise(0.0))
+    facts = whole.select(hypothesis, "size", "nn", "n_clusters", "delta", "se", "t")
+    turned = F.lit(delta0) * F.col("n") + (F.col("d") - F.lit(delta0) * F.col("n")) * (1 - 2 * _dice(2, F.lit(seed), F.col("draw"), F.col(cluster)))
+    drawn = _draws(sums, draws).withColumn("d", turned).groupBy(hypothesis, "draw").agg(*parts(F.col("d")))
+    drawn = drawn.join(facts, hypothesis).withColumns({"gap": F.col("s") / F.col("size") - delta0, "spread": spread()})
+    far = F.when(~flat(), F.col("gap") / F.col("spread")).when(F.abs("gap") <= 1e-12, 0.0).otherwise(F.lit(float("inf")))
+    hit = (far <= F.col("t") + 1e-9) if alternative == "less" else (F.abs(far) >= F.abs(F.col("t")) - 1e-9)
+    hits = drawn.groupBy(hypothesis).agg(F.count_if(hit).alias("hits"))
+    holds = (F.abs(F.col("delta") - delta0) <= 1e-12) | (F.lit(alternative == "less") & (F.col("delta") > delta0))
+    least = F.lit(1 / (draws + 1))
+    p = F.when(F.col("se") > 0, (1 + F.col("hits")) * least).when(holds, 1.0).otherwise(least)
+    return facts.join(hits, hypothesis).select(hypothesis, "delta", "se", "n_clusters", "t", p.alias("p"))
+
+
+def permutation_null(rows: DataFrame, cluster: str, score: str, label: str, draws: int = 500, seed: int = 3) -> DataFrame:
     """One row: AUROC, the mean AUROC under labels shuffled within clusters, and the share of shuffles that reach it.
 
-    The evaluation rows (a score and a label each) go to the workers: an error beyond a million of them."""
-    few = rows.select(cluster, score, label).limit(1_000_001).toPandas()
-    if len(few) > 1_000_000:
-        raise ValueError("more than a million rows: sample clusters first")
-    few = few.sort_values(cluster, kind="stable")
-    ranks, y = few[score].rank().to_numpy(), few[label].to_numpy(bool)
-    groups = np.flatnonzero(np.diff(pd.factorize(few[cluster])[0], prepend=-1))
-    part = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(few))))
-
-    def area(flags: np.ndarray) -> np.ndarray:
-        pos = flags.sum(-1)
-        return ((ranks * flags).sum(-1) - pos * (pos + 1) / 2) / np.maximum(1, pos * (len(ranks) - pos))
-
-    def draw(batches):
-        for batch in batches:
-            for number in batch["id"]:
-                rng = np.random.default_rng([seed, int(number)])
-                # Within a cluster, labels in the order of random keys.
-                flags = [y[np.lexsort((rng.random(len(y)), part))] for _ in range(min(block, draws - int(number) * block))]
-                yield pd.DataFrame({"a": area(np.array(flags))})
-
-    seen = float(area(y)) if y.any() and not y.all() else None
-    null = rows.sparkSession.range(-(-draws // block)).mapInPandas(draw, "a double")
-    return null.agg(F.lit(seen).cast("double").alias("auroc"), F.avg("a").alias("null_mean"), F.avg((F.col("a") >= F.lit(seen)).cast("double")).alias("p"))
+    In each draw the rows of a cluster that come first by an MD5 of the seed, the draw and their place hold its positive labels; the
+    sum of their ranks over all clusters gives the draw's AUROC."""
+    known = rows.filter(F.col(score).isNotNull()).select(F.col(cluster).alias("c"), F.col(score).alias("s"), F.col(label).cast("boolean").alias("y"))
+    counts = _counts(known, [], "s", F.col("y")).select("s", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+    seen = auroc(known, [], "s", F.col("y")).first()["auroc"]
+    whole = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).first()  # one row
+    own = known.groupBy("c").agg(F.count_if("y").alias("pos")).filter("pos > 0")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("s", "y"))
+    ranked = known.withColumn("place", place).join(counts, "s").join(own, "c").select("c", "place", "rank", "pos")
+    order = F.row_number().over(Window.partitionBy("c", "draw").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "draw", "c", "place")), "place"))
+    sums = _draws(ranked, draws).withColumn("_r", order).filter(F.col("_r") <= F.col("pos")).groupBy("draw").agg(F.sum("rank").alias("ranks"))
+    pos, neg = whole["pos"], whole["n"] - whole["pos"]
+    area = (F.col("ranks") - F.lit(pos * (pos + 1) / 2)) / F.lit(float(max(1, pos * neg)))
+    return sums.select(area.alias("a")).agg(F.lit(seen).cast("double").alias("auroc"), F.avg("a").alias("null_mean"), F.avg((F.col("a") >= F.lit(seen) - 1e-12).cast("double")).alias("p"))
 
 
 def fit_threshold(rows: DataFrame, score: str, gain: str, keys: list[str]) -> DataFrame:

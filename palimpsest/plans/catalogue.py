@@ -201,8 +201,7 @@ def conflicting_values(spark, sf_dir):
 @query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def relational_division(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in rows.select("event_type").distinct().collect()]  # the required items, a parameter elsewhere
-    return guards.divided(rows, "user_id", "event_type", kinds)
+    return guards.divided_by(rows, rows.select("event_type"), "user_id", "event_type")
 
 
 @query(f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_CANON} ORDER BY n_chars, doc_id) AS r FROM documents) WHERE r = 1""")
@@ -237,7 +236,7 @@ def union_sources(spark, sf_dir):
 
 @query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')) AS w FROM documents)
 SELECT a.doc_id, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) END AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
-def minhash_jaccard(spark, sf_dir):
+def token_jaccard(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(text.word_tokens(F.col("text"))).alias("w"))
     after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return rows.join(after, "doc_id").select("doc_id", F.round(distance.jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
@@ -372,20 +371,40 @@ def head_to_head(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg(*statistics.head_to_head(F.col("toxic"), 1 - F.col("quality")))
 
 
-@query()
+def drawn(columns: str, draws: int, seed: int = 7) -> str:
+    """CTEs of SQL that resample the rows of ``g`` (source, columns): per draw the sums of the columns."""
+    sums = ", ".join(f"sum({c}) AS {c}" for c in columns.split(" "))
+    return f"""k AS (SELECT *, row_number() OVER (ORDER BY md5(source), source) - 1 AS number, count(*) OVER () AS many FROM g),
+p AS (SELECT draw, ('0x' || substr(md5({seed} || '|' || draw || '|' || number), 1, 15))::BIGINT % many AS number FROM k, (SELECT unnest(range(1, {draws} + 1)) AS draw)),
+r AS (SELECT draw, {sums} FROM p JOIN k USING (number) GROUP BY draw)"""
+
+
+_DELTAS = "g AS (SELECT source, sum(toxic - (1 - quality))::DOUBLE AS d, count(*)::DOUBLE AS n FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY source)"
+
+
+@query(f"""WITH {_DELTAS}, {drawn('d n', 2000)}, q AS (SELECT quantile_cont(d / n, 0.025) AS low, quantile_cont(d / n, 0.975) AS high FROM r)
+SELECT round((SELECT sum(d) / sum(n) FROM g), 9) AS delta, round(low, 9) AS low, round(high, 9) AS high, low > 0 OR high < 0 AS excludes_zero, (SELECT count(*) FROM g) AS n_clusters FROM q""")
 def cluster_bootstrap(spark, sf_dir):
-    return statistics.cluster_bootstrap(_verdicts(spark, sf_dir), "source", "toxic", "low", "one", draws=2_000)
+    out = statistics.cluster_bootstrap(_verdicts(spark, sf_dir), "source", "toxic", "low", "one", draws=2_000)
+    return out.select(*(F.round(c, 9).alias(c) for c in ("delta", "low", "high")), "excludes_zero", "n_clusters")
 
 
-@query()
+@query("""WITH g AS (SELECT lang, source, sum(toxic - (1 - quality))::DOUBLE AS d, count(*)::DOUBLE AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+t AS (SELECT lang, sum(d) AS s, sum(n) AS size, count(*) AS n_clusters FROM g GROUP BY lang), m AS (SELECT g.lang, s, size, n_clusters, sqrt(sum((d - s / size * n) ** 2)) / size AS se FROM g JOIN t ON g.lang IS NOT DISTINCT FROM t.lang GROUP BY g.lang, s, size, n_clusters),
+v AS (SELECT lang, draw, CASE WHEN ('0x' || substr(md5('1|' || draw || '|' || coalesce(source, '')), 1, 15))::BIGINT % 2 = 1 THEN -d ELSE d END AS d, n FROM g, (SELECT unnest(range(1, 2000)) AS draw)),
+u AS (SELECT lang, draw, sum(d) AS s FROM v GROUP BY ALL), x AS (SELECT lang, draw, any_value(u.s) AS s, sqrt(sum((v.d - u.s / size * v.n) ** 2)) / any_value(size) AS e, any_value(size) AS size FROM v JOIN u USING (lang, draw) JOIN t USING (lang) GROUP BY ALL),
+h AS (SELECT x.lang, count(*) FILTER (WHERE CASE WHEN e > 1e-12 THEN abs(x.s / x.size / e) ELSE CASE WHEN abs(x.s) < 1e-9 THEN 0 ELSE 1e300 END END >= abs(m.s / m.size / m.se) - 1e-9) AS hits FROM x JOIN m USING (lang) WHERE m.se > 1e-12 GROUP BY x.lang)
+SELECT lang, round(s / size, 9) AS delta, round(se, 9) AS se, n_clusters, round(CASE WHEN se > 1e-12 THEN s / size / se ELSE 0 END, 6) AS t, round(CASE WHEN se > 1e-12 THEN (1 + hits) / 2000 WHEN abs(s) < 1e-9 THEN 1 ELSE 1 / 2000 END, 9) AS p FROM m LEFT JOIN h USING (lang)""")
 def wild_cluster(spark, sf_dir):
-    return statistics.wild_cluster_test(_verdicts(spark, sf_dir), "lang", "source", "toxic", "low", "one", draws=1_999)
+    out = statistics.wild_cluster_test(_verdicts(spark, sf_dir), "lang", "source", "toxic", "low", "one", draws=1_999)
+    return out.select("lang", F.round("delta", 9).alias("delta"), F.round("se", 9).alias("se"), "n_clusters", F.round("t", 6).alias("t"), F.round("p", 9).alias("p"))
 
 
-@query()
+@query("""WITH g AS (SELECT source, count(*) FILTER (WHERE toxic < 1 - quality) AS wins, count(*) FILTER (WHERE toxic > 1 - quality) AS losses FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT source, wins, losses, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))) END, 9) AS p FROM g""")
 def sign_test(spark, sf_dir):
     rows = _verdicts(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("toxic") < F.col("low")).alias("wins"), F.count_if(F.col("toxic") > F.col("low")).alias("losses"))
-    return rows.withColumn("p", statistics.exact_sign_p("wins", "losses"))
+    return rows.withColumn("p", F.round(statistics.exact_sign_p("wins", "losses"), 9))
 
 
 # --- intervals ---------------------------------------------------------------------------------------------------
@@ -509,16 +528,22 @@ def context_window(spark, sf_dir):
     return out.select("conv_id", "turn", F.when(F.size("before") > 0, F.array_join("before", ",")).alias("before"), F.when(F.size("after") > 0, F.array_join("after", ",")).alias("after"))
 
 
-@query()
+@query(f"""WITH {_SPANS}, e AS (SELECT user_id, start AS t, CASE WHEN event_type <> 'click' THEN 1 ELSE 0 END AS l, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS r FROM spans
+  UNION ALL SELECT user_id, "end", CASE WHEN event_type <> 'click' THEN -1 ELSE 0 END, CASE WHEN event_type = 'click' THEN -1 ELSE 0 END FROM spans),
+g AS (SELECT user_id, t, sum(l) AS l, sum(r) AS r FROM e GROUP BY ALL), c AS (SELECT user_id, t AS start, lead(t) OVER w AS "end", sum(l) OVER w AS l, sum(r) OVER w AS r FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+k AS (SELECT *, CASE WHEN start = lag("end") OVER (PARTITION BY user_id ORDER BY start) THEN 0 ELSE 1 END AS b FROM c WHERE l > 0 AND r = 0), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY start) AS n FROM k)
+SELECT user_id, round(min(start), 3) AS start, round(max("end"), 3) AS "end" FROM i GROUP BY user_id, n""")
 def interval_subtract(spark, sf_dir):
     rows = spans(spark, sf_dir)
-    return intervals.subtract(rows.filter("event_type <> 'click'"), rows.filter("event_type = 'click'"), ["user_id"])
+    return intervals.subtract(rows.filter("event_type <> 'click'"), rows.filter("event_type = 'click'"), ["user_id"]).select("user_id", *_r("start", "end"))
 
 
-@query()
+@query("""WITH n AS (SELECT doc_id, n_chars / 10 AS e, greatest(1, ceil((n_chars / 10 - 30) / 20) + 1)::BIGINT AS n FROM documents), w AS (SELECT *, unnest(range(0, n)) AS i FROM n)
+SELECT doc_id, i AS "window", round(20e0 * i, 6) AS w_start, round(least(20e0 * i + 30, e), 6) AS w_end, round(CASE WHEN i = 0 THEN 0e0 ELSE 20e0 * i + 5 END, 6) AS own_start, round(CASE WHEN i = n - 1 THEN e ELSE 20e0 * i + 25 END, 6) AS own_end FROM w""")
 def overlap_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0.0).alias("start"), (F.col("n_chars") / 10).alias("end"))
-    return intervals.windows(rows, 30, 20)
+    ends = ("w_start", "w_end", "own_start", "own_end")
+    return intervals.windows(rows, 30, 20).select("doc_id", long(F.col("window")).alias("window"), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ends))
 
 
 # --- selection ---------------------------------------------------------------------------------------------------
@@ -569,7 +594,13 @@ def seeded_page(spark, sf_dir):
     return selection.seeded_page(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "page", None, 25).select("doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, n_chars / 200 AS l FROM documents),
+o AS (SELECT source, doc_id, l, row_number() OVER (PARTITION BY source ORDER BY r * 100.0, r * 100.0 + l, doc_id) AS k FROM i WHERE (r * 100.0 + l) - r * 100.0 BETWEEN 0.02 AND 29.5),
+p AS (SELECT source, 0::BIGINT AS k, NULL::BIGINT AS doc_id, 0::BIGINT AS pack, 0.0::DOUBLE AS t_start, 0.0::DOUBLE AS t_end, true AS fresh FROM (SELECT DISTINCT source FROM o)
+  UNION ALL SELECT source, k, doc_id, pack, begin_, greatest(round(ceil((begin_ + l) / 0.02 - 1e-9) * 0.02, 2), round(begin_ + 0.02, 2)), false FROM (
+    SELECT o.source, o.k, o.doc_id, o.l, p.pack + (NOT fresh AND t_end + 0.4 + o.l > 29.5)::BIGINT AS pack,
+      CASE WHEN fresh OR t_end + 0.4 + o.l > 29.5 THEN 0.0 ELSE round(floor((t_end + 0.4) / 0.02 + 1e-9) * 0.02, 2) END AS begin_ FROM p JOIN o ON o.source IS NOT DISTINCT FROM p.source AND o.k = p.k + 1))
+SELECT source, doc_id, pack, round(t_start, 2) AS t_start, round(t_end, 2) AS t_end FROM p WHERE k > 0""")
 def pack_rows(spark, sf_dir):
     w = Window.partitionBy("source").orderBy("doc_id")
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", (F.row_number().over(w) * 100.0).alias("start"), (F.row_number().over(w) * 100.0 + F.col("n_chars") / 200).alias("end"))
@@ -582,7 +613,11 @@ def diverse_topk(spark, sf_dir):
     return selection.diverse_top(rows, "doc_id", "score", ["lang", "source"], 100)
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, source || ':' || (doc_id % 7) AS speaker, n_chars / 10 AS seconds FROM documents), t AS (SELECT sum(seconds) AS total FROM d),
+o AS (SELECT speaker, s, row_number() OVER (ORDER BY md5(speaker || '|split'), speaker) AS k FROM (SELECT speaker, sum(seconds) AS s FROM d WHERE speaker IS NOT NULL GROUP BY speaker) WHERE s >= 10),
+p AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS speaker, 0.0::DOUBLE AS now, false AS taken UNION ALL
+  SELECT o.k, o.speaker, CASE WHEN (now + s) / total <= 0.22 THEN now + s ELSE now END, (now + s) / total <= 0.22 FROM p JOIN o ON o.k = p.k + 1, t WHERE now / total < 0.2)
+SELECT doc_id, CASE WHEN speaker IN (SELECT speaker FROM p WHERE taken) THEN 'validation' ELSE 'train' END AS split FROM d""")
 def speaker_split(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws(":", "source", F.col("doc_id") % 7).alias("speaker"), (F.col("n_chars") / 10).alias("seconds"))
     return selection.speaker_split(rows, "lang", "speaker", "seconds", ["xx"], "split", floor=10.0).select("doc_id", "split")
@@ -601,9 +636,19 @@ def cer_pair(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(distance.cer(plain("after_text"), plain("before_text")), 9).alias("cer"))
 
 
-@query()
+#: Token edit distances: anti-diagonal by anti-diagonal, each one made of the two before it.
+_DIAGONALS = """WITH RECURSIVE w AS (SELECT conv_id, turn, coalesce(regexp_extract_all(lower(strip_accents(lag(text) OVER (PARTITION BY conv_id ORDER BY turn))), '[\\p{L}\\p{N}_]+'), []) AS r,
+  regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+') AS h FROM conversations),
+dp AS (SELECT conv_id, turn, r, h, 0 AS s, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1000000 END) AS a, list_transform(range(0, len(r) + 1), lambda i: 1000000) AS b FROM w
+  UNION ALL SELECT conv_id, turn, r, h, s + 1, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN s + 1 - i < 0 OR s + 1 - i > len(h) THEN 1000000 WHEN i = 0 THEN s + 1 WHEN s + 1 = i THEN i
+    ELSE least(a[i] + 1, a[i + 1] + 1, b[i] + CASE WHEN r[i] = h[s + 1 - i] THEN 0 ELSE 1 END) END), a FROM dp WHERE s < len(r) + len(h)),
+e AS (SELECT conv_id, turn, len(r) AS n, len(h) AS m, a[len(r) + 1] AS d FROM dp WHERE s = len(r) + len(h))
+"""
+
+
+@query(_DIAGONALS + "SELECT conv_id, turn, round(CASE WHEN n > 0 THEN d / n WHEN m > 0 THEN 1.0 ELSE 0.0 END, 9) AS wer FROM e")
 def wer_pair(spark, sf_dir):
-    return edits(spark, sf_dir).select("conv_id", "turn", distance.wer(F.col("after_text"), F.col("before_text")).alias("wer"))
+    return edits(spark, sf_dir).select("conv_id", "turn", F.round(distance.wer(F.col("after_text"), F.col("before_text")), 9).alias("wer"))
 
 
 def _turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -616,6 +661,13 @@ def sdi_ops(spark, sf_dir):
     return rows.select("conv_id", "turn", "c.*")
 
 
+@query(_DIAGONALS + "SELECT conv_id, turn, d::BIGINT AS errors, n::BIGINT AS n, (m - n)::BIGINT AS longer FROM e")
+def alignment_errors(spark, sf_dir):
+    """What the operations of an alignment add up to: the edit distance, and the difference of the lengths."""
+    rows = _turn_tokens(spark, sf_dir).withColumn("c", alignment.op_counts(alignment.align_ops("ref", "hyp")))
+    return rows.select("conv_id", "turn", (F.col("c.s") + F.col("c.d") + F.col("c.i")).alias("errors"), "c.n", (F.col("c.i") - F.col("c.d")).alias("longer"))
+
+
 @query()
 def msa_vote(spark, sf_dir):
     rows = _turn_tokens(spark, sf_dir).withColumn("third", F.array_union("ref", "hyp")).withColumn("columns", alignment.progressive_udf("ref", "hyp", "third"))
@@ -640,29 +692,40 @@ def kneser_ney(spark, sf_dir):
     return out.withColumn("p", F.round("p", 9))
 
 
-@query("""WITH w AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')) AS token FROM benchmark) WHERE regexp_full_match(token, '[a-z]{4,9}')), t AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS term FROM part),
-d AS (SELECT token, term, levenshtein(token, term) AS d FROM w, t WHERE abs(length(token) - length(term)) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, term) AS k, lead(d) OVER (PARTITION BY token ORDER BY d, term) AS second FROM d WHERE d <= 2)
+@query("""WITH w AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')) AS token FROM benchmark)), t AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS term FROM part),
+d AS (SELECT token, term, levenshtein(regexp_replace(token, '[^a-z0-9_]', '~', 'g'), term) AS d FROM w, t WHERE abs(length(token) - length(term)) <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, term) AS k, lead(d) OVER (PARTITION BY token ORDER BY d, term) AS second FROM d WHERE d <= 3)
 SELECT token, term, d::BIGINT AS distance, second::BIGINT AS second FROM r WHERE k = 1""")
 def fuzzy_nearest(spark, sf_dir):
-    tokens = table(spark, sf_dir, "benchmark").select(F.explode(text.word_tokens(F.col("text"))).alias("token")).filter("token RLIKE '^[a-z]{4,9}$'")
+    tokens = table(spark, sf_dir, "benchmark").select(F.explode(text.word_tokens(F.col("text"))).alias("token"))
     terms = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
     return language.fuzzy_nearest(tokens, terms).select("token", "term", long(F.col("distance")).alias("distance"), long(F.col("second")).alias("second"))
 
 
-@query()
+@query(f"""WITH {_SPANS}, c AS (SELECT event_id, user_id, start AS a, "end" AS b FROM spans WHERE event_type = 'click'), o AS (SELECT user_id, event_type AS speaker, start AS x, "end" AS y FROM spans WHERE event_type <> 'click'),
+j AS (SELECT c.event_id, a, b, speaker, x, y, x BETWEEN a AND b OR y BETWEEN a AND b OR (x <= a AND y >= b) AS touches, x <= a AND y >= b AS holds, row_number() OVER (PARTITION BY event_id, speaker ORDER BY x, y) AS i FROM c JOIN o USING (user_id)),
+m AS (SELECT *, coalesce(max(i) FILTER (WHERE holds) OVER (PARTITION BY event_id, speaker), 1) AS since, bool_or(holds) OVER (PARTITION BY event_id, speaker) AS holder, sum(touches::INT) OVER (PARTITION BY event_id) AS n FROM j),
+s AS (SELECT event_id, speaker, arg_min(CASE WHEN holds THEN 0.0 ELSE sqrt((x - a) ** 2 + (y - b) ** 2) END, (abs(x - a) + abs(y - b), i)) AS drift FROM m WHERE holder AND i >= since GROUP BY ALL),
+b AS (SELECT event_id, arg_min(speaker, (drift, speaker)) AS speaker, min(drift) AS drift, count(*) AS k FROM s GROUP BY event_id), d AS (SELECT event_id, any_value(speaker) AS speaker FROM m WHERE n = 1 AND touches GROUP BY event_id)
+SELECT u.event_id, coalesce(d.speaker, b.speaker) AS speaker, round(CASE WHEN d.speaker IS NOT NULL THEN 0.0 ELSE b.drift END, 3) AS drift, CASE WHEN d.speaker IS NOT NULL THEN 'direct' WHEN b.k = 1 THEN 'single' WHEN b.k > 1 THEN 'guess' ELSE 'drop' END AS branch
+FROM (SELECT DISTINCT event_id FROM j) u LEFT JOIN d USING (event_id) LEFT JOIN b USING (event_id)""")
 def speaker_assignment(spark, sf_dir):
     """Each click of a user against the user's other segments, which overlap, contain or miss it."""
     items, others = _items(spark, sf_dir)
     segments = others.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("speaker"), F.col("r_start").alias("start"), F.col("r_end").alias("end")))).alias("segs"))
-    rows = items.join(segments, "user_id").withColumn("x", matching.best_speaker_udf("segs", "start", "end", F.array(F.struct("start", "end"))))
-    return rows.select("event_id", "x.*")
+    rows = items.join(segments, "user_id").withColumn("x", matching.best_speaker(F.col("segs"), F.col("start"), F.col("end"), F.array(F.struct("start", "end"))))
+    return rows.select("event_id", "x.speaker", F.round("x.drift", 3).alias("drift"), "x.branch")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT doc_id, n_chars / 15 AS d, greatest(1, floor(n_chars / 15 / 7))::BIGINT AS last FROM documents), e AS (SELECT doc_id, d, last, 0.0::DOUBLE AS pos, 0::BIGINT AS i FROM n
+  UNION ALL SELECT doc_id, d, last, CASE WHEN 7 * least(last, floor((pos + 29.2) / 7)) + 0.3 >= pos + 5 THEN 7 * least(last, floor((pos + 29.2) / 7)) + 0.3 ELSE pos + 29.5 END, i + 1 FROM e WHERE d - pos > 29.5 + 1e-7),
+f AS (SELECT *, max(i) OVER (PARTITION BY doc_id) AS m, lag(pos) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM e), z AS (SELECT *, i = m AND i > 0 AND d - pos < 5 AS short, greatest(before + 5, d - 29.5) AS lo, least(before + 29.5, d - 5) AS hi FROM f),
+y AS (SELECT doc_id, d, i, CASE WHEN short AND lo <= hi THEN coalesce(list_extract(list_sort(list_transform(list_filter(list_transform(range(1, last + 1), lambda k: 7 * k + 0.3), lambda c: c BETWEEN lo AND hi), lambda c: {'far': abs(c - (lo + hi) / 2), 'c': c})), 1).c, (lo + hi) / 2) ELSE pos END AS pos
+  FROM z WHERE NOT (short AND d - before <= 29.5))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS piece, round(pos, 6) AS start, round(coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY i), d), 6) AS "end" FROM y""")
 def speech_cuts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 15).alias("d"))
     quiet = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("d") / 7).cast("int"))), lambda i: F.struct((i * 7.0).alias("start"), (i * 7.0 + 0.6).alias("end")))
-    return rows.select("doc_id", F.posexplode(matching.cut_udf("d", quiet)).alias("piece", "s")).select("doc_id", long(F.col("piece")).alias("piece"), "s.start", "s.end")
+    return rows.select("doc_id", F.posexplode(matching.cut_accumulating(F.col("d"), quiet)).alias("piece", "s")).select("doc_id", long(F.col("piece")).alias("piece"), F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"))
 
 
 @query()

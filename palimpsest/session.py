@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,3 +22,20 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only in local mode."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
+    shared(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -9,15 +9,47 @@ from palimpsest.functions import text
 from palimpsest.operators import language, matching
 
 
+def walked(segments, start, end, words, most=float("inf")):
+    """The rule of ``best_speaker``, one segment after another."""
+    holds = lambda s, w: s[1] <= w[0] and s[2] >= w[1]
+    touching = [s for s in segments if start <= s[1] <= end or start <= s[2] <= end or (s[1] <= start and s[2] >= end)]
+    if len(touching) == 1:
+        return touching[0][0], 0.0, "direct"
+    drifts = {}
+    for name in dict.fromkeys(s[0] for w in words for s in segments if holds(s, w)):
+        total = 0.0
+        for w in words:
+            own = [s for s in segments if s[0] == name]
+            now = own[0]
+            for s in own:
+                if holds(s, w) or abs(s[1] - w[0]) + abs(s[2] - w[1]) < abs(now[1] - w[0]) + abs(now[2] - w[1]):
+                    now = s
+            total += 0.0 if holds(now, w) else (now[1] - w[0]) ** 2 + (now[2] - w[1]) ** 2
+        drifts[name] = total**0.5
+    if not drifts:
+        return None, None, "drop"
+    name = min(drifts, key=drifts.get)
+    if len(drifts) == 1:
+        return name, drifts[name], "single"
+    return (name, drifts[name], "guess") if drifts[name] <= most else (None, None, "drop")
+
+
 def test_best_speaker(spark):
     segments = [("a", 0.0, 5.0), ("b", 4.0, 9.0), ("a", 10.0, 12.0)]
-    assert matching.best_speaker(segments, 1.0, 2.0, []) == ("a", 0.0, "direct")
-    assert matching.best_speaker(segments, 4.2, 4.8, [(4.2, 4.8)])[2] == "guess"
-    assert matching.best_speaker(segments, 9.5, 9.8, [(9.5, 9.8)]) == (None, None, "drop")
-    assert matching.best_speaker(segments, 3.0, 8.0, [(5.5, 6.0)]) == ("b", 0.0, "single")
+    rows = [(segments, 1.0, 2.0, []), (segments, 4.2, 4.8, [(4.2, 4.8)]), (segments, 9.5, 9.8, [(9.5, 9.8)]), (segments, 3.0, 8.0, [(5.5, 6.0)]), (segments, 1.0, 2.0, [(1.0, 1.5)]), ([], 0.0, 1.0, [(0.0, 0.5)])]
+    assert [walked(*r) for r in rows[:4:3]] == [("a", 0.0, "direct"), ("b", 0.0, "single")] and walked(*rows[1])[2] == "guess" and walked(*rows[2]) == (None, None, "drop")
+    rng = random.Random(9)
+    for _ in range(300):
+        some = [(rng.choice("abc"), float(x := rng.randrange(30)), float(x + rng.randrange(9))) for _ in range(rng.randrange(7))]
+        start = float(rng.randrange(30))
+        words = sorted((float(w := rng.randrange(30)), float(w + rng.randrange(3))) for _ in range(rng.randrange(4)))
+        rows.append((some, start, start + rng.randrange(6), words))
     kind = "segs array<struct<speaker:string,start:double,end:double>>, s double, e double, words array<struct<start:double,end:double>>"
-    row = spark.createDataFrame([(segments, 1.0, 2.0, [(1.0, 1.5)])], kind).select(matching.best_speaker_udf("segs", "s", "e", "words").alias("x")).first().x
-    assert (row.speaker, row.branch) == ("a", "direct")
+    for most in (float("inf"), 3.0):
+        out = spark.createDataFrame(rows, kind).coalesce(1).select(matching.best_speaker(F.col("segs"), F.col("s"), F.col("e"), F.col("words"), most).alias("x")).collect()
+        for row, got in zip(rows, out, strict=True):
+            want = walked(*row, most)
+            assert (got.x.speaker, got.x.branch) == (want[0], want[2]) and (want[1] is None or abs(got.x.drift - want[1]) < 1e-9)
 
 
 def test_assignment():
@@ -81,14 +113,30 @@ def test_terms(spark):
     assert (row.total, row.meetings, row.a, row.b) == (6, 2, 2, 4)
 
 
-def test_cuts():
+def test_cuts(spark):
     rng = random.Random(3)
-    for _ in range(100):
-        duration = rng.uniform(1, 200)
-        silences = [(a := rng.uniform(0, duration), a + rng.uniform(0, 1.5)) for _ in range(rng.randrange(20))]
-        pieces = matching.cut_accumulating(duration, silences)
+    rows = [(rng.uniform(1, 200), []) for _ in range(100)]
+    rows = [(d, [(a := rng.uniform(0, d), a + rng.uniform(0, 1.5)) for _ in range(rng.randrange(20))]) for d, _ in rows]
+    table = spark.createDataFrame(rows, "d double, q array<struct<start:double,end:double>>").coalesce(1)
+    for (duration, silences), row in zip(rows, table.select(matching.cut_accumulating(F.col("d"), F.col("q")).alias("p")).collect(), strict=True):
+        pieces = [tuple(p) for p in row.p]
         assert pieces[0][0] == 0 and pieces[-1][1] == duration and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
         assert all(b - a <= 29.5 + 1e-6 for a, b in pieces) and (len(pieces) == 1 or all(b - a >= 5 - 1e-6 for a, b in pieces))
+        middles = [(a + b) / 2 for a, b in silences if b - a >= 0.5]
+        voiced = lambda a, b: b - a - sum(max(0.0, min(b, y) - max(a, x)) for x, y in silences)  # noqa: B023, E731
+        for a, b in pieces[:-2]:  # all cuts before the last are the last good silence in reach
+            reach = [c for c in middles if a + 5 <= c <= a + 29.5]
+            assert abs(b - max([c for c in reach if voiced(a, c) >= 2.5] or reach or [a + 29.5])) < 1e-9
+
+
+def test_choices_beyond_the_best_by_score(spark):
+    """One combination of values holds all the best rows by score, far more than are taken; rows of others are taken all the same."""
+    from palimpsest.operators import selection
+
+    rows = [(i, 1.0 - i / 10_000, "x") for i in range(500)] + [(1000 + i, 0.5, f"y{i}") for i in range(5)]
+    table = spark.createDataFrame(rows, "id int, s double, f string")
+    out = selection.diverse_top(table, "id", "s", ["f"], 10).collect()
+    assert {r.id for r in out} >= {1000, 1001, 1002, 1003, 1004} and [r.rank for r in sorted(out, key=lambda r: r.rank)] == list(range(1, 11))
 
 
 def test_ceiling_choice(spark):

@@ -193,8 +193,11 @@ def test_statistics(spark):
     data = spark.createDataFrame([(c, c + rng.randrange(3), c, 20) for c in range(12) for _ in range(3)], "c int, a int, b int, n int")
     ci = statistics.cluster_bootstrap(data, "c", "a", "b", "n", draws=1000).first()
     assert ci.low <= ci.delta <= ci.high and ci.n_clusters == 12
-    assert statistics.wild_cluster_p(np.zeros(5), np.ones(5))["p"] == 1.0
-    assert statistics.wild_cluster_p(np.full(12, 2.0) + np.arange(12) / 10, np.full(12, 10.0), draws=999)["p"] < 0.01
+    rows = [("none", i, 0, 0, 1) for i in range(5)] + [("much", i, 20 + i, 0, 100) for i in range(12)] + [("equal", i, 2, 0, 4) for i in range(6)]
+    out = {r.h: r for r in statistics.wild_cluster_test(spark.createDataFrame(rows, "h string, c int, a int, b int, n int"), "h", "c", "a", "b", "n", draws=999).collect()}
+    assert out["none"].p == 1.0 and out["much"].p < 0.01 and out["equal"].p == 0.001 and out["equal"].se == 0
+    d = np.arange(12) + 20.0
+    assert abs(out["much"].se - np.sqrt(((d - d.sum() / 1200 * 100) ** 2).sum()) / 1200) < 1e-9
 
 
 def test_label_replay(spark):
