@@ -145,7 +145,39 @@ def ingest_classify(spark, sf_dir):
     return edits(spark, sf_dir).select("conv_id", "turn", row["ingest_category"].alias("category"))
 
 
-@query()
+_CAPS = "Α-ΡΣ-ΫΆΈ-ΊΌΎΏ"
+
+
+def _form_sql(side: str, x: str) -> str:
+    """The forms of one side of an edit that its category is told by."""
+    canon = f"trim(regexp_replace(translate(strip_accents(lower({x})), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+    return f"""trim({x}) AS {side}bare, {canon} AS {side}canon, trim(regexp_replace(regexp_replace(lower(trim({x})), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS {side}flat, list_filter(string_split({canon}, ' '), lambda t: t <> '') AS {side}words,
+  regexp_extract_all({x}, '[0-9]+') AS {side}digits, regexp_extract_all({x}, '[{_CAPS}]{{2,}}') AS {side}caps, list_filter(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_matches(t, '^[{_CAPS}].')) AS {side}names"""
+
+
+def _beyond_sql(a: str, b: str) -> str:
+    """Words of ``a`` that it has more often than ``b``, the later ones of each."""
+    return f"list_transform(list_filter(range(1, len({a}) + 1), lambda i: len(list_filter({a}[1:i], lambda y: y = {a}[i])) > len(list_filter({b}, lambda y: y = {a}[i]))), lambda i: {a}[i])"
+
+
+def _sound_sql(words: str) -> str:
+    steps = "w"
+    for x, y in (("αι", "ε"), ("ει", "ι"), ("οι", "ι"), ("υι", "ι"), ("[ηιυ]", "ι"), ("ω", "ο")):
+        steps = f"regexp_replace({steps}, '{x}', '{y}', 'g')"
+    return f"list_transform(list_transform({words}, lambda w: {steps}), lambda v: array_to_string(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN i > 1 AND substr(v, i, 1) = substr(v, i - 1, 1) THEN '' ELSE substr(v, i, 1) END), ''))"
+
+
+_CATEGORIES = f"""{_EDITS}, forms AS (SELECT *, {_form_sql('b_', 'before_text')}, {_form_sql('a_', 'after_text')} FROM edits),
+beyond AS (SELECT *, {_beyond_sql('b_words', 'a_words')} AS b_only, {_beyond_sql('a_words', 'b_words')} AS a_only FROM forms),
+categories AS (SELECT *, CASE
+  WHEN b_canon = a_canon THEN CASE WHEN b_bare = a_bare THEN 'no_change' WHEN b_flat = a_flat THEN 'punctuation_capitalization' WHEN strip_accents(b_flat) = strip_accents(a_flat) THEN 'accent_tonos' WHEN translate(b_flat, 'ς', 'σ') = translate(a_flat, 'ς', 'σ') THEN 'final_sigma' ELSE 'accent_tonos' END
+  WHEN b_digits <> a_digits THEN 'number_date' WHEN len(list_filter(a_caps, lambda x: NOT list_contains(b_caps, x))) > 0 THEN 'acronym_abbreviation' WHEN replace(b_canon, ' ', '') = replace(a_canon, ' ', '') THEN 'word_boundary'
+  WHEN len(list_filter(a_names, lambda x: NOT list_contains(b_names, x))) > 0 THEN 'named_entity' WHEN len(a_words) <> len(b_words) AND (len(b_only) = 0 OR len(a_only) = 0) THEN 'insertion_deletion'
+  WHEN len(b_only) > 0 AND len(b_only) = len(a_only) AND {_sound_sql('b_only')} = {_sound_sql('a_only')} THEN 'homophone'
+  WHEN len(b_only) > 0 AND len(b_only) = len(a_only) AND list_transform(b_only, lambda w: left(w, 3)) = list_transform(a_only, lambda w: left(w, 3)) THEN 'morph_grammar' ELSE 'other_lexical' END AS category FROM beyond)"""
+
+
+@query(f"WITH {_CATEGORIES} SELECT conv_id, turn, category FROM categories")
 def error_categorise(spark, sf_dir):
     return edits(spark, sf_dir).select("conv_id", "turn", classify.error_category(F.col("before_text"), F.col("after_text")).alias("category"))
 
@@ -805,11 +837,16 @@ def session_windows(spark, sf_dir):
 
 # --- the flagship ------------------------------------------------------------------------------------------------
 
-@query()
+_ASCII = "regexp_replace(translate({0}, 'ßœæøðþ', 'SOAEDT'), '[^ -~]', '~', 'g')"
+
+
+@query(f"""WITH {_CATEGORIES}, c AS (SELECT conv_id, coalesce(min(turn) FILTER (WHERE edited_by = 'user') < max(turn) FILTER (WHERE edited_by = 'assistant'), false) AS tu FROM edits GROUP BY conv_id)
+SELECT edited_by, category, count(*) AS n, round(sum(levenshtein({_ASCII.format('a_canon')}, {_ASCII.format('b_canon')})) / nullif(sum(length(b_canon)), 0), 9) AS cer, round(avg(tu::INT), 9) AS human_ended FROM categories JOIN c USING (conv_id) GROUP BY edited_by, category""")
 def correction_report(spark, sf_dir):
     """Edits by editor and error category: number, character error rate over all of them, share of chains that a person ended."""
     rows = edits(spark, sf_dir)
     ends = chains.reconstruct(rows, "conv_id", ("turn",), machine="user", human="assistant").select("conv_id", "task_then_user")
     rows = rows.join(ends, "conv_id").withColumn("category", classify.error_category(F.col("before_text"), F.col("after_text")))
     a, b = text.canonical(F.col("after_text")), text.canonical(F.col("before_text"))
-    return rows.groupBy("edited_by", "category").agg(F.count(F.lit(1)).alias("n"), statistics.micro_rate(F.levenshtein(a, b), F.length(b)).alias("cer"), F.avg(F.col("task_then_user").cast("double")).alias("human_ended"))
+    rate = statistics.micro_rate(F.levenshtein(a, b), F.length(b))
+    return rows.groupBy("edited_by", "category").agg(F.count(F.lit(1)).alias("n"), F.round(rate, 9).alias("cer"), F.round(F.avg(F.col("task_then_user").cast("double")), 9).alias("human_ended"))

@@ -684,3 +684,46 @@ def review_buckets(spark, sf_dir):
     reason = classify.post_edit_reason(F.lit("x"), out, a * 10, F.lit(10), F.when(words == 0, 1).otherwise(words))
     rows = table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", classify.review_bucket(F.when(k % 8 != 0, a), b, k % 9 == 0).alias("bucket"), reason.alias("reason"))
+
+
+def _slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of texts that differ by one slip of each kind, of the first words of the documents in Greek letters."""
+    t = F.regexp_replace(greek(F.col("text")), r"[^α-ωa-z ]+", " ")
+    words = F.slice(F.filter(F.split(t, " "), lambda w: F.length(w) > 3), 1, 6)
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter("size(w) >= 4").withColumn("b", F.array_join("w", " "))
+    kind = F.col("doc_id") % 9
+    first, rest = F.get("w", F.lit(0)), F.array_join(F.slice("w", F.lit(2), F.size("w")), " ")
+    after = (
+        F.when(kind == 0, F.col("b")).when(kind == 1, F.concat("b", F.lit("!"))).when(kind == 2, F.concat(F.lit("ά"), F.col("b"))).when(kind == 3, F.concat("b", F.lit(" 12")))
+        .when(kind == 4, F.concat(first, rest)).when(kind == 5, rest).when(kind == 6, F.concat(F.lit("ΔΕΗ "), F.col("b"))).when(kind == 7, F.concat(F.left(first, F.lit(3)), F.lit("ξξξ "), rest)).otherwise(F.concat(F.lit("Αθηνα "), rest))
+    )
+    before = F.when(kind == 2, F.concat(F.lit("α"), F.col("b"))).otherwise(F.col("b"))
+    return rows.select("doc_id", kind.alias("kind"), before.alias("before"), after.alias("after"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace({_GREEK_SQL}, '[^α-ωa-z ]+', ' ', 'g'), ' '), lambda x: length(x) > 3)[1:6] AS w FROM documents)
+SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'no_change' WHEN 1 THEN 'punctuation_capitalization' WHEN 2 THEN 'accent_tonos' WHEN 3 THEN 'number_date' WHEN 4 THEN 'word_boundary' WHEN 5 THEN 'insertion_deletion' WHEN 6 THEN 'acronym_abbreviation'
+  WHEN 7 THEN CASE WHEN left(w[1], 3) || 'ξξξ' = w[1] THEN 'no_change' ELSE 'morph_grammar' END ELSE 'named_entity' END AS category FROM w WHERE len(w) >= 4""")
+def slip_categories(spark, sf_dir):
+    """Each planted slip is told by its category."""
+    return _slips(spark, sf_dir).select("doc_id", classify.error_category(F.col("before"), F.col("after")).alias("category"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace({_GREEK_SQL}, '[^α-ωa-z ]+', ' ', 'g'), ' '), lambda x: length(x) > 3)[1:6] AS w FROM documents)
+SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'punctuation_capitalization' WHEN 2 THEN 'accent_tonos' WHEN 4 THEN 'word_boundary' ELSE '' END AS labels FROM w WHERE len(w) >= 4 AND doc_id % 9 < 5""")
+def slip_labels(spark, sf_dir):
+    """The labels that rules alone are sure of."""
+    return _slips(spark, sf_dir).filter("kind < 5").select("doc_id", F.array_join(classify.mechanical_labels(F.col("before"), F.col("after")), ",").alias("labels"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT lang, source, doc_id, 1 / (1 + abs(n_chars - 2000) / 1000.0) AS s FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY s DESC, doc_id) AS r FROM g) SELECT doc_id, r FROM t WHERE r <= 3""")
+def greedy_heads(spark, sf_dir):
+    """The only rows that a greedy choice of three can take: the best three of each combination."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (1 / (1 + F.abs(F.col("n_chars") - 2000) / 1000.0)).alias("score"), "lang", "source")
+    few = selection.heads(rows, "doc_id", "score", ["lang", "source"], 3)
+    place: dict = {}
+    out = []
+    for r in few:
+        place[r["lang"], r["source"]] = place.get((r["lang"], r["source"]), 0) + 1
+        out.append((r["doc_id"], place[r["lang"], r["source"]]))
+    return spark.createDataFrame(out, "doc_id long, r long")
