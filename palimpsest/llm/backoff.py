@@ -1,6 +1,10 @@
 """Stupid-backoff language-model scores against counts over the whole corpus.
 
-Texts are taken in chunks. A chunk sends each of its distinct n-grams once, with its count in the
+``score_rows`` states the scores as tables of rows: n-gram counts by hash, what each n-gram that counts adds to a
+score, the exploded n-grams joined to that, and sums per document. ``score``, which the query uses, does the same work on
+arrays, since rows of one n-gram each take several times the disk (figures are in the README).
+
+Texts are taken in chunks there. A chunk sends each of its distinct n-grams once, with its count in the
 chunk, to the bucket of the n-gram's hash; a bucket adds up what all chunks send, which is its
 part of the count table, and joins the sums back to the n-grams each chunk sent. The chunk,
 met again as word numbers, then looks every n-gram of its texts up and adds the scores up by
@@ -17,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_parts
+from .common import WORD_GAP, checkpoint, let, shuffle_parts, stored
 from .shingles import blocks, mix64, words
 
 #: Longest n-gram of the query, the factor for each shorter one, and the count from which an n-gram is in the model.
@@ -235,3 +239,51 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
     total = scored.agg(F.sum("n_words")).first()[0] or 1  # one row
     log_score = F.when(F.col("n_words") > 0, F.col("log_sum") - F.col("n_unigram") * F.lit(math.log(total)))
     return scored.select(F.col("doc_id").alias(key), "n_words", "n_top", "n_unigram", log_score.alias("log_score"), (log_score / F.col("n_words")).alias("score"))
+
+
+def _exploded(words: Column, n: int) -> Column:
+    """Structs (h, context, rest, middle) for the n-grams of a word array: hashes of all n words, without the last, without the first, without both."""
+
+    def hashed(w: Column, i: Column, a: int, b: int) -> Column:
+        return F.xxhash64(F.lit(b - a), *(F.get(w, i + k) for k in range(a, b)))
+
+    def grams(w: Column) -> Column:
+        one = lambda i: F.struct(hashed(w, i, 0, n).alias("h"), hashed(w, i, 0, n - 1).alias("context"), hashed(w, i, 1, n).alias("rest"), hashed(w, i, 1, max(1, n - 1)).alias("middle"))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), one))
+
+    return let(words, grams)
+
+
+def score_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, alpha: float = ALPHA, least: int = LEAST_COUNT) -> DataFrame:
+    """``key``, n_words, n_top, n_unigram and log_score as ``score`` gives them, by DataFrame operations on rows of one n-gram each.
+
+    Where an n-gram counts, so do the shorter ones within it; a document's score is then that of its unigrams plus, for each of
+    its n-grams that counts, what the longer context changes. That change belongs to the n-gram, so the
+    exploded n-grams are joined to one table of changes by hash and summed per document. Counts are partial in each task; adaptive
+    execution splits a hot n-gram of the join. Nulls, empty texts, repeated rows and empty tables give what ``score`` gives."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(whole).alias("tie"), F.filter(F.split(whole, WORD_GAP), lambda w: w != "").alias("words"))
+    rows = stored(rows.withColumn("n_words", F.size("words").cast("long")))
+    once = rows.groupBy("doc_id", "tie").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))  # rows that repeat are scored once
+    total = rows.agg(F.sum("n_words")).first()[0] or 1  # one row
+    counts: list[DataFrame] = []
+    parts = None
+    for n in range(1, order + 1):
+        grams = once.select("doc_id", "tie", "copies", F.explode(_exploded(F.col("words"), n)).alias("g")).select("doc_id", "tie", "copies", "g.*")
+        asked = grams.groupBy("doc_id", "tie", "h").agg(F.count(F.lit(1)).alias("times"))
+        counts.append(stored(grams.groupBy("h").agg(F.sum("copies").alias("c"), *(F.first(c).alias(c) for c in ("context", "rest", "middle")))))
+        table = counts[-1]
+        if n == 1:
+            change = table.select("h", (F.log("c") - math.log(total)).alias("change"))
+        else:
+            of = lambda df, name: df.select(F.col("h").alias(name), F.col("c").alias(f"c_{name}"))
+            table = table.filter(F.col("c") >= least).join(of(counts[-2], "context"), "context").join(of(counts[-2], "rest"), "rest")
+            table = table.join(of(counts[-3], "middle"), "middle") if n > 2 else table.withColumn("c_middle", F.lit(total))
+            change = table.select("h", (F.log("c") - F.log("c_context") - F.log("c_rest") + F.log("c_middle") - math.log(alpha)).alias("change"))
+        told = asked.join(change, "h").groupBy("doc_id", "tie").agg(F.sum(F.col("change") * F.col("times")).alias("s"), F.sum("times").alias("t")).withColumn("n", F.lit(n))
+        parts = told if parts is None else parts.unionByName(told)
+    summed = parts.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.sum("s").alias("s"), F.sum(F.when(F.col("n") == order, F.col("t"))).alias("top"), F.sum(F.when(F.col("n") == 2, F.col("t"))).alias("two"))
+    out = rows.select("doc_id", "tie", "n_words").join(summed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
+    steps = F.greatest(F.lit(0), F.col("n_words") - order) * (order - 1) + F.least(F.col("n_words"), F.lit(order)) * (F.least(F.col("n_words"), F.lit(order)) - 1) / 2
+    top, two = F.coalesce("top", F.lit(0)).cast("long"), F.coalesce("two", F.lit(0)).cast("long")
+    return out.select(F.col("doc_id").alias(key), "n_words", top.alias("n_top"), (F.col("n_words") - two).alias("n_unigram"), F.when(F.col("n_words") > 0, F.col("s") + steps * math.log(alpha)).alias("log_score"))

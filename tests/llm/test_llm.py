@@ -596,6 +596,12 @@ def test_backoff_equals_brute_force(spark, docs, empty, order, monkeypatch):
     got = Counter((r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 4)) for r in backoff.score(docs, order=order).collect())
     assert got == want
     assert backoff.score(empty).count() == 0
+    if order > 1:  # as tables of rows
+        got = Counter((r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 4)) for r in backoff.score_rows(docs, order=order).collect())
+        assert got == want
+        facts = lambda df: Counter((r.doc_id, r.n_words, r.n_top, r.n_unigram) for r in df.collect())
+        assert facts(backoff.score_rows(docs, order=order)) == facts(backoff.score(docs, order=order))
+        assert backoff.score_rows(empty).count() == 0
 
 
 def test_the_backoff_query_scores_trigrams(spark, docs, tmp_path):
