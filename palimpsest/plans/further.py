@@ -727,3 +727,157 @@ def greedy_heads(spark, sf_dir):
         place[r["lang"], r["source"]] = place.get((r["lang"], r["source"]), 0) + 1
         out.append((r["doc_id"], place[r["lang"], r["source"]]))
     return spark.createDataFrame(out, "doc_id long, r long")
+
+
+# --- meeting documents, reports, samples -------------------------------------------------------------------------
+
+def _meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as one JSON document a meeting, and scanned again."""
+    path = scratch(spark, "meetings")
+    rows = table(spark, sf_dir, "conversations")
+    utterance = F.struct(
+        F.when(F.col("turn") % 7 != 6, F.concat_ws("-", "conv_id", "turn")).alias("id"), F.col("text"), F.col("turn").cast("double").alias("startTimestamp"),
+        (F.col("turn") + F.when(F.col("turn") % 4 == 3, 0.0).otherwise(0.5)).alias("endTimestamp"), F.when(F.col("role") == "user", F.lit("user")).alias("lastModifiedBy"))
+    segment = F.struct(F.concat(F.lit("tag-"), "role").alias("speakerTagId"), F.struct(F.col("role").alias("personId"), F.lit("seat").alias("label")).alias("speakerTag"), F.array(utterance).alias("utterances"))
+    people = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(f"Person {k}").alias("name"), F.lit("member").alias("role"), F.lit(None).cast("string").alias("party")) for k in ("user", "assistant")))
+    listed = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", segment.alias("s")))), lambda x: x["s"]).alias("transcript"))
+    city = F.concat(F.lit("city"), (F.col("conv_id") % 3).cast("string"))
+    meeting = F.struct(F.col("conv_id").cast("string").alias("id"), city.alias("cityId"), F.lit("m").alias("name"), F.lit("2025-01-01").alias("dateTime"), F.lit("u").alias("audioUrl"))
+    listed.select(meeting.alias("meeting"), F.struct((F.col("conv_id") % 2 == 0).alias("humanReview")).alias("taskStatus"), people.alias("people"), "transcript").write.json(path)
+    return spark.read.schema(readers.MEETING).json(path)
+
+
+_UTTERANCES = """u AS (SELECT 'city' || (conv_id % 3) AS city_id, conv_id::VARCHAR AS meeting_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, conv_id || '-' || turn AS utterance_id, text, role, turn % 4 = 3 AS empty
+  FROM conversations WHERE turn % 7 <> 6)"""
+
+
+@query(f"WITH {_UTTERANCES} SELECT city_id, meeting_id, seq, utterance_id, md5(text) AS text_md5, 'tag-' || role AS speaker_tag, CASE WHEN role IN ('user', 'assistant') THEN 'Person ' || role END AS speaker_name FROM u")
+def meeting_utterances(spark, sf_dir):
+    out = readers.utterances(_meetings(spark, sf_dir))
+    return out.select("city_id", "meeting_id", long(F.col("seq")).alias("seq"), "utterance_id", F.md5("text").alias("text_md5"), "speaker_tag", "speaker_name")
+
+
+@query(f"WITH {_UTTERANCES} SELECT utterance_id FROM u WHERE role <> 'user' AND NOT empty AND trim(text) <> ''")
+def untouched_utterances(spark, sf_dir):
+    return readers.never_edited(readers.utterances(_meetings(spark, sf_dir))).select("utterance_id")
+
+
+@query("SELECT 'city' || (conv_id % 3) AS city_id, conv_id::VARCHAR AS meeting_id, k AS person_id, 'Person ' || k AS name FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(['user', 'assistant']) AS k)")
+def meeting_people(spark, sf_dir):
+    return readers.people(_meetings(spark, sf_dir)).select("city_id", "meeting_id", "person_id", "name")
+
+
+@query("SELECT 'city' || (conv_id % 3) AS city_id, conv_id::VARCHAR AS meeting_id FROM conversations WHERE conv_id % 2 = 0 GROUP BY ALL")
+def reviewed_meetings(spark, sf_dir):
+    """Distinct meetings that a person has reviewed."""
+    return _meetings(spark, sf_dir).filter("taskStatus.humanReview").select(F.col("meeting.cityId").alias("city_id"), F.col("meeting.id").alias("meeting_id")).distinct()
+
+
+@query(f"""SELECT doc_id::VARCHAR AS item, CASE WHEN doc_id % 5 <> 0 THEN len(list_distinct({_WORDS}[1:20]))::BIGINT END AS agreed FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+def common_windows(spark, sf_dir):
+    """Benchmark windows for which both providers succeeded, and the tokens that both have."""
+    path = scratch(spark, "report")
+    said = lambda bad, extra: F.struct(F.when(F.col("doc_id") % bad == 0, "failed").otherwise("ok").alias("status"), F.concat_ws(" ", F.array_join("w", " "), F.lit(extra)).alias("hypothesisText"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(text.word_tokens(F.col("text")), 1, 20).alias("w"))
+    item = F.struct(F.col("doc_id").cast("string").alias("itemId"), F.create_map(F.lit("a"), said(5, "§first"), F.lit("b"), said(7, "§second")).alias("perProvider"))
+    rows.agg(F.collect_list(item).alias("items")).write.json(path)  # one report, as a benchmark run writes it
+    items = readers.common_items(readers.report_items(spark, path), ["a", "b"])
+    words = lambda p: F.filter(F.split(F.element_at("perProvider", p)["hypothesisText"], " "), lambda t: ~t.startswith("§") & (t != ""))
+    return items.select(F.col("itemId").alias("item"), long(F.size(readers.agreed_tokens([words("a"), words("b")]))).alias("agreed"))
+
+
+@query("""WITH p AS (SELECT doc_id, n_chars / 10000.0 AS s, md5(doc_id || '|5') AS m FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+a AS (SELECT doc_id FROM p WHERE s <= 0.2 ORDER BY m, doc_id LIMIT 30), b AS (SELECT doc_id FROM p WHERE s > 0.2 AND s <= 0.35 ORDER BY m, doc_id LIMIT 10) SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b""")
+def two_lane_sample(spark, sf_dir):
+    """Rows below a score, and an exploring share above it, none that is labelled already."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 10000).alias("s"))
+    return readers.sampled_rows(rows, "doc_id", 40, 5, "s", skip=table(spark, sf_dir, "labels")).select("doc_id")
+
+
+@query("""WITH a AS (SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY md5(concat(doc_id, '|sf')), doc_id LIMIT 20), b AS (SELECT doc_id FROM documents WHERE n_chars > 1500 AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY md5(concat(doc_id, '|sl')), doc_id LIMIT 30)
+SELECT doc_id, 'f' AS stratum FROM a UNION ALL SELECT doc_id, 'l' FROM b""")
+def strata_in_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return selection.strata_union(rows, "doc_id", [("f", F.col("lang") == "fr", 20), ("l", F.col("n_chars") > 1500, 30)], "s").select("doc_id", "stratum")
+
+
+@query("""WITH RECURSIVE g AS (SELECT source, sum(n_chars)::DOUBLE AS n FROM documents WHERE source IS NOT NULL GROUP BY source), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS k, sum(n) OVER () AS t FROM g),
+p AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS source, 0.0::DOUBLE AS now, false AS taken UNION ALL SELECT o.k, o.source, CASE WHEN now + n <= 0.3 * t THEN now + n ELSE now END, now + n <= 0.3 * t FROM p JOIN o ON o.k = p.k + 1)
+SELECT source FROM p WHERE taken""")
+def balanced_share(spark, sf_dir):
+    sums = table(spark, sf_dir, "documents").filter("source IS NOT NULL").groupBy("source").agg(F.sum("n_chars").cast("double").alias("n"))
+    return spark.createDataFrame([(k,) for k in selection.balanced_groups(sums, "source", "n", 0.3)], "source string")
+
+
+@query("SELECT c_custkey AS term, min(c_custkey) OVER (PARTITION BY c_custkey // 6) AS family FROM customer")
+def term_families(spark, sf_dir):
+    """Terms that share an alias, directly or over others: threes share one, and the first of each three shares another with the next three."""
+    key = F.col("c_custkey")
+    three = F.concat(F.lit("a"), F.floor(key / 3).cast("string"))
+    six = F.when(key % 3 == 1, F.concat(F.lit("b"), F.floor(key / 6).cast("string")))
+    edges = table(spark, sf_dir, "customer").select(key.alias("term"), F.explode(F.array_compact(F.array(three, six))).alias("alias"))
+    return selection.owners(edges, "alias", "term")
+
+
+@query(f"""WITH {_SPANS}, m0 AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY user_id, event_type ORDER BY start, "end", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS b FROM spans),
+m1 AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY start, "end", event_id) AS i FROM m0), own AS (SELECT user_id, event_type, min(start) AS s, max("end") AS e FROM m1 GROUP BY user_id, event_type, i),
+c AS (SELECT user_id, t AS s, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS e FROM (SELECT DISTINCT user_id, unnest([s, e]) AS t FROM own)),
+a AS (SELECT c.user_id, c.s, c.e, string_agg(DISTINCT o.event_type, '+' ORDER BY o.event_type) AS members FROM c JOIN own o ON o.user_id = c.user_id AND o.s < c.e AND o.e > c.s WHERE c.e IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, CASE WHEN lag(members) OVER w = members AND lag(e) OVER w = s THEN 0 ELSE 1 END AS b FROM a WINDOW w AS (PARTITION BY user_id ORDER BY s)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY s) AS i FROM n)
+SELECT user_id, members, round(min(s), 3) AS start, round(max(e), 3) AS "end" FROM r GROUP BY user_id, members, i""")
+def active_members(spark, sf_dir):
+    return intervals.active_sets(spans(spark, sf_dir), ["user_id"], "event_type", 14400).select("user_id", "members", *_r("start", "end"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, user_id, value - 10 AS s, lag(value - 10) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE s < 0 OR s < b")
+def disordered_segments(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("pos"), (F.col("value") - 10).alias("start"), (F.col("value") - 5).alias("end"))
+    return intervals.invalid_sequences(rows, ["user_id"]).select("event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE false")
+def exact_cover(spark, sf_dir):
+    """What windows own tiles every span: no tile begins where the one before does not end."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0.0).alias("start"), (F.col("n_chars") / 10).alias("end"))
+    return intervals.uncovered(intervals.windows(rows, 30, 20), ["doc_id"]).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 'drop' WHEN toxic = 0 THEN 'keep' ELSE 'drop' END AS decision FROM labels")
+def release_decisions(spark, sf_dir):
+    flagged = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("name"))).when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("email"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "labels").select("doc_id", language.final_decision(F.when(F.col("toxic") == 0, "safe").otherwise("unsure"), flagged, found).alias("decision"))
+
+
+@query("SELECT lr, rank, lr * rank AS score, round(lr * rank - 12, 9)::DOUBLE AS delta, rank % 3 <= 1 AS eligible FROM (SELECT unnest([1.0, 2.0, 4.0])::DOUBLE AS lr) a, (SELECT unnest([4, 8, 16])::BIGINT AS rank) b")
+def setting_board(spark, sf_dir):
+    """All combinations of settings as a leaderboard; those that regress too far are not eligible."""
+    from .experiments import grid, leaderboard
+
+    runs = grid(spark, lr=[1.0, 2.0, 4.0], rank=[4, 8, 16]).select("lr", long(F.col("rank")).alias("rank")).withColumns({"score": F.col("lr") * F.col("rank"), "worse": (F.col("rank") % 3).cast("double")})
+    return leaderboard(runs, "score", "worse", 12.0, 1.0).select("lr", "rank", "score", "delta", "eligible")
+
+
+@query(f"""WITH {_SPANS}, k AS (SELECT event_id % 4 AS shape, event_id FROM events)
+SELECT event_id, CASE shape WHEN 0 THEN 'ok' WHEN 1 THEN 'align_failed' WHEN 2 THEN 'suspect_cut_start' ELSE 'suspect_bleed_in' END AS status, round(CASE shape WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 1.4 END, 6)::DOUBLE AS start_off, round(CASE shape WHEN 0 THEN 3.5 WHEN 1 THEN 3.5 WHEN 2 THEN 3.5 ELSE 3.5 END, 6)::DOUBLE AS end_off FROM k""")
+def clip_boundaries(spark, sf_dir):
+    """Clips of four shapes: sound, without words, cut at the start, with speech before the first word."""
+    shape = F.col("event_id") % 4
+    word = lambda a: F.array(F.struct(F.lit("a").alias("text"), F.lit(a).alias("start"), F.lit(3.4).alias("end"), F.lit(0.9).alias("score")))
+    none, quiet = F.array().cast("array<struct<text:string,start:double,end:double,score:double>>"), F.array().cast("array<struct<start:double,end:double>>")
+    words = F.when(shape == 0, word(0.6)).when(shape == 1, none).when(shape == 2, word(0.1)).otherwise(word(1.5))
+    speech = F.when(shape == 3, F.array(F.struct(F.lit(0.6).alias("start"), F.lit(1.4).alias("end")))).otherwise(quiet)
+    rows = table(spark, sf_dir, "events").select("event_id", words.alias("w"), speech.alias("v"))
+    rows = rows.select("event_id", classify.boundary(F.col("w"), F.col("v"), F.lit(3.0), F.lit(4.0)).alias("b"))
+    return rows.select("event_id", "b.status", F.round("b.start_off", 6).alias("start_off"), F.round("b.end_off", 6).alias("end_off"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS}[1:30] AS w FROM documents WHERE len({_WORDS}) >= 3) SELECT doc_id, len(w) + 1 AS n, 3::BIGINT AS errors, false AS last_kept, true AS lost FROM w""")
+def edge_losses(spark, sf_dir):
+    """A reference and what a system makes of it: two words more in front, the last one lost."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("w")).filter("size(w) >= 3").select("doc_id", F.slice("w", 1, 30).alias("w"))
+    ref = F.concat("w", F.array(F.lit("§end")))
+    ops = rows.withColumn("o", alignment.align_ops(ref, F.concat(F.array(F.lit("§a"), F.lit("§b")), F.col("w"))))
+    counts = alignment.op_counts(F.col("o"))
+    lost = F.array_contains(alignment.deleted_places(F.col("o")), F.size("w")) | (F.element_at("o", -1)["op"] != "M")
+    return ops.select("doc_id", counts["n"].alias("n"), (counts["s"] + counts["d"] + counts["i"]).alias("errors"), (~alignment.edge_flags(F.col("o"))["last"]).alias("last_kept"), lost.alias("lost"))
