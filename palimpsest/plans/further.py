@@ -14,6 +14,8 @@ from palimpsest.functions import distance, scalars, sketches, text
 from palimpsest.operators import alignment, classify, fusion, guards, intervals, labels, language, matching, review, selection, statistics
 from palimpsest.sources import readers, writers
 
+from palimpsest.streaming import events as streams
+
 from .catalogue import _DELTAS, _EDITS, _SPANS, _r, _turn_tokens, _verdicts, drawn, edits, long, query, spans, table
 
 _GREEK = ("abgdezhiklmnoprstfxw", "αβγδεζηικλμνοπρστφχω")
@@ -881,3 +883,32 @@ def edge_losses(spark, sf_dir):
     counts = alignment.op_counts(F.col("o"))
     lost = F.array_contains(alignment.deleted_places(F.col("o")), F.size("w")) | (F.element_at("o", -1)["op"] != "M")
     return ops.select("doc_id", counts["n"].alias("n"), (counts["s"] + counts["d"] + counts["i"]).alias("errors"), (~alignment.edge_flags(F.col("o"))["last"]).alias("last_kept"), lost.alias("lost"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.read_events(spark, sf_dir, glob="events.parquet*")
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def streamed_windows(spark, sf_dir):
+    """The events as a stream, to the end: windows as ``tumbling_windows`` has them."""
+    out = streams.to_table(streams.windowed(_event_stream(spark, sf_dir), "6 hours", late="1000 days"), scratch(spark, "stream"), "complete")
+    return out.select("w_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id FROM events GROUP BY event_id")
+def streamed_distinct(spark, sf_dir):
+    """A stream in which each event comes twice, each once."""
+    twice = _event_stream(spark, sf_dir).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    return streams.to_table(streams.recent_distinct(twice, "event_id", "1000 days"), scratch(spark, "stream")).select("event_id")
+
+
+@query("SELECT user_id::VARCHAR AS user_id, max(event_id) AS last_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
+def streamed_labels(spark, sf_dir):
+    """Labels as state: each event sets its user's status."""
+    patches = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), F.col("event_id").alias("id"), F.create_map(F.lit("status"), F.col("event_type")).alias("patch"))
+    out = streams.to_table(streams.label_state(patches, "user_id"), scratch(spark, "stream"), "update")
+    newest = out.groupBy("user_id").agg(F.max("last_id").alias("last_id"), F.max_by("label", "last_id").alias("label"))
+    return newest.select("user_id", "last_id", F.get_json_object("label", "$.status").alias("status"))

@@ -82,6 +82,19 @@ def refreshed(compute: Callable[[], DataFrame], path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Everything available now, into a Parquet table below ``path``: what each batch gives is added; ``complete`` keeps the last batch alone, which has all rows.
+
+    With ``update`` a key has a row for each change: the newest one is its state. A batch that is repeated after a failure adds its rows again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything available now, into a memory table: for tests and small jobs."""
     spark = stream.sparkSession
