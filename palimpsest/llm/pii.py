@@ -46,6 +46,8 @@ _GUARDS: dict[str, Callable[[Column], Column]] = {
     "other": lambda t: t.rlike(r"@|[0-9](?:[^\x20\x09-\x0D0-9]*+[0-9]){3}"),
     "run": lambda t: t.rlike(r"[0-9][()./+-]*+\x20[(]*+[0-9]"),
 }
+#: Patterns broadcast at most, some 50 bytes each: a frequent one is then no hot key.
+BROADCAST_PATTERNS = 50_000
 _FOUND = "array<struct<start:int,kind:int,end:int,context:string,after:string,instance:string>>"
 _WORDS = r"[\x20\x09-\x0D]+"
 
@@ -199,7 +201,8 @@ def trusted_patterns(scan: DataFrame, rounds: int = 3, support: int = 5, trust:
 def discovered(scan: DataFrame, patterns: DataFrame) -> DataFrame:
     """(_id, _t, more): spans of the candidates by which a trusted pattern stands, for rows that have any; a candidate's kind is that of the most trusted."""
     occurrences = _occurrences(scan, "other").filter("x.context IS NOT NULL").select("_of", "_tie", "x.start", "x.end", F.explode(_families(F.col("x"))).alias("pattern"))
-    hits = occurrences.join(patterns, "pattern").groupBy("_of", "_tie", "start", "end").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("b"))
+    few = patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+    hits = occurrences.join(F.broadcast(patterns) if few else patterns, "pattern").groupBy("_of", "_tie", "start", "end").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("b"))
     spans = hits.groupBy("_of", "_tie").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("b.k")).alias("kind"), "end"))).alias("more"))
     return spans.select(F.col("_of").alias("_id"), F.col("_tie").alias("_t"), "more")
 
