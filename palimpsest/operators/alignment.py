@@ -256,6 +256,60 @@ def align_three_udf(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([align_three(*row) for row in _pairs((a, b, c))])
 
 
+def between_anchors(streams: list[list[str]], anchors: list[tuple[int, ...]], whole: Callable = align_three) -> list[list[str | None]]:
+    """Columns of three streams that are known to meet at ``anchors`` (their places, rising): a column for each, and what lies between aligned on its own."""
+    edges = [(-1,) * 3, *anchors, tuple(map(len, streams))]
+    out: list[list[str | None]] = []
+    for before, after in zip(edges[:-1], edges[1:], strict=True):
+        out += whole(*(x[p + 1 : q] for x, p, q in zip(streams, before, after, strict=True)))
+        if after is not edges[-1]:
+            out.append([x[q] for x, q in zip(streams, after, strict=True)])
+    return out
+
+
+@vector("string")
+def letter_vote(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    """The word that three spellings vote for letter by letter, aligned exactly; ties go to the first."""
+    out = []
+    for row in zip(a.fillna(""), b.fillna(""), c.fillna(""), strict=True):
+        word = ""
+        for x in align_three(*map(list, row)):
+            present = [t for t in x if t is not None]
+            if len(present) > 1:
+                word += max(present, key=lambda t: (present.count(t), t == x[0], -present.index(t)))
+        out.append(word)
+    return pd.Series(out)
+
+
+def _through(before: np.ndarray, hyp: list[int], ref: np.ndarray) -> np.ndarray:
+    """Edit costs to each prefix of ``ref`` after further hypothesis tokens, from those before them."""
+    steps = np.arange(len(before))
+    for t in hyp:
+        row = np.minimum(before + 1, np.concatenate([[before[0] + 1], before[:-1] + (ref != t)]))
+        before = np.minimum.accumulate(row - steps) + steps
+    return before
+
+
+def nbest_errors(chunks: list[list[list[str]]], ref: list[str]) -> int:
+    """Least edit distance to the reference of any text made of one hypothesis from each chunk's list, in order.
+
+    Costs to all prefixes pass through every hypothesis of a chunk, and the least of each goes on: no combination is spelled out."""
+    codes: dict[str, int] = {}
+    number = lambda ts: [codes.setdefault(t, len(codes)) for t in ts]
+    goal = np.array(number(ref), np.int64)
+    cost = np.arange(len(goal) + 1)
+    for hypotheses in chunks:
+        if hypotheses:
+            cost = np.min([_through(cost, number(h), goal) for h in hypotheses], axis=0)
+    return int(cost[-1])
+
+
+@vector("int")
+def nbest_errors_udf(chunks: pd.Series, ref: pd.Series) -> pd.Series:
+    """Arrays (chunks) of arrays (hypotheses) of tokens."""
+    return pd.Series([nbest_errors([[list(h) for h in c] for c in cs], list(r)) for cs, r in zip(chunks, ref, strict=True)])
+
+
 def progressive(streams: list[list[str]], order: tuple[int, ...]) -> list[list[str | None]]:
     """Columns built around the first stream of ``order``: each next one is aligned with the columns' words so far."""
     columns = [[None] * len(streams) for _ in streams[order[0]]]

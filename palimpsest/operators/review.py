@@ -155,3 +155,25 @@ def present_terms(terms: DataFrame, entries: DataFrame, keys: list[str], term: s
     """(keys, term): terms whose form is a word of one of the key's roster entries."""
     words = entries.select(*keys, F.explode(canonical_tokens(F.col(entry))).alias("_w")).distinct()
     return words.join(terms.select(F.col(term), canonical(F.col(term)).alias("_w")).distinct(), "_w").select(*keys, term).distinct()
+
+
+# Endings of surnames in other cases.
+SURNAME_ENDINGS = ("οπουλου", "ιδου", "ακου", "ακη", "ου")
+
+
+def other_case_of(token: Column, alias: Column, endings: tuple[str, ...] = SURNAME_ENDINGS) -> Column:
+    """Whether a token is likely another case of an alias: without one of the endings it is how the alias begins."""
+    out = F.lit(False)
+    for ending in endings:
+        stem = F.left(token, F.length(token) - len(ending))
+        out = out | (token.endswith(ending) & (stem != "") & alias.startswith(stem))
+    return out
+
+
+def reader_class(relation: Column, numeric: Column, protocol: Column, entity: Column, function_pair: Column) -> Column:
+    """What a difference is to a reader: artefacts first, then kinds of words that matter, then how the words are related."""
+    return (
+        F.when(relation == "alignment_artifact", "alignment_artifact").when(numeric, "numeric_identifier").when(protocol, "protocol_legal").when(entity, "named_entity")
+        .when(relation == "no_target", "no_target").when(relation == "phonemic_key_equivalent", "orthography_homophone")
+        .when(relation == "surface_suffix_neighbor", "morphology_suffix_neighbor").when(function_pair, "function_word_pair").otherwise("different_content_word")
+    )

@@ -912,3 +912,58 @@ def streamed_labels(spark, sf_dir):
     out = streams.to_table(streams.label_state(patches, "user_id"), scratch(spark, "stream"), "update")
     newest = out.groupBy("user_id").agg(F.max("last_id").alias("last_id"), F.max_by("label", "last_id").alias("label"))
     return newest.select("user_id", "last_id", F.get_json_object("label", "$.status").alias("status"))
+
+
+# --- cuts, votes and shards --------------------------------------------------------------------------------------
+
+@query("""WITH RECURSIVE n AS (SELECT doc_id, n_chars / 15e0 AS d, list_transform(range(1, greatest(2, floor(n_chars / 15e0 / 7)::BIGINT + 1)), lambda k: {'a': 7e0 * k, 'b': 7e0 * k + CASE WHEN k % 5 = 0 THEN 5.5e0 WHEN k % 3 = 0 THEN 0.3e0 ELSE 0.6e0 END}) AS q FROM documents),
+e AS (SELECT doc_id, d, q, 0e0 AS pos, 0::BIGINT AS i FROM n UNION ALL SELECT doc_id, d, q, coalesce(list_extract(list_reverse_sort(list_filter(c, lambda x: x.l >= 5)), 1).cut, list_extract(list_reverse_sort(list_filter(c, lambda x: x.l >= 0.5)), 1).cut, d), i + 1 FROM (
+  SELECT doc_id, d, q, i, list_filter(list_transform(q, lambda s: {'l': round(s.b - s.a, 9), 'e': -s.a, 'cut': CASE WHEN s.a >= pos AND s.a <= least(d, pos + 30) AND least((s.a + s.b) / 2, least(d, pos + 30)) > pos
+    THEN least((s.a + s.b) / 2, least(d, pos + 30)) END}), lambda x: x.cut IS NOT NULL) AS c FROM e WHERE d - pos > 30 + 1e-7))
+SELECT doc_id, i AS piece, round(pos, 6) AS start, round(coalesce(lead(pos) OVER w, d), 6) AS "end" FROM e WHERE d - pos > 1e-7 OR i = 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
+def silence_cuts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 15).alias("d"))
+    last = F.greatest(F.lit(1), F.floor(F.col("d") / 7).cast("int"))
+    quiet = F.transform(F.sequence(F.lit(1), last), lambda k: F.struct((k * 7.0).alias("start"), (k * 7.0 + F.when(k % 5 == 0, 5.5).when(k % 3 == 0, 0.3).otherwise(0.6)).alias("end")))
+    pieces = matching.cut_longest(F.col("d"), quiet)
+    return rows.select("doc_id", F.posexplode(pieces).alias("piece", "s")).select("doc_id", long(F.col("piece")).alias("piece"), F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"))
+
+
+@query(f"SELECT doc_id, w[1] AS word FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE length(w[1]) > 3")
+def letter_votes(spark, sf_dir):
+    """Two of three spellings lack different letters; the vote has them all."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.get(text.word_tokens(F.col("text")), F.lit(0)).alias("w")).filter("length(w) > 3")
+    lost = F.concat(F.left("w", F.lit(1)), F.lit("§"), F.substring(F.col("w"), F.lit(2), F.length("w")))
+    return words.select("doc_id", alignment.letter_vote(F.col("w"), lost, F.concat("w", F.lit("§"))).alias("word"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS errors FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 12")
+def nbest_oracle(spark, sf_dir):
+    """Two chunks with three hypotheses each, of which one is right; in a third of the rows a word is wrong in all of them."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("w")).filter("size(w) >= 12").select("doc_id", F.slice("w", 1, 12).alias("w"))
+    bad = F.transform("w", lambda t, i: F.when((i == 3) & (F.col("doc_id") % 3 == 0), F.lit("§wrong")).otherwise(t))
+    left, right = F.slice(bad, 1, 6), F.slice(bad, 7, 6)
+    odd = F.array(F.lit("§x"), F.lit("§y"))
+    chunks = F.array(F.array(odd, left, F.slice(left, 1, 3)), F.array(F.concat(right, odd), odd, right))
+    return rows.select("doc_id", alignment.nbest_errors_udf(chunks, F.col("w")).alias("errors"))
+
+
+@query("SELECT c_custkey, c_custkey % 4 < 2 AS same FROM customer")
+def surname_cases(spark, sf_dir):
+    pick = lambda *w: F.get(F.array(*map(F.lit, w)), (F.col("c_custkey") % 4).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", review.other_case_of(pick("παπαδοπουλου", "νικολαου", "νικολαου", "ου"), pick("παπαδακησ", "νικολαοσ", "γεωργιοσ", "ουρανοσ")).alias("same"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'alignment_artifact' WHEN event_id % 7 = 0 THEN 'numeric_identifier' WHEN event_id % 5 = 0 THEN 'protocol_legal' WHEN event_id % 3 = 0 THEN 'named_entity'
+  WHEN event_id % 4 = 0 THEN 'no_target' WHEN event_id % 4 = 1 THEN 'orthography_homophone' WHEN event_id % 4 = 2 THEN 'morphology_suffix_neighbor' WHEN event_id % 13 = 0 THEN 'function_word_pair' ELSE 'different_content_word' END AS class FROM events""")
+def reader_classes(spark, sf_dir):
+    n = F.col("event_id")
+    relation = F.when(n % 11 == 0, "alignment_artifact").otherwise(F.get(F.array(*map(F.lit, ("no_target", "phonemic_key_equivalent", "surface_suffix_neighbor", "unrelated_substitution"))), (n % 4).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", review.reader_class(relation, n % 7 == 0, n % 5 == 0, n % 3 == 0, n % 13 == 0).alias("class"))
+
+
+@query("SELECT count(*) AS n, count(*) AS ids, sum(n_chars)::BIGINT AS chars FROM documents")
+def shard_scan(spark, sf_dir):
+    """Two columns of all shards, each row with an id of its own."""
+    rows = readers.shard_rows(spark, f"{sf_dir}/documents.parquet", {"id": "doc_id", "size": F.col("n_chars")})
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.sum("size").alias("chars"))

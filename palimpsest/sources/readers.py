@@ -96,3 +96,12 @@ def sampled_rows(rows: DataFrame, key: str, n: int, seed: str, score: str | None
         return take(pool, n)
     few = int(n * explore)
     return take(pool.filter(F.col(score) <= threshold), n - few).unionByName(take(pool.filter((F.col(score) > threshold) & (F.col(score) <= upper)), few))
+
+
+def shard_rows(spark: SparkSession, paths: str | list[str], columns: dict[str, Column | str]) -> DataFrame:
+    """Rows of Parquet shards in one form: ``columns`` (name -> column) and ``row_id``, the file and the row's place in it.
+
+    Only the columns that are named are read; Spark deals row groups to tasks."""
+    rows = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    place = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
+    return rows.select(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()), place.alias("row_id"))

@@ -128,6 +128,31 @@ def test_align_three_is_exact():
         assert sum((x[0] != x[1]) + (x[0] != x[2]) + (x[1] != x[2]) for x in columns) == three_cost(a, b, c, {})
 
 
+def test_long_streams_in_a_narrow_band():
+    """A band that is too narrow at first is widened until the way is free of it; the columns are those of a band that holds all cells."""
+    rng = random.Random(14)
+    for _ in range(6):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(20, 40))]
+        b = [t for t in a if rng.random() > 0.2]
+        c = [x for t in a for x in ([t, rng.choice("abcd")] if rng.random() < 0.2 else [t])]
+        assert alignment.align_three(a, b, c, band=1) == alignment.align_three(a, b, c, band=200)
+        columns = alignment.between_anchors([a, b, a], [])
+        assert columns == alignment.align_three(a, b, a)
+    cut = alignment.between_anchors([list("axb"), list("xb"), list("aaxb")], [(1, 0, 2)])
+    assert ["x", "x", "x"] in cut and [[x[s] for x in cut if x[s] is not None] for s in range(3)] == [list("axb"), list("xb"), list("aaxb")]
+
+
+def test_least_errors_of_hypotheses():
+    from itertools import product
+
+    rng = random.Random(15)
+    for _ in range(60):
+        word = lambda n: [rng.choice("abc") for _ in range(rng.randrange(n))]
+        chunks, ref = [[word(4) for _ in range(rng.randrange(1, 4))] for _ in range(3)], word(9)
+        best = min(sum(o != "M" for o, _, _ in alignment.align(ref, [t for h in pick for t in h])) for pick in product(*chunks))
+        assert alignment.nbest_errors(chunks, ref) == best
+
+
 def test_best_choice_is_optimal():
     rng = random.Random(5)
     for _ in range(60):
