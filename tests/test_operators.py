@@ -302,6 +302,30 @@ def test_nulls_thresholds_and_picks(spark):
     assert sorted((r.item, r.null_item is None or np.isnan(r.null_item)) for r in selection.matched_null(items, ["k"], "k string", 1).collect()) == [(1, False), (4, True)]
 
 
+def test_changes_outside_spans_and_eligible_stretches(spark):
+    from palimpsest.operators import fusion
+
+    rng = random.Random(20)
+    stretches, spans_ = [], []
+    for k in "xyz":
+        at = 0.0
+        for _ in range(25):
+            at += rng.randrange(3)
+            end = at + rng.randrange(1, 5)
+            stretches.append((k, float(at), float(end), rng.randrange(1, 4)))
+            at = end
+        spans_ += [(k, float(a := rng.randrange(80)), float(a + rng.randrange(6))) for _ in range(6)]
+    df = spark.createDataFrame(stretches, "k string, start double, end double, n int")
+    out = {(r.k, r.t) for r in fusion.other_changes(df, spark.createDataFrame(spans_, "k string, start double, end double"), ["k"], 5.0).collect()}
+    want = set()
+    for k in "xyz":
+        own = [s for s in stretches if s[0] == k]
+        want |= {(k, (a[2] + b[1]) / 2) for a, b in zip(own, own[1:]) if not any(x[0] == k and x[1] <= (a[2] + b[1]) / 2 <= x[2] for x in spans_)}
+    assert out == want
+    kept = {(r.k, r.start) for r in fusion.eligible(df, 1.2).collect()}
+    assert kept == {(k, a) for k, a, b, n in stretches if (b - a >= 1.5 if n == 1 else 1.2 * (b - a) >= 3)}
+
+
 def test_floor_changes_and_interval_matches(spark):
     rows = spans(spark, [("x", "a", 0.0, 5.0), ("x", "b", 4.0, 9.0), ("x", "a", 12.0, 13.0), ("x", "c", 12.5, 12.8)])
     out = intervals.floor_changes(rows, ["k"], "k string", "m", 5.0).orderBy("cut").collect()
