@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alignment import vote
+from .alignment import consensus, vote
 
 _ENDLESS = float("inf")
 
@@ -145,3 +145,14 @@ def rescored(rows: DataFrame, keys: list[str], rank: str, a: str, b: str, weight
 def first_least(totals: DataFrame, setting: str, cost: str) -> DataFrame:
     """The setting of least cost, the least setting of equals."""
     return totals.agg(F.min_by(setting, F.struct(cost, setting)).alias(setting), F.min(cost).alias(cost))
+
+
+def partition_vote(tokens: DataFrame, cuts: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """Per cell between cuts the words of the stream that is most like the others: (keys, cell, winner, words).
+
+    ``tokens``: keys, stream (0, 1, 2), pos, token and time. A cell without words in a stream counts that one as empty."""
+    placed = in_cells(tokens, cuts, keys, t)
+    words = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("stream") == n, F.struct("pos", "token")))), lambda x: x["token"])
+    streams = placed.groupBy(*keys, "cell").agg(*(words(n).alias(f"s{n}") for n in range(3)))
+    chosen = streams.withColumn("winner", consensus("s0", "s1", "s2"))
+    return chosen.select(*keys, "cell", "winner", F.get(F.array("s0", "s1", "s2"), F.col("winner")).alias("words"))

@@ -16,6 +16,8 @@ from palimpsest.sources import readers, writers
 
 from palimpsest.streaming import events as streams
 
+from . import dataset
+from .catalogue import _CANON as _CANONICAL
 from .catalogue import _DELTAS, _EDITS, _SPANS, _r, _turn_tokens, _verdicts, drawn, edits, long, query, spans, table
 
 _GREEK = ("abgdezhiklmnoprstfxw", "αβγδεζηικλμνοπρστφχω")
@@ -967,3 +969,48 @@ def shard_scan(spark, sf_dir):
     """Two columns of all shards, each row with an id of its own."""
     rows = readers.shard_rows(spark, f"{sf_dir}/documents.parquet", {"id": "doc_id", "size": F.col("n_chars")})
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.sum("size").alias("chars"))
+
+
+# --- the staged build --------------------------------------------------------------------------------------------
+
+@query(f"""WITH RECURSIVE k AS (SELECT d.doc_id, source, lang, n_chars, {_CANONICAL} AS c FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality, 1) <> 0 AND n_chars >= 200
+  AND NOT EXISTS (SELECT 1 FROM labels b JOIN documents e USING (doc_id) WHERE b.toxic = 1 AND e.source = d.source AND e.lang = d.lang AND e.doc_id % 9 = 0)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n_chars, doc_id) AS r FROM k) WHERE r = 1),
+h AS (SELECT source, md5(source) AS m, 0 AS i, 0::BIGINT AS v FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT source, m, i + 1, (v * 16 + strpos('0123456789abcdef', substr(m, i + 1, 1)) - 1) % 5 FROM h WHERE i < 32)
+SELECT doc_id, CASE WHEN v = 0 THEN 'eval' ELSE 'train' END AS split, substr(sha1(doc_id || '|' || n_chars || '|' || coalesce(f.source, '')), 1, 16) AS row_sig, CASE WHEN doc_id % 3 = 0 THEN 'ok' END AS status
+FROM f LEFT JOIN h ON h.source = f.source AND h.i = 32""")
+def staged_dataset(spark, sf_dir):
+    """Two sources as one table, guarded, denied, deduplicated and split; boundaries are joined where they were made of the present row."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("c", F.md5(text.canonical(F.col("text"))))
+    sources = [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1").drop("toxic")]
+    toxic = table(spark, sf_dir, "documents").filter("doc_id % 9 = 0").join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id").select("source", "lang")
+    rows = dataset.stage_rows(sources, {"low": F.col("quality") == 0, "short": F.col("n_chars") < 200}, toxic, ["source", "lang"], ["c"], ["n_chars", "doc_id"], F.col("source"), 0.2)
+    work = dataset.stage_work(rows, "doc_id", "doc_id", "n_chars", "source")
+    made = work.filter("doc_id % 3 = 0").withColumn("status", F.lit("ok"))
+    stale = work.filter("doc_id % 3 = 1").select("doc_id", F.lit("of another row").alias("row_sig"), F.lit("old").alias("status"))
+    out = dataset.stage_finalize(rows, "doc_id", work, made.unionByName(stale))
+    return out.join(work, "doc_id").select("doc_id", "split", "row_sig", "status")
+
+
+@query("SELECT status, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share, round(avg(score), 9) AS mean_score, round(max(shift), 9) AS max_shift FROM (SELECT event_type AS status, value / 100 AS score, greatest(0.1, (event_id % 7) / 10) AS shift FROM events) GROUP BY status")
+def boundary_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("status"), (F.col("value") / 100).alias("score"), F.lit(1.0).alias("a"), F.lit(2.0).alias("b"), F.lit(1.1).alias("c"), (2 + (F.col("event_id") % 7) / 10).alias("d"))
+    out = dataset.boundary_report(rows, "status", "score", "c", "d", "a", "b")
+    return out.select("status", "n", *(F.round(c, 9).alias(c) for c in ("share", "mean_score", "max_shift")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '/new/place/' ELSE '/other/' END || event_type AS path FROM events")
+def relocated_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.when(F.col("event_id") % 2 == 0, "/old/").otherwise("/other/"), "event_type").alias("path"))
+    return dataset.relocated(rows, "path", "/old/", "/new/place/")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS}[1:24] AS w FROM documents), x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+SELECT doc_id, (i + 5) // 6 AS cell, 0 AS winner, string_agg(w[i], ' ' ORDER BY i) AS words FROM x GROUP BY doc_id, (i + 5) // 6""")
+def cell_votes(spark, sf_dir):
+    """Three streams of words in cells of six seconds: two agree, one has other words; the first of those that agree wins each cell."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(text.word_tokens(F.col("text")), 1, 24)).alias("pos", "w"))
+    tokens = rows.select("doc_id", "pos", F.col("pos").cast("double").alias("t"), F.explode(F.array(*(F.struct(F.lit(n).alias("stream"), (F.concat(F.lit("§"), "w") if n == 2 else F.col("w")).alias("token")) for n in range(3)))).alias("x")).select("doc_id", "pos", "t", "x.*")
+    cuts = rows.filter("pos % 6 = 0").select("doc_id", F.col("pos").cast("double").alias("t"))
+    out = fusion.partition_vote(tokens, cuts, ["doc_id"])
+    return out.select("doc_id", long(F.col("cell")).alias("cell"), "winner", F.array_join("words", " ").alias("words"))
