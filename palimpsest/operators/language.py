@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.session import cut
@@ -46,15 +46,49 @@ def kneser_ney(sentences: DataFrame, tokens: Column) -> DataFrame:
     return counts.join(contexts, "context").join(words, "word").select("context", "word", "count", p.alias("p"))
 
 
-def fuzzy_nearest(tokens: DataFrame, terms: DataFrame, most: int = 3, band: int = 3, token: str = "token", term: str = "term") -> DataFrame:
+def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """Place from 0 and size of the i-th of ``parts`` even segments of a word of ``length`` letters."""
+    start = F.floor(length * i / parts).cast("int")
+    return start, F.floor(length * (i + 1) / parts).cast("int") - start
+
+
+def _term_keys(term: Column, most: int) -> Column:
+    """A term's segments, each with its number and the term's length."""
+
+    def key(i: Column) -> Column:
+        start, size = _segment(F.length(term), i, most + 1)
+        return F.concat_ws("|", F.length(term).cast("string"), i.cast("string"), F.substring(term, start + 1, size))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), key)
+
+
+def _token_keys(token: Column, most: int) -> Column:
+    """What the segments of a term within ``most`` edits can be in a token: for each length, segment and shift the letters there."""
+    n = F.length(token)
+
+    def at(length: Column, i: Column, shift: Column) -> Column:
+        start, size = _segment(length, i, most + 1)
+        inside = (start + shift >= 0) & (start + shift + size <= n)
+        return F.when(inside, F.concat_ws("|", length.cast("string"), i.cast("string"), F.substring(token, start + shift + 1, size)))
+
+    each = lambda length: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda s: at(length, i, s))))
+    lengths = F.sequence(F.greatest(F.lit(0), n - most), n + most)
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(lengths, each))))
+
+
+def fuzzy_nearest(tokens: DataFrame, terms: DataFrame, most: int = 3, token: str = "token", term: str = "term") -> DataFrame:
     """For each token the nearest term within ``most`` edits, with the second distance; ties to the least term.
 
-    Tokens meet terms of a length within ``band`` by an equality join on length, and a bounded edit
-    distance is the filter: lossless, for an edit changes the length by one at most."""
-    a = tokens.select(token).distinct().withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(0), F.length(token) - min(band, most)), F.length(token) + min(band, most))))
-    b = terms.select(term).distinct().withColumn("_len", F.length(term))
-    near = a.join(b, "_len").withColumn("distance", F.levenshtein(token, term, most)).filter("distance >= 0")
-    return near.groupBy(token).agg(F.min(F.struct("distance", term)).alias("_best"), F.get(F.array_sort(F.collect_list("distance")), F.lit(1)).alias("second")).select(token, F.col(f"_best.{term}").alias(term), F.col("_best.distance").alias("distance"), "second")
+    Of a term's ``most`` + 1 segments one at least stands unchanged in any word within ``most`` edits, moved by ``most`` letters at
+    most, so terms and tokens meet by an equality join on segments, and a bounded edit distance is the filter:
+    lossless, and without comparing all words of a length. Tokens with equal distances are kept apart by their terms."""
+    a = tokens.select(token).distinct().withColumn("_key", F.explode(_token_keys(F.col(token), most)))
+    b = terms.select(term).distinct().withColumn("_key", F.explode(_term_keys(F.col(term), most)))
+    met = a.join(b, "_key").select(token, term).distinct()
+    near = met.withColumn("distance", F.levenshtein(token, term, most)).filter("distance >= 0")
+    w = Window.partitionBy(token).orderBy("distance", term)
+    ranked = near.select(token, term, "distance", F.row_number().over(w).alias("_r"), F.lead("distance").over(w).alias("second"))
+    return ranked.filter("_r = 1").select(token, term, "distance", "second")
 
 
 def personal_data(text: Column) -> Column:

@@ -105,6 +105,26 @@ def test_terms(spark):
     assert (row.total, row.meetings, row.a, row.b) == (6, 2, 2, 4)
 
 
+def test_fuzzy_lookup_loses_no_term(spark):
+    from functools import cache
+
+    @cache
+    def far(a, b):
+        return max(len(a), len(b)) if not a or not b else min(far(a[1:], b) + 1, far(a, b[1:]) + 1, far(a[1:], b[1:]) + (a[0] != b[0]))
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    tokens, terms = {word() for _ in range(120)}, {word() for _ in range(60)}
+    for most in (1, 2, 3):
+        rows = language.fuzzy_nearest(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(t,) for t in terms], "term string"), most).collect()
+        want = {}
+        for t in tokens:
+            near = sorted((far(t, x), x) for x in terms if far(t, x) <= most)
+            if near:
+                want[t] = (near[0][1], near[0][0], near[1][0] if len(near) > 1 else None)
+        assert {r.token: (r.term, r.distance, r.second) for r in rows} == want
+
+
 def test_cuts(spark):
     rng = random.Random(3)
     rows = [(rng.uniform(1, 200), []) for _ in range(100)]
