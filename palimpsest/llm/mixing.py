@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, shuffle_parts, stored
+from .common import WORD, checkpoint, stored
 
 #: Bits of the hash, and bits that each level of the histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 10

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from hypothesis import HealthCheck, given, settings
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
