@@ -105,29 +105,33 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
 RANGE_ROWS = 256
 
 
-def _cuts(rows: DataFrame, parts: int) -> np.ndarray:
-    """Up to ``parts`` - 1 cuts of the keys into ranges of about as many rows: a bounded list, whatever the table."""
-    parts = min(parts, 1 + rows.count() // RANGE_ROWS)
-    if parts == 1:
-        return np.zeros(0, np.int64)
-    at = [i / parts for i in range(1, parts)]
-    return np.unique(np.array(rows.agg(F.percentile_approx("key", at, 20 * parts)).first()[0] or [], np.int64))
+def _cuts(rows: DataFrame, parts: int) -> tuple[np.ndarray, int]:
+    """Cuts of the keys into ranges of about as many rows, and a number of ranges for rows without a key: ``parts`` in all, a bounded list whatever the table."""
+    n, unkeyed = rows.agg(F.count(F.lit(1)), F.count_if(F.col("key").isNull())).first()  # one row
+    parts = min(parts, 1 + n // RANGE_ROWS)
+    apart = -(-parts * unkeyed // n) if unkeyed else 0
+    keyed = max(1, parts - apart)
+    at = [i / keyed for i in range(1, keyed)]
+    found = rows.agg(F.percentile_approx("key", at, 20 * keyed)).first()[0] if at else None
+    return np.unique(np.array(found or [], np.int64)), apart
 
 
-def _range_of(keys: pa.Array, cuts: np.ndarray) -> np.ndarray:
-    """Range 0 holds the null keys too, which come before all others."""
-    return np.where(np.asarray(keys.is_null()), 0, np.searchsorted(cuts, np.asarray(keys.fill_null(0)), side="right")).astype(np.int32)
+def _range_of(keys: pa.Array, ties: pa.Array, cuts: np.ndarray, apart: int) -> np.ndarray:
+    """Ranges in the order of keys; rows without one come before, by their tie, which is a hash and so falls evenly into ``apart`` ranges."""
+    high = (np.asarray(ties).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+    unkeyed = (high * np.uint64(max(1, apart)) >> np.uint64(32)).astype(np.int64)
+    return np.where(np.asarray(keys.is_null()), unkeyed, apart + np.searchsorted(cuts, np.asarray(keys.fill_null(0)), side="right")).astype(np.int32)
 
 
 def _with_successors(docs: DataFrame, text: str, key: str, parts: int) -> DataFrame:
     """Rows (part, guest, key, text), sorted by range and key: each row's successor is the next row, the last one's a guest."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
-    cuts = _cuts(rows, parts)
+    cuts, apart = _cuts(rows, parts)
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_range_of(b.column(0), cuts)), *b.columns], ["part", "key", "tie"])
+            yield pa.RecordBatch.from_arrays([pa.array(_range_of(b.column(0), b.column(1), cuts, apart)), *b.columns], ["part", "key", "tie"])
 
     least = rows.select("key", "tie").mapInArrow(ranged, "part int, key long, tie long").groupBy("part").agg(F.min(F.struct(F.col("key").isNotNull(), "key", "tie")).alias("first"))
     heads = {r["part"]: (r["first"]["key"], r["first"]["tie"]) for r in least.collect()}  # a row for each range
@@ -137,7 +141,7 @@ def _with_successors(docs: DataFrame, text: str, key: str, parts: int) -> DataFr
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "guest", "key", "tie", "text"]
         for b in batches:
-            part = _range_of(b.column("key"), cuts)
+            part = _range_of(b.column("key"), b.column("tie"), cuts, apart)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), np.int32)), *b.columns], names)
             keys, ties = b.column("key").to_pylist(), b.column("tie").to_pylist()
             first = [i for i, p in enumerate(part.tolist()) if heads[p] == (keys[i], ties[i])]
@@ -147,7 +151,7 @@ def _with_successors(docs: DataFrame, text: str, key: str, parts: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([to, pa.array([1] * len(first), pa.int32()), *heading.columns], names)
 
     dealt = rows.mapInArrow(placed, "part int, guest int, key long, tie long, text string")
-    return dealt.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), "tie")
+    return dealt.repartition(len(cuts) + 1 + apart, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), "tie")
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = K, parts: int | None = None) -> DataFrame:

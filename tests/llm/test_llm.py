@@ -567,6 +567,13 @@ def test_fingerprints_with_successors(spark, docs, empty, monkeypatch):
             r = out[key]
             assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
             assert abs(r.near_edited - likeness(shingles_of(text), shingles_of(new))) < 0.13 and abs(r.near_next - likeness(shingles_of(text), shingles_of(after))) < 0.13
+    # Rows without a key: before all others, in the order of their texts' hashes, over ranges of their own.
+    loose = known.select("doc_id", "text").unionByName(spark.createDataFrame([(None, f"loose text number {i} of some") for i in range(40)], "doc_id long, text string"))
+    hashed = sorted((r.doc_id is not None, r.doc_id or 0, r.tie, r.text) for r in loose.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect())
+    after = {(k if has else None, t): hashed[(i + 1) % len(hashed)][3] for i, (has, k, _, t) in enumerate(hashed)}
+    want = Counter((k, hashlib.sha256((t[: len(t) - len(t) // 4] + x[: len(t) // 4]).encode()).hexdigest()) for (k, t), x in after.items())
+    for parts in (1, 6, 30):
+        assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.with_next(loose, parts=parts).collect()) == want
     every = fingerprint.with_next(docs, parts=3).collect()
     assert len(every) == docs.count() and len({r.fingerprint for r in every if r.doc_id in (5, 6)}) == 1
     assert fingerprint.with_next(empty).count() == 0 and fingerprint.fingerprints(docs).count() == docs.count()
