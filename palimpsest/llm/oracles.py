@@ -59,4 +59,52 @@ SELECT d.doc_id, d.size, u.n::BIGINT AS source_size, u.target, (d.size * (u.whol
 FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.point = x.point
 """
 
-ORACLES: dict[str, str] = {"op1_quality": _OP1, "op8_mixing": _OP8}
+_OP11 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+d AS (SELECT rid, doc_id, words, len(words)::BIGINT AS n FROM w WHERE len(words) > 0),
+tot AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+p AS (
+  SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, n, unnest(words) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY rid, doc_id, n, term),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), tot),
+g AS (SELECT rid, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)) AS gain FROM p, tot),
+s AS (SELECT item_id, rid, doc_id, sum(w * gain)::BIGINT AS score FROM q JOIN g USING (term) JOIN f USING (term) GROUP BY item_id, rid, doc_id),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    (len(words) < 50)::INT AS a, (100 * len(list_distinct(words)) < 65 * len(words))::INT AS b,
+    (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT AS c,
+    regexp_matches(text, '[#$%&*|]')::INT AS d, coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), w.doc_id IS NULL AND min(w.doc_id) OVER (PARTITION BY text) IS NOT NULL)::INT AS e
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+k AS (SELECT part, [a, b, c, d, e] AS fails, count(*)::BIGINT AS n, sum(good)::BIGINT AS good, sum(bad)::BIGINT AS bad FROM m GROUP BY part, [a, b, c, d, e]),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+o AS (
+  SELECT [p.f, q.f, r.f, s.f, t.f] AS o FROM x p, x q, x r, x s, x t
+  WHERE p.f <> q.f AND p.f <> r.f AND p.f <> s.f AND p.f <> t.f AND q.f <> r.f AND q.f <> s.f AND q.f <> t.f AND r.f <> s.f AND r.f <> t.f AND s.f <> t.f),
+t AS (SELECT o, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, f AS step, o[f] AS filter, o[1:f - 1] AS earlier FROM o, x),
+c AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN NOT dropped AND fails[filter] = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN NOT dropped AND fails[filter] = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN dropped AND fails[filter] = 1 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails[filter] = 1 AND list_sum(fails) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT dropped AND fails[filter] = 1 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN NOT dropped AND fails[filter] = 1 THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM (SELECT k.*, t.*, coalesce(list_sum(list_transform(earlier, lambda i: fails[i])), 0) > 0 AS dropped FROM k, t) GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM c
+"""
+
+ORACLES: dict[str, str] = {"op1_quality": _OP1, "op8_mixing": _OP8, "op11_search": _OP11, "op13_audit": _OP13}

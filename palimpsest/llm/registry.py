@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bagminhash, bpe, fingerprint, html, mixing, pii, quality, sentences, suffixes
+from . import audit, backoff, bagminhash, bpe, fingerprint, html, lexical, mixing, packing, pii, quality, sentences, suffixes
 from .common import documents
 from .oracles import ORACLES
 
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: A parameter of the queries: whose vocabulary to encode by.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,19 @@ def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(documents(spark, sf_dir))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir), WORDS)
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -71,4 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_fingerprint": op9_fingerprint,
     "op10_backoff": op10_backoff,
+    "op11_search": op11_search,
+    "op12_packing": op12_packing,
+    "op13_audit": op13_audit,
 }
