@@ -28,6 +28,8 @@ _UPPER, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 
 #: Bytes of text that a task holds before the shuffle; when there are more, it sends what it has and begins anew.
 HELD_BYTES = 64 << 20
+#: Bytes of text for which there is a partition of the RDD.
+PART_BYTES = 32 << 20
 
 #: A row on its way: text (none if the row is known for a copy), id, mask of the filters that it fails, rows by part.
 Row = tuple[bytes | None, int | None, int, dict[str, int]]
@@ -112,10 +114,11 @@ def masks(docs: DataFrame, text: str = "text", key: str = "doc_id", part: str =
 
     A null text is an empty one; a null part is the empty string; a row without an id comes after all that have one, and is a copy if
     any of these has its text; rows that share the least id of a text are none of them copies. Further columns are left out, whatever
-    their names; an empty table gives an empty result. Texts go whole and are compared whole. A partition holds the texts of
-    about half an input split."""
+    their names; an empty table gives an empty result. Texts go whole and are compared whole. There are as many partitions as the
+    texts' bytes, summed beforehand, are worth."""
     rows = docs.select(F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")), F.col(f"`{text}`")).rdd
-    parts = max(shuffle_parts(docs.sparkSession), 2 * rows.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0  # one row
+    parts = max(shuffle_parts(docs.sparkSession), -(-size // PART_BYTES))
     routed = rows.mapPartitionsWithIndex(_judged).partitionBy(parts, lambda mark: mark)
     found = docs.sparkSession.createDataFrame(routed.mapPartitions(_resolved), "key long, part string, mask int, n long", verifySchema=False)
     return found.withColumnRenamed("key", key)
