@@ -83,7 +83,7 @@ class Words:
     """Chunks between ASCII white space -> little-endian ids. The tokenizer neither joins nor looks across white space, so a text's ids are those of
     its chunks one after the other. Two generations of ``limit`` chunks at most are kept; frequent ones stay."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 450_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -93,51 +93,55 @@ class Words:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
 
-    def _encoded(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _letters(self, words: list[bytes]) -> list[bytes]:
-        """Of words of ASCII letters, each one pre-token: they are encoded in one call and cut after the tokens that end a word."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
-        data, cuts = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Of words of letters, each one pre-token: they are encoded in one call and cut after the tokens that end a word. (A
+        letter whose lower case has a mark is more than one; then each word is encoded by itself.)"""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(words) else self._encoded(words)
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Ids of new chunks. ASCII case makes no difference; a last character after letters is a pre-token of its own."""
+        """Ids of new chunks. ASCII case makes no difference; a last ASCII character after letters is a pre-token of its own."""
         known, older = self.known, self.older
         words, others, ending = {}, {}, []
         for chunk in chunks:
             if (ids := older.get(chunk)) is not None:
                 known[chunk] = ids
-            elif chunk.isalpha():  # of bytes: ASCII letters
-                words.setdefault(chunk.lower(), []).append(chunk)
-            elif chunk.isascii() and chunk[:-1].isalpha():
-                ending.append(chunk)
+                continue
+            text = (chunk.lower() if chunk.isascii() else chunk).decode("utf-8")
+            if text.isalpha():
+                words.setdefault(text, []).append(chunk)
+            elif text[:-1].isalpha() and text[-1] < "\x80":
+                words.setdefault(text[:-1], [])
+                others.setdefault(text[-1], [])
+                ending.append((chunk, text[:-1], text[-1]))
             else:
-                others[chunk] = [chunk]
-        for chunk in ending:
-            for piece, group in ((chunk[:-1].lower(), words), (chunk[-1:], others)):
-                if piece not in known:
-                    group.setdefault(piece, [])
+                others.setdefault(text, []).append(chunk)
+        new: dict[str, bytes] = {}
         for group, encoded in ((words, self._letters), (others, self._encoded)):
-            names = list(group)
-            for name, ids in zip(names, encoded(names) if names else [], strict=True):
-                known[name] = ids
-                for chunk in group[name]:
-                    known[chunk] = ids
-        for chunk in ending:
-            known[chunk] = known[chunk[:-1].lower()] + known[chunk[-1:]]
-
-    def ids(self, text: str) -> bytes:
-        chunks = text.encode("utf-8").split()
-        new = {c for c in chunks if c not in self.known}
+            if group:
+                new.update(zip(group, encoded(list(group)), strict=True))
+        for group in (words, others):
+            for text, same in group.items():
+                for chunk in same:
+                    known[chunk] = new[text]
+        for chunk, word, last in ending:
+            known[chunk] = new[word] + new[last]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What is new in any of them is encoded at once."""
+        chunks = [text.encode("utf-8").split() for text in texts]
+        new = set().union(*(set(c).difference(self.known) for c in chunks))
         if new:
             if len(self.known) > self.limit:
                 self.older, self.known = self.known, {}
-                new = set(chunks)
+                new = set().union(*chunks)
             self.learn(new)
-        return b"".join(map(self.known.__getitem__, chunks))
+        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
 
 
 _WORDS: dict[str, Words] = {}
@@ -150,7 +154,20 @@ def _words(path: str) -> Words:
     return _WORDS[path]
 
 
-_SLICE = 256
+#: Texts that are encoded at once: this many, and no more characters (a longer one is by itself).
+_SLICE, _CHARS = 256, 1 << 20
+
+
+def _runs(texts: list[str]) -> Iterator[list[str]]:
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > _CHARS:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
 
 
 def _cutter(key: str, text: str, path: str, end: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,8 +177,8 @@ def _cutter(key: str, text: str, path: str, end: int, most: int) -> Callable[[It
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
                 row, piece, start, ids = [], [], [], []
-                for i, t in enumerate(batch.column(text).to_pylist()):
-                    data = words.ids(t or "") + last
+                texts = [t or "" for t in batch.column(text).to_pylist()]
+                for i, data in enumerate(data + last for run in _runs(texts) for data in words.all(run)):
                     for k, a in enumerate(range(0, len(data), 4 * most)):
                         row.append(i)
                         piece.append(k)
@@ -169,6 +186,7 @@ def _cutter(key: str, text: str, path: str, end: int, most: int) -> Callable[[It
                         ids.append(data[a : a + 4 * most])
                 columns = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row, pa.int32())), *columns], [key, "piece", "start", "length", "ids"])
+        words.older = {}  # an idle worker keeps one generation
 
     return run
 
