@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -79,114 +80,120 @@ def place(lengths: np.ndarray, limits: Limits, rule: str = "norm") -> tuple[np.n
     return of, offset
 
 
-class Words:
-    """Chunks between ASCII white space -> little-endian ids. The tokenizer neither joins nor looks across white space, so a text's ids are those of
-    its chunks one after the other. Two generations of ``limit`` chunks at most are kept; frequent ones stay."""
+class Ids:
+    """Ids of many texts at once. The tokenizer neither joins nor looks across white space, so a text's ids are those of its chunks between ASCII
+    white space, one after the other: each different chunk of the texts is encoded once, and chunks are numbers from then on.
 
-    def __init__(self, path: str, limit: int = 450_000):
+    ASCII case makes no difference, and a last ASCII character after letters is a pre-token of its own, so most chunks are a word and at
+    most one such character. Nothing is kept from call to call."""
+
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
-        self.limit, self.known, self.older = limit, {}, {}
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Of words of letters, each one pre-token: they are encoded in one call and cut after the tokens that end a word. (A
-        letter whose lower case has a mark is more than one; then each word is encoded by itself.)"""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(words) else self._encoded(words)
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Ids of new chunks. ASCII case makes no difference; a last ASCII character after letters is a pre-token of its own."""
-        known, older = self.known, self.older
-        words, others, ending = {}, {}, []
-        for chunk in chunks:
-            if (ids := older.get(chunk)) is not None:
-                known[chunk] = ids
-                continue
-            text = (chunk.lower() if chunk.isascii() else chunk).decode("utf-8")
-            if text.isalpha():
-                words.setdefault(text, []).append(chunk)
-            elif text[:-1].isalpha() and text[-1] < "\x80":
-                words.setdefault(text[:-1], [])
-                others.setdefault(text[-1], [])
-                ending.append((chunk, text[:-1], text[-1]))
-            else:
-                others.setdefault(text, []).append(chunk)
-        new: dict[str, bytes] = {}
-        for group, encoded in ((words, self._letters), (others, self._encoded)):
-            if group:
-                new.update(zip(group, encoded(list(group)), strict=True))
-        for group in (words, others):
-            for text, same in group.items():
-                for chunk in same:
-                    known[chunk] = new[text]
-        for chunk, word, last in ending:
-            known[chunk] = new[word] + new[last]
-
-    def all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. What is new in any of them is encoded at once."""
-        chunks = [text.encode("utf-8").split() for text in texts]
-        new = set().union(*(set(c).difference(self.known) for c in chunks))
-        if new:
-            if len(self.known) > self.limit:
-                self.older, self.known = self.known, {}
-                new = set().union(*chunks)
-            self.learn(new)
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-
-
-_WORDS: dict[str, Words] = {}
-
-
-def _words(path: str) -> Words:
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by text) of every text by itself."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters, each one pre-token: they are encoded side by side and cut after the tokens that end a word. (Should
+        a word be more than one after all, each is encoded by itself.)"""
+        lines = [" ".join(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
+        ids = np.array([i for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else self._each(words)
+
+    def _units(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all units, their number by unit, first unit, second unit or -1) of different chunks."""
+        low = pc.if_else(pc.string_is_ascii(chunks), pc.ascii_lower(chunks), chunks)
+        head, last = pc.utf8_slice_codeunits(low, 0, -1), pc.utf8_slice_codeunits(low, -1)
+        plain = ~np.asarray(pc.match_substring(chunks, "\u0130"))  # the one letter whose lower case ends with a mark
+        whole = plain & np.asarray(pc.utf8_is_alpha(low))
+        ending = plain & ~whole & np.asarray(pc.and_(pc.utf8_is_alpha(head), pc.string_is_ascii(last)))
+        word = pc.if_else(pa.array(whole), low, head).filter(pa.array(whole | ending)).dictionary_encode()
+        other = pa.concat_arrays([low.filter(pa.array(~whole & ~ending)), last.filter(pa.array(ending))]).dictionary_encode()
+        parts = [self._letters(word.dictionary.to_pylist()), self._each(other.dictionary.to_pylist())]
+        first, second = np.full(len(chunks), -1, np.int64), np.full(len(chunks), -1, np.int64)
+        first[whole | ending] = np.asarray(word.indices)
+        places = np.asarray(other.indices) + len(word.dictionary)
+        n = len(chunks) - int((whole | ending).sum())
+        first[~whole & ~ending], second[ending] = places[:n], places[n:]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]), first, second
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian ids of every text. Chunks are counted over all of them; a few texts at a time become ids."""
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        ids, held, first, second = self._units(chunks.dictionary)
+        begins = np.concatenate([[0], np.cumsum(held)])
+        starts = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + _CHUNKS, side="right")) - 1)
+            at = np.asarray(chunks.indices[starts[low] : starts[high]])
+            units = np.stack([first[at], second[at]], 1).ravel()
+            lengths = np.where(units >= 0, held[units], 0)
+            upto = np.concatenate([[0], np.cumsum(lengths)])
+            data = ids[np.repeat(begins[units] - upto[:-1], lengths) + np.arange(upto[-1])].astype("<u4").tobytes()
+            cuts = (4 * upto[2 * (starts[low : high + 1] - starts[low])]).tolist()
+            yield from (data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True))
+            low = high
+
+
+_IDS: dict[str, Ids] = {}
+
+
+def _ids(path: str) -> Ids:
     """One for a worker, which runs many tasks."""
-    if path not in _WORDS:
-        _WORDS[path] = Words(path)
-    return _WORDS[path]
+    if path not in _IDS:
+        _IDS[path] = Ids(path)
+    return _IDS[path]
 
 
-#: Texts that are encoded at once: this many, and no more characters (a longer one is by itself).
-_SLICE, _CHARS = 256, 1 << 20
+#: Pieces of a batch.
+_SLICE = 512
+#: Words that are encoded in one string, bytes of texts whose chunks are counted together (a longer text is by itself), and chunks that become ids at once.
+_TOGETHER, _BYTES, _CHUNKS = 4096, 24 << 20, 1 << 18
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    run, size = [], 0
-    for text in texts:
-        if run and size + len(text) > _CHARS:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield run
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of texts that are encoded together."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, side="right")))
+        yield at, to
+        at = to
 
 
 def _cutter(key: str, text: str, path: str, end: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = _words(path), np.array([end], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
+        known, last = _ids(path), np.array([end], "<u4").tobytes()
+        for batch in batches:
+            texts = batch.column(text).cast(pa.string()).fill_null("")
+            for low, high in _runs(texts):
                 row, piece, start, ids = [], [], [], []
-                texts = [t or "" for t in batch.column(text).to_pylist()]
-                for i, data in enumerate(data + last for run in _runs(texts) for data in words.all(run)):
-                    for k, a in enumerate(range(0, len(data), 4 * most)):
+                for i, found in enumerate(known.of(texts.slice(low, high - low)), low):
+                    whole = found + last
+                    for k, x in enumerate(range(0, len(whole), 4 * most)):
                         row.append(i)
                         piece.append(k)
-                        start.append(a // 4)
-                        ids.append(data[a : a + 4 * most])
-                columns = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row, pa.int32())), *columns], [key, "piece", "start", "length", "ids"])
-        words.older = {}  # an idle worker keeps one generation
+                        start.append(x // 4)
+                        ids.append(whole[x : x + 4 * most])
+                    if len(row) >= _SLICE:
+                        yield told(batch, row, piece, start, ids)
+                        row, piece, start, ids = [], [], [], []
+                if row:
+                    yield told(batch, row, piece, start, ids)
+
+    def told(batch: pa.RecordBatch, row: list[int], piece: list[int], start: list[int], ids: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row, pa.int32())), *columns], [key, "piece", "start", "length", "ids"])
 
     return run
 

@@ -9,6 +9,7 @@ from itertools import permutations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,20 +117,30 @@ def tokenizer():
     return t
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="aAbé́'sS.,!1² \x1c\x85 \n <|endoftext|>HßİḴ", max_size=30), max_size=4))
+def ids_of(texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in packing._ids(PATH).of(pa.array(texts, pa.string()))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aAbé́'sS.,!1²ª \x1c\x85 \n\x0b\x00 <|endoftext|>HßİḴǰꙮ", max_size=30), max_size=4))
 def test_ids_by_words_equal_the_library(tokenizer, texts):
-    words = packing._words(PATH)
-    assert words.all(texts) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert ids_of(texts) == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
 
 
-def test_ids_with_a_small_cache(tokenizer):
+def test_ids_of_many_texts(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "_CHUNKS", 100)
+    monkeypatch.setattr(packing, "_TOGETHER", 7)
     rng = random.Random(3)
-    words = packing.Words(PATH, limit=50)
-    for _ in range(60):
-        text = " ".join("".join(rng.choice("abcDE'") for _ in range(rng.randint(1, 7))) + rng.choice(["", ".", "!?", "9"]) for _ in range(40))
-        assert words.all([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert len(words.known) <= 50 + 80 * 3
+    texts = [" ".join("".join(rng.choice("abcDEé'") for _ in range(rng.randint(1, 7))) + rng.choice(["", ".", "!?", "9", "ö"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    assert ids_of(texts) == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert ids_of(texts[7:]) == ids_of(texts)[7:] and ids_of([]) == []
+    assert ids_of(["Aİ b İİ"]) == [tokenizer.encode("Aİ b İİ", add_special_tokens=False).ids]
+
+
+def test_runs_of_texts(monkeypatch):
+    monkeypatch.setattr(packing, "_BYTES", 10)
+    assert list(packing._runs(pa.array(["aaaa", "bbbb", "c", "d" * 30, "", "e"]))) == [(0, 3), (3, 4), (4, 6)]
+    assert list(packing._runs(pa.array([], pa.string()))) == []
 
 
 def places(lengths, limits, rule):
