@@ -7,6 +7,7 @@ substitution, then deletion, then insertion.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,29 +31,74 @@ def vector(kind: str) -> Callable:
     return wrap
 
 
+#: Cells of a table that is kept whole; of a larger one, rows at even steps are kept and the rest are made again.
+WHOLE_CELLS = 1 << 22
+
+
+class Rows:
+    """Rows 0 to n of a dynamic programme of ``width`` columns, each made of the one before by ``step(i, row)``, to be read from the last to the first.
+
+    A large table keeps about the root of its rows, and the rows between two of these while they are read: memory grows with
+    the root of the table, time is twice that of one pass."""
+
+    def __init__(self, n: int, first: np.ndarray, step: Callable[[int, np.ndarray], np.ndarray]):
+        self.step, self.every = step, 1 if (n + 1) * len(first) <= WHOLE_CELLS else max(1, math.isqrt(n + 1))
+        self.kept, row = [first], first
+        for i in range(1, n + 1):
+            row = step(i, row)
+            if i % self.every == 0:
+                self.kept.append(row)
+        self.last, self.n, self.block, self.start = row, n, [], -1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if self.every == 1:
+            return self.kept[i]
+        if i == self.n:
+            return self.last
+        k = i // self.every
+        if k != self.start:
+            self.block, self.start = [self.kept[k]], k
+            for x in range(k * self.every + 1, min((k + 1) * self.every, self.n + 1)):
+                self.block.append(self.step(x, self.block[-1]))
+        return self.block[i - k * self.every]
+
+
+def _codes(*streams: list[str]) -> list[np.ndarray]:
+    known: dict[str, int] = {}
+    return [np.array([known.setdefault(t, len(known)) for t in s], np.int64) for s in streams]
+
+
+def distances(a: np.ndarray, b: np.ndarray, free_start: bool = False) -> Rows:
+    """Edit distances of all prefixes. A row's insertions are one running minimum."""
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+
+    def step(i: int, row: np.ndarray) -> np.ndarray:
+        new = np.empty(len(b) + 1, np.int32)
+        new[0] = i
+        np.minimum(row[:-1] + (b != a[i - 1]), row[1:] + 1, out=new[1:])
+        return np.minimum.accumulate(new - steps) + steps
+
+    return Rows(len(a), np.zeros(len(b) + 1, np.int32) if free_start else steps, step)
+
+
 def align(ref: list[str], hyp: list[str], free_ends: bool = False) -> list[tuple[str, int, int]]:
-    """Operations (M, S, D, I) with places in both, -1 for none. ``free_ends``: hypothesis before and after the match costs nothing."""
+    """Operations (M, S, D, I) with places in both, -1 for none. ``free_ends``: hypothesis before and after the match costs nothing.
+
+    Streams may be long: of a large table only some rows are held (``Rows``)."""
     n, m = len(ref), len(hyp)
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(t, len(codes)) for t in ref], np.int64)
-    b = np.array([codes.setdefault(t, len(codes)) for t in hyp], np.int64)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[0] = 0 if free_ends else np.arange(m + 1)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1, out=row[1:])
-        cost[i] = np.minimum.accumulate(row - steps) + steps  # insertions, all at once
+    a, b = _codes(ref, hyp)
+    cost = distances(a, b, free_ends)
     i, j, out = n, m, []
     if free_ends:
-        j = m - int(np.argmin(cost[n, ::-1]))
+        j = m - int(np.argmin(cost[n][::-1]))
+    here = cost[n]
     while i or (j and not free_ends):
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
+        above = cost[i - 1] if i else None
+        if i and j and here[j] == above[j - 1] + (a[i - 1] != b[j - 1]):
+            i, j, here = i - 1, j - 1, above
             out.append(("M" if a[i] == b[j] else "S", i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
+        elif i and here[j] == above[j] + 1:
+            i, here = i - 1, above
             out.append(("D", i, -1))
         else:
             j -= 1
@@ -92,11 +138,114 @@ def edge_flags(ops: Column) -> Column:
     return F.struct((F.get(ref, F.lit(0))["op"] != "M").alias("first"), (F.element_at(ref, -1)["op"] != "M").alias("last"))
 
 
+class _Runs:
+    """Automaton of all runs of b[low:high]: a state is a set of runs that end at the same places, the first of which is kept."""
+
+    def __init__(self, b, low: int, high: int):
+        self.next, self.link, self.length, self.end = [{}], [-1], [0], [-1]
+        last = 0
+        for at in range(low, high):
+            x, new = b[at], self._state(self.length[last] + 1, at)
+            p = last
+            while p >= 0 and x not in self.next[p]:
+                self.next[p][x] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+            elif self.length[q := self.next[p][x]] == self.length[p] + 1:
+                self.link[new] = q
+            else:
+                twin = self._state(self.length[p] + 1, self.end[q])
+                self.next[twin], self.link[twin] = dict(self.next[q]), self.link[q]
+                while p >= 0 and self.next[p].get(x) == q:
+                    self.next[p][x] = twin
+                    p = self.link[p]
+                self.link[q] = self.link[new] = twin
+            last = new
+
+    def _state(self, length: int, end: int) -> int:
+        self.next.append({})
+        self.link.append(0)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest(self, a, low: int, high: int) -> tuple[int, int, int]:
+        """(place in a, place in b, length) of the longest run that both have; of equals the first in a, then in b."""
+        state = size = 0
+        best = (low, 0, 0)
+        for at in range(low, high):
+            x = a[at]
+            while state and x not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if x in self.next[state]:
+                state, size = self.next[state][x], size + 1
+                if size > best[2]:
+                    best = (at + 1 - size, self.end[state] + 1 - size, size)
+        return best
+
+
 def blocks(a, b) -> list[tuple[int, int, int]]:
-    """Longest common runs, recursively: the matching blocks that difference tools show. Not a minimal edit."""
-    import difflib
+    """Longest common runs, recursively: the matching blocks that difference tools show, and (ends of both, 0). Not a minimal edit.
+
+    The longest common run (the first in ``a`` of equals, then in ``b``) is a block; so are those of what lies before it in both, and after
+    it. Blocks that touch in both are one."""
+    found, open_ = [], [(0, len(a), 0, len(b))]
+    while open_:
+        a_low, a_high, b_low, b_high = open_.pop()
+        if a_low == a_high or b_low == b_high:
+            continue
+        i, j, n = _Runs(b, b_low, b_high).longest(a, a_low, a_high)
+        if n:
+            found.append((i, j, n))
+            open_ += [(a_low, i, b_low, j), (i + n, a_high, j + n, b_high)]
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + n)
+        else:
+            out.append((i, j, n))
+    return [*out, (len(a), len(b), 0)]
+
 
-    return [tuple(x) for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
+def changed_runs(a, b) -> list[tuple[str, int, int, int, int]]:
+    """(kind, from, to in a, from, to in b) of what lies between the blocks: replace, delete or insert."""
+    i = j = 0
+    out = []
+    for x, y, n in blocks(a, b):
+        if i < x or j < y:
+            out.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
+        i, j = x + n, y + n
+    return out
+
+
+#: Letters of either side that a signature shows.
+SHOWN = 24
+
+
+def edit_signature(before: list[str], after: list[str]) -> tuple[str, str]:
+    """(operation, change) of an edit: its one kind of run, mixed or equal; and the first replacement, else the first run, cut to SHOWN letters a side."""
+    runs = changed_runs(before, after)
+    kinds = {k for k, *_ in runs}
+    said = lambda words, low, high: " ".join(words[low:high])[:SHOWN]
+    shown = next((x for x in runs if x[0] == "replace"), runs[0] if runs else None)
+    if shown is None:
+        return "equal", ""
+    kind, i, i2, j, j2 = shown
+    text = {"replace": f"{said(before, i, i2)}->{said(after, j, j2)}", "delete": f"-{said(before, i, i2)}", "insert": f"+{said(after, j, j2)}"}[kind]
+    return kinds.pop() if len(kinds) == 1 else "mixed", text
+
+
+@vector("struct<operation:string,change:string>")
+def edit_signature_udf(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([edit_signature(x, y) for x, y in _pairs((before, after))], columns=["operation", "change"])
+
+
+def signatures(before: Column, after: Column, category: Column) -> Column:
+    """struct(category, operation, change): a category alone, with the operation and with the change, by which edits are told apart."""
+    known = edit_signature_udf(before, after)
+    return F.struct(category.alias("category"), F.concat_ws(":", category, known["operation"]).alias("operation"), F.concat_ws(":", category, known["change"]).alias("change"))
 
 
 @vector("double")
@@ -367,38 +516,90 @@ def columns_cost(columns: Column) -> Column:
     return F.aggregate(columns, F.lit(0).cast("long"), lambda acc, c: acc + of(c))
 
 
+def _options(column: list[str | None]) -> list[str | None]:
+    """The different entries of a column in order, a gap first."""
+    return ([None] if None in column else []) + list(dict.fromkeys(x for x in column if x is not None))
+
+
+def _lattice(options: list[list[str | None]], ref: list[str]) -> Rows:
+    """Edit distances of the first j reference words from what the first i columns can say, the best of all choices."""
+    steps = np.arange(len(ref) + 1, dtype=np.int32)
+    known = {w: k for k, w in enumerate(dict.fromkeys(ref))}
+    codes = np.array([known[w] for w in ref], np.int64)
+
+    def step(i: int, row: np.ndarray) -> np.ndarray:
+        words = options[i - 1]
+        gap, said = None in words, [known[w] for w in words if w in known]
+        new = row + (0 if gap else 1)
+        if len(words) > gap:  # a word stands for a reference word, or for none
+            hit = np.isin(codes, said) if said else np.zeros(len(codes), bool)
+            new[1:] = np.minimum(new[1:], row[:-1] + ~hit)
+        return np.minimum.accumulate(new - steps) + steps
+
+    return Rows(len(options), steps, step)
+
+
 def best_choice(columns: list[list[str | None]], ref: list[str]) -> list[str | None]:
-    """For each column the entry, or a gap where it has one, that together come closest to the reference."""
-    options = [([None] if None in c else []) + list(dict.fromkeys(x for x in c if x is not None)) for c in columns]
-    m = len(ref)
-    cost = [list(range(m + 1))]
-    came: list[list[tuple[int, int, int]]] = [[(0, j - 1, -1) for j in range(m + 1)]]
-    for i, words in enumerate(options, 1):
-        row, back = [], []
-        for j in range(m + 1):
-            tries = [(row[j - 1] + 1, (i, j - 1, -1))] if j else []
-            for w, word in enumerate(words):
-                if word is None:
-                    tries.append((cost[-1][j], (i - 1, j, w)))
-                    continue
-                if j:
-                    tries.append((cost[-1][j - 1] + (word != ref[j - 1]), (i - 1, j - 1, w)))
-                tries.append((cost[-1][j] + 1, (i - 1, j, w)))
-            low = min(tries, key=lambda t: t[0])
-            row.append(low[0])
-            back.append(low[1])
-        cost.append(row)
-        came.append(back)
+    """For each column the entry, or a gap where it has one, that together come closest to the reference.
+
+    Ways back are tried in this order: a reference word that no column says, then the entries in order, each as a reference word before as
+    none."""
+    options = [_options(c) for c in columns]
+    cost = _lattice(options, ref)
     out: list[str | None] = [None] * len(columns)
-    i, j = len(columns), m
+    i, j = len(columns), len(ref)
+    here = cost[i]
     while i or j:
-        i_, j_, w = came[i][j]
-        if w >= 0:
-            out[i - 1] = options[i - 1][w]
-        i, j = i_, j_
+        if j and here[j] == here[j - 1] + 1:
+            j -= 1
+            continue
+        above = cost[i - 1]
+        for word in options[i - 1]:
+            if word is None:
+                if here[j] == above[j]:
+                    break
+            elif j and here[j] == above[j - 1] + (word != ref[j - 1]):
+                out[i - 1], j = word, j - 1
+                break
+            elif here[j] == above[j] + 1:
+                out[i - 1] = word
+                break
+        i, here = i - 1, above
     return out
 
 
+def lattice_support(columns: list[list[str | None]], ref: list[str]) -> tuple[int, list[list[dict]]]:
+    """The least distance of all choices from the reference, and for each entry of each column where it lies on a best way:
+    ``exact`` and ``sub`` (reference places that it says, or stands for wrongly), ``extra`` (it stands for none) and ``any``.
+
+    Distances from the start meet distances to the end, of which some rows are held at a time. A gap is on a best way where it costs
+    nothing, which shows in ``any`` alone."""
+    options = [_options(c) for c in columns]
+    n, m = len(columns), len(ref)
+    onward = _lattice(options[::-1], ref[::-1])  # row n - i: what is left after i columns
+    forward = _lattice(options, ref)
+    best, out = int(forward[n][m]), []
+    for i in range(n, 0, -1):
+        before, after = forward[i - 1], None
+        after = onward[n - i][::-1]
+        rows = []
+        for word in options[i - 1]:
+            if word is None:
+                rows.append({"entry": None, "exact": [], "sub": [], "extra": False, "any": bool((before + after == best).any())})
+                continue
+            same = np.array([w == word for w in ref], bool)
+            says = before[:-1] + after[1:] + ~same == best
+            extra = bool((before + 1 + after == best).any())
+            rows.append({"entry": word, "exact": np.flatnonzero(says & same).tolist(), "sub": np.flatnonzero(says & ~same).tolist(), "extra": extra, "any": bool(says.any()) or extra})
+        out.append(rows)
+    return best, out[::-1]
+
+
+@vector("struct<distance:int,columns:array<array<struct<entry:string,exact:array<int>,sub:array<int>,extra:boolean,any:boolean>>>>")
+def lattice_support_udf(columns: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([lattice_support([list(c) for c in cs], list(r)) for cs, r in _pairs((columns, ref))], columns=["distance", "columns"])
+
+
 @vector("array<string>")
 def best_choice_udf(columns: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([best_choice([list(c) for c in cs], list(r)) for cs, r in _pairs((columns, ref))])
