@@ -18,7 +18,7 @@ from .catalogue import _CANON, long, query, table
 def _lcs_sql(a: str, b: str) -> str:
     """Longest common subsequence of two words of up to 62 letters, as bits of the second."""
     full = f"((1::BIGINT << length({b})::INT) - 1)"
-    masks = f"list_transform(string_split({a}, ''), lambda x: list_sum(list_transform(range(1, length({b}) + 1), lambda k: CASE WHEN substr({b}, k, 1) = x THEN 1::BIGINT << (k - 1)::INT ELSE 0 END))::BIGINT)"
+    masks = f"list_transform(string_split({a}, ''), lambda letter: list_sum(list_transform(range(1, length({b}) + 1), lambda k: CASE WHEN substr({b}, k, 1) = letter THEN 1::BIGINT << (k - 1)::INT ELSE 0 END))::BIGINT)"
     return f"(length({b}) - bit_count(list_reduce({masks}, lambda r, m: ((r + (r & m)) | (r & ~m)) & {full}, {full})))"
 
 
@@ -151,10 +151,10 @@ def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return said, names.outcomes(said, *_lists(spark, sf_dir), "utterance", "meeting", "text", _ENDINGS, _TITLES)
 
 
-@query(f"WITH {_OUTCOMES} SELECT utterance, token, decision, CASE WHEN shown THEN term END AS term, CASE WHEN shown THEN d END AS distance FROM decided")
+@query(f"WITH {_OUTCOMES} SELECT utterance, token, decision, CASE WHEN shown THEN term END AS term, CASE WHEN shown THEN d ELSE -1 END AS distance FROM decided")
 def name_outcomes(spark, sf_dir):
     """What becomes of every word of every turn."""
-    return _decided(spark, sf_dir)[1].select("utterance", "token", "decision", "term", "distance")
+    return _decided(spark, sf_dir)[1].select("utterance", "token", "decision", "term", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
 @query(rf"""WITH {_OUTCOMES},
