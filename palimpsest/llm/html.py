@@ -1,9 +1,11 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive unless an element around them is
-known for boilerplate, tags score negative by how often they stand outside content, and one
-linear scan finds the contiguous run of the largest sum, which is the content region. The
-weights come from labelled pages: those whose markup names its article.
+A page is a sequence of words and tags. Words score by the kind of element they stand in, unless
+one around them is known for boilerplate, tags score negative by how often they stand outside
+content, and one linear scan finds the contiguous run of the largest sum, which is the content
+region. The weights come from labelled pages, those whose markup names its article, and are learned
+as if it did not. What a name or a form says is weighed against the page: an element that holds most
+of its running text is a wrapper, whatever it is called.
 """
 
 from __future__ import annotations
@@ -43,6 +45,13 @@ _NOUNS = frozenset(
 )
 _PLACES = frozenset("site page main global top bottom left right inner outer box bar slot area block list item items link links wrap wrapper container section panel group row button buttons icon icons primary secondary header".split())
 _SITE = frozenset("site global top main".split())
+# Words that make a name one of a page's layout, and names of what readers write.
+_LAYOUT = frozenset("no not non has with without hide hidden show is layout category tag topic".split())
+_READERS = frozenset("comment comments commentlist respond replies reply disqus".split())
+#: Element names that words are told by, the innermost that is open.
+_BLOCKS = ("p", "li", "td", "h1", "h2", "h3", "pre", "blockquote", "dd", "dt")
+#: Log-odds from which a learned role says something, and from which no content element within it counts.
+_TELLING, _SURE = -1.0, -2.0
 
 _RAW = "script|style|textarea|template|noscript|iframe|title"
 # Every alternative either matches in one pass or runs to the end of the page, as an unfinished tag does by the standard; none gives back.
@@ -56,20 +65,31 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 
 def boilerplate_name(name: str) -> bool:
     """Whether a class name or id is known for what pages have around their articles."""
-    parts = [p.rstrip("0123456789") for p in re.split(r"[-_]+", name) if p]
-    if not parts:
+    parts = [p for p in re.split(r"[-_0-9]+", name) if p]
+    if not parts or not _LAYOUT.isdisjoint(parts):
         return False
     if parts[-1] == "header":
         return all(p in _SITE for p in parts[:-1])
     return parts[-1] in _NOUNS or any(p in _NOUNS for p in parts) and all(p in _NOUNS or p in _PLACES for p in parts)
 
 
+def readers_name(name: str) -> bool:
+    """Whether a class name or id, of a content element too, is known for what readers write."""
+    parts = [p for p in re.split(r"[-_0-9]+", name) if p]
+    return bool(parts) and not _READERS.isdisjoint(parts) and _LAYOUT.isdisjoint(parts)
+
+
 @dataclass
 class Weights:
-    """``tags``: name -> score of a tag (negative). ``roles``: element or class name -> log-odds that its words are content."""
+    """``tags``: name -> score of a tag (negative). ``roles``: element or class name -> log-odds that its words are content.
+    ``words``: kind of place -> score of a word there, if nothing else is known of it."""
 
     tags: dict[str, float] = field(default_factory=dict)
     roles: dict[str, float] = field(default_factory=dict)
+    words: dict[str, float] = field(default_factory=dict)
+
+    def word(self, place: str) -> float:
+        return self.words.get(place, -0.3 if place == "a li" else 0.3 if place[:2] == "a " else 1.0)
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.05 if name in INLINE or re.fullmatch(r"p|br|h[1-6]", name) else -0.2)
@@ -82,28 +102,32 @@ class Weights:
 
 
 class _Around:
-    """What the elements around a place say, folded from the outermost in: one step for each role, none is looked at again."""
+    """What the elements around a place say, folded from the outermost in: one step for each role, none is looked at again.
 
-    __slots__ = ("content", "worst")
+    ``closed``: something surely is boilerplate, and no content element within it opens it again."""
 
-    def __init__(self, content: bool = False, worst: float = 0.0):
-        self.content, self.worst = content, worst
+    __slots__ = ("closed", "content", "worst")
+
+    def __init__(self, content: bool = False, worst: float = 0.0, closed: bool = False):
+        self.content, self.worst, self.closed = content, worst, closed
 
     def within(self, roles: list[str], weights: Weights) -> _Around:
-        content, worst = self.content, self.worst
+        content, worst, closed = self.content, self.worst, self.closed
         for role in roles:
             odds = weights.role(role)
             if role in CONTENT:
-                content, worst = odds > 0, 0.0
-            elif odds < 0 and not (content and role == "header"):  # an article's own header holds its title
-                worst = min(worst, odds)
-        return self if (content, worst) == (self.content, self.worst) else _Around(content, worst)
-
-    def word_score(self) -> float:
-        """1 for a word, or what the worst role inside the innermost content element says against it (nothing counts there; it is left out)."""
+                if not closed:
+                    content, worst = odds > 0, 0.0
+            elif odds <= _TELLING and not (content and role == "header"):  # an article's own header holds its title
+                worst, closed = min(worst, odds), closed or odds <= _SURE
+        return self if (content, worst, closed) == (self.content, self.worst, self.closed) else _Around(content, worst, closed)
+
+    def word_score(self, usual: float) -> tuple[float, bool]:
+        """(score, whether the text has the word): as usual, 1 in a content element, or what the worst role around it says (nothing in a
+        content element, where boilerplate need not end the region)."""
         if self.worst < 0:
-            return 0.0 if self.content else max(BOILER, self.worst)
-        return 1.0
+            return (0.0 if self.content else max(BOILER, self.worst)), False
+        return (1.0 if self.content else usual), True
 
 
 @dataclass
@@ -111,6 +135,7 @@ class _Open:
     name: str
     roles: list[str]
     silent: bool
+    number: int = -1
 
 
 class Walker:
@@ -121,6 +146,7 @@ class Walker:
     def __init__(self) -> None:
         self.stack: list[_Open] = []
         self.at: dict[str, list[int]] = {}
+        self.count = 0
 
     def opened(self, element: _Open) -> None:
         """For subclasses."""
@@ -138,6 +164,11 @@ class Walker:
         places = self.at.get(name)
         return places[-1] if places else -1
 
+    def place(self) -> str:
+        """Kind of the innermost place of text: within a link or not, and the block."""
+        block = max(_BLOCKS, key=self._last)
+        return ("a " if self._last("a") >= 0 else "- ") + (block if self._last(block) >= 0 else "")
+
     def _cut(self, to: int) -> None:
         while len(self.stack) > to:
             element = self.stack.pop()
@@ -152,11 +183,16 @@ class Walker:
         if name in VOID or rest.endswith("/"):
             return
         own = [name] if name in CONTENT or name in BOILERPLATE else []
-        if "=" in rest:
+        if "=" in rest and name not in ("html", "body"):  # their names are of layout
             for kind, a, b, c in _NAMED.findall(rest):
-                own += [("." if kind.lower() != "role" else "@") + x for x in (a or b or c).lower().split()]
+                names = (a or b or c).lower().split()
+                if name in CONTENT:  # what its names say is its subject, unless readers wrote it
+                    own = [".comment"] if kind.lower() != "role" and any(map(readers_name, names)) else own
+                else:
+                    own += [("." if kind.lower() != "role" else "@") + x for x in names]
         self.at.setdefault(name, []).append(len(self.stack))
-        self.stack.append(_Open(name, own, name in SILENT or bool(self.stack) and self.stack[-1].silent))
+        self.stack.append(_Open(name, own, name in SILENT or bool(self.stack) and self.stack[-1].silent, self.count))
+        self.count += 1
         self.opened(self.stack[-1])
 
     def walk(self, page: str) -> None:
@@ -176,15 +212,54 @@ class Walker:
         self._cut(0)
 
 
+class _Shares(Walker):
+    """Words of running text, in paragraphs and in all, of the page and of each element that a weak role (a name or a form) is told by: by its number."""
+
+    def __init__(self, weights: Weights) -> None:
+        super().__init__()
+        self.weights, self.words, self.shut = weights, [0, 0], 0
+        self.began: dict[int, tuple[int, int]] = {}
+        self.held: dict[int, tuple[int, int]] = {}
+
+    @staticmethod
+    def _strong(role: str) -> bool:
+        return role in BOILERPLATE and role != "form" or role[0] == "." and readers_name(role[1:])
+
+    def opened(self, element: _Open) -> None:
+        if any(self._strong(r) for r in element.roles):
+            self.shut += 1
+        elif any(r not in CONTENT and self.weights.role(r) <= _TELLING for r in element.roles):
+            self.began[element.number] = tuple(self.words)
+
+    def closed(self, element: _Open) -> None:
+        if any(self._strong(r) for r in element.roles):
+            self.shut -= 1
+        elif (before := self.began.pop(element.number, None)) is not None:
+            self.held[element.number] = (self.words[0] - before[0], self.words[1] - before[1])
+
+    def text(self, text: str) -> None:
+        if not self.shut:
+            n = len(text.split())
+            self.words[1] += n
+            if self._last("p") >= 0:
+                self.words[0] += n
+
+    def wrappers(self) -> set[int]:
+        """Elements that hold more than half of the page's running text (of all its text if there is none in paragraphs)."""
+        kind = 0 if self.words[0] else 1
+        return {number for number, held in self.held.items() if 2 * held[kind] > self.words[kind]}
+
+
 class _Items(Walker):
     """(score, text or None, tag name) of each text and tag in page order."""
 
-    def __init__(self, weights: Weights) -> None:
+    def __init__(self, weights: Weights, wrappers: set[int] = frozenset()) -> None:
         super().__init__()
-        self.weights, self.around, self.items = weights, [_Around()], []
+        self.weights, self.wrappers, self.around, self.items = weights, wrappers, [_Around()], []
 
     def opened(self, element: _Open) -> None:
-        self.around.append(self.around[-1].within(element.roles, self.weights))
+        roles = [r for r in element.roles if r in CONTENT] if element.number in self.wrappers else element.roles
+        self.around.append(self.around[-1].within(roles, self.weights))
 
     def closed(self, element: _Open) -> None:
         self.around.pop()
@@ -195,8 +270,8 @@ class _Items(Walker):
     def text(self, text: str) -> None:
         words = html.unescape(text)
         if n := len(words.split()):
-            score = self.around[-1].word_score()
-            self.items.append((score * n, words if score > 0 else None, ""))
+            score, kept = self.around[-1].word_score(self.weights.word(self.place()))
+            self.items.append((score * n, words if kept else None, ""))
         else:
             self.items.append((0.0, " ", ""))
 
@@ -204,9 +279,11 @@ class _Items(Walker):
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best region, white space collapsed, joined by blank lines; empty if there are no words.
 
-    Each tag and each text is met once, however deep or broken the markup is: time is in proportion to the page.
+    Each tag and each text is met twice, however deep or broken the markup is: time is in proportion to the page.
     A tag that the page's end cuts off is markup."""
-    found = _Items(weights)
+    shares = _Shares(weights)
+    shares.walk(page or "")
+    found = _Items(weights, shares.wrappers())
     found.walk(page or "")
     items = found.items
     best, at, total, start = 0.0, (0, 0), 0.0, 0
@@ -237,7 +314,7 @@ class _Observer(Walker):
 
     def __init__(self) -> None:
         super().__init__()
-        self.roles, self.tags = Counter(), Counter()
+        self.roles, self.tags, self.places = Counter(), Counter(), Counter()
         self.words, self.levels = [0], [{}]
 
     def opened(self, element: _Open) -> None:
@@ -265,24 +342,30 @@ class _Observer(Walker):
         self.tags[name, len(self.levels) > 1] += 1
 
     def text(self, text: str) -> None:
-        self.words[-1] += len(text.split())
+        if n := len(text.split()):
+            self.words[-1] += n
+            self.places[self.place(), len(self.levels) > 1] += n
 
 
-def observe(page: str) -> tuple[Counter, Counter]:
-    """Words by (role, in content) and tags by (name, in content) of a page whose markup names its article."""
+def observe(page: str) -> tuple[Counter, Counter, Counter]:
+    """Words by (role, in content), tags by (name, in content) and words by (place, in content) of a page whose markup names its article."""
     seen = _Observer()
     seen.walk(page)
-    return seen.roles, seen.tags
+    return seen.roles, seen.tags, seen.places
 
 
 def fit(counts: dict[tuple[str, str, bool], int]) -> Weights:
-    """Weights of (kind, name, in content) -> count. A role's log-odds have the prior that its name gives, worth 50 words."""
+    """Weights of (kind, name, in content) -> count. A role's log-odds have the prior that its name gives, worth 50 words; a
+    place's likewise, within -1 and 1."""
     out = Weights()
     names = {(kind, name) for kind, name, _ in counts}
     for kind, name in names:
         inside, outside = counts.get((kind, name, True), 0), counts.get((kind, name, False), 0)
         if kind == "tag":
             out.tags[name] = -0.05 - 0.5 * outside / (inside + outside)
+        elif kind == "place":
+            prior = (1 + Weights().word(name)) / 2.2
+            out.words[name] = min(1.0, max(-1.0, math.log((inside + 50 * prior) / (outside + 50 * (1 - prior)))))
         elif name not in CONTENT:
             prior = 1 / (1 + math.exp(-Weights().role(name)))
             out.roles[name] = math.log((inside + 50 * prior) / (outside + 50 * (1 - prior)))
@@ -303,8 +386,8 @@ def fitted(pages: DataFrame, page: str = "html", sample: int = SAMPLE) -> Weight
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column("html").to_pylist():
-                roles, tags = observe(text)
-                seen.update({("role", *k): v for k, v in roles.items()} | {("tag", *k): v for k, v in tags.items()})
+                for kind, counts in zip(("role", "tag", "place"), observe(text), strict=True):
+                    seen.update({(kind, *k): v for k, v in counts.items()})
         rows = [(*k, v) for k, v in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))], ["kind", "name", "inside", "n"])
 
