@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 from .text import canonical, canonical_tokens
 
-#: First code point of token numbers; up to 22,528 different tokens lie below the surrogates.
-_FIRST = 0x8000
+#: Code points of token numbers: those from _FIRST to the surrogates, then those beyond the first plane.
+_FIRST, _PLAIN, _BEYOND = 0x8000, 0xD800 - 0x8000, 1 << 20
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _code(number: Column) -> Column:
+    """A character for each number from 0: one UTF-16 unit, or two that make a character beyond the first plane."""
+    hexed = lambda n: F.lpad(F.hex(n), 4, "0")
+    more = number - _PLAIN
+    pair = F.concat(hexed(0xD800 + F.shiftright(more, 10)), hexed(0xDC00 + more.bitwiseAND(0x3FF)))
+    return F.decode(F.unhex(F.when(number < _PLAIN, hexed(_FIRST + number)).otherwise(pair)), "UTF-16BE")
+
+
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token arrays, for up to 22,528 different tokens (null beyond)."""
+    """Levenshtein distance of two token arrays: tokens become characters. More than a million different tokens in one pair are an error, not a null."""
 
     def coded(v: Column) -> Column:
-        code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v["all"], t) + _FIRST - 1), 4, "0")), "UTF-16BE")
+        code = lambda t: _code((F.array_position(v["all"], t) - 1).cast("int"))
         distance = F.levenshtein(F.array_join(F.transform(v["a"], code), ""), F.array_join(F.transform(v["b"], code), ""))
-        return F.when(F.size(v["all"]) <= 0xD800 - _FIRST, distance)
+        return F.when(F.size(v["all"]) > _PLAIN + _BEYOND, F.raise_error(F.lit("too many different tokens in a pair"))).otherwise(distance)
 
     return _let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("all")), coded)
 

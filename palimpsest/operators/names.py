@@ -7,17 +7,15 @@ what stands around it; in every other case the outcome says why the word was lef
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WORD_CLASS, fold_sigma, plain
 
 from .fuzzy import swap_neighbours
+from .review import SURNAME_ENDINGS, other_case_of
 
-# Endings of surnames in other cases, longest first; words before a name; how often a word must be seen to count as common.
-SURNAME_ENDINGS = ("οπουλου", "ιδου", "ακου", "ακη", "ου")
+# Words before a name; how often a word must be seen to count as common.
 TITLES = ("κ.", "κ", "κυριοσ", "κυρια", "κυριε")
 COMMON = 5
 
@@ -34,12 +32,6 @@ def length_allows(length: Column, distance: Column) -> Column:
     return F.when(length < 6, False).when(length <= 9, distance == 1).otherwise((distance <= 2) & (5 * distance <= length))
 
 
-def other_case(token: Column, alias: Column, endings: tuple[str, ...] = SURNAME_ENDINGS) -> Column:
-    """Whether the token has an ending of surnames and the spelling begins with what stands before it."""
-    stem = lambda e: F.left(token, F.length(token) - len(e))
-    return reduce(lambda x, y: x | y, (token.endswith(e) & (F.length(token) > len(e)) & F.startswith(alias, stem(e)) for e in endings))
-
-
 def nearest_names(tokens: DataFrame, roster: DataFrame, meeting: str, token: str = "token") -> DataFrame:
     """Of each (meeting, token) the nearest name within three edits: term, alias, surface, persons, distance, ties (names as near) and second (the distance of the next).
 
@@ -89,7 +81,7 @@ def outcomes(texts: DataFrame, roster: DataFrame, first_names: DataFrame, seen:
         .when(F.col("second") < F.col("distance") + 2, "abstain_margin")
         .when(F.col("_n") >= common, "abstain_common")
         .when(F.col("persons") != 1, "abstain_multi_person")
-        .when(two & other_case(F.col("token"), F.col("alias"), endings), "abstain_suffix_family")
+        .when(two & other_case_of(F.col("token"), F.col("alias"), endings), "abstain_suffix_family")
         .when(two & ~F.coalesce("signal", F.lit(False)), "abstain_no_signal")
         .otherwise("fire")
     )

@@ -123,6 +123,19 @@ def suffix_neighbours(a: Column, b: Column, least: int = 4, most: int = 4) -> Co
     return (a != b) & (shared >= least) & (F.length(a) - shared <= most) & (F.length(b) - shared <= most)
 
 
+def suffix_pairs(words: DataFrame, word: str, least: int = 4, most: int = 4) -> DataFrame:
+    """(a, b): all pairs of ``suffix_neighbours`` among different words.
+
+    Two such words share as many letters as the longer one has but for its tail, so they meet by that beginning, of a length
+    that both can have; a short beginning that many words share brings only words of its own length together."""
+    once = words.select(F.col(word).alias("_w")).filter(F.length("_w") >= least).distinct()
+    lengths = F.sequence(F.greatest(F.lit(least), F.length("_w") - most), F.length("_w"))
+    keyed = once.select("_w", F.explode(lengths).alias("_k")).withColumn("_stem", F.expr("left(_w, _k)"))
+    a, b = keyed.withColumnRenamed("_w", "a"), keyed.withColumnRenamed("_w", "b")
+    met = a.join(b, ["_k", "_stem"]).filter((F.col("a") != F.col("b")) & (F.col("_k") == F.greatest(F.lit(least), F.greatest(F.length("a"), F.length("b")) - most)))
+    return met.filter(suffix_neighbours(F.col("a"), F.col("b"), least, most)).select("a", "b")
+
+
 def single_consonants(text: Column, letters: str = "βγδζθκλμνξπρσςτφχψ") -> Column:
     """Runs of one consonant as one letter; vowels stay as they are, for doubled ones are syllables."""
     return F.regexp_replace(text, f"([{letters}])\\1+", "$1")

@@ -159,12 +159,12 @@ def surname_forms(spark, sf_dir):
     return rows.select("c_custkey", F.array_join(text.inflections(F.col("n")), "|").alias("forms"), F.array_join(placed, "|").alias("tokens"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, least(len(w), 200))) AS i FROM t) WHERE w[i] IS NOT NULL AND w[i + 1] IS NOT NULL),
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM t) WHERE w[i] IS NOT NULL AND w[i + 1] IS NOT NULL),
 q AS (SELECT a, b FROM p WHERE regexp_full_match(a, '[a-z0-9_]+') AND regexp_full_match(b, '[a-z0-9_]+'))
 SELECT a, b, damerau_levenshtein(a, b) <= 1 AS near FROM q""")
 def near_words(spark, sf_dir):
     w = text.word_tokens(F.col("text"))
-    pairs = table(spark, sf_dir, "documents").select(F.slice(w, 1, 200).alias("w")).select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - 1)).alias("a"), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)).alias("b"))).alias("p"))
+    pairs = table(spark, sf_dir, "documents").select(w.alias("w")).select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - 1)).alias("a"), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)).alias("b"))).alias("p"))
     ascii_ = pairs.select("p.a", "p.b").distinct().filter("a RLIKE '^[a-z0-9_]+$' AND b RLIKE '^[a-z0-9_]+$'")
     return ascii_.select("a", "b", distance.transposed_or_near(F.col("a"), F.col("b")).alias("near"))
 
@@ -400,32 +400,33 @@ def near_gate(spark, sf_dir):
     return table(spark, sf_dir, "events").select(d.alias("d"), n.alias("l"), review.near_miss(d, n).alias("near")).distinct()
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_WORDS}[1:6] AS w FROM documents), p AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ('the', 'of', 'a', 'la', 'de', 'der', 'die')) AS k FROM t)
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ('the', 'of', 'a', 'la', 'de', 'der', 'die')) AS k FROM t)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN '' WHEN len(k) = 0 THEN w[len(w)] ELSE array_to_string(w[list_min(k):list_max(k)], ' ') END AS span FROM p""")
 def trimmed_spans(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(text.word_tokens(F.col("text")), 1, 6).alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("w"))
     return rows.select("doc_id", F.array_join(review.trimmed(F.col("w"), ["the", "of", "a", "la", "de", "der", "die"]), " ").alias("span"))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest({_WORDS}[1:40]) AS w FROM documents), x AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w <> b.w AND left(a.w, 4) = left(b.w, 4) AND length(a.w) >= 4 AND length(b.w) >= 4),
+@query(f"""WITH w AS (SELECT w FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY w HAVING count(*) >= 3), x AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w <> b.w AND left(a.w, 4) = left(b.w, 4) AND length(a.w) >= 4 AND length(b.w) >= 4),
 s AS (SELECT a, b, list_min(list_filter(range(1, greatest(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) - 1 AS p FROM x)
 SELECT a, b FROM s WHERE length(a) - p <= 4 AND length(b) - p <= 4""")
 def word_families(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.slice(text.word_tokens(F.col("text")), 1, 40)).alias("w")).distinct().withColumn("s", F.left("w", F.lit(4)))
-    pairs = words.withColumnRenamed("w", "a").join(words.withColumnRenamed("w", "b"), "s").filter("a <> b AND length(a) >= 4 AND length(b) >= 4")
-    return pairs.filter(review.suffix_neighbours(F.col("a"), F.col("b"))).select("a", "b")
+    """Words of three documents or more that differ in their endings."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text.word_tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return review.suffix_pairs(words, "w")
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), e AS (SELECT doc_id, w[1:2] AS b, w[3:4] AS a FROM t),
-s AS (SELECT doc_id, a, b, list_concat(b, a) AS x, regexp_replace(array_to_string(b, ' '), '[^a-z0-9_ ]', '~', 'g') AS bj, regexp_replace(array_to_string(a, ' '), '[^a-z0-9_ ]', '~', 'g') AS aj FROM e)
-SELECT doc_id, CASE WHEN len(list_filter(x, lambda q: regexp_matches(q, '[0-9]'))) > 0 THEN 'number' WHEN list_has_any(x, ['the', 'la']) THEN 'roster-name' WHEN list_has_any(x, ['of', 'der']) THEN 'glossary-term'
-  WHEN len(a) > 0 AND len(b) > 0 AND levenshtein(bj, aj) <= greatest(2, floor(0.34 * greatest(length(bj), length(aj)))) THEN 'spelling-tweak' ELSE 'other-lexical' END AS kind FROM s""")
+@query(f"""WITH t AS (SELECT {_WORDS} AS w FROM documents), e AS (SELECT DISTINCT [w[i]] AS b, [w[i + 1]] AS a FROM (SELECT w, unnest(range(1, len(w))) AS i FROM t)),
+s AS (SELECT a, b, list_concat(b, a) AS x, regexp_replace(array_to_string(b, ' '), '[^a-z0-9_ ]', '~', 'g') AS bj, regexp_replace(array_to_string(a, ' '), '[^a-z0-9_ ]', '~', 'g') AS aj FROM e)
+SELECT b[1] AS before, a[1] AS after, CASE WHEN len(list_filter(x, lambda q: regexp_matches(q, '[0-9]'))) > 0 THEN 'number' WHEN list_has_any(x, ['the', 'la']) THEN 'roster-name' WHEN list_has_any(x, ['of', 'der']) THEN 'glossary-term'
+  WHEN levenshtein(bj, aj) <= greatest(2, floor(0.34 * greatest(length(bj), length(aj)))) THEN 'spelling-tweak' ELSE 'other-lexical' END AS kind FROM s""")
 def edit_kinds(spark, sf_dir):
+    """Each pair of neighbouring words as an edit of one by the other."""
     w = text.word_tokens(F.col("text"))
-    plain = lambda xs: F.transform(xs, lambda t: F.regexp_replace(t, "[^a-z0-9_ ]", "~"))
+    plain = lambda x: F.array(F.regexp_replace(x, "[^a-z0-9_ ]", "~"))
     words = lambda *xs: F.array(*map(F.lit, xs))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(w, 1, 2).alias("b"), F.slice(w, 3, 2).alias("a"))
-    return rows.select("doc_id", review.edit_kind(plain(F.col("b")), plain(F.col("a")), words("the", "la"), words("of", "der")).alias("kind"))
+    pairs = table(spark, sf_dir, "documents").select(w.alias("w")).select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - 1)).alias("b"), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)).alias("a"))).alias("p"))
+    return pairs.select(F.col("p.b").alias("before"), F.col("p.a").alias("after")).distinct().select("before", "after", review.edit_kind(plain(F.col("before")), plain(F.col("after")), words("the", "la"), words("of", "der")).alias("kind"))
 
 
 @query("SELECT n_nationkey::BIGINT AS nation, c_name AS name, row_number() OVER (PARTITION BY n_nationkey ORDER BY sha256('salt' || n_nationkey || lower(replace(c_name, '#', ' '))), lower(replace(c_name, '#', ' '))) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -691,10 +692,10 @@ def review_buckets(spark, sf_dir):
 
 
 def _slips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of texts that differ by one slip of each kind, of the first words of the documents in Greek letters."""
+    """Pairs of texts that differ by one slip of each kind, of the turns of users in Greek letters."""
     t = F.regexp_replace(greek(F.col("text")), r"[^α-ωa-z ]+", " ")
-    words = F.slice(F.filter(F.split(t, " "), lambda w: F.length(w) > 3), 1, 6)
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter("size(w) >= 4").withColumn("b", F.array_join("w", " "))
+    words = F.filter(F.split(t, " "), lambda w: F.length(w) > 3)
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), words.alias("w")).filter("size(w) >= 4").withColumn("b", F.array_join("w", " "))
     kind = F.col("doc_id") % 9
     first, rest = F.get("w", F.lit(0)), F.array_join(F.slice("w", F.lit(2), F.size("w")), " ")
     after = (
@@ -705,7 +706,7 @@ def _slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", kind.alias("kind"), before.alias("before"), after.alias("after"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace({_GREEK_SQL}, '[^α-ωa-z ]+', ' ', 'g'), ' '), lambda x: length(x) > 3)[1:6] AS w FROM documents)
+@query(f"""WITH w AS (SELECT conv_id * 1000 + turn AS doc_id, list_filter(string_split(regexp_replace({_GREEK_SQL}, '[^α-ωa-z ]+', ' ', 'g'), ' '), lambda x: length(x) > 3) AS w FROM conversations WHERE role = 'user')
 SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'no_change' WHEN 1 THEN 'punctuation_capitalization' WHEN 2 THEN 'accent_tonos' WHEN 3 THEN 'number_date' WHEN 4 THEN 'word_boundary' WHEN 5 THEN 'insertion_deletion' WHEN 6 THEN 'acronym_abbreviation'
   WHEN 7 THEN CASE WHEN left(w[1], 3) || 'ξξξ' = w[1] THEN 'no_change' ELSE 'morph_grammar' END ELSE 'named_entity' END AS category FROM w WHERE len(w) >= 4""")
 def slip_categories(spark, sf_dir):
@@ -713,7 +714,7 @@ def slip_categories(spark, sf_dir):
     return _slips(spark, sf_dir).select("doc_id", classify.error_category(F.col("before"), F.col("after")).alias("category"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace({_GREEK_SQL}, '[^α-ωa-z ]+', ' ', 'g'), ' '), lambda x: length(x) > 3)[1:6] AS w FROM documents)
+@query(f"""WITH w AS (SELECT conv_id * 1000 + turn AS doc_id, list_filter(string_split(regexp_replace({_GREEK_SQL}, '[^α-ωa-z ]+', ' ', 'g'), ' '), lambda x: length(x) > 3) AS w FROM conversations WHERE role = 'user')
 SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'punctuation_capitalization' WHEN 2 THEN 'accent_tonos' WHEN 4 THEN 'word_boundary' ELSE '' END AS labels FROM w WHERE len(w) >= 4 AND doc_id % 9 < 5""")
 def slip_labels(spark, sf_dir):
     """The labels that rules alone are sure of."""
@@ -777,13 +778,13 @@ def reviewed_meetings(spark, sf_dir):
     return _meetings(spark, sf_dir).filter("taskStatus.humanReview").select(F.col("meeting.cityId").alias("city_id"), F.col("meeting.id").alias("meeting_id")).distinct()
 
 
-@query(f"""SELECT doc_id::VARCHAR AS item, CASE WHEN doc_id % 5 <> 0 THEN len(list_distinct({_WORDS}[1:20]))::BIGINT END AS agreed FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+@query(f"""SELECT item_id::VARCHAR AS item, len(list_distinct({_WORDS}))::BIGINT AS agreed FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0""")
 def common_windows(spark, sf_dir):
     """Benchmark windows for which both providers succeeded, and the tokens that both have."""
     path = scratch(spark, "report")
-    said = lambda bad, extra: F.struct(F.when(F.col("doc_id") % bad == 0, "failed").otherwise("ok").alias("status"), F.concat_ws(" ", F.array_join("w", " "), F.lit(extra)).alias("hypothesisText"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(text.word_tokens(F.col("text")), 1, 20).alias("w"))
-    item = F.struct(F.col("doc_id").cast("string").alias("itemId"), F.create_map(F.lit("a"), said(5, "§first"), F.lit("b"), said(7, "§second")).alias("perProvider"))
+    said = lambda bad, extra: F.struct(F.when(F.col("item_id") % bad == 0, "failed").otherwise("ok").alias("status"), F.concat_ws(" ", F.array_join("w", " "), F.lit(extra)).alias("hypothesisText"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", text.word_tokens(F.col("text")).alias("w"))
+    item = F.struct(F.col("item_id").cast("string").alias("itemId"), F.create_map(F.lit("a"), said(5, "§first"), F.lit("b"), said(7, "§second")).alias("perProvider"))
     rows.agg(F.collect_list(item).alias("items")).write.json(path)  # one report, as a benchmark run writes it
     items = readers.common_items(readers.report_items(spark, path), ["a", "b"])
     words = lambda p: F.filter(F.split(F.element_at("perProvider", p)["hypothesisText"], " "), lambda t: ~t.startswith("§") & (t != ""))
@@ -810,7 +811,7 @@ p AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS source, 0.0::DOUBLE AS now, false AS
 SELECT source FROM p WHERE taken""")
 def balanced_share(spark, sf_dir):
     sums = table(spark, sf_dir, "documents").filter("source IS NOT NULL").groupBy("source").agg(F.sum("n_chars").cast("double").alias("n"))
-    return spark.createDataFrame([(k,) for k in selection.balanced_groups(sums, "source", "n", 0.3)], "source string")
+    return selection.balanced_groups(sums, "source", "n", 0.3)
 
 
 @query("SELECT c_custkey AS term, min(c_custkey) OVER (PARTITION BY c_custkey // 6) AS family FROM customer")
@@ -839,11 +840,12 @@ def disordered_segments(spark, sf_dir):
     return intervals.invalid_sequences(rows, ["user_id"]).select("event_id")
 
 
-@query("SELECT doc_id FROM documents WHERE false")
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND n_chars / 10 > 50")
 def exact_cover(spark, sf_dir):
-    """What windows own tiles every span: no tile begins where the one before does not end."""
+    """What windows own tiles every span, but for those of which the second window is taken away: the third does not begin where the first ends."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0.0).alias("start"), (F.col("n_chars") / 10).alias("end"))
-    return intervals.uncovered(intervals.windows(rows, 30, 20), ["doc_id"]).select("doc_id")
+    tiles = intervals.windows(rows, 30, 20)
+    return intervals.uncovered(tiles.filter("NOT (doc_id % 3 = 0 AND own_start = 25)"), ["doc_id"]).select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 'drop' WHEN toxic = 0 THEN 'keep' ELSE 'drop' END AS decision FROM labels")
@@ -876,15 +878,20 @@ def clip_boundaries(spark, sf_dir):
     return rows.select("event_id", "b.status", F.round("b.start_off", 6).alias("start_off"), F.round("b.end_off", 6).alias("end_off"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS}[1:30] AS w FROM documents WHERE len({_WORDS}) >= 3) SELECT doc_id, len(w) + 1 AS n, 3::BIGINT AS errors, false AS last_kept, true AS lost FROM w""")
+@query(f"""WITH w AS (SELECT conv_id * 1000 + turn AS utterance, {_WORDS} AS w FROM conversations WHERE role = 'user' AND len({_WORDS}) >= 3)
+SELECT utterance, len(w) + CASE WHEN utterance % 3 = 1 THEN 0 ELSE 1 END AS n, CASE utterance % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 1 END::BIGINT AS errors, utterance % 3 <> 1 AS first_kept, utterance % 3 <> 0 AS last_kept, utterance % 3 = 0 AS lost FROM w""")
 def edge_losses(spark, sf_dir):
-    """A reference and what a system makes of it: two words more in front, the last one lost."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("w")).filter("size(w) >= 3").select("doc_id", F.slice("w", 1, 30).alias("w"))
-    ref = F.concat("w", F.array(F.lit("§end")))
-    ops = rows.withColumn("o", alignment.align_ops(ref, F.concat(F.array(F.lit("§a"), F.lit("§b")), F.col("w"))))
+    """A turn and what a system makes of it: two words more in front and the last one lost, the first one replaced, or one more behind."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utterance"), text.word_tokens(F.col("text")).alias("w")).filter("size(w) >= 3")
+    kind = F.col("utterance") % 3
+    mark = lambda *xs: F.array(*map(F.lit, xs))
+    rest = F.slice("w", F.lit(2), F.size("w"))
+    ref = F.when(kind == 1, F.col("w")).otherwise(F.concat("w", mark("§end")))
+    hyp = F.when(kind == 0, F.concat(mark("§a", "§b"), F.col("w"))).when(kind == 1, F.concat(mark("§first"), rest)).otherwise(F.concat("w", mark("§end", "§more")))
+    ops = rows.select("utterance", "w", F.size(ref).alias("n"), alignment.align_ops(ref, hyp).alias("o"))
     counts = alignment.op_counts(F.col("o"))
-    lost = F.array_contains(alignment.deleted_places(F.col("o")), F.size("w")) | (F.element_at("o", -1)["op"] != "M")
-    return ops.select("doc_id", counts["n"].alias("n"), (counts["s"] + counts["d"] + counts["i"]).alias("errors"), (~alignment.edge_flags(F.col("o"))["last"]).alias("last_kept"), lost.alias("lost"))
+    flags = alignment.edge_flags(F.col("o"))
+    return ops.select("utterance", long(F.col("n")).alias("n"), (counts["s"] + counts["d"] + counts["i"]).alias("errors"), (~flags["first"]).alias("first_kept"), (~flags["last"]).alias("last_kept"), F.array_contains(alignment.deleted_places(F.col("o")), F.col("n") - 1).alias("lost"))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------
@@ -931,23 +938,25 @@ def silence_cuts(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(pieces).alias("piece", "s")).select("doc_id", long(F.col("piece")).alias("piece"), F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"))
 
 
-@query(f"SELECT doc_id, w[1] AS word FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE length(w[1]) > 3")
+@query(f"SELECT DISTINCT w AS word, w AS voted FROM (SELECT unnest({_WORDS}) AS w FROM benchmark) WHERE length(w) > 3")
 def letter_votes(spark, sf_dir):
-    """Two of three spellings lack different letters; the vote has them all."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.get(text.word_tokens(F.col("text")), F.lit(0)).alias("w")).filter("length(w) > 3")
-    lost = F.concat(F.left("w", F.lit(1)), F.lit("§"), F.substring(F.col("w"), F.lit(2), F.length("w")))
-    return words.select("doc_id", alignment.letter_vote(F.col("w"), lost, F.concat("w", F.lit("§"))).alias("word"))
+    """Two of three spellings of every word have a letter too many, at neighbouring places that differ from word to word; the vote is the word."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text.word_tokens(F.col("text"))).alias("w")).filter("length(w) > 3").distinct()
+    more = lambda at: F.concat(F.left("w", at), F.lit("§"), F.substring(F.col("w"), at + 1, F.length("w")))
+    place = F.pmod(F.crc32(F.col("w").cast("binary")), F.length("w")).cast("int")
+    return words.select(F.col("w").alias("word"), alignment.letter_vote(F.col("w"), more(place), more(place + 1)).alias("voted"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS errors FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 12")
+@query(f"SELECT utterance, len(list_filter(range(0, len(w)), lambda i: (i + utterance) % 9 = 3))::INT AS errors FROM (SELECT conv_id * 1000 + turn AS utterance, {_WORDS} AS w FROM conversations WHERE role = 'user') WHERE len(w) >= 2")
 def nbest_oracle(spark, sf_dir):
-    """Two chunks with three hypotheses each, of which one is right; in a third of the rows a word is wrong in all of them."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("w")).filter("size(w) >= 12").select("doc_id", F.slice("w", 1, 12).alias("w"))
-    bad = F.transform("w", lambda t, i: F.when((i == 3) & (F.col("doc_id") % 3 == 0), F.lit("§wrong")).otherwise(t))
-    left, right = F.slice(bad, 1, 6), F.slice(bad, 7, 6)
+    """A turn in two chunks with three hypotheses each, of which one is right but for words that are wrong in all of them."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utterance"), text.word_tokens(F.col("text")).alias("w")).filter("size(w) >= 2")
+    bad = F.transform("w", lambda t, i: F.when((i + F.col("utterance")) % 9 == 3, F.lit("§wrong")).otherwise(t))
+    half = F.floor(F.size("w") / 2).cast("int")
+    left, right = F.slice(bad, F.lit(1), half), F.slice(bad, half + 1, F.size("w"))
     odd = F.array(F.lit("§x"), F.lit("§y"))
     chunks = F.array(F.array(odd, left, F.slice(left, 1, 3)), F.array(F.concat(right, odd), odd, right))
-    return rows.select("doc_id", alignment.nbest_errors_udf(chunks, F.col("w")).alias("errors"))
+    return rows.select("utterance", alignment.nbest_errors_udf(chunks, F.col("w")).alias("errors"))
 
 
 @query("SELECT c_custkey, c_custkey % 4 < 2 AS same FROM customer")
@@ -1005,12 +1014,14 @@ def relocated_paths(spark, sf_dir):
     return dataset.relocated(rows, "path", "/old/", "/new/place/")
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_WORDS}[1:24] AS w FROM documents), x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)
-SELECT doc_id, (i + 5) // 6 AS cell, 0 AS winner, string_agg(w[i], ' ' ORDER BY i) AS words FROM x GROUP BY doc_id, (i + 5) // 6""")
+@query(f"""WITH t AS (SELECT conv_id * 1000 + turn AS utterance, {_WORDS} AS w FROM conversations WHERE role = 'user'), x AS (SELECT utterance, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+SELECT utterance, (i + 5) // 6 AS cell, CASE WHEN (utterance + (i + 5) // 6) % 3 = 0 THEN 1 ELSE 0 END AS winner, string_agg(w[i], ' ' ORDER BY i) AS words FROM x GROUP BY utterance, (i + 5) // 6""")
 def cell_votes(spark, sf_dir):
-    """Three streams of words in cells of six seconds: two agree, one has other words; the first of those that agree wins each cell."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(text.word_tokens(F.col("text")), 1, 24)).alias("pos", "w"))
-    tokens = rows.select("doc_id", "pos", F.col("pos").cast("double").alias("t"), F.explode(F.array(*(F.struct(F.lit(n).alias("stream"), (F.concat(F.lit("§"), "w") if n == 2 else F.col("w")).alias("token")) for n in range(3)))).alias("x")).select("doc_id", "pos", "t", "x.*")
-    cuts = rows.filter("pos % 6 = 0").select("doc_id", F.col("pos").cast("double").alias("t"))
-    out = fusion.partition_vote(tokens, cuts, ["doc_id"])
-    return out.select("doc_id", long(F.col("cell")).alias("cell"), "winner", F.array_join("words", " ").alias("words"))
+    """Three streams of words in cells of six seconds: in each cell another one has words of its own; the first of the two that agree wins."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utterance"), F.posexplode(text.word_tokens(F.col("text"))).alias("pos", "w"))
+    odd = (F.col("utterance") + F.floor(F.col("pos") / 6) + 1) % 3
+    said = lambda n: F.struct(F.lit(n).alias("stream"), F.when(odd == n, F.concat(F.lit("§"), "w")).otherwise(F.col("w")).alias("token"))
+    tokens = rows.select("utterance", "pos", F.col("pos").cast("double").alias("t"), F.explode(F.array(*map(said, range(3)))).alias("x")).select("utterance", "pos", "t", "x.*")
+    cuts = rows.filter("pos % 6 = 0").select("utterance", F.col("pos").cast("double").alias("t"))
+    out = fusion.partition_vote(tokens, cuts, ["utterance"])
+    return out.select("utterance", long(F.col("cell")).alias("cell"), "winner", F.array_join("words", " ").alias("words"))
