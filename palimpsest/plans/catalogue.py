@@ -641,10 +641,17 @@ def pack_rows(spark, sf_dir):
     return selection.pack(rows, ["source"], "doc_id")
 
 
-@query()
+_GREEDY = """WITH RECURSIVE d AS (SELECT doc_id, lang, source, 1 / (1 + abs(n_chars - 2000) / 1000.0::DOUBLE) AS s FROM documents),
+p AS (SELECT 0::BIGINT AS rank, [0.0::DOUBLE] AS hit, []::BIGINT[] AS ids, []::VARCHAR[] AS langs, []::VARCHAR[] AS sources
+  UNION ALL SELECT rank + 1, hit, list_append(ids, d.doc_id), list_append(langs, lang), list_append(sources, source)
+  FROM (SELECT rank, ids, langs, sources, max([{gain}, s, -doc_id::DOUBLE]) AS hit FROM p, d WHERE rank < 100 AND NOT list_contains(ids, doc_id) GROUP BY rank, ids, langs, sources) x JOIN d ON d.doc_id = -hit[3]::BIGINT)"""
+_TAKEN = "len(list_filter({0}, lambda x: x = d.{1}))"
+
+
+@query(_GREEDY.format(gain=f"s * ((1 / sqrt(1 + {_TAKEN.format('langs', 'lang')})) * (1 / sqrt(1 + {_TAKEN.format('sources', 'source')})))") + " SELECT -hit[3]::BIGINT AS doc_id, rank, round(hit[1], 9) AS gain FROM p WHERE rank > 0")
 def diverse_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", (1 / (1 + F.abs(F.col("n_chars") - 2000) / 1000.0)).alias("score"), "lang", "source")
-    return selection.diverse_top(rows, "doc_id", "score", ["lang", "source"], 100)
+    return selection.diverse_top(rows, "doc_id", "score", ["lang", "source"], 100).withColumn("gain", F.round("gain", 9))
 
 
 @query("""WITH RECURSIVE d AS (SELECT doc_id, source || ':' || (doc_id % 7) AS speaker, n_chars / 10 AS seconds FROM documents), t AS (SELECT sum(seconds) AS total FROM d),
@@ -762,7 +769,7 @@ def speech_cuts(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(matching.cut_accumulating(F.col("d"), quiet)).alias("piece", "s")).select("doc_id", long(F.col("piece")).alias("piece"), F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"))
 
 
-@query()
+@query(_GREEDY.format(gain=f"s / (1 + 8 * greatest(0, {_TAKEN.format('langs', 'lang')} / greatest(1, rank)::DOUBLE - CASE WHEN lang = 'en' THEN 0.4 ELSE 0.15 END)) / sqrt(1 + 0.25 * {_TAKEN.format('sources', 'source')})") + " SELECT -hit[3]::BIGINT AS doc_id, rank AS final_rank FROM p WHERE rank > 0")
 def ceiling_choice(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", (1 / (1 + F.abs(F.col("n_chars") - 2000) / 1000.0)).alias("score"), "lang", "source")
     return matching.ceiling_top(rows, "doc_id", "score", "lang", {"source": 0.25}, 100, {"en": 0.4})

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import alignment, matching, placing
+from palimpsest.operators import alignment, fusion, intervals, language, matching, names, placing
 
-from .catalogue import _SPANS, long, query, spans, table
+from .catalogue import _CANON, _SPANS, long, query, spans, table
+from .lookups import _RECURRENT, _recurrent
 
 _W = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')"
 
@@ -201,8 +202,76 @@ def gazetteer_hits(spark, sf_dir):
     """Recurrent runs of two and three words of a source stand for its names; words of the benchmark are ordinary ones."""
     rows = table(spark, sf_dir, "documents").select("source", text.word_tokens(F.col("text")).alias("w"))
     grams = lambda n: F.explode(F.expr(f"if(size(w) >= {n}, transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')), array())"))
-    names = rows.select("source", grams(2).alias("name")).unionAll(rows.select("source", grams(3).alias("name"))).groupBy("source", "name").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    known = rows.select("source", grams(2).alias("name")).unionAll(rows.select("source", grams(3).alias("name"))).groupBy("source", "name").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
     ordinary = table(spark, sf_dir, "benchmark").select(F.explode(text.word_tokens(F.col("text"))).alias("token"))
     said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utterance"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("source"), text.word_tokens(F.col("text")).alias("tokens"))
-    out = placing.gazetteer_hits(said, names, "utterance", "source", 5, ordinary)
+    out = placing.gazetteer_hits(said, known, "utterance", "source", 5, ordinary)
     return out.select("utterance", long(F.col("pos")).alias("pos"), "token", "status", F.coalesce("completed_as", F.lit("")).alias("completed_as"))
+
+
+# --- rules and rows that had no query of their own -----------------------------------------------------------------
+
+
+@query(f"""WITH {_SPANS}, x AS (SELECT user_id, event_type AS after, start, lag(event_type) OVER w AS before, lag("end") OVER w AS e FROM spans WINDOW w AS (PARTITION BY user_id ORDER BY start, "end", event_type))
+SELECT user_id, before, after, round((e + start) / 2, 3) AS t FROM x WHERE before <> after""")
+def handover_times(spark, sf_dir):
+    """Where one kind of segment of a user follows another."""
+    out = intervals.handovers(spans(spark, sf_dir), ["user_id"], "event_type")
+    return out.select("user_id", "before", "after", F.round("t", 3).alias("t"))
+
+
+@query(f"""WITH {_SPANS}, c AS (SELECT user_id, ("end" + lead(start) OVER (PARTITION BY user_id ORDER BY start)) / 2 AS t FROM spans WHERE event_type = 'click')
+SELECT DISTINCT user_id, round(t, 3) AS t FROM c WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.user_id = c.user_id AND s.event_type = 'view' AND c.t >= s.start AND c.t <= s."end")""")
+def outer_changes(spark, sf_dir):
+    """Times between neighbouring clicks of a user that no view covers."""
+    rows = spans(spark, sf_dir)
+    kind = lambda k: rows.filter(F.col("event_type") == k).select("user_id", "start", "end")
+    return fusion.other_changes(kind("click"), kind("view"), ["user_id"], 14_400.0).select("user_id", F.round("t", 3).alias("t"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, value / 10 AS seconds, event_id % 3 + 1 AS n FROM events) WHERE CASE WHEN n = 1 THEN seconds >= 1.5 ELSE 2.5 * seconds >= 3 END")
+def eligible_stretches(spark, sf_dir):
+    """Stretches of one speaker or several in which a lost word could be told."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit(0.0).alias("start"), (F.col("value") / 10).alias("end"), (F.col("event_id") % 3 + 1).alias("n"))
+    return fusion.eligible(rows, 2.5).select("event_id")
+
+
+@query("""SELECT event_id, CASE WHEN n < 6 THEN false WHEN n <= 9 THEN d = 1 ELSE d <= 2 AND d / n <= 0.20 END AS allowed FROM (SELECT event_id, event_id % 19 AS n, event_id % 4 AS d FROM events)""")
+def allowed_repairs(spark, sf_dir):
+    """Edits that a name of so many letters may need."""
+    return table(spark, sf_dir, "events").select("event_id", names.length_allows(F.col("event_id") % 19, F.col("event_id") % 4).alias("allowed"))
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, pairs AS (SELECT item_id * 2 AS id, w0 AS r, w1 AS h, false AS free FROM items UNION ALL SELECT item_id * 2 + 1, list_reverse(w0), list_reverse(w1), false FROM items), {_PAIR_ROWS},
+best AS (SELECT id, row[len(h) + 1] AS c FROM dp WHERE i = len(r) AND id % 2 = 0),
+cells AS (SELECT f.id // 2 AS item_id, f.i, len(list_filter(range(1, len(f.h) + 1), lambda j: f.row[j] + CASE WHEN f.r[f.i + 1] = f.h[j] THEN 0 ELSE 1 END + b.row[len(f.h) + 1 - j] = c)) AS partners,
+  len(list_filter(range(1, len(f.h) + 2), lambda j: f.row[j] + 1 + b.row[len(f.h) + 2 - j] = c)) AS alone FROM dp f JOIN dp b ON b.id = f.id + 1 AND b.i = len(f.r) - f.i - 1 JOIN best ON best.id = f.id WHERE f.id % 2 = 0 AND f.i < len(f.r))
+SELECT item_id, count(*) FILTER (WHERE partners = 1 AND alone = 0) AS certain, count(*) AS n FROM cells GROUP BY item_id""")
+def certain_words(spark, sf_dir):
+    """Words of an item that have the same partner in the next one in every cheapest alignment."""
+    rows = _items(spark, sf_dir).select("item_id", matching.certain_pairs_udf("w0", "w1").alias("c"))
+    return rows.select("item_id", long(F.size(F.array_compact("c"))).alias("certain"), long(F.size("c")).alias("n"))
+
+
+@query(f"""WITH said AS (SELECT item_id, string_split({_CANON}, ' ') AS w FROM benchmark), {_RECURRENT}, tokens AS (SELECT item_id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS i FROM said),
+near AS (SELECT token, w AS term, levenshtein(token, w) AS d FROM (SELECT DISTINCT token FROM tokens WHERE regexp_full_match(token, '[a-z]+')) JOIN recurrent ON abs(length(token) - length(w)) <= 3 AND regexp_full_match(w, '[a-z]+') WHERE levenshtein(token, w) <= 3),
+ranked AS (SELECT *, row_number() OVER o AS r, lead(d) OVER o AS second FROM near WINDOW o AS (PARTITION BY token ORDER BY d, term)),
+good AS (SELECT token, term FROM ranked WHERE r = 1 AND d > 0 AND d <= CASE WHEN length(token) < 4 THEN 0 WHEN length(token) <= 5 THEN 1 WHEN length(token) <= 9 THEN 2 ELSE 3 END AND coalesce(second, 99) - d >= 1)
+SELECT item_id, string_agg(coalesce(term, tokens.token), ' ' ORDER BY i) AS fixed FROM tokens LEFT JOIN good ON tokens.token = good.token GROUP BY item_id""")
+def corrected_texts(spark, sf_dir):
+    """Benchmark texts with words put right by the recurrent word that is clearly nearest."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", text.canonical_tokens(F.col("text")).alias("w"))
+    tokens = rows.select(F.explode("w").alias("token")).filter("token RLIKE '^[a-z]+$'")
+    terms = _recurrent(spark, sf_dir).filter("w RLIKE '^[a-z]+$'").withColumnRenamed("w", "term")
+    fixed = matching.fuzzy_correct(language.fuzzy_nearest(tokens, terms), rows, "item_id", "w")
+    return fixed.select("item_id", F.array_join("w", " ").alias("fixed"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_W} AS w FROM conversations), n AS (SELECT p_partkey AS conv_id, string_split(p_name, ' ') AS tokens FROM part),
+m AS (SELECT conv_id, turn, token FROM (SELECT conv_id, turn, unnest(w) AS word FROM t) JOIN (SELECT conv_id, unnest(tokens) AS token FROM n) USING (conv_id) WHERE levenshtein(word, token) <= 1 GROUP BY conv_id, turn, token)
+SELECT c.conv_id, EXISTS (SELECT 1 FROM m WHERE m.conv_id = c.conv_id GROUP BY turn HAVING count(*) = (SELECT len(list_distinct(tokens)) FROM n WHERE n.conv_id = c.conv_id)) AS named FROM (SELECT DISTINCT conv_id FROM conversations) c WHERE conv_id IN (SELECT conv_id FROM n)""")
+def named_in_one_turn(spark, sf_dir):
+    """Whether one turn of a conversation has a near match for every word of a part's name."""
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(text.word_tokens(F.col("text")).alias("tokens"))).alias("people"))
+    name = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("conv_id"), F.split("p_name", " ").alias("tokens"))
+    return said.join(name, "conv_id").select("conv_id", matching.everyone_named(F.col("tokens"), F.col("people")).alias("named"))
