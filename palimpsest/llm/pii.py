@@ -96,7 +96,7 @@ def _matches(text: Column, kind: str) -> Column:
                 bare = hit if kind in KINDS else F.regexp_replace(F.regexp_replace(hit, _BEFORE, ""), _AFTER, "")
                 inset = F.lit(0) if kind in KINDS else F.length(hit) - F.length(F.regexp_replace(hit, _BEFORE, ""))
                 context = _last_words(F.concat(before, F.translate(F.left(hit, inset), "\"'", "")))
-                follows = F.concat(F.substring(hit, inset + F.length(bare) + 1, F.length(hit)), F.get(gaps, i + 1), F.left(F.coalesce(F.get(m, i + 1), F.lit("")), F.lit(64)))
+                follows = F.concat(F.substring(hit, inset + F.length(bare) + 1, F.length(hit)), F.get(gaps, i + 1), F.coalesce(F.get(m, i + 1), F.lit("")))
                 after = F.regexp_extract(follows, r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1)
                 row = F.struct(
                     (start + inset).cast("int").alias("start"),
