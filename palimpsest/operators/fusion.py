@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut
+
+from . import intervals
 from .alignment import consensus, vote
 
 _ENDLESS = float("inf")
@@ -156,3 +159,81 @@ def partition_vote(tokens: DataFrame, cuts: DataFrame, keys: list[str], t: str =
     streams = placed.groupBy(*keys, "cell").agg(*(words(n).alias(f"s{n}") for n in range(3)))
     chosen = streams.withColumn("winner", consensus("s0", "s1", "s2"))
     return chosen.select(*keys, "cell", "winner", F.get(F.array("s0", "s1", "s2"), F.col("winner")).alias("words"))
+
+
+def drift_guard(rows: DataFrame, keys: list[str], order: str, occupants: Column, starts: Column, tolerance: float) -> DataFrame:
+    """``rows``, columns of an alignment in order, with ``disagrees``, ``thin``, ``zone`` (number within the key, null outside) and ``fires``.
+
+    A column disagrees if it has two times or more (``starts``, an array without nulls) that lie further apart than ``tolerance``, and is thin if it has
+    one occupant. A run of columns that are either is a zone if two of them disagree, for one odd time is no drift; thin columns of a zone
+    fire."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    apart = (F.size(starts) >= 2) & (F.array_max(starts) - F.array_min(starts) > tolerance)
+    known = rows.withColumns({"disagrees": F.coalesce(apart, F.lit(False)), "thin": F.coalesce(occupants == 1, F.lit(False))})
+    odd = F.col("disagrees") | F.col("thin")
+    runs = known.withColumn("_p", F.row_number().over(w)).withColumn("_run", F.when(odd, F.col("_p") - F.row_number().over(Window.partitionBy(*keys, odd).orderBy(order))))
+    of_run = Window.partitionBy(*keys, "_run")
+    drift = runs.withColumn("_zone", F.col("_run").isNotNull() & (F.sum(F.col("disagrees").cast("int")).over(of_run) >= 2))
+    first = F.col("_zone") & ~F.coalesce(F.lag("_zone").over(w), F.lit(False))
+    numbered = drift.withColumn("zone", F.when(F.col("_zone"), F.sum(first.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    return numbered.withColumn("fires", F.col("_zone") & F.col("thin")).drop("_p", "_run", "_zone")
+
+
+# --- arms over the overlaps of a timeline --------------------------------------------------------------------------
+
+
+def overlap_mask(active: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (keys, start, end) of each overlap with its two neighbouring stretches, touching ones merged. ``active``: keys, start, end, n (speakers)."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    wide = active.withColumns({"_low": F.coalesce(F.lag("start").over(w), F.col("start")), "_high": F.coalesce(F.lead("end").over(w), F.col("end"))})
+    return intervals.merge(wide.filter("n >= 2").select(*keys, F.col("_low").alias("start"), F.col("_high").alias("end")), keys)
+
+
+def interior(cuts: DataFrame, spans: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Distinct cuts (keys, t) that lie strictly inside a span: at its edges there is an edge of the cells already."""
+    hit = intervals.point_join(cuts.select(*keys, "t").distinct(), spans, keys, width)
+    return hit.filter("t > start").select(*keys, "t").distinct()
+
+
+def matched_cuts(pool: DataFrame, wanted: DataFrame, keys: list[str], seed: str) -> DataFrame:
+    """As many cuts of ``pool`` (keys, t) as ``wanted`` has for the key, in seeded order; keys whose pool has too few are left out (no row, though cuts are wanted)."""
+    k = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*keys)
+    order = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in keys), F.col("t").cast("string")))
+    ranked = pool.join(k, keys).withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(order, "t"))})
+    return ranked.filter("_n >= _k AND _r <= _k").select(*keys, "t")
+
+
+def overlap_arms(active: DataFrame, tokens: DataFrame, base: DataFrame, cuts: dict[str, DataFrame], keys: list[str], width: float) -> DataFrame:
+    """(keys, arm, words, dose, replaced): what ``base`` (keys, pos, token, t) becomes in each arm.
+
+    Every arm takes the same mask (``overlap_mask``), cuts it at its own times (``cuts``: arm -> keys, t) into cells, and in each cell inside the mask puts
+    the words of the stream that is most like the others (``tokens``: keys, stream 0 to 2, pos, token, t) in the place of those of the base;
+    outside it the base stays. ``dose`` is the number of cuts inside the mask, ``replaced`` that of words of the base that went. A key
+    without an overlap keeps its words in all arms.
+
+    The mask, and both tables of words, are made once and stored; arms are a key beside ``keys`` from then on, so that all of them are cut,
+    placed and voted on in one plan, however many they are."""
+    spans = cut(overlap_mask(active, keys))
+    names = F.explode(F.array(*map(F.lit, cuts))).alias("arm")
+    own = [*keys, "arm"]
+    each = spans.select("*", names)
+    inner = [interior(df, spans, keys, width).withColumn("arm", F.lit(name)) for name, df in cuts.items()]
+    chosen = inner[0]
+    for more in inner[1:]:
+        chosen = chosen.unionByName(more)
+    chosen = cut(chosen)
+    ends = each.select(*own, F.col("start").alias("t")).unionByName(each.select(*own, F.col("end").alias("t"))).unionByName(chosen.select(*own, "t")).distinct()
+    said, kept = cut(tokens.join(spans.select(*keys).distinct(), keys, "left_semi")), cut(base)
+    tiles = cells(ends, own).withColumn("cell", F.row_number().over(Window.partitionBy(*own).orderBy("start")) - 1)
+    middle = (F.when(F.col("start") == -_ENDLESS, F.col("end") - 1).otherwise(F.col("start")) + F.when(F.col("end") == _ENDLESS, F.col("start") + 1).otherwise(F.col("end"))) / 2
+    within = intervals.point_join(tiles.select(*own, "cell", middle.alias("t")), each, own, width).select(*own, "cell").distinct()
+    mine = in_cells(kept.join(spans.select(*keys).distinct(), keys, "left_semi").select("*", names), ends, own)
+    voted = partition_vote(said.select("*", names), ends, own).join(within, [*own, "cell"], "left_semi")
+    outside = mine.join(within, [*own, "cell"], "left_anti").groupBy(*own, "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("words"))
+    gone = mine.join(within, [*own, "cell"], "left_semi").groupBy(*own).agg(F.count(F.lit(1)).alias("replaced"))
+    parts = voted.select(*own, "cell", "words").unionByName(outside).groupBy(*own).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cell", "words"))), lambda x: x["words"])).alias("words"))
+    dose = chosen.groupBy(*own).agg(F.count(F.lit(1)).alias("dose"))
+    rest = kept.join(spans.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("words"))
+    whole = parts.unionByName(rest.select(*keys, names, "words"))
+    return whole.join(dose, own, "left").join(gone, own, "left").select(*own, "words", F.coalesce("dose", F.lit(0)).alias("dose"), F.coalesce("replaced", F.lit(0)).alias("replaced"))

@@ -190,3 +190,19 @@ def reader_class(relation: Column, numeric: Column, protocol: Column, entity: Co
         .when(relation == "no_target", "no_target").when(relation == "phonemic_key_equivalent", "orthography_homophone")
         .when(relation == "surface_suffix_neighbor", "morphology_suffix_neighbor").when(function_pair, "function_word_pair").otherwise("different_content_word")
     )
+
+
+def answers_outcome(answers: Column, minority: Column, abstain: str, least: int = 0) -> Column:
+    """What the passes over one question come to, the first that holds: invalid (a pass is missing or has neither abstained nor a token), abstain_explicit,
+    order_disagree (different tokens), override (the minority's token, and every confidence is ``least`` or more), confirm.
+
+    ``answers``: array of struct(pick, token, conf), one for each pass, null where there is none."""
+    bad = lambda a: a.isNull() | a["pick"].isNull() | ((a["pick"] != abstain) & (a["token"].isNull() | a["conf"].isNull()))
+    token = F.get(answers, F.lit(0))["token"]
+    return (
+        F.when((F.size(answers) == 0) | F.exists(answers, bad), "invalid")
+        .when(F.exists(answers, lambda a: a["pick"] == abstain), "abstain_explicit")
+        .when(F.exists(answers, lambda a: a["token"] != token), "order_disagree")
+        .when((token == minority) & F.forall(answers, lambda a: a["conf"] >= least), "override")
+        .otherwise("confirm")
+    )

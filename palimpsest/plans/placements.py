@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import alignment, fusion, intervals, language, matching, names, placing
+from palimpsest.operators import alignment, fusion, intervals, language, matching, names, placing, review
 
 from .catalogue import _CANON, _SPANS, long, query, spans, table
 from .lookups import _RECURRENT, _recurrent
@@ -275,3 +275,60 @@ def named_in_one_turn(spark, sf_dir):
     said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(text.word_tokens(F.col("text")).alias("tokens"))).alias("people"))
     name = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("conv_id"), F.split("p_name", " ").alias("tokens"))
     return said.join(name, "conv_id").select("conv_id", matching.everyone_named(F.col("tokens"), F.col("people")).alias("named"))
+
+
+# --- guards and arms -----------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, 1 + event_id % 3 AS k,
+  list_filter(list_transform(range(0, 1 + event_id % 3), lambda i: CASE WHEN (i + event_id) % 4 <> 0 THEN value + i * (event_id % 5) / 2 END), lambda x: x IS NOT NULL) AS starts FROM events),
+f AS (SELECT *, len(starts) >= 2 AND list_max(starts) - list_min(starts) > 1.2 AS disagrees, k = 1 AS thin FROM c),
+g AS (SELECT *, disagrees OR thin AS odd, p - row_number() OVER (PARTITION BY user_id, disagrees OR thin ORDER BY p) AS run FROM f),
+z AS (SELECT *, odd AND sum(disagrees::INT) OVER (PARTITION BY user_id, odd, run) >= 2 AS drift FROM g)
+SELECT event_id, disagrees, thin, drift AS in_zone, drift AND thin AS fires FROM z""")
+def drift_guard(spark, sf_dir):
+    """Thin columns among others whose times drift apart."""
+    k, e = (1 + F.col("event_id") % 3).cast("int"), F.col("event_id")
+    starts = F.array_compact(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when((i + e) % 4 != 0, F.col("value") + i * (e % 5) / 2)))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("p"), k.alias("k"), starts.alias("starts"))
+    out = fusion.drift_guard(rows, ["user_id"], "p", F.col("k"), F.col("starts"), 1.2)
+    return out.select("event_id", "disagrees", "thin", F.col("zone").isNotNull().alias("in_zone"), "fires")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, ['A', 'B', 'none', NULL][(event_id % 4 + 1)::INT] AS pick, ['major', 'minor'][(event_id % 2 + 1)::INT] AS token, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (value)::INT END AS conf, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+q AS (SELECT user_id, n // 2 AS question, count(*) AS k, bool_or(pick IS NULL OR pick <> 'none' AND conf IS NULL) AS bad, bool_or(pick = 'none') AS abstained, count(DISTINCT token) AS tokens, min(token) AS token, min(conf) AS conf FROM a GROUP BY user_id, n // 2)
+SELECT user_id, question, CASE WHEN k < 2 OR bad THEN 'invalid' WHEN abstained THEN 'abstain_explicit' WHEN tokens > 1 THEN 'order_disagree' WHEN token = 'minor' AND conf >= 20 THEN 'override' ELSE 'confirm' END AS outcome FROM q""")
+def answer_outcomes(spark, sf_dir):
+    """Neighbouring events of a user as the two passes over a question."""
+    e = F.col("event_id")
+    pick = F.get(F.array(F.lit("A"), F.lit("B"), F.lit("none"), F.lit(None)), (e % 4).cast("int"))
+    token = F.get(F.array(F.lit("major"), F.lit("minor")), (e % 2).cast("int"))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("n"), F.struct(pick.alias("pick"), token.alias("token"), F.when(e % 11 != 0, F.round("value").cast("int")).alias("conf")).alias("a"))
+    answer = lambda i: F.first(F.when(F.col("n") % 2 == i, F.col("a")), ignorenulls=True)
+    both = rows.groupBy("user_id", F.expr("n div 2").alias("question")).agg(F.array(answer(0), answer(1)).alias("answers"))
+    return both.select("user_id", "question", review.answers_outcome(F.col("answers"), F.lit("minor"), "none", 20).alias("outcome"))
+
+
+@query(f"""WITH {_SPANS}, a AS (SELECT user_id, start, "end", event_id % 3 = 0 AS busy, lag(start) OVER w AS l, lead("end") OVER w AS h FROM spans WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY start, "end")),
+m AS (SELECT user_id, coalesce(l, start) AS s, coalesce(h, "end") AS e FROM a WHERE busy),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS b FROM m),
+g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY s, e) AS i FROM f), mask AS (SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, i),
+arms AS (SELECT unnest(['plain', 'turns']) AS arm),
+cuts AS (SELECT DISTINCT user_id, start AS t, 'turns' AS arm FROM spans WHERE event_type = 'view'),
+dose AS (SELECT user_id, arm, count(*) AS dose FROM cuts c WHERE EXISTS (SELECT 1 FROM mask k WHERE k.user_id = c.user_id AND k.s < c.t AND c.t < k.e) GROUP BY user_id, arm),
+w AS (SELECT user_id, event_id, start AS t, 'w' || (event_id % 50) AS token, event_id % 7 <> 0 AS base, EXISTS (SELECT 1 FROM mask k WHERE k.user_id = spans.user_id AND k.s <= start AND start < k.e) AS within FROM spans),
+said AS (SELECT user_id, string_agg(token, ' ' ORDER BY t, event_id) FILTER (WHERE within OR base) AS words, count(*) FILTER (WHERE within AND base) AS replaced FROM w GROUP BY user_id)
+SELECT said.user_id, arms.arm, words, coalesce(dose, 0)::BIGINT AS dose, replaced FROM said JOIN arms ON true LEFT JOIN dose d ON d.user_id = said.user_id AND d.arm = arms.arm WHERE words IS NOT NULL""")
+def overlap_arms(spark, sf_dir):
+    """Two arms over the busy stretches of users: the same mask, whole and cut at turns; two of three streams agree in all of them."""
+    rows = spans(spark, sf_dir)
+    active = rows.filter("event_type = 'click'").select("user_id", "start", "end", F.when(F.col("event_id") % 3 == 0, 2).otherwise(1).alias("n"))
+    words = rows.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("start", "event_id")).alias("pos"), F.concat(F.lit("w"), (F.col("event_id") % 50).cast("string")).alias("token"), F.col("start").alias("t"))
+    said = lambda n: F.struct(F.lit(n).alias("stream"), F.when(F.col("user_id") % 3 == n, F.concat(F.lit("§"), "token")).otherwise(F.col("token")).alias("token"))
+    streams = words.select("user_id", "pos", "t", F.explode(F.array(*map(said, range(3)))).alias("s")).select("user_id", "s.stream", "pos", "s.token", "t")
+    base = words.filter("event_id % 7 <> 0").select("user_id", "pos", "token", "t")
+    turns = rows.filter("event_type = 'view'").select("user_id", F.col("start").alias("t"))
+    out = fusion.overlap_arms(active, streams, base, {"plain": turns.limit(0), "turns": turns}, ["user_id"], 86_400.0)
+    return out.select("user_id", "arm", F.array_join("words", " ").alias("words"), long(F.col("dose")).alias("dose"), long(F.col("replaced")).alias("replaced"))

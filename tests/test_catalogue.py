@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans import catalogue, further  # noqa: F401
+from palimpsest.plans import catalogue, further, lookups, placements  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
