@@ -95,16 +95,23 @@ class Ids:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
+    def _encoded(self, texts: list[str], together: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by text); the library's own records, many times as large, are held for ``together`` texts."""
+        ids, counts = [np.zeros(0, np.uint32)], []
+        for k in range(0, len(texts), together):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + together], add_special_tokens=False)]
+            ids.append(np.array([i for x in found for i in x], np.uint32))
+            counts += map(len, found)
+        return np.concatenate(ids), np.array(counts, np.int64)
+
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number by text) of every text by itself."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64)
+        return self._encoded(texts, _TOGETHER)
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same of words of letters, each one pre-token: they are encoded side by side and cut after the tokens that end a word. (Should
         a word be more than one after all, each is encoded by itself.)"""
-        lines = [" ".join(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
-        ids = np.array([i for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], np.uint32)
+        ids, _ = self._encoded([" ".join(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)], 4)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else self._each(words)
 
@@ -158,7 +165,7 @@ def _ids(path: str) -> Ids:
 #: Pieces of a batch.
 _SLICE = 512
 #: Words that are encoded in one string, bytes of texts whose chunks are counted together (a longer text is by itself), and chunks that become ids at once.
-_TOGETHER, _BYTES, _CHUNKS = 4096, 24 << 20, 1 << 18
+_TOGETHER, _BYTES, _CHUNKS = 4096, 20 << 20, 1 << 17
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
