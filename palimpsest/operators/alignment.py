@@ -220,6 +220,19 @@ def changed_runs(a, b) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+@vector("array<struct<place:int,ref:string,hyp:string>>")
+def charged_pairs_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Words of both sides of what lies between the blocks, in pairs as far as they go; ``place`` is that in the reference."""
+    out = []
+    for a, b in _pairs((ref, hyp)):
+        rows = []
+        for _, i, i2, j, j2 in changed_runs(a, b):
+            for k in range(max(i2 - i, j2 - j)):
+                rows.append({"place": i if i == i2 else i + k, "ref": a[i + k] if i + k < i2 else None, "hyp": b[j + k] if j + k < j2 else None})
+        out.append(rows)
+    return pd.Series(out)
+
+
 #: Letters of either side that a signature shows.
 SHOWN = 24
 

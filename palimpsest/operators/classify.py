@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.distance import multiset_minus
@@ -21,6 +21,8 @@ from palimpsest.functions.text import (
     vowel_skeleton,
 )
 
+from .alignment import block_ratio, charged_pairs_udf
+
 _ACUTE = ("άέήίόύώΆΈΉΊΌΎΏΐΰ", "αεηιουωΑΕΗΙΟΥΩϊϋ")  # fixed values: letters with and without the acute, diaeresis kept
 
 
@@ -245,3 +247,42 @@ def base_score(weight: Column, cer_proxy: Column, n_edits: Column, word_diff: Co
     seconds = F.when(duration.between(1.5, 12), 1.0).when((duration > 12) & (duration <= 25), 0.85).when((duration >= 0.8) & (duration < 1.5), 0.6).when(duration > 25, 0.55).otherwise(0.25)
     guard = F.when(word_diff >= 8, 0.0).when(cer_proxy >= 0.55, 0.15).when(char_diff <= 2, 0.25).otherwise(1.0)
     return weight * magnitude * chain * words * seconds * class_weight * guard
+
+
+# --- error classes of a benchmark ----------------------------------------------------------------------------------
+
+# Number words and function words; spellings of one sound, applied in this order.
+NUMBER_WORDS = "μηδέν ένα ενός μία μια δύο δυο τρία τρεις τέσσερα τέσσερις πέντε έξι εφτά επτά οχτώ οκτώ εννιά εννέα δέκα έντεκα δώδεκα είκοσι τριάντα σαράντα πενήντα εξήντα εβδομήντα ογδόντα ενενήντα εκατό διακόσια τριακόσια χίλια χιλιάδες εκατομμύρια εκατομμύριο".split()
+FUNCTION_WORDS = "ο η το του της των τον την τα οι ένας μια ένα στο στη στην στον στα στους στις σε με και κι που πως ως για από ή αν να θα δεν μη μην αυτό αυτή αυτός εγώ εμείς εσείς μας σας τους τις".split()
+SOUNDS = (("ει", "ι"), ("οι", "ι"), ("υι", "ι"), ("η", "ι"), ("υ", "ι"), ("ω", "ο"), ("αι", "ε"), ("μπ", "b"), ("ντ", "d"), ("γκ", "g"), ("γγ", "g"), ("αυ", "af"), ("ευ", "ef"))
+
+
+def sound_key(word: Column) -> Column:
+    """A word by its sounds; what an earlier rule has changed a later one sees."""
+    out = fold_sigma(strip_marks(F.lower(word)))
+    for a, b in SOUNDS:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def error_class(ref: Column, hyp: Column) -> Column:
+    """The class of one charged word, the first that holds: deletion, insertion, identical, final_sigma, accent_tonos, homophone, number_date, article_pronoun,
+    acronym_abbreviation, inflection_or_nearmiss, substitution_phonetic_or_word. A word that is missing is null."""
+    r, h = F.lower(ref), F.lower(hyp)
+    bare_r, bare_h = strip_marks(r), strip_marks(h)
+    n, longest = F.least(F.length(r), F.length(h)), F.greatest(F.length(r), F.length(h))
+    differs = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.substring(bare_r, i, F.lit(1)) != F.substring(bare_h, i, F.lit(1)))
+    stem = F.coalesce(F.get(differs, F.lit(0)) - 1, n)
+    near = (stem >= F.greatest(F.lit(3), F.floor(0.6 * longest))) | (block_ratio(bare_r, bare_h) >= 0.75)
+    return (
+        F.when(hyp.isNull(), "deletion").when(ref.isNull(), "insertion").when(r == h, "identical").when(fold_sigma(r) == fold_sigma(h), "final_sigma").when(bare_r == bare_h, "accent_tonos")
+        .when(fold_sigma(bare_r) == fold_sigma(bare_h), "final_sigma").when(sound_key(r) == sound_key(h), "homophone")
+        .when(r.isin(NUMBER_WORDS) | h.isin(NUMBER_WORDS) | F.concat(r, h).rlike(r"\d"), "number_date").when(r.isin(FUNCTION_WORDS) & h.isin(FUNCTION_WORDS), "article_pronoun")
+        .when(n <= 2, "acronym_abbreviation").when(near, "inflection_or_nearmiss").otherwise("substitution_phonetic_or_word")
+    )
+
+
+def charged_words(rows: DataFrame, keys: list[str], ref: str, hyp: str) -> DataFrame:
+    """(keys, place, ref, hyp) of every word between the matching blocks of two token arrays: words of a replaced run in pairs as long as both have one."""
+    pairs = rows.select(*keys, F.explode(charged_pairs_udf(ref, hyp)).alias("_p"))
+    return pairs.select(*keys, F.col("_p.place").alias("place"), F.col("_p.ref").alias("ref"), F.col("_p.hyp").alias("hyp"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import alignment, fusion, intervals, language, matching, names, placing, review
+from palimpsest.operators import alignment, classify, fusion, intervals, language, matching, names, placing, review
 
+from . import experiments
 from .catalogue import _CANON, _SPANS, long, query, spans, table
+from .further import greek
 from .lookups import _RECURRENT, _recurrent
 
 _W = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')"
@@ -332,3 +334,23 @@ def overlap_arms(spark, sf_dir):
     turns = rows.filter("event_type = 'view'").select("user_id", F.col("start").alias("t"))
     out = fusion.overlap_arms(active, streams, base, {"plain": turns.limit(0), "turns": turns}, ["user_id"], 86_400.0)
     return out.select("user_id", "arm", F.array_join("words", " ").alias("words"), long(F.col("dose")).alias("dose"), long(F.col("replaced")).alias("replaced"))
+
+
+@query()
+def error_classes(spark, sf_dir):
+    """Classes of the words that change from one user turn to the next, in Greek letters (a ratio of matching blocks decides among them: held by tests)."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.regexp_extract_all(greek(F.col("text")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)).alias("hyp"))
+    rows = rows.withColumn("ref", F.lag("hyp").over(w)).filter("ref IS NOT NULL")
+    words = classify.charged_words(rows, ["conv_id", "turn"], "ref", "hyp")
+    return words.select("conv_id", "turn", "place", "ref", "hyp", classify.error_class(F.col("ref"), F.col("hyp")).alias("class"))
+
+
+@query("""WITH g AS (SELECT source, sum(n_chars) AS s, count(*) AS n, sum(n_chars) FILTER (WHERE lang = 'en') AS e FROM documents GROUP BY source), t AS (SELECT sum(s) AS s, sum(n) AS n, sum(e) AS e FROM g)
+SELECT doc_id, round(n_chars / ((t.s - g.s) / (t.n - g.n)), 9) AS relative, round((t.e - coalesce(g.e, 0)) / (t.s - g.s), 9) AS english FROM documents d JOIN g ON d.source IS NOT DISTINCT FROM g.source, t""")
+def left_out_rates(spark, sf_dir):
+    """A document's length against the mean of all other sources, and their share of English."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    sums = {"s": F.col("n_chars"), "n": F.lit(1), "e": F.when(F.col("lang") == "en", F.col("n_chars"))}
+    out = experiments.leave_one_group_out_by_sums(rows, sums, lambda x: F.struct((F.col("n_chars") / (x["s"] / x["n"])).alias("relative"), (x["e"] / x["s"]).alias("english")), "source")
+    return out.select("doc_id", F.round("out.relative", 9).alias("relative"), F.round("out.english", 9).alias("english"))
