@@ -67,15 +67,19 @@ def transposed_or_near(a: Column, b: Column) -> Column:
 def multiset_minus(a: Column, b: Column) -> Column:
     """Elements of ``a`` in order, each as often as it occurs there more than in ``b`` (its later occurrences).
 
-    Sorted, an element's occurrences stand together, and each one's number is its distance from where they begin."""
+    Sorted, an element's occurrences stand together: where runs begin tells each one's number, and (number, element) as one string is
+    compared by hash, so that the work is that of sorting."""
 
     def numbered(xs: Column) -> Column:
         placed = F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        of = lambda v: F.transform(v["p"], lambda e, k: F.struct(e["i"].alias("i"), e["x"].alias("x"), (k + 1 - F.array_position(v["x"], e["x"])).alias("n")))
-        known = _let(F.struct(placed.alias("p"), F.array_sort(xs).alias("x")), of)
-        return F.transform(F.array_sort(known), lambda e: F.struct(e["x"].alias("x"), e["n"].alias("n")))
-
-    return F.transform(F.array_except(numbered(a), numbered(b)), lambda s: s["x"])
+        begins = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k)["x"] != F.get(p, k - 1)["x"]))
+        lengths = lambda v: F.transform(v["starts"], lambda s, k: F.coalesce(F.get(v["starts"], k + 1), F.size(v["p"])) - s)
+        numbers = lambda v: F.flatten(F.transform(lengths(v), lambda n: F.sequence(F.lit(1), n)))
+        known = lambda v: F.array_sort(F.zip_with(v["p"], numbers(v), lambda e, n: F.struct(e["i"].alias("i"), F.concat_ws("|", n.cast("string"), e["x"]).alias("t"))))
+        named = _let(placed, lambda p: _let(F.struct(p.alias("p"), begins(p).alias("starts")), lambda v: F.transform(known(v), lambda e: e["t"])))
+        return F.when(F.size(xs) > 0, named).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array_except(numbered(a), numbered(b)), lambda s: F.substring(s, F.instr(s, "|") + 1, F.length(s)))
 
 
 def multiset_common(a: Column, b: Column) -> Column:
