@@ -151,7 +151,7 @@ def _with_successors(docs: DataFrame, text: str, key: str, parts: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([to, pa.array([1] * len(first), pa.int32()), *heading.columns], names)
 
     dealt = rows.mapInArrow(placed, "part int, guest int, key long, tie long, text string")
-    return dealt.repartition(len(cuts) + 1 + apart, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), "tie")
+    return dealt.repartitionById(len(cuts) + 1 + apart, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), "tie")
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = K, parts: int | None = None) -> DataFrame:
