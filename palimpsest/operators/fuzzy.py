@@ -217,5 +217,6 @@ def swap_neighbours(left: DataFrame, right: DataFrame, scope: str, a: str, b: st
     own = F.expr(f"array_distinct(array_compact(flatten(transform(sequence(greatest(1, length(_a) - {most}), length(_a) + {most}), n -> flatten(transform(sequence(0, {most}), i -> transform(sequence(-{most}, {most}), h -> {at})))))))")
     x = left.select(F.col(scope).alias("_in"), F.col(a).alias("_a")).filter("length(_a) > 0").distinct().withColumn("_key", F.explode(own))
     y = right.select(F.col(scope).alias("_in"), F.col(b).alias("_b")).filter("length(_b) > 0").distinct().withColumn("_key", F.explode(theirs))
-    met = x.join(y, ["_in", "_key"]).select("_in", "_a", "_b").distinct().withColumn("distance", swap_distance_udf("_a", "_b")).filter(F.col("distance") <= most)
+    met = x.join(y, ["_in", "_key"]).select("_in", "_a", "_b").distinct().filter(F.levenshtein("_a", "_b", 2 * most) >= 0)  # a swap is two edits at most
+    met = met.withColumn("distance", swap_distance_udf("_a", "_b")).filter(F.col("distance") <= most)
     return met.select(F.col("_in").alias(scope), F.col("_a").alias(a), F.col("_b").alias(b), "distance")

@@ -33,12 +33,15 @@ def length_allows(length: Column, distance: Column) -> Column:
 
 
 def nearest_names(tokens: DataFrame, roster: DataFrame, meeting: str, token: str = "token") -> DataFrame:
-    """Of each (meeting, token) the nearest name within three edits: term, alias, surface, persons, distance, ties (names as near) and second (the distance of the next).
+    """Of each (meeting, token) the nearest name: term, alias, surface, persons, distance, ties (names as near) and second (the distance of the next).
+
+    Names count within three edits, for tokens of up to 9 letters within two: these may need one, and a second name is far enough at three.
 
     ``roster``: meeting, term, place (order of a term's spellings), surface, persons. A term's distance is that of its nearest spelling, the first
     of equals; of terms as near the least stands for them."""
     spelled = roster.withColumn("alias", form(F.col("surface")))
-    near = swap_neighbours(tokens, spelled, meeting, token, "alias").join(spelled, [meeting, "alias"])
+    short = F.length(token) <= 9
+    near = swap_neighbours(tokens.filter(short), spelled, meeting, token, "alias", 2).unionByName(swap_neighbours(tokens.filter(~short), spelled, meeting, token, "alias", 3)).join(spelled, [meeting, "alias"])
     each = near.groupBy(meeting, token, "term").agg(F.min(F.struct("distance", "place", "alias", "surface", "persons")).alias("n"))
     w = Window.partitionBy(meeting, token).orderBy("n.distance", "term")
     ranked = each.select(meeting, token, "term", "n.*", F.row_number().over(w).alias("_r"), F.lead("n.distance").over(w).alias("second"), F.count(F.lit(1)).over(Window.partitionBy(meeting, token, "n.distance")).alias("ties"))
