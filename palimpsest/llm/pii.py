@@ -229,7 +229,8 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: flo
     scan = scanned(docs, text, key)
     more = discovered(scan, trusted_patterns(scan, **limits))
     out = scan.join(more, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")), "left")
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")  # noqa: E731  a second parameter of the inner one would be the place in the array
+    counts = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     spans = F.array_sort(F.concat(_bare(F.col("base")), F.coalesce("more", F.array().cast(_BARE))))
     return out.select(F.col("_of").alias(key), *counts, _spans_text(F.col("base")).alias("base"), _spans_text(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 

@@ -668,3 +668,11 @@ def test_pipeline_equals_brute_force(spark):
     want = Counter((r.doc_id, " ".join(map(str, ENCODING.encode_ordinary(r.text)))) for r in docs.collect())
     assert Counter((r.doc_id, r.token_ids) for r in out) == want and all(r.round_trip for r in out)
     assert Counter((r.doc_id, r.token_ids) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+def test_pii_counts_are_of_their_kind(spark):
+    """Each count is of its own kind, wherever its spans stand among those of other kinds."""
+    texts = ["a@b.c x@y.zz", "1.2.3.4", "+1 (200) 555-7777 at 1.2.3.4 or a@b.c", "4111 1111 1111 1111, 10.0.0.1 10.0.0.2", "none", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.find(table).collect()}
+    assert out == {0: (2, 0, 0, 0), 1: (0, 1, 0, 0), 2: (1, 1, 0, 1), 3: (0, 2, 1, 0), 4: (0, 0, 0, 0), 5: (0, 0, 0, 0)}
