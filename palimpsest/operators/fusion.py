@@ -136,12 +136,13 @@ def distinct_hypotheses(rows: DataFrame, keys: list[str], form: Column, rank: st
 
 
 def rescored(rows: DataFrame, keys: list[str], rank: str, a: str, b: str, weight: float, scale_a: float, scale_b: float) -> DataFrame:
-    """One hypothesis per key: that of the largest gain over the first one, (a - a0) / scale_a + weight * (b - b0) / scale_b, if any gains; the better rank on a tie."""
+    """One hypothesis per key: that of the largest gain over the first one, (a - a0) / scale_a + weight * (b - b0) / scale_b, if any gains; the better rank on a tie.
+    Gains count to nine decimals: equal ones differ beyond by the rounding of their sums."""
     top = rows.groupBy(*keys).agg(F.min_by(F.struct(a, b), rank).alias("_top"))
     gain = (F.col(a) - F.col(f"_top.{a}")) / scale_a + weight * (F.col(b) - F.col(f"_top.{b}")) / scale_b
     w = Window.partitionBy(*keys).orderBy(F.desc("gain"), rank)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(rank)) == 1
-    scored = rows.join(top, keys).withColumn("gain", F.when(first, 0.0).otherwise(gain)).drop("_top")
+    scored = rows.join(top, keys).withColumn("gain", F.when(first, 0.0).otherwise(F.round(gain, 9))).drop("_top")
     return scored.filter("gain >= 0").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
