@@ -56,6 +56,11 @@ def _met_keys(s: str, cutoff: int, near: int | None) -> Column:
     return F.expr(f"array_distinct(array_compact(flatten(transform({_lengths(m, cutoff, near)}, n -> if({d} < abs(n - {m}), array(), {each})))))")
 
 
+def _apart(keys: DataFrame) -> DataFrame:
+    """A side of a join on exploded keys is sorted, never broadcast: Spark takes it to be as large as what was exploded, and would send hundreds of keys a row through the driver."""
+    return keys.hint("merge")
+
+
 @vector("int")
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two strings."""
@@ -69,7 +74,7 @@ def similar(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: int, near
     at that shares no segment at its place."""
     x = left.select(F.col(a).alias("_a")).filter("length(_a) > 0").distinct().withColumn("_key", F.explode(_own_keys("_a", cutoff, near)))
     y = right.select(F.col(b).alias("_b")).filter("length(_b) > 0").distinct().withColumn("_key", F.explode(_met_keys("_b", cutoff, near)))
-    met = x.join(y, "_key").select("_a", "_b").distinct().withColumn("_l", lcs_length("_a", "_b"))
+    met = _apart(x).join(_apart(y), "_key").select("_a", "_b").distinct().withColumn("_l", lcs_length("_a", "_b"))
     total = F.length("_a") + F.length("_b")
     return met.filter(200 * F.col("_l") >= cutoff * total).select(F.col("_a").alias(a), F.col("_b").alias(b), (200.0 * F.col("_l") / total).alias("score"))
 
@@ -104,7 +109,7 @@ def _within(needles: DataFrame, texts: DataFrame, cutoff: int) -> DataFrame:
     sizes = cut_up.select(F.length("_piece").alias("_size")).distinct()  # a few: they grow with the cutoff, not with the needles
     places = texts.join(F.broadcast(sizes), F.col("_size") <= F.length("_t")).select("_t", "_size", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_size") + 1)).alias("_at"))
     grams = places.select("_t", (F.col("_at") - 1).alias("_at"), F.expr("substring(_t, _at, _size)").alias("_piece"))
-    met = cut_up.join(grams, "_piece").filter(F.length("_p") <= F.length("_t"))
+    met = _apart(cut_up).join(_apart(grams), "_piece").filter(F.length("_p") <= F.length("_t"))
     pairs = met.groupBy("_p", "_t", "_e").agg(F.collect_set(F.col("_at") - F.col("_from")).alias("_starts"))  # places in one text
     return pairs.select("_p", "_t", best_window("_p", "_t", "_starts", "_e").alias("score")).filter(F.col("score") >= cutoff)
 
@@ -217,6 +222,6 @@ def swap_neighbours(left: DataFrame, right: DataFrame, scope: str, a: str, b: st
     own = F.expr(f"array_distinct(array_compact(flatten(transform(sequence(greatest(1, length(_a) - {most}), length(_a) + {most}), n -> flatten(transform(sequence(0, {most}), i -> transform(sequence(-{most}, {most}), h -> {at})))))))")
     x = left.select(F.col(scope).alias("_in"), F.col(a).alias("_a")).filter("length(_a) > 0").distinct().withColumn("_key", F.explode(own))
     y = right.select(F.col(scope).alias("_in"), F.col(b).alias("_b")).filter("length(_b) > 0").distinct().withColumn("_key", F.explode(theirs))
-    met = x.join(y, ["_in", "_key"]).select("_in", "_a", "_b").distinct().filter(F.levenshtein("_a", "_b", 2 * most) >= 0)  # a swap is two edits at most
+    met = _apart(x).join(_apart(y), ["_in", "_key"]).select("_in", "_a", "_b").distinct().filter(F.levenshtein("_a", "_b", 2 * most) >= 0)  # a swap is two edits at most
     met = met.withColumn("distance", swap_distance_udf("_a", "_b")).filter(F.col("distance") <= most)
     return met.select(F.col("_in").alias(scope), F.col("_a").alias(a), F.col("_b").alias(b), "distance")

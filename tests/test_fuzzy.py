@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import fuzzy, names
 from palimpsest.operators.alignment import _lcs
 
@@ -164,3 +166,11 @@ def test_outcomes(spark):
     assert of("άννα ξινταρoπουλου", "ξινταρoπουλου") == "abstain_no_signal"  # another meeting's first name
     assert of("Σελής", "σελησ") == "no_candidate"
     assert set(names.OUTCOMES) >= {"fire"} and len(names.OUTCOMES) == 9
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """A few short words have hundreds of keys each, which Spark's size check does not see."""
+    words = spark.range(50).select((F.col("id") % 3).alias("s"), F.concat(F.lit("wordword"), "id").alias("a"), F.concat(F.lit("wordwort"), "id").alias("b"))
+    for pairs in (fuzzy.swap_neighbours(words, words, "s", "a", "b"), fuzzy.similar(words, words, "a", "b", 88)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
