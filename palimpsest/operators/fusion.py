@@ -114,7 +114,12 @@ def seam_kept(candidates: DataFrame, windows: DataFrame, keys: list[str], tolera
     middle = (F.col("start") + F.col("end")) / 2
     named = candidates.withColumns({"_id": F.monotonically_increasing_id(), "_middle": middle})
     mine = windows.select(*keys, F.col("window").alias("_w"), "w_start", "w_end", "own_start", "own_end")
-    covering = named.join(mine, keys).filter(F.col("_middle").between(F.col("w_start") - tolerance, F.col("w_end") + tolerance))
+    # A candidate and the windows that cover its midpoint share a bucket of about a window's length: many windows of one key are no product.
+    width = F.broadcast(windows.agg(F.max(F.col("w_end") - F.col("w_start")).alias("_width")).select(F.greatest("_width", F.lit(1e-3)).alias("_width")))  # one row
+    bucket = lambda t: F.floor(t / F.col("_width")).cast("long")
+    placed = mine.crossJoin(width).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("w_start") - tolerance), bucket(F.col("w_end") + tolerance)))).drop("_width")
+    points = named.crossJoin(width).withColumn("_bucket", bucket(F.col("_middle"))).drop("_width")
+    covering = points.join(placed, [*keys, "_bucket"]).filter(F.col("_middle").between(F.col("w_start") - tolerance, F.col("w_end") + tolerance))
     near = F.struct(F.abs(F.col("_middle") - (F.col("w_start") + F.col("w_end")) / 2), F.col("_w"))
     w = Window.partitionBy(*keys, *(c for c in candidates.columns if c not in keys), "_id").orderBy(near)
     best = covering.withColumn("_r", F.row_number().over(w)).filter("_r = 1 AND _w = window")

@@ -225,6 +225,24 @@ def test_rescored_ties_go_to_the_better_rank(spark):
     assert len(out) == len(pairs) and {r.r for r in out} == {1}
 
 
+def test_seams_meet_few_windows(spark):
+    """Candidates of one key meet the windows around them, however many the key has; and the same ones are kept as by a plain loop."""
+    spans = spark.createDataFrame([(1, 0.0, 8000.0), (2, 5.0, 61.0), (3, -90.0, -7.0)], "k int, start double, end double")
+    windows = intervals.windows(spans, 30, 20).drop("start", "end")
+    wide = windows.select("k", "window", F.col("w_start").alias("start"), (F.col("w_start") + 7).alias("end"))
+    four = wide.unionAll(wide.select("k", "window", F.col("start") + 20, F.col("end") + 20)).unionAll(wide.select("k", "window", F.col("start") + 9, F.col("end") + 9))
+    kept = fusion.seam_kept(four, windows, ["k"])
+    all_ = windows.collect()
+    want = []
+    for c in four.collect():
+        m = (c.start + c.end) / 2
+        near = [(abs(m - (x.w_start + x.w_end) / 2), x.window, x) for x in all_ if x.k == c.k and x.w_start - 1e-7 <= m <= x.w_end + 1e-7]
+        if near and min(near)[1] == c.window and min(near)[2].own_start - 1e-7 <= m <= min(near)[2].own_end + 1e-7:
+            want.append(tuple(c))
+    assert sorted(map(tuple, kept.collect())) == sorted(want) and len(want) > 400
+    assert "_bucket" in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_statistics(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(6), rng.random() < 0.4) for _ in range(60)]
