@@ -12,7 +12,7 @@ matter, so about m ln m are drawn for a text however long it is.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,9 +100,11 @@ BITS, BOUND = 4, 0.64
 SHARP, SHARP_BOUND = 2048, 0.747
 #: Finer bands, of more registers each, for texts of crowded buckets: a pair of similarity 0.8 shares none with probability 8e-6.
 FINE, FINE_ROWS = 64, 8
-#: Texts that follow a text in its fine bucket's order and are held against it: buckets of up to AHEAD + 1 texts are covered whole
-#: in one round, larger ones in rounds of other orders, until a round finds no link.
-AHEAD = 256
+#: Texts of a block: in a fine bucket those that are not of its commonest component are cut into blocks of about so many, and each
+#: block meets all other texts of the bucket, in shares of as many (SPREAD at least), so that no task holds more than a block and a share.
+AHEAD, SPREAD = 1024, 256
+#: Texts (their hashes and keys, some 100 bytes each) that are broadcast at most; more are joined.
+FEW = 200_000
 
 
 def register_bits(registers: np.ndarray, bits: int) -> np.ndarray:
@@ -127,49 +129,56 @@ def sharp_bits(texts: DataFrame, width: int = 5) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, bits array<long>, fine array<long>")
 
 
-def _ahead(reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (band, label, key, bits) sorted by band: (a, b, low, high, differ) where b is one of the ``reach`` rows after a, of its band, with
-    another label and like bits; low and high are their labels, differ counts unequal bits."""
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of band, chunk, salt and probe: (a, b, low, high, differ) of texts with different labels and like bits, of which one is no
+    probe, that share no fine bucket before this one (``at`` is its place in ``fine``). Low and high are their labels, differ counts unequal bits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit, held = int(SHARP * (1 - SHARP_BOUND) / 2), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            fresh = 0 if held is None else held.num_rows
-            band, label, key = np.asarray(batch.column("band")), np.asarray(batch.column("label")), batch.column("key")
-            bits = np.asarray(batch.column("bits").flatten()).view(np.uint64).reshape(batch.num_rows, -1)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-            def told() -> pa.RecordBatch:
-                a, b, differ = (np.concatenate(x) for x in zip(*found, strict=True))
-                found.clear()
-                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), pa.array(low), pa.array(high), pa.array(differ)], _AHEAD_NAMES)
-
-            for k in range(1, min(reach, batch.num_rows - 1) + 1):
-                b = np.arange(max(k, fresh), batch.num_rows)
-                b = b[band[b] == band[b - k]]
-                if not len(b):
-                    break  # rows are in order, so none is in the band of one further on
-                b = b[label[b] != label[b - k]]
-                differ = np.bitwise_count(bits[b] ^ bits[b - k]).sum(1, dtype=np.int32)
+    A pair that shares several buckets is told once; those of one block are told at salt 0."""
+    limit, held = int(SHARP * (1 - SHARP_BOUND) / 2), None
+
+    def told(batch: pa.RecordBatch, upto: int, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        label, at, salt, probe, key = np.asarray(batch.column("label")), np.asarray(batch.column("at")), np.asarray(batch.column("salt")), np.asarray(batch.column("probe")), batch.column("key")
+        bits, fine = (np.asarray(batch.column(c).flatten()).view(np.uint64).reshape(batch.num_rows, -1) for c in ("bits", "fine"))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            a, b, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            return pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), pa.array(low), pa.array(high), pa.array(differ)], _ACROSS_NAMES)
+
+        for start, end in zip(first, [*first[1:], upto], strict=True):
+            block = start + int(np.count_nonzero(probe[start:end] == 0))
+            for j in range(start, block):
+                b = np.arange(j + 1 if salt[j] == 0 else block, end)
+                b = b[label[b] != label[j]]
+                differ = np.bitwise_count(bits[b] ^ bits[j]).sum(1, dtype=np.int32)
                 like = differ <= limit
                 if like.any():
-                    found.append((b[like] - k, b[like], differ[like]))
+                    b, differ = b[like], differ[like]
+                    once = ((fine[b] == fine[j]) & (fine[j] != 0)).argmax(1) == at[j]
+                    found.append((np.full(int(once.sum()), j), b[once], differ[once]))
                 if sum(len(x[1]) for x in found) >= 1 << 16:
-                    yield told()
-            if found:
-                yield told()
-            held = batch.slice(max(0, batch.num_rows - reach))
+                    yield out()
+        if found:
+            yield out()
 
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        group = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("band", "chunk", "salt")])
+        first = np.concatenate([[0], 1 + np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0))])
+        if len(first) > 1:
+            yield from told(batch, int(first[-1]), first[:-1])
+        held = batch.slice(int(first[-1]))  # the next batch may go on with it
+    if held is not None:
+        yield from told(pa.Table.from_batches([held]).combine_chunks().to_batches()[0], held.num_rows, np.zeros(1, np.int64))
 
 
-_AHEAD_SCHEMA = "a binary, b binary, low long, high long, differ int"
-_AHEAD_NAMES = [x.split(" ")[0] for x in _AHEAD_SCHEMA.split(", ")]
+_ACROSS_SCHEMA = "a binary, b binary, low long, high long, differ int"
+_ACROSS_NAMES = [x.split(" ")[0] for x in _ACROSS_SCHEMA.split(", ")]
 
 
 def _alike(a: Column, b: Column, bits: int, least: float) -> Column:
@@ -243,11 +252,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: flo
     Rows of equal text are one node (so copies are never paired), known by the MD5 of the text.
     Nodes that share a band are compared with the band's hub, the text that shares most bands with others: a
     bucket of n texts gives n - 1 pairs. Texts of buckets that then still hold several components are
-    banded again, by more registers a band; in these finer buckets the register bits of each text are held against those of the
-    AHEAD texts that follow it in an order by hash, if of another component, so that work stays in proportion to the texts. A
-    bucket of up to AHEAD + 1 texts is covered whole; where there are larger ones, further rounds take other
-    orders, with the components known by then, until a round finds no link. Pairs whose register bits differ too much are passed over
-    before their texts are read. Classes are the components of the links. A text of fewer than
+    banded again, by more registers a band; in each of these finer buckets, however large, the register bits of all texts of different components
+    are held against each other, block by block (``_blocks``). Pairs whose register bits differ too much are passed over
+    before their texts are read. Buckets of the same texts count once. Classes are the components of the links. A text of fewer than
     five words is one shingle. A text without words, and null, is near its equals only (null counts as empty).
     Rows that repeat are kept; null keys are ignored in the choice of a class's key, and the class is
     null if there is no other. Extra columns are left out; an empty table gives an empty result."""
@@ -271,27 +278,39 @@ def _links(buckets: DataFrame, bits: DataFrame, texts: DataFrame, least: float)
         return links
     # A text costs as much time here as a hundred times its bytes do elsewhere, so tasks are made by their number, not by their size.
     sharp = stored(sharp_bits(texts.join(open_.select("key"), "key").repartition(parts)))
-    fine = open_.join(sharp.select("key", "fine"), "key").select("key", "label", F.explode("fine").alias("band"))
+    fine = stored(open_.join(sharp.select("key", "fine"), "key").select("key", "label", F.posexplode("fine").alias("at", "band")))
+    rows = _blocks(fine, sharp)
+    rows = rows.repartitionByRange(parts, "band", "chunk", "salt").sortWithinPartitions("band", "chunk", "salt", "probe").mapInArrow(_across, _ACROSS_SCHEMA)
+    pairs = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "low", "high", "differ").distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    seed = 0
-    while True:
-        fine = stored(fine)
-        crowded = stored(fine.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", "n"))
-        rows = fine.join(crowded.select("band"), "band").join(sharp.select("key", "bits"), "key").select("band", "label", "key", "bits", F.xxhash64("key", "band", F.lit(seed)).alias("o"))
-        rows = rows.repartitionByRange(parts, "band", "o").sortWithinPartitions("band", "o").drop("o").mapInArrow(_ahead(AHEAD), _AHEAD_SCHEMA)
-        pairs = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "low", "high", "differ").distinct()
-        pairs, n = compact(pairs.join(known, ["a", "b"], "left_anti"))
-        if not n:
-            return links
-        found = _nearest_first(pairs, texts, least)
-        whole = (crowded.agg(F.max("n")).first()[0] or 0) <= AHEAD + 1  # one row
-        links, _ = compact(links.unionByName(found))
-        if whole or not found.limit(1).count():
-            return links
-        known, _ = compact(known.unionByName(pairs.select("a", "b")))
-        seed += 1
-        named, _ = compact(components(links).withColumnsRenamed({"node": "key", "component": "name"}))
-        fine = fine.join(named, "key", "left").select("key", F.xxhash64(F.coalesce("name", "key")).alias("label"), "band")
+    pairs, n = compact(pairs.join(known, ["a", "b"], "left_anti"))
+    return compact(links.unionByName(_nearest_first(pairs, texts, least)))[0] if n else links
+
+
+def _members() -> list[Column]:
+    """Of a bucket: its number of texts, and two hashes that are equal for equal sets of texts."""
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")]
+
+
+def _blocks(fine: DataFrame, sharp: DataFrame) -> DataFrame:
+    """Rows of fine buckets (key, label, at, band) that hold several labels, as often as they are met: with band, chunk, salt, probe, and ``fine``, their
+    buckets of this kind by place. Of buckets with the same texts one stays.
+
+    Two texts of different labels meet in every bucket that both are in: texts of the commonest label are probes of all
+    chunks, the others stand in a chunk of their own and are probes of those before it. Chunks are copied for each salt, probes are dealt over salts."""
+    counts = fine.groupBy("band", "label").agg(*_members())
+    sums = [F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top")]
+    crowded = counts.groupBy("band").agg(*sums).filter("labels > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "top")).alias("b"))
+    others = F.col("n") - F.col("b.top.n")
+    crowded = stored(crowded.select("b.band", F.col("b.top.label").alias("top"), F.ceil(others / AHEAD).cast("int").alias("chunks"), F.ceil(F.col("n") / F.greatest(F.lit(SPREAD), F.least(others, F.lit(AHEAD)))).cast("int").alias("salts")))
+    rows = stored(fine.join(crowded, "band"))
+    places = rows.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("at", "band"))).alias("m"))
+    places = places.select("key", F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda k, _: k == i)), F.lit(0)), F.lit(0))).alias("fine"))
+    own, mine = F.pmod(F.xxhash64("key", "band"), "chunks").cast("int"), F.pmod(F.xxhash64("band", "key"), "salts").cast("int")
+    probes = lambda n: F.transform(F.slice(F.sequence(F.lit(0), F.col("chunks")), F.lit(1), n), lambda c: F.struct(c.alias("chunk"), mine.alias("salt"), F.lit(1).alias("probe")))
+    block = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(own.alias("chunk"), s.alias("salt"), F.lit(0).alias("probe")))
+    copies = F.when(F.col("label") == F.col("top"), probes(F.col("chunks"))).otherwise(F.concat(block, probes(own)))
+    return rows.select("key", "label", "at", "band", F.explode(copies).alias("c")).select("key", "label", "at", "band", "c.*").join(sharp.select("key", "bits").join(stored(places), "key"), "key")
 
 
 def _nearest_first(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -317,13 +336,14 @@ def nodes(docs: DataFrame, text: str, key: str, least: float) -> DataFrame:
     rows = stored(banded(docs, F.col(key), text))
     node = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     each = node.filter("bands IS NOT NULL").select("key", "rep", F.explode("bands").alias("band"))
-    sizes = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = stored(each.join(stored(sizes), "band"))
+    sizes = each.groupBy("band").agg(*_members()).filter("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("times"))
+    buckets = stored(each.join(stored(sizes.select("band", (F.col("n") * F.col("times")).alias("n"))), "band"))
     # The text that most others share bands with is the likeliest to be near them: the middle of its group.
     central = stored(buckets.groupBy("key").agg(F.sum("n").alias("c")))
     hubs = buckets.join(central, "key").groupBy("band").agg(F.max(F.struct("c", F.xxhash64("key").alias("o"), "key")).alias("hub"))
     buckets = stored(buckets.join(stored(hubs.select("band", F.col("hub.key").alias("hub"))), "band").select("band", "key", "rep", "hub"))
-    wanted = buckets.select("key", "rep").distinct().withColumnsRenamed({"key": "_key", "rep": "_rep"})
+    wanted = stored(buckets.select("key", "rep").distinct().withColumnsRenamed({"key": "_key", "rep": "_rep"}))
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted  # else the texts of all rows are shuffled
     of_rep = (F.col("key") == F.col("_key")) & F.col("rep").eqNullSafe(F.col("_rep"))
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = stored(texts.join(wanted, of_rep).select("key", "text").dropDuplicates(["key"]))

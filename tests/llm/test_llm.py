@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -203,6 +204,41 @@ def test_crowds_of_texts_that_are_nearly_alike(spark, monkeypatch, texts, most,
     assert all(want[got[i]] == want[i] for i in want)
 
 
+def test_fine_buckets_larger_than_a_block_are_covered_whole(spark, monkeypatch):
+    """Pairs of one bucket meet once each, whatever blocks and shares it is cut into; texts of one label do not meet."""
+    monkeypatch.setattr(bagminhash, "AHEAD", 4)
+    monkeypatch.setattr(bagminhash, "SPREAD", 5, raising=False)
+    rng, one = random.Random(3), [7] * (bagminhash.SHARP // 64)
+    label = {i.to_bytes(16, "big"): 0 if i < 30 else i // 2 for i in range(60)}
+    sharp = [(k, one, [k[-1] % 3 + 1 if b < 9 else 900 + b if b < 12 and k[-1] % 2 else 0 for b in range(bagminhash.FINE)]) for k in label]
+    rng.shuffle(sharp)
+    fine = [(k, label[k], b, band) for k, _, bands in sharp for b, band in enumerate(bands) if band]
+    fine = [(k, x, b, band * 100 + b) for k, x, b, band in fine]  # of each place its own
+    wanted = Counter(frozenset((a, b)) for a, b in itertools.combinations(label, 2) if label[a] != label[b] and (a[-1] % 3 == b[-1] % 3 or a[-1] % 2 and b[-1] % 2))
+    rows = bagminhash._blocks(spark.createDataFrame(fine, "key binary, label long, at int, band long"), spark.createDataFrame(sharp, "key binary, bits array<long>, fine array<long>"))
+    met = rows.repartition(3, "band", "chunk", "salt").sortWithinPartitions("band", "chunk", "salt", "probe").mapInArrow(bagminhash._across, bagminhash._ACROSS_SCHEMA)
+    assert Counter(frozenset((bytes(r.a), bytes(r.b))) for r in met.collect()) == wanted
+
+
+def test_partners_in_a_sparse_crowd_are_found_whatever_the_block(spark, monkeypatch):
+    """Texts at 0.71 to each other, four with a partner at 0.82: with blocks of one text none is missed."""
+    monkeypatch.setattr(bagminhash, "AHEAD", 1)
+    rng = random.Random(32)
+    base, rows = [f"b{i}" for i in range(300)], []
+    for i in range(200):
+        copy = list(base)
+        for k in range(5):
+            copy[rng.randrange(60) + 60 * k] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    for i in range(4):
+        copy = rows[i][1].split(" ")
+        for k in range(6):
+            copy[rng.randrange(40) + 50 * k] = f"d{rng.randrange(10**6)}"
+        rows.append((200 + i, " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: c for k, c in near_classes(rows)}
+
+
 # --- 3 and 5 -------------------------------------------------------------------------------------------------------
 
 def merged(ranges):
