@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut
+
 from .alignment import vector
 
 
@@ -231,16 +233,24 @@ def permutation_null(rows: DataFrame, cluster: str, score: str, label: str, draw
     """One row: AUROC, the mean AUROC under labels shuffled within clusters, and the share of shuffles that reach it.
 
     In each draw the rows of a cluster that come first by an MD5 of the seed, the draw and their place hold its positive labels; the
-    sum of their ranks over all clusters gives the draw's AUROC."""
+    sum of their ranks over all clusters gives the draw's AUROC. Rows are counted and summed by the first two digits of that MD5; only those
+    of the digits at which a cluster's number is reached are put in order, a 256th of all."""
     known = rows.filter(F.col(score).isNotNull()).select(F.col(cluster).alias("c"), F.col(score).alias("s"), F.col(label).cast("boolean").alias("y"))
     counts = _counts(known, [], "s", F.col("y")).select("s", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
     seen = auroc(known, [], "s", F.col("y")).first()["auroc"]
     whole = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).first()  # one row
     own = known.groupBy("c").agg(F.count_if("y").alias("pos")).filter("pos > 0")
     place = F.row_number().over(Window.partitionBy("c").orderBy("s", "y"))
-    ranked = known.withColumn("place", place).join(counts, "s").join(own, "c").select("c", "place", "rank", "pos")
-    order = F.row_number().over(Window.partitionBy("c", "draw").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "draw", "c", "place")), "place"))
-    sums = _draws(ranked, draws).withColumn("_r", order).filter(F.col("_r") <= F.col("pos")).groupBy("draw").agg(F.sum("rank").alias("ranks"))
+    ranked = cut(known.withColumn("place", place).join(counts, "s").join(own, "c").select("c", "place", "rank", "pos"))
+    die = lambda draw: F.md5(F.concat_ws("|", F.lit(seed), draw, "c", "place"))
+    cells = _draws(ranked, draws).groupBy("c", "draw", F.left(die(F.col("draw")), F.lit(2)).alias("cell")).agg(F.first("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.sum("rank").alias("ranks"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c", "draw").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cut(cells.withColumn("need", F.col("pos") - before).filter("need > 0"))
+    split = cells.filter("need < n").groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("draw", F.struct("cell", "need")))).alias("split"))  # a row for each cluster
+    picked = ranked.join(split, "c").select("c", "place", "rank", "split", F.explode(F.filter(F.map_keys("split"), lambda d: F.left(die(d), F.lit(2)) == F.col("split")[d]["cell"])).alias("draw"))
+    order = F.row_number().over(Window.partitionBy("c", "draw").orderBy(die(F.col("draw")), "place"))
+    last = picked.select("c", "draw", "place", "rank", F.col("split")[F.col("draw")]["need"].alias("need")).withColumn("_r", order).filter("_r <= need")
+    sums = cells.filter("need >= n").select("draw", "ranks").unionByName(last.select("draw", F.col("rank").alias("ranks"))).groupBy("draw").agg(F.sum("ranks").alias("ranks"))
     pos, neg = whole["pos"], whole["n"] - whole["pos"]
     area = (F.col("ranks") - F.lit(pos * (pos + 1) / 2)) / F.lit(float(max(1, pos * neg)))
     return sums.select(area.alias("a")).agg(F.lit(seen).cast("double").alias("auroc"), F.avg("a").alias("null_mean"), F.avg((F.col("a") >= F.lit(seen) - 1e-12).cast("double")).alias("p"))
