@@ -22,9 +22,13 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def attested(rows: DataFrame, tokens: Column, terms: DataFrame, meeting: str, longest: int = 4) -> DataFrame:
-    """For each term of up to ``longest`` words the distinct meetings that have it: exploded n-grams joined by equality."""
-    every = lambda t: F.array_distinct(F.flatten(F.array(*(ngrams(t, n) for n in range(1, longest + 1)))))
-    grams = rows.select(meeting, F.explode(F.get(F.transform(F.array(tokens), every), F.lit(0))).alias("term"))
+    """For each term of up to ``longest`` words the distinct meetings that have it: exploded n-grams joined by equality.
+
+    N-grams are made of the lengths only that terms have, and each counts once a meeting before it travels to the join."""
+    found = terms.select(F.size(F.split("term", " ")).alias("n")).filter(F.col("n").between(1, longest)).distinct().collect()  # ``longest`` rows at most
+    sizes = sorted(r["n"] for r in found) or [1]
+    every = lambda t: F.array_distinct(F.flatten(F.array(*(ngrams(t, n) for n in sizes))))
+    grams = rows.select(meeting, F.explode(F.get(F.transform(F.array(tokens), every), F.lit(0))).alias("term")).distinct()
     return terms.select("term").distinct().join(grams, "term", "left").groupBy("term").agg(F.count_distinct(meeting).alias("meetings"))
 
 
