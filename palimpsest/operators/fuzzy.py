@@ -8,6 +8,7 @@ ratio is twice the longest common subsequence over both lengths, times 100.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,17 +160,76 @@ def retrieve(texts: DataFrame, pool: DataFrame, key: str, norm: str, scope: str
 ROUNDS = (90, 80, 70, 60, 45, 30, 15, 1)
 
 
+#: Terms and forms of a block of each side, and pairs of blocks (some 50 KB each) for a task at most.
+TERMS, FORMS, PAIRS = 256, 4096, 64
+#: Letters of a term that fit the bits of a long.
+_WIDE = 63
+
+
+def _worst(terms: list[str], forms: list[str], near: int) -> list[dict]:
+    """For each term that shares a letter with another form, lengths ``near`` apart at most: the form it is most like (the least of equals) and the ratio.
+
+    The longest common subsequence is that of ``alignment._lcs``, its row held as the bits of a long for all forms at once."""
+    forms = sorted(forms, key=len)
+    sizes = np.array([len(f) for f in forms])
+    short = forms[: int(np.searchsorted(sizes, _WIDE + near, side="right"))]
+    letters, codes = np.unique(np.array(short, dtype=str).view(np.uint32).reshape(len(short), -1), return_inverse=True) if short else (np.zeros(0, np.uint32), np.zeros((0, 0), np.int64))
+    codes, out = codes.reshape(len(short), -1), []
+    for term in terms:
+        n = len(term)
+        low, high = int(np.searchsorted(sizes, n - near)), int(np.searchsorted(sizes, n + near, side="right"))
+        if low == high:
+            continue
+        if n <= _WIDE:
+            places = {c: 0 for c in term}
+            for i, c in enumerate(term):
+                places[c] |= 1 << i
+            masks = np.array([places.get(chr(c), 0) for c in letters], np.uint64)
+            row = np.full(high - low, (1 << n) - 1, np.uint64)
+            for column in codes[low:high, : sizes[high - 1]].T:
+                hit = row & masks[column]
+                row = (row + hit) | (row - hit)
+            common = n - np.bitwise_count(row & np.uint64((1 << n) - 1)).astype(np.int64)
+        else:
+            common = np.array([_lcs(term, f) for f in forms[low:high]])
+        common[(common == n) & (sizes[low:high] == n)] = 0  # the term itself
+        score = 200.0 * common / (n + sizes[low:high])
+        best = score.max()
+        if best > 0:
+            out.append({"term": term, "form": min(forms[low + int(i)] for i in np.flatnonzero(score == best)), "score": float(best)})
+    return out
+
+
+def _nearest(terms: DataFrame, forms: DataFrame, near: int) -> DataFrame:
+    """(_term, _form, score) of ``_worst`` over all pairs of blocks of ``terms`` (_term) and ``forms`` (_form), each of distinct words: a task holds one block of either."""
+    worst = vector("array<struct<term:string,form:string,score:double>>")(lambda t, f: pd.Series([_worst(list(x), list(y), near) for x, y in zip(t, f, strict=True)], dtype=object))
+
+    def dealt(words: DataFrame, word: str, size: int) -> tuple[DataFrame, int]:
+        blocks = -(-words.count() // size) or 1
+        return cut(words.groupBy(F.pmod(F.xxhash64(word), F.lit(blocks)).alias("_block")).agg(F.collect_list(word).alias(f"{word}s")).drop("_block")), blocks
+
+    (many, n), (few, k) = dealt(forms, "_form", FORMS), dealt(terms, "_term", TERMS)
+    parts = max(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * k // PAIRS)
+    each = many.crossJoin(few).repartition(parts).select(F.explode(worst("_terms", "_forms")).alias("x"))
+    best = each.groupBy(F.col("x.term").alias("_term")).agg(F.min(F.struct((-F.col("x.score")).alias("minus"), F.col("x.form").alias("form"))).alias("b"))
+    return best.select("_term", F.col("b.form").alias("_form"), (-F.col("b.minus")).alias("score"))
+
+
 def worst_collision(terms: DataFrame, forms: DataFrame, term: str, form: str, phrases: bool = False, near: int = 3, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """For each term the form other than itself that it is most like: term, form, score (null and 0 without any); the least form of equals.
 
-    Words are compared with forms whose lengths differ by ``near`` at most, by ratio; ``phrases`` with all forms, by partial ratio. There is no
-    threshold, but each round looks at the pairs above a ratio only, for terms that are not settled: the join tightens
+    Words are compared with forms whose lengths differ by ``near`` at most, by ratio: all of them, block by block, for without a threshold
+    most words share some short segment, and a join on these makes hundreds of keys a form in every round. ``phrases`` are compared with all forms, by
+    partial ratio, in rounds: each looks at the pairs above a ratio only, for terms that are not settled, so that the join tightens
     where it pays, and the wide last rounds are left to the few terms that are like nothing. Null and empty terms have no row."""
     every = cut(terms.select(F.col(term).alias("_term")).filter("length(_term) > 0").distinct())
-    others = forms.select(F.col(form).alias("_form")).filter("length(_form) > 0").distinct()
+    others = cut(forms.select(F.col(form).alias("_form")).filter("length(_form) > 0").distinct())  # made once, not in every round
+    if not phrases:
+        found = _nearest(every, others, near)
+        return every.join(found, "_term", "left").select(F.col("_term").alias(term), F.col("_form").alias(form), F.coalesce("score", F.lit(0.0)).alias("score"))
     open_, found = every, None
     for low in rounds:
-        met = contained(open_, others, "_term", "_form", low) if phrases else similar(open_, others, "_term", "_form", low, near)
+        met = contained(open_, others, "_term", "_form", low)
         best = met.filter("_term <> _form").groupBy("_term").agg(F.min(F.struct((-F.col("score")).alias("minus"), "_form")).alias("best"))
         best = cut(best.select("_term", F.col("best._form").alias("_form"), (-F.col("best.minus")).alias("score")))
         found = best if found is None else found.unionByName(best)
