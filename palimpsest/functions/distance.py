@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.operators.alignment import vector
+
 from .text import canonical, canonical_tokens
 
 #: Code points of token numbers: those from _FIRST to the surrogates, then those beyond the first plane.
@@ -82,32 +88,52 @@ def multiset_minus(a: Column, b: Column) -> Column:
     return F.transform(F.array_except(numbered(a), numbered(b)), lambda s: F.substring(s, F.instr(s, "|") + 1, F.length(s)))
 
 
+@vector("array<string>")
+def multiset_minus_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``multiset_minus`` counted in Python, in a hundredth of the time; functions within array functions need the other."""
+    return pd.Series([None if x is None or y is None else _minus(x, Counter(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def _minus(xs: Iterable[str], left: Counter) -> list[str]:
+    out = []
+    for x in xs:
+        if left[x] > 0:
+            left[x] -= 1
+        else:
+            out.append(x)
+    return out
+
+
 def multiset_common(a: Column, b: Column) -> Column:
     """How many elements two arrays share as multisets."""
     return F.size(a) - F.size(multiset_minus(a, b))
 
 
-def edit_scores(source: Column, output: Column, gold: Column) -> Column:
-    """struct(normalized_exact, edit_application, overcorrection, wer) of a correction, on canonical tokens as multisets.
+def _edit_counts(s: Counter, m: Counter, g: Counter) -> tuple[int, int, int]:
+    """Edits that gold needs, those of them that the output achieves, and those it makes beyond them."""
+    adds, removes, added, dropped = g - s, s - g, m - s, s - m
+    return (adds + removes).total(), (adds & m).total() + (removes & dropped).total(), (added - adds).total() + (dropped - removes).total()
+
+
+@vector("struct<normalized_exact:boolean,edit_application:double,overcorrection:double>")
+def _token_scores(source: pd.Series, output: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    rows = []
+    for s, m, g in zip(source, output, gold, strict=True):
+        needed, achieved, harm = _edit_counts(Counter(s), Counter(m), Counter(g))
+        rows.append((list(m) == list(g), achieved / needed if needed else 1.0, harm / max(1, len(s))))
+    return pd.DataFrame(rows, columns=["normalized_exact", "edit_application", "overcorrection"])
 
-    The gold edit is what gold adds to and removes from the source. The application is the share of it that
-    the output achieves (1 if there is none); overcorrection is what the output adds or removes
-    beyond it, by source token."""
 
-    def scores(v: Column) -> Column:
-        s, m, g = v["s"], v["m"], v["g"]
+def token_edit_scores(source: Column, output: Column, gold: Column) -> Column:
+    """``edit_scores`` of token arrays."""
+    x = _token_scores(source, output, gold)
+    return F.struct(x["normalized_exact"].alias("normalized_exact"), x["edit_application"].alias("edit_application"), x["overcorrection"].alias("overcorrection"), _rate(token_distance(output, gold), F.size(gold), F.size(output)).alias("wer"))
 
-        def parts(p: Column) -> Column:
-            needed = F.size(p["adds"]) + F.size(p["removes"])
-            achieved = multiset_common(p["adds"], m) + multiset_common(p["removes"], p["dropped"])
-            harm = F.size(multiset_minus(p["added"], p["adds"])) + F.size(multiset_minus(p["dropped"], p["removes"]))
-            return F.struct(
-                (m == g).alias("normalized_exact"),
-                F.when(needed == 0, 1.0).otherwise(achieved / needed).alias("edit_application"),
-                (harm / F.greatest(F.lit(1), F.size(s))).alias("overcorrection"),
-                _rate(token_distance(m, g), F.size(g), F.size(m)).alias("wer"),
-            )
 
-        return _let(F.struct(multiset_minus(g, s).alias("adds"), multiset_minus(s, g).alias("removes"), multiset_minus(m, s).alias("added"), multiset_minus(s, m).alias("dropped")), parts)
+def edit_scores(source: Column, output: Column, gold: Column) -> Column:
+    """struct(normalized_exact, edit_application, overcorrection, wer) of a correction, on canonical tokens as multisets.
 
-    return _let(F.struct(canonical_tokens(source).alias("s"), canonical_tokens(output).alias("m"), canonical_tokens(gold).alias("g")), scores)
+    The gold edit is what gold adds to and removes from the source. The application is the share of it that
+    the output achieves (1 if there is none); overcorrection is what the output adds or removes
+    beyond it, by source token. Words are counted in Python: array functions take a hundred times as long for it."""
+    return token_edit_scores(canonical_tokens(source), canonical_tokens(output), canonical_tokens(gold))

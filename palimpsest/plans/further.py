@@ -176,13 +176,13 @@ c AS (SELECT conv_id, turn, w, sum(a) AS a, sum(b) AS b FROM (SELECT conv_id, tu
 @query(f"WITH {_PAIRS} SELECT t.conv_id, t.turn, coalesce(sum(greatest(a - b, 0)), 0)::BIGINT AS lost, coalesce(sum(greatest(b - a, 0)), 0)::BIGINT AS added, coalesce(sum(least(a, b)), 0)::BIGINT AS shared FROM t LEFT JOIN c USING (conv_id, turn) GROUP BY ALL")
 def token_multisets(spark, sf_dir):
     r, h = F.col("ref"), F.col("hyp")
-    return _turn_tokens(spark, sf_dir).select("conv_id", "turn", long(F.size(distance.multiset_minus(r, h))).alias("lost"), long(F.size(distance.multiset_minus(h, r))).alias("added"), long(distance.multiset_common(r, h)).alias("shared"))
+    return _turn_tokens(spark, sf_dir).select("conv_id", "turn", long(F.size(distance.multiset_minus_udf(r, h))).alias("lost"), long(F.size(distance.multiset_minus_udf(h, r))).alias("added"), long(F.size(r) - F.size(distance.multiset_minus_udf(r, h))).alias("shared"))
 
 
 @query(f"WITH {_PAIRS} SELECT t.conv_id, t.turn, coalesce(sum(greatest(a - b, 0)), 0) + coalesce(sum(greatest(b - a, 0)), 0) = 0 AS same_bag, r = h AS same_words, len(list_distinct(list_filter(h, lambda x: NOT list_contains(r, x))))::BIGINT AS novel FROM t LEFT JOIN c USING (conv_id, turn) GROUP BY t.conv_id, t.turn, r, h")
 def word_changes(spark, sf_dir):
     r, h = F.col("ref"), F.col("hyp")
-    bag = (F.size(distance.multiset_minus(r, h)) == 0) & (F.size(distance.multiset_minus(h, r)) == 0)
+    bag = (F.size(distance.multiset_minus_udf(r, h)) == 0) & (F.size(distance.multiset_minus_udf(h, r)) == 0)
     return _turn_tokens(spark, sf_dir).select("conv_id", "turn", bag.alias("same_bag"), (r == h).alias("same_words"), long(F.size(F.array_except("hyp", "ref"))).alias("novel"))
 
 
@@ -196,8 +196,10 @@ SELECT e.conv_id, e.turn, m = g AS exact, round(CASE WHEN coalesce(needed, 0) =
 def correction_scores(spark, sf_dir):
     """A turn as the gold form, the one before as the output, the one before that as the source."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text", 2).over(w).alias("s"), F.lag("text").over(w).alias("m"), "text")
-    rows = rows.withColumn("x", distance.edit_scores(F.col("s"), F.col("m"), F.col("text")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.canonical_tokens(F.col("text")).alias("g"))
+    none = F.array().cast("array<string>")
+    rows = rows.select("conv_id", "turn", F.coalesce(F.lag("g", 2).over(w), none).alias("s"), F.coalesce(F.lag("g").over(w), none).alias("m"), "g")
+    rows = rows.withColumn("x", distance.token_edit_scores(F.col("s"), F.col("m"), F.col("g")))
     return rows.select("conv_id", "turn", F.col("x.normalized_exact").alias("exact"), F.round("x.edit_application", 9).alias("applied"), F.round("x.overcorrection", 9).alias("beyond"))
 
 
