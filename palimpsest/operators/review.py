@@ -147,7 +147,7 @@ def edit_kind(before: Column, after: Column, names: Column, terms: Column) -> Co
     b, a = F.array_join(before, " "), F.array_join(after, " ")
     limit = F.greatest(F.lit(2), F.floor(0.34 * F.greatest(F.length(b), F.length(a))))
     return (
-        F.when(F.exists(both, lambda t: t.rlike(r"\d")), "number")
+        F.when(F.concat(b, F.lit(" "), a).rlike(r"\d"), "number")
         .when(F.arrays_overlap(both, names), "roster-name")
         .when(F.arrays_overlap(both, terms), "glossary-term")
         .when((F.size(before) > 0) & (F.size(after) > 0) & (F.levenshtein(b, a) <= limit), "spelling-tweak")

@@ -425,10 +425,12 @@ SELECT b[1] AS before, a[1] AS after, CASE WHEN len(list_filter(x, lambda q: reg
 def edit_kinds(spark, sf_dir):
     """Each pair of neighbouring words as an edit of one by the other."""
     w = text.word_tokens(F.col("text"))
-    plain = lambda x: F.array(F.regexp_replace(x, "[^a-z0-9_ ]", "~"))
+    plain = lambda x: F.regexp_replace(x, "[^a-z0-9_ ]", "~")
     words = lambda *xs: F.array(*map(F.lit, xs))
-    pairs = table(spark, sf_dir, "documents").select(w.alias("w")).select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - 1)).alias("b"), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)).alias("a"))).alias("p"))
-    return pairs.select(F.col("p.b").alias("before"), F.col("p.a").alias("after")).distinct().select("before", "after", review.edit_kind(plain(F.col("before")), plain(F.col("after")), words("the", "la"), words("of", "der")).alias("kind"))
+    each = table(spark, sf_dir, "documents").select(w.alias("w")).select("w", F.posexplode("w").alias("i", "before"))
+    pairs = each.select("before", F.get("w", F.col("i") + 1).alias("after")).filter("after IS NOT NULL").distinct()
+    pairs = pairs.select("before", "after", plain("before").alias("b"), plain("after").alias("a"))  # once each, whatever asks for them
+    return pairs.select("before", "after", review.edit_kind(F.array("b"), F.array("a"), words("the", "la"), words("of", "der")).alias("kind"))
 
 
 @query("SELECT n_nationkey::BIGINT AS nation, c_name AS name, row_number() OVER (PARTITION BY n_nationkey ORDER BY sha256('salt' || n_nationkey || lower(replace(c_name, '#', ' '))), lower(replace(c_name, '#', ' '))) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey")
