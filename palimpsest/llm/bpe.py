@@ -9,17 +9,30 @@ is: a page of base64 without a space is no worse than prose of its size.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable
 from functools import lru_cache
 
-import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _NONE = 1 << 62
 
 
+def _put(tree: list[int], k: int, key: int) -> None:
+    """Change a leaf, and the minima above it as far as they change."""
+    tree[k] = key
+    while k > 1:
+        other = tree[k ^ 1]
+        k >>= 1
+        low = key if key < other else other
+        if tree[k] == low:
+            return
+        tree[k] = key = low
+
+
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one pre-token."""
     whole = ranks.get(piece)
@@ -28,46 +41,30 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n < 2:
         return [ranks[piece]] if n else []
-    size = 1 << (n - 2).bit_length()
-    tree = [_NONE] * (2 * size)
+    size = n - 1
+    tree = [_NONE] * size
     get = ranks.get
-    for i in range(n - 1):
+    for i in range(size):
         rank = get(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank * n + i
+        tree.append(_NONE if rank is None else rank * n + i)
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
     end = list(range(1, n + 1))
     before = list(range(-1, n))
-
-    def put(i: int, key: int) -> None:
-        k = size + i
-        tree[k] = key
-        while k > 1:
-            other = tree[k ^ 1]
-            k >>= 1
-            low = key if key < other else other
-            if tree[k] == low:
-                return
-            tree[k] = key = low
-
-    def pair(i: int) -> int:
-        j = end[i]
-        rank = get(piece[i : end[j]]) if j < n else None
-        return _NONE if rank is None else rank * n + i
-
     while (root := tree[1]) < _NONE:
         i = root % n
         j = end[i]
         k = end[i] = end[j]
         before[k] = i
-        if j < n - 1:
-            put(j, _NONE)
-        put(i, pair(i)) if i < n - 1 else None
+        if j < size:
+            _put(tree, size + j, _NONE)
+        rank = get(piece[i : end[k]]) if k < n else None
+        _put(tree, size + i, _NONE if rank is None else rank * n + i)
         if i:
             p = before[i]
-            put(p, pair(p))
+            rank = get(piece[p:k])
+            _put(tree, size + p, _NONE if rank is None else rank * n + p)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -93,18 +90,22 @@ _KEPT = 64
 
 
 class _Pieces(dict):
-    """Pre-token -> its ids as text, in two generations of ``limit`` entries at most: when the younger is full it becomes the
-    older one, from which entries that are asked for again come back. Memory is bounded and frequent ones stay."""
+    """Pre-token -> its ids as text. A new one waits in ``new`` and is kept when it is asked for again, so that pre-tokens met once
+    don't fill the memory. Both those that wait and those that are kept are in two generations of ``limit`` entries at most: when the
+    younger is full it becomes the older one, from which entries that are asked for again come back."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int):
-        self.ranks, self.limit, self.older = ranks, limit, {}
+        self.ranks, self.limit, self.older, self.new, self.waiting = ranks, limit, {}, {}, {}
 
     def __missing__(self, piece: str) -> str:
-        ids = self.older.get(piece)
+        ids = self.new.pop(piece, None) or self.waiting.pop(piece, None) or self.older.get(piece)
         if ids is None:
             ids = " ".join(map(str, merge_piece(piece.encode("utf-8"), self.ranks)))
-            if len(piece) > _KEPT:
-                return ids
+            if len(piece) <= _KEPT:
+                if len(self.new) >= self.limit:
+                    self.waiting, self.new = self.new, {}
+                self.new[piece] = ids
+            return ids
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -112,74 +113,78 @@ class _Pieces(dict):
         return ids
 
 
-def encode_text(text: str, ranks: dict[bytes, int], pattern: str, cache: _Pieces | None = None) -> str:
-    """Decimal token ids, joined by single spaces."""
-    cache = _Pieces(ranks, 1 << 16) if cache is None else cache
-    return " ".join(map(cache.__getitem__, _splitter(pattern).findall(text)))
-
+@lru_cache(maxsize=1)
+def _pieces(ranks_path: str, limit: int) -> _Pieces:
+    """A worker's pre-tokens, from one task to the next."""
+    return _Pieces(load_ranks(ranks_path), limit)
 
-_SLICE = 256
 
+@lru_cache(maxsize=1)
+def _tokens(ranks_path: str) -> dict[str, bytes]:
+    """Decimal id -> its bytes."""
+    return {str(rank): token for token, rank in load_ranks(ranks_path).items()}
 
-Batches = Iterator[pa.RecordBatch]
 
+def encode_text(text: str, ranks: dict[bytes, int], pattern: str, cache: _Pieces | None = None) -> str:
+    """Decimal token ids, joined by single spaces."""
+    cache = _Pieces(ranks, 1 << 16) if cache is None else cache
+    return " ".join(map(cache.__getitem__, _splitter(pattern).findall(text)))
 
-def _encoder(keep: list[str], text: str, ranks_path: str, pattern: str, cache_size: int) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        ranks, split = load_ranks(ranks_path), _splitter(pattern).findall
-        ids_of = _Pieces(ranks, cache_size).__getitem__
-        for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
-                ids, counts = [], []
-                for t in batch.column(text).to_pylist():
-                    found = " ".join(map(ids_of, split(t))) if t else ""
-                    ids.append(found)
-                    counts.append(found.count(" ") + 1 if found else 0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids, pa.string())], [*keep, "n_tokens", "token_ids"])
 
-    return run
+def decode_ids(ids: str | None, tokens: dict[str, bytes]) -> bytes:
+    """The bytes that decimal ids, joined by single spaces, stand for."""
+    return b"".join(map(tokens.__getitem__, ids.split(" "))) if ids else b""
 
 
-def _decoder(keep: list[str], ids: str, out: str, ranks_path: str) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        tokens = {str(rank): token for token, rank in load_ranks(ranks_path).items()}
-        for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
-                back = [b"".join(map(tokens.__getitem__, x.split(" "))) if x else b"" for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(back, pa.binary())], [*keep, out])
+def _by_rows(docs: DataFrame, keep: list[str], function: Callable, returns: dict[str, str], of: str) -> DataFrame:
+    """``keep``, and the fields ``returns`` of ``function`` of the column ``of``.
 
-    return run
+    Rows travel pickled, 100 at a time: an Arrow batch of whole texts is up to 64 MB, three times over (in the JVM's vectors, in
+    its buffer for the worker, in the worker), and all of it beside the heap. Not deterministic for Spark means called once a row."""
+    out = next(c for c in map("_coded{}".format, itertools.count()) if c not in keep)
+    kind = StructType()
+    for name, of_kind in returns.items():
+        kind = kind.add(name, of_kind)
+    made = F.udf(function, kind, useArrow=False).asNondeterministic()(F.col(f"`{of}`")).alias(out)
+    return docs.select(*_columns(keep), made).select(*_columns(keep), *(F.col(out)[c].alias(c) for c in returns))
 
 
 def _columns(names: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 250_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 65_536) -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens`` long and ``token_ids`` string (decimal ids joined by a space).
 
     A null or empty text has no tokens and the empty id string. Texts are whole, of any length;
     rows repeat as they come, and other columns pass through untouched, whatever their names,
     but for ``n_tokens`` and ``token_ids``, which are replaced. ``ranks_path`` must be readable on
-    the workers, as an installed package's files are. ``cache_size`` bounds a worker's memory: twice
-    as many pre-tokens are kept at most, none of more than 64 characters."""
+    the workers, as an installed package's files are. ``cache_size`` bounds a worker's memory: four times
+    as many pre-tokens are held at most, none of more than 64 characters."""
+
+    def coded(value: str | None) -> tuple[int, str]:
+        ids = encode_text(value or "", load_ranks(ranks_path), pattern, _pieces(ranks_path, cache_size))
+        return ids.count(" ") + 1 if ids else 0, ids
+
     keep = [c for c in docs.columns if c not in (text, "n_tokens", "token_ids")]
-    schema = docs.select(*_columns(keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("token_ids")).schema
-    return docs.select(*_columns([*keep, text])).mapInArrow(_encoder(keep, text, ranks_path, pattern, cache_size), schema)
+    return _by_rows(docs, keep, coded, {"n_tokens": "long", "token_ids": "string"}, text)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ``ids`` stand for in ``out``; null or empty ids give no bytes."""
-    keep = [c for c in encoded.columns if c != out]
-    schema = encoded.select(*_columns(keep), F.lit(b"").alias(out)).schema
-    return encoded.select(*_columns(keep)).mapInArrow(_decoder(keep, ids, out, ranks_path), schema)
 
+    def back(value: str | None) -> tuple[bytes]:
+        return (decode_ids(value, _tokens(ranks_path)),)
+
+    return _by_rows(encoded, [c for c in encoded.columns if c != out], back, {out: "binary"}, ids)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 65_536) -> DataFrame:
+    """``encode`` and ``decode`` one after the other in the same worker: ids need not leave it in between."""
+
+    def both(value: str | None) -> tuple[int, str, bytes]:
+        ids = encode_text(value or "", load_ranks(ranks_path), pattern, _pieces(ranks_path, cache_size))
+        return ids.count(" ") + 1 if ids else 0, ids, decode_ids(ids, _tokens(ranks_path))
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_size: int = 250_000) -> DataFrame:
-    """``encode`` and ``decode`` one after the other in the same worker: batches of ids need not leave it in between."""
     keep = [c for c in docs.columns if c not in (text, "n_tokens", "token_ids", "decoded")]
-    schema = docs.select(*_columns(keep), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("token_ids"), F.lit(b"").alias("decoded")).schema
-    first, second = _encoder(keep, text, ranks_path, pattern, cache_size), _decoder([*keep, "n_tokens", "token_ids"], "token_ids", "decoded", ranks_path)
-    return docs.select(*_columns([*keep, text])).mapInArrow(lambda batches: second(first(batches)), schema)
+    return _by_rows(docs, keep, both, {"n_tokens": "long", "token_ids": "string", "decoded": "binary"}, text)

@@ -5,9 +5,11 @@ import itertools
 import math
 import random
 import re
+import threading
 from collections import Counter, defaultdict
 
 import numpy as np
+import psutil
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -409,6 +411,48 @@ def test_encode_and_decode(spark, docs, empty):
     assert bpe.encode(empty, registry.RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pieces_are_bounded():
+    """Pre-tokens met once don't stay, those that come again do, and the ids are the library's."""
+    pieces = bpe._Pieces(bpe.load_ranks(registry.RANKS), 100)
+    for i in range(3_000):
+        for piece in (f" zq{i}x", f" hot{i % 50}"):
+            assert [int(x) for x in pieces[piece].split()] == ENCODING.encode_ordinary(piece)
+    assert len(pieces) == 50 and not pieces.older and len(pieces.new) + len(pieces.waiting) <= 200
+    for piece in [f" q{i % 700}z" for i in range(0, 2_100)] + [f" r{i // 2}z" for i in range(4_000)]:
+        pieces[piece]
+        assert max(map(len, (pieces, pieces.older, pieces.new, pieces.waiting))) <= 100
+
+
+def test_encoding_holds_few_texts(spark):
+    """A worker holds some texts of its partition at a time, not an Arrow batch of them (60 MB here)."""
+    docs = spark.range(0, 3_000, 1, 1).selectExpr("id AS doc_id", "repeat(' the', 5000 + int(id % 7)) AS text")
+    first, most, stop = {}, {}, threading.Event()
+
+    def watch():
+        while not stop.is_set():
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name():
+                        rss = p.memory_info().rss / 1e6
+                        first.setdefault(p.pid, rss)
+                        most[p.pid] = max(most.get(p.pid, 0), rss)
+                except psutil.Error:
+                    pass
+            stop.wait(0.02)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = bpe.round_trip(docs, registry.RANKS, public_tokenizers.PATTERN).selectExpr("sum(n_tokens)", "sum(length(decoded))").first()
+    finally:
+        stop.set()
+        watcher.join()
+    assert tuple(got) == (sum(5000 + i % 7 for i in range(3_000)), 4 * sum(5000 + i % 7 for i in range(3_000)))
+    grown = max(most[p] - first[p] for p in most)
+    print("grown", grown)
+    assert grown < 75
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
