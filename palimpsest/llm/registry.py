@@ -40,7 +40,7 @@ def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    coded = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, cache_size=250_000)  # memory is no concern here, seconds are
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
