@@ -2,12 +2,17 @@
 
 Two strings that few edits part share a piece unchanged: of more even segments than there are edits one
 at least survives, and edits move it by few letters. So strings meet by an equality join on segments,
-with their lengths in the key, and the exact likeness is worked out for those that met. A
+with their lengths in the key, and the exact likeness is worked out for those that met. Names meet by what
+a few deletions leave of them, block by block. A
 ratio is twice the longest common subsequence over both lengths, times 100.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -261,27 +266,159 @@ def swap_distance(a: str, b: str) -> int:
     return last[-1]
 
 
-@vector("int")
-def swap_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([swap_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+def _swaps_within(a: str, b: str, most: int) -> int:
+    """``swap_distance`` if it is ``most`` or less, else a larger number: only cells as near the diagonal are worked out."""
+    far, m = most + 1, len(b)
+    if abs(len(a) - m) > most:
+        return far
+    before, last = {}, {j: j for j in range(min(m, most) + 1)}
+    for i, x in enumerate(a, 1):
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            best = min(last.get(j, far) + 1, row.get(j - 1, far) + 1, last.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and b[j - 1] == a[i - 2]:
+                best = min(best, before.get(j - 2, far) + 1)
+            row[j] = best
+        before, last = last, row
+    return last.get(m, far)
+
+
+def _swaps_of_pairs(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """``_swaps_within`` of the rows of two matrices of letters, all pairs at once."""
+    (pairs, n), m, far = a.shape, b.shape[1], most + 1
+    none = np.full(pairs, far, np.int16)
+    before, last = {}, {j: np.full(pairs, j, np.int16) for j in range(min(m, most) + 1)}
+    for i in range(1, n + 1):
+        row = {0: np.full(pairs, i, np.int16)} if i <= most else {}
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            best = np.minimum(np.minimum(last.get(j, none), row.get(j - 1, none)) + 1, last.get(j - 1, none) + (a[:, i - 1] != b[:, j - 1]))
+            if i > 1 and j > 1:
+                swap = (a[:, i - 1] == b[:, j - 2]) & (a[:, i - 2] == b[:, j - 1])
+                best = np.where(swap, np.minimum(best, before.get(j - 2, none) + 1), best)
+            row[j] = best
+        before, last = last, row
+    return last.get(m, none)
+
+
+#: Words of a block of either side, pairs of blocks (some 200 KB each) for a task at most, and the letters from which on words meet by pieces instead of by what deletions leave.
+NAMES, MEETINGS, LONG = 8192, 16, 25
+#: Keys of a slice, and pairs looked at together.
+_KEYS, _TRIED = 1 << 18, 1 << 19
+_STEP = 0x9E3779B97F4A7C15
+
+
+@cache
+def _left(n: int, gone: int) -> np.ndarray:
+    """Which of n letters are left, one row for each way to take ``gone`` away."""
+    ways = list(combinations(range(n), n - gone))
+    return np.array(ways, np.int64).reshape(len(ways), n - gone)
+
+
+def _hashes(letters: np.ndarray, gone: int) -> np.ndarray:
+    """Of each row of letters the hashes of what is left after ``gone`` deletions, one column for each way to delete."""
+    kept = _left(letters.shape[1], gone)
+    mixed = (letters.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP)
+    mixed ^= mixed >> np.uint64(29)
+    out = np.zeros((len(letters), len(kept)), np.uint64)
+    for column in kept.T:
+        out = out * np.uint64(_STEP) + mixed[:, column]
+    return out
+
+
+def _by_deletions(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Rows (of x, of y, distance) of all words within ``most`` edits, of two matrices of letters: each edit takes one letter away from either word at most,
+    so what is left of the longer one without ``most`` letters is also what is left of the shorter one."""
+    n, m = x.shape[1], y.shape[1]
+    common = max(0, max(n, m) - most)
+    wide, high = len(_left(n, n - common)), len(_left(m, m - common))
+    out = []
+    for at in range(0, len(x), step := max(1, 4 * _KEYS // wide)):
+        keys = _hashes(x[at : at + step], n - common).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], at + order // wide
+        for to in range(0, len(y), leap := max(1, _KEYS // high)):
+            theirs = _hashes(y[to : to + leap], m - common).ravel()
+            low = np.searchsorted(keys, theirs)
+            times = np.searchsorted(keys, theirs, side="right") - low
+            hit = np.flatnonzero(times)
+            low, times, whose = low[hit], times[hit], to + hit // high
+            ends = np.cumsum(times)
+            first = 0
+            while first < len(ends):  # keys of many words are gone through in parts
+                done = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + _TRIED, side="right")))
+                t, pairs = times[first:last], int(ends[last - 1]) - done
+                place = np.repeat(low[first:last] - (ends[first:last] - t - done), t) + np.arange(pairs)
+                met = np.unique(owner[place] * len(y) + np.repeat(whose[first:last], t))
+                i, j = met // len(y), met % len(y)
+                d = _swaps_of_pairs(x[i], y[j], most)
+                out.append(np.stack([i, j, d], 1)[d <= most])
+                first = last
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+
+def _gapped(n: int, most: int) -> list[tuple[int, int]]:
+    """Start and end of ``most`` + 1 segments with a letter between any two, so that a swap touches one of them at most."""
+    room = max(0, n - most)
+    return [(room * i // (most + 1) + i, room * (i + 1) // (most + 1) + i) for i in range(most + 1)]
+
+
+def _by_pieces(x: list[str], y: list[str], most: int) -> list[tuple[str, str, int]]:
+    """The same of words of which one has ``LONG`` letters or more: a segment of the one stands near its place in the other."""
+    held = defaultdict(set)
+    for b in y:
+        for i, (s, e) in enumerate(_gapped(len(b), most)):
+            held[len(b), i, b[s:e]].add(b)
+    out = []
+    for a in x:
+        met = set()
+        for n in range(max(1, len(a) - most, 0 if len(a) >= LONG else LONG), len(a) + most + 1):
+            for i, (s, e) in enumerate(_gapped(n, most)):
+                for h in range(-most, most + 1):
+                    if s + h >= 0 and e + h <= len(a):
+                        met |= held.get((n, i, a[s + h : e + h]), set())
+        out += [(a, b, d) for b in met if (d := _swaps_within(a, b, most)) <= most]
+    return out
+
+
+def _close(left: list[str], right: list[str], most: int) -> list[dict]:
+    """All pairs of two lists of different words within ``most`` edits with swaps."""
+    sizes = []
+    for words in (left, right):
+        by = defaultdict(list)
+        for w in words:
+            by[len(w)].append(w)
+        sizes.append({n: (ws, np.array(ws, dtype=f"U{n}").view(np.uint32).reshape(len(ws), n)) for n, ws in by.items() if n < LONG})
+    found = [(a[i], b[j], d) for n, (a, x) in sizes[0].items() for m, (b, y) in sizes[1].items() if abs(n - m) <= most for i, j, d in _by_deletions(x, y, most).tolist()]
+    near = lambda words: [w for w in words if len(w) >= LONG - most]
+    if any(len(w) >= LONG for w in (*left, *right)):
+        found += _by_pieces(near(left), near(right), most)
+    return [{"a": a, "b": b, "d": d} for a, b, d in found]
 
 
-def _gapped(n: str, i: str, most: int) -> tuple[str, str]:
-    """SQL: start and size of the i-th of ``most`` + 1 segments with a letter between any two, so that a swap touches one of them at most."""
-    room = f"greatest(0, {n} - {most})"
-    start = f"(cast(floor({room} * {i} / {most + 1}) as int) + {i})"
-    return start, f"(cast(floor({room} * ({i} + 1) / {most + 1}) as int) - cast(floor({room} * {i} / {most + 1}) as int))"
+_swaps = vector("array<struct<a:string,b:string,d:int>>")(lambda x, y, most: pd.Series([_close(list(p), list(q), int(k)) for p, q, k in zip(x, y, most, strict=True)], dtype=object))
+
+
+def name_blocks(rows: DataFrame, scope: str, word: str, most: Column | None = None) -> DataFrame:
+    """The different words of a scope in blocks of some ``NAMES``: _in, _most, _block, _words. ``rows`` are read twice."""
+    words = rows.select(F.col(scope).alias("_in"), F.col(word).alias("_w"), (F.lit(0) if most is None else most).alias("_most")).filter("length(_w) > 0 AND _in IS NOT NULL").distinct()
+    sizes = words.groupBy("_in", "_most").agg(F.count(F.lit(1)).alias("_n"))
+    block = F.pmod(F.xxhash64("_w"), F.ceil(F.col("_n") / NAMES))
+    return cut(words.join(sizes, ["_in", "_most"]).groupBy("_in", "_most", block.alias("_block")).agg(F.collect_list("_w").alias("_words")))
+
+
+def swap_pairs(left: DataFrame, right: DataFrame, scope: str, a: str, b: str) -> DataFrame:
+    """All pairs of words of two ``name_blocks`` of one scope within the edits that the left one's block allows: scope, a, b, distance."""
+    x, y = left.select("_in", "_most", F.col("_block").alias("_x"), F.col("_words").alias("_xs")), right.select("_in", F.col("_block").alias("_y"), F.col("_words").alias("_ys"))
+    blocks = x.groupBy("_in").agg(F.count(F.lit(1)).alias("n")).join(y.groupBy("_in").agg(F.count(F.lit(1)).alias("m")), "_in").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // MEETINGS)
+    met = x.join(_apart(y), "_in").repartition(parts, "_in", "_most", "_x", "_y").select("_in", F.explode(_swaps("_xs", "_ys", "_most")).alias("p"))
+    return met.select(F.col("_in").alias(scope), F.col("p.a").alias(a), F.col("p.b").alias(b), F.col("p.d").alias("distance"))
 
 
 def swap_neighbours(left: DataFrame, right: DataFrame, scope: str, a: str, b: str, most: int = 3) -> DataFrame:
-    """All pairs of ``left[a]`` and ``right[b]`` of one ``scope`` within ``most`` edits with swaps: scope, a, b, distance. Rows that repeat count once."""
-    start, size = _gapped("length(_b)", "i", most)
-    theirs = F.expr(f"transform(sequence(0, {most}), i -> concat_ws('|', length(_b), i, substring(_b, {start} + 1, {size})))")
-    start, size = _gapped("n", "i", most)
-    at = f"if({start} + h < 0 or {start} + h + {size} > length(_a), null, concat_ws('|', n, i, substring(_a, {start} + h + 1, {size})))"
-    own = F.expr(f"array_distinct(array_compact(flatten(transform(sequence(greatest(1, length(_a) - {most}), length(_a) + {most}), n -> flatten(transform(sequence(0, {most}), i -> transform(sequence(-{most}, {most}), h -> {at})))))))")
-    x = left.select(F.col(scope).alias("_in"), F.col(a).alias("_a")).filter("length(_a) > 0").distinct().withColumn("_key", F.explode(own))
-    y = right.select(F.col(scope).alias("_in"), F.col(b).alias("_b")).filter("length(_b) > 0").distinct().withColumn("_key", F.explode(theirs))
-    met = _apart(x).join(_apart(y), ["_in", "_key"]).select("_in", "_a", "_b").distinct().filter(F.levenshtein("_a", "_b", 2 * most) >= 0)  # a swap is two edits at most
-    met = met.withColumn("distance", swap_distance_udf("_a", "_b")).filter(F.col("distance") <= most)
-    return met.select(F.col("_in").alias(scope), F.col("_a").alias(a), F.col("_b").alias(b), "distance")
+    """All pairs of ``left[a]`` and ``right[b]`` of one ``scope`` within ``most`` edits with swaps: scope, a, b, distance. Rows that repeat count once.
+
+    Words of a scope meet block by block: a task holds one block of either side and the hashes of what deletions leave of their words, so
+    that words travel and not their keys, of which a word has dozens."""
+    return swap_pairs(name_blocks(left, scope, a, F.lit(most)), name_blocks(right, scope, b), scope, a, b)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import fuzzy, names
+from palimpsest.operators import fuzzy, names, placing
+from palimpsest.session import cut
 
 from .catalogue import _CANON, long, query, table
 
@@ -89,19 +90,33 @@ def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _source_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("meeting"), "lang", F.explode(F.regexp_extract_all(names.form(F.col("text")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("w"))
+    """Words of a source of four letters, and of six or more: meeting, w, n (documents), said (times; of other sources than src0: documents), and the least and largest hash of their languages. Texts are read once, and travel as counts."""
+    docs = table(spark, sf_dir, "documents")
+    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("_again")))
+    repeated = again.count()  # ids that repeat, if any, are counted apart
+    if repeated:
+        docs = docs.join(F.broadcast(again) if repeated <= placing.FEW else again, F.col("doc_id") == F.col("_again"), "left")
+    words = F.filter(F.regexp_extract_all(names.form(F.col("text")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: (F.length(w) == 4) | (F.length(w) >= 6))
+    once = F.col("doc_id").isNotNull() & (F.col("_again").isNull() if repeated else F.lit(True))
+    rows = docs.select(F.col("source").alias("meeting"), F.xxhash64("lang").alias("lang"), F.col("lang").isNotNull().alias("_told"), once.alias("_once"), *(["_again"] if repeated else []), words.alias("ws"))
+    rows = rows.withColumn("ws", F.when(F.col("meeting") == "src0", F.array_sort("ws")).otherwise(F.array_distinct("ws")))
+    first = F.col("_once") & ((F.col("i") == 0) | (F.get("ws", F.col("i") - 1) != F.col("w")))
+    lang = F.when(F.col("_told"), F.col("lang"))
+    each = rows.select("*", F.posexplode("ws").alias("i", "w")).select("meeting", "w", *(["_again"] if repeated else []), first.cast("int").alias("_first"), lang.alias("lang"))
+    n = F.sum("_first") + F.count_distinct("_again") if repeated else F.sum("_first")
+    return each.groupBy("meeting", "w").agg(n.alias("n"), F.count(F.lit(1)).alias("said"), F.min("lang").alias("least"), F.max("lang").alias("most"))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Closed lists (words of six letters or more in three documents of a source, spellings of one term if they begin alike), first names (four letters, in six documents), and words seen."""
-    each = _source_words(spark, sf_dir)
-    by = each.groupBy("meeting", "w").agg(F.count_distinct("doc_id").alias("n"), F.collect_set("lang").alias("langs"))
-    long_ = by.filter((F.length("w") >= 6) & (F.col("n") >= 3)).withColumn("term", F.left("w", F.lit(5)))
-    persons = long_.select("meeting", "term", F.explode("langs").alias("lang")).groupBy("meeting", "term").agg(F.count_distinct("lang").cast("int").alias("persons"))
-    roster = long_.join(persons, ["meeting", "term"]).select("meeting", "term", F.col("w").alias("place"), F.initcap("w").alias("surface"), "persons")
-    first = by.filter((F.length("w") == 4) & (F.col("n") >= 6)).select("meeting", F.col("w").alias("name"))
-    seen = each.filter("meeting = 'src0'").groupBy(F.col("w").alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    return roster, first, seen
+    """Closed lists (words of six letters or more in three documents of a source, spellings of one term if they begin alike), first names (four letters, in six documents), and words seen often enough to matter.
+
+    A term of documents in one language is one person's, in several (two stand for them) it is nobody's alone."""
+    listed, named, often = (F.length("w") >= 6) & (F.col("n") >= 3), (F.length("w") == 4) & (F.col("n") >= 6), (F.col("meeting") == "src0") & (F.col("said") >= names.COMMON)
+    by = cut(_source_words(spark, sf_dir).filter(listed | named | often))
+    long_ = by.filter(listed).withColumn("term", F.left("w", F.lit(5)))
+    persons = long_.groupBy("meeting", "term").agg(F.when(F.min("least") == F.max("most"), 1).when(F.min("least").isNull(), 0).otherwise(2).alias("persons"))
+    roster = long_.join(persons, ["meeting", "term"]).select("meeting", "term", F.col("w").alias("place"), F.concat(F.upper(F.left("w", F.lit(1))), F.substring("w", F.lit(2), F.length("w"))).alias("surface"), "persons")
+    return roster, by.filter(named).select("meeting", F.col("w").alias("name")), by.filter(often).select(F.col("w").alias("token"), F.col("said").alias("n"))
 
 
 _FORM = "translate(lower(strip_accents({})), 'ς', 'σ')"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import fuzzy, names
 from palimpsest.operators.alignment import _lcs
+from palimpsest.plans import catalogue, lookups
 
 
 def ratio(a, b):
@@ -174,3 +175,83 @@ def test_exploded_keys_are_not_broadcast(spark):
     for pairs in (fuzzy.swap_neighbours(words, words, "s", "a", "b"), fuzzy.similar(words, words, "a", "b", 88)):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+# --- names met block by block --------------------------------------------------------------------------------------
+
+
+def twisted(rng, word, letters, most):
+    for _ in range(rng.randint(0, most)):
+        i = rng.randint(0, len(word))
+        word = rng.choice([word[:i] + word[i + 1 :], word[:i] + rng.choice(letters) + word[i:], word[:i] + rng.choice(letters) + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :]])
+    return word
+
+
+@pytest.mark.parametrize("most, letters, shortest, longest, keys", [(1, "ab", 1, 9, 50), (2, "abλ", 1, 12, 50), (3, "abc𝒳", 1, 8, 1 << 18), (3, "abc", 20, 29, 1 << 18)])
+def test_words_close_in_a_block(monkeypatch, most, letters, shortest, longest, keys):
+    monkeypatch.setattr(fuzzy, "_KEYS", keys)
+    monkeypatch.setattr(fuzzy, "_TRIED", keys)
+    rng = random.Random(most)
+    some = lambda n: {"".join(rng.choice(letters) for _ in range(rng.randint(shortest, longest))) for _ in range(n)}
+    left = some(60)
+    right = some(40) | {twisted(rng, w, letters, 4) for w in left} - {""}
+    got = [(p["a"], p["b"], p["d"]) for p in fuzzy._close(sorted(left), sorted(right), most)]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b, d) for a in left for b in right if (d := fuzzy.swap_distance(a, b)) <= most}
+
+
+def test_words_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "NAMES", 7)
+    monkeypatch.setattr(fuzzy, "MEETINGS", 2)
+    rng = random.Random(5)
+    left = [(rng.choice(["x", "y", None]), w) for w in words(rng, 80, "abc", 9)] + [("x", None)]
+    right = [(rng.choice("xyz"), twisted(rng, w, "abc", 2)) for _, w in left if w] * 2
+    pairs = fuzzy.swap_neighbours(spark.createDataFrame(left, "m string, a string"), spark.createDataFrame(right, "m string, b string"), "m", "a", "b", 2)
+    assert sorted(map(tuple, pairs.collect())) == sorted({(m, a, b, d) for m, a in left if a for o, b in right if b and m == o and (d := fuzzy.swap_distance(a, b)) <= 2})
+
+
+def test_keys_of_names_do_not_travel(spark):
+    """Words are dealt, and what they are compared by is made where they meet; a short word has dozens of keys that most others share."""
+    some = spark.range(40).select((F.col("id") % 2).alias("s"), F.concat(F.lit("wordwo"), "id").alias("a"), F.concat(F.lit("wordwt"), "id").alias("b"))
+    plan = fuzzy.swap_neighbours(some, some, "s", "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
+def test_nearest_names(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(6, 13))) for _ in range(30)]
+    base += [twisted(rng, w, "abcd", 4) for w in base * 3]
+    roster = {(m, w[:4], w) for w in base for m in "xy" if w and rng.random() < 0.6}
+    tokens = {(rng.choice("xy"), twisted(rng, w, "abcd", 3)) for w in base * 2}
+    rows = [(m, t, a, a.capitalize(), 1) for m, t, a in roster]
+    got = names.nearest_names(spark.createDataFrame(sorted(tokens), "m string, token string"), spark.createDataFrame(rows, "m string, term string, place string, surface string, persons int"), "m").collect()
+    want = {}
+    for m, token in tokens:
+        terms = {}
+        for o, term, alias in roster:
+            if o == m:
+                terms[term] = min(terms.get(term, (99, "")), (fuzzy.swap_distance(token, alias), alias))
+        order = sorted((d, term, alias) for term, (d, alias) in terms.items())
+        d, term, alias = order[0] if order else (99, "", "")
+        if len(token) >= 6 and (d <= 1 or d == 2 and len(token) >= 10) and d:
+            second = order[1][0] if len(order) > 1 and order[1][0] < d + 2 else None
+            want[m, token] = (term, alias, d, sum(x[0] == d for x in order), second)
+    found = {(r["m"], r["token"]): (r["term"], r["alias"], r["distance"], r["ties"], r["second"]) for r in got if r["distance"]}
+    assert found == want
+    assert {w[2:] for w in want.values()} >= {(1, 1, None), (1, 1, 2), (2, 1, None), (2, 1, 3)} and any(w[3] > 1 for w in want.values())
+
+
+def test_lists_count_documents_once(spark, tmp_path):
+    """Rows of one id are one document, and terms of documents without a language are nobody's."""
+    rows = [(1, "Κύκλωπα harvest", "en", "src1"), (1, "harvest harvest", "en", "src1"), (2, "Harvest meadow", "de", "src1"), (3, "harvést meadow", None, "src1"), (None, "harvest harvest", "en", "src1")]
+    rows += [(i, "lantern lantern corn", None, "src0") for i in range(10, 13)] + [(i, "corn", "en", "src0") for i in range(20, 24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    roster, first, seen = lookups._lists(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in roster.collect()) == [("src0", "lante", "lantern", "Lantern", 0), ("src1", "harve", "harvest", "Harvest", 2)]
+    assert [tuple(r) for r in first.collect()] == [("src0", "corn")]
+    assert sorted(tuple(r) for r in seen.collect()) == [("corn", 7), ("lantern", 6)]
+
+
+def test_names_read_documents_once(spark):
+    plan = catalogue.QUERIES["name_outcomes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_chars" not in plan and "lang" not in plan
